@@ -110,5 +110,7 @@ def keep_rows(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     own = docs.select(*(F.col(c).alias(f"__own_{c}") for c in columns), F.col(text_col).alias("__text"), F.col(host_col).alias("__source"))
     rows = with_base(own, "__text")
     verdicts = host_verdicts(with_base(docs.select(F.col(text_col).alias("__text"), F.col(host_col).alias("__source")), "__text"), "__source", rate)
-    kept = _with_verdicts(rows.where(~F.col("base_failed")), verdicts, "__source").where(~F.col("host_rejected"))
+    # an indeterminate column keeps the filter above the counts; pushed below, it would have each of them worked out over and over
+    passed = rows.withColumn("__row", F.monotonically_increasing_id()).where(~F.col("base_failed") & (F.col("__row") >= 0))
+    kept = _with_verdicts(passed, verdicts, "__source").where(~F.col("host_rejected"))
     return kept.select(*(F.col(f"__own_{c}").alias(c) for c in columns))
