@@ -24,7 +24,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -45,10 +44,50 @@ REMEMBERED = 200_000
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+
+
+@lru_cache(maxsize=1)
+def _careful(path: str) -> tuple[dict[int, str], regex.Pattern]:
+    """_WORD with the letters and numbers of the tokenizer's own Unicode version, and lower-case forms that unicodedata lacks.
+
+    The regex module knows letters that are newer; the tokenizer's own cut says
+    which of those that unicodedata lacks are letters to it.
+    """
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    cut = own.pre_tokenizer.pre_tokenize_str
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    doubtful = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c)[0] not in "LN"]
+    lower = {ord(c): n for c in doubtful if (n := own.normalizer.normalize_str(c)) != c}
+    late = [ord(c) for c in doubtful if len(cut(f".{c}")) == 1]
+    ranges: list[list[int]] = []
+    for c in late:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    new = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else "[^\\s\\S]"
+    letter, number = rf"(?:(?!{new})\p{{L}})", rf"(?:(?!{new})\p{{N}})"
+    return lower, regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|(?:[^\s\p{{L}}\p{{N}}]|{new})+")
+
+
+def _cut(text: str, path: str) -> list[str]:
+    """The words of normalised text."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            lower, word = _careful(path)
+            return word.findall(text.translate(lower))
+    return _WORD.findall(text)
+
+
 class Merges:
     """Vocabulary and merge order of a BPE tokenizer whose words end in a marked symbol."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -92,10 +131,10 @@ def normalise(text: str) -> str:
 def words_of(text: str, merges: Merges) -> list[str]:
     """Words in order; a special token's string comes as a word of its own."""
     if "<|" not in text:
-        return _WORD.findall(normalise(text))
+        return _cut(normalise(text), merges.path)
     out: list[str] = []
     for k, part in enumerate(merges.split.split(text)):
-        out.extend([part] if k % 2 else _WORD.findall(normalise(part)))
+        out.extend([part] if k % 2 else _cut(normalise(part), merges.path))
     return out
 
 
@@ -232,7 +271,8 @@ class Encoder:
         for t in texts:
             words.extend(words_of(t, self.merges) if t else ())
             ends.append(len(words))
-        codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
+        distinct: dict[str, int] = {}
+        codes = np.array([distinct.setdefault(w, len(distinct)) for w in words], np.int64)
         shown = self.shown(list(distinct))
         n = np.array([s[0] for s in shown], np.int64)
         ids, tokens = [s[1] for s in shown], [s[2] for s in shown]
