@@ -28,7 +28,9 @@ from aerolith.plans.staging import bounded_batches, stage_table
 
 #: The most labelled rows that train; beyond, a share of the hash range of the id is taken.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, L2, LEAST = 60, 4, 64, 0.15, 1.0, 20
+TREES, DEPTH, BINS, RATE, L2 = 60, 4, 64, 0.15, 1.0
+#: Rows on either side of a split: a hundredth of the rows that train, within these limits.
+LEAST = (3, 20)
 THRESHOLD = 0.3
 
 FEATURES = (
@@ -157,6 +159,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], 1)
     n, f = x.shape
+    least = max(LEAST[0], min(LEAST[1], n // 100))
     margin = np.full(n, out.base)
     feature, threshold, value = [], [], []
     for _ in range(trees):
@@ -170,7 +173,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
             g, h, c = (np.bincount(key.ravel(), np.repeat(w, f), width * f * bins).reshape(width, f, bins).cumsum(2) for w in (grad, hess, np.ones(n)))
             all_g, all_h, all_c = g[:, :1, -1:], h[:, :1, -1:], c[:, :1, -1:]
             gain = g**2 / (h + l2) + (all_g - g) ** 2 / (all_h - h + l2) - all_g**2 / (all_h + l2)
-            gain[(c < LEAST) | (all_c - c < LEAST)] = 0
+            gain[(c < least) | (all_c - c < least)] = 0
             best = gain.reshape(width, -1).argmax(1)
             ok = gain.reshape(width, -1).max(1) > 1e-9
             cut_f, cut_b = best // bins, best % bins
