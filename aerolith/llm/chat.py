@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.plans.workers import tidy
+
 #: The template.
 START, END, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
 SEGMENTS = "conv_id long, message_no long, role string, segment string"
@@ -142,13 +144,13 @@ def reconstruct(log: DataFrame) -> DataFrame:
     """Segments (conv_id, message_no, role, segment) of all conversations in a log with _COLUMNS."""
     keyed = with_first(log).select(*_COLUMNS, "first")
     dealt = keyed.repartition("conv_id").sortWithinPartitions("conv_id", "first", "message", "seq", "kind", "role", "text")
-    return dealt.select(*_COLUMNS).mapInArrow(_segments, SEGMENTS)
+    return dealt.select(*_COLUMNS).mapInArrow(tidy(_segments), SEGMENTS)
 
 
 def reconstruct_turns(conversations: DataFrame) -> DataFrame:
     """Segments of a table of finished turns (conv_id, turn, role, text): no message has a second event."""
     dealt = events(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
-    return dealt.mapInArrow(_segments, SEGMENTS)
+    return dealt.mapInArrow(tidy(_segments), SEGMENTS)
 
 
 def formatted(segments: DataFrame) -> DataFrame:
@@ -193,4 +195,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(segments: DataFrame) -> DataFrame:
     """Per conversation: turns, loss text and length, read back from segments that come in order."""
-    return segments.mapInArrow(_digest, DIGESTS)
+    return segments.mapInArrow(tidy(_digest), DIGESTS)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.plans.staging import bounded_batches, stage_table
+from aerolith.plans.workers import tidy
 
 #: Bytes of distinct text that one bucket may hold.
 BUCKET_BYTES = 48 << 20
@@ -251,8 +252,8 @@ def _bucket_of(plan: list[tuple[int, int, int]]):
 def _bucketed(docs: DataFrame, plan, id_col: str, text_col: str) -> DataFrame:
     place, n = _bucket_of(plan)
     extra = [T.StructField(_GROUP, T.LongType()), T.StructField(_H, T.LongType()), T.StructField(_N, T.LongType())]
-    copies = docs.mapInArrow(_first_copies(id_col, text_col), T.StructType([*docs.schema.fields, *extra]))
-    placed = copies.mapInArrow(place, T.StructType([*copies.schema.fields, T.StructField("__bucket", T.IntegerType())]))
+    copies = docs.mapInArrow(tidy(_first_copies(id_col, text_col)), T.StructType([*docs.schema.fields, *extra]))
+    placed = copies.mapInArrow(tidy(place), T.StructType([*copies.schema.fields, T.StructField("__bucket", T.IntegerType())]))
     return placed.repartitionById(n, F.col("__bucket"))
 
 
@@ -262,7 +263,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         docs.schema[id_col], T.StructField(_GROUP, T.LongType()), T.StructField(_H, T.LongType()),
         T.StructField("text_sha256", T.StringType()), T.StructField("__bytes", T.LongType()), T.StructField("__stays", T.BooleanType()),
     ])
-    return stage_table(docs.select(id_col, text_col).mapInArrow(_members(id_col, text_col), schema), "grace-members")
+    return stage_table(docs.select(id_col, text_col).mapInArrow(tidy(_members(id_col, text_col)), schema), "grace-members")
 
 
 def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +275,7 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(id_col, text_col)
     members = _sizes(docs, id_col, text_col)
     schema = f"{_GROUP} long, keep_id long, group_size long, __wins boolean"
-    done = _bucketed(docs, plan_buckets(members), id_col, text_col).mapInArrow(_resolve(id_col, text_col, rows=False), schema)
+    done = _bucketed(docs, plan_buckets(members), id_col, text_col).mapInArrow(tidy(_resolve(id_col, text_col, rows=False)), schema)
     return members.join(done, _GROUP).select(
         id_col, "keep_id", "group_size", (F.col("__wins") & F.col("__stays")).alias("kept"), "text_sha256"
     )
@@ -284,4 +285,4 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns; one row for each distinct text."""
     members = _sizes(docs, id_col, text_col)
     plan = plan_buckets(members)
-    return _bucketed(docs, plan, id_col, text_col).mapInArrow(_resolve(id_col, text_col, rows=True), docs.schema)
+    return _bucketed(docs, plan, id_col, text_col).mapInArrow(tidy(_resolve(id_col, text_col, rows=True)), docs.schema)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.text import flat
 from aerolith.plans.staging import bounded_batches
+from aerolith.plans.workers import tidy
 
 #: The most documents of one language that train it; all beyond are left out by hash of their id.
 TRAIN_DOCS = 2000
@@ -145,7 +146,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_context: int = MIN_
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = reduce(lambda e, x: e.when(F.col("lang") == x[0], F.lit(int(1e6 * min(1.0, train_docs / x[1])))), sizes.items(), F.when(F.lit(False), F.lit(0)))
     some = rows.where(spot < share).select("lang", "text") if sizes else rows.select("lang", "text")
-    found = some.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = some.mapInArrow(tidy(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(found.column("lang").to_pylist(), dtype=object)
     grams, n = np.asarray(found.column("gram")).astype(np.uint32), np.asarray(found.column("n"))
     return ContextTrees({k: (grams[langs == k], n[langs == k]) for k in sizes if (langs == k).any()}, min_context)
@@ -172,4 +173,4 @@ def _predict(shared):
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of the language under equal priors) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double")

@@ -34,6 +34,7 @@ from aerolith.llm.packing import byte_symbols
 from aerolith.llm.text import groups, lower_ascii
 from aerolith.plans.sharing import share_file
 from aerolith.plans.staging import bounded_batches
+from aerolith.plans.workers import tidy
 
 #: Words in the lexicon, the longest in bytes, and how often one must occur in a part of the corpus to be counted there.
 LEXICON_WORDS, LONGEST, LEAST = 100_000, 32, 3
@@ -321,7 +322,7 @@ def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent runs of letters of all texts, at most ``most``: this many rows reach the driver."""
-    found = docs.select("text").mapInArrow(_letter_runs, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(_letter_runs), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
     return [w.decode(errors="ignore") for w in top]
 
@@ -368,11 +369,11 @@ def share_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) ->
 def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, ids and decoded text of every whole text."""
     file = share_lexicon(docs, tokenizer, most)
-    return docs.select("doc_id", "text").mapInArrow(_encode_rows(tokenizer, file), "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encode_rows(tokenizer, file)), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the decoded text; the ids themselves stay in the task."""
     file = share_lexicon(docs, tokenizer, most)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, file), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, file)), schema)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.plans.staging import bounded_batches, stage_table
+from aerolith.plans.workers import tidy
 
 #: Usual notices of licences.
 TEMPLATES = {
@@ -137,7 +138,7 @@ def _scan(shared):
 
 
 def corpus_weights(docs: DataFrame) -> Weights:
-    found = docs.select("text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(_frequencies), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return Weights({r["term"]: r["n"] for r in found.collect()})  # the templates' terms
 
 
@@ -146,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(corpus_weights(docs))
     schema = "doc_id long, path string, own_license string, own_score double, is_file boolean"
-    own = stage_table(docs.select("doc_id", "path", "text").mapInArrow(_scan(shared), schema), "own-licences")
+    own = stage_table(docs.select("doc_id", "path", "text").mapInArrow(tidy(_scan(shared)), schema), "own-licences")
     own = own.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/", 1)))
     files = own.where(F.col("is_file") & F.col("dir").isNotNull())
     rank = F.struct(-F.col("own_score"), F.col("path"), F.col("own_license"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.plans.staging import bounded_batches, stage_table
+from aerolith.plans.workers import tidy
 
 SEQUENCE = 2048
 OPEN_BINS = 4096
@@ -153,10 +154,10 @@ def pack(
     the few bins it leaves unfilled do not depend on the size of the corpus.
     """
     bounded_batches(docs.sparkSession)
-    pieces = stage_table(docs.select("doc_id", "text").mapInArrow(_tokenise(tokenizer, size), _TOKENS), "packing-pieces")
+    pieces = stage_table(docs.select("doc_id", "text").mapInArrow(tidy(_tokenise(tokenizer, size)), _TOKENS), "packing-pieces")
     packers = max(1, -(-pieces.count() // per_packer))
     dealt = pieces.repartition(packers, "doc_id").sortWithinPartitions("doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(_pack(size, open_bins, window), PACKED)
+    return dealt.mapInArrow(tidy(_pack(size, open_bins, window)), PACKED)
 
 
 def fill(packed: DataFrame, size: int = SEQUENCE) -> DataFrame:

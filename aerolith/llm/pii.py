@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.plans.staging import bounded_batches
+from aerolith.plans.workers import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -276,7 +277,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Potentials:
     bounded_batches(docs.sparkSession)
     share = min(1.0, most / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share)).select("text")
-    rows = some.mapInArrow(_observe, "name string, a int, b int, n long").groupBy("name", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = some.mapInArrow(tidy(_observe), "name string, a int, b int, n long").groupBy("name", "a", "b").agg(F.sum("n").alias("n")).collect()
     counts = Counter()
     for r in rows:
         counts[(r["name"], r["a"], r["b"]) if r["name"][0] == ">" else (r["name"], r["a"])] += r["n"]
@@ -308,7 +309,7 @@ def find(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans (kind:start:end in code points) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, most))  # a few hundred shapes
     schema = f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(_find(shared), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_find(shared)), schema)
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -341,7 +342,7 @@ def _mask(shared, text_at: int):
 def mask_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """All rows of docs with personal data masked in text; n_chars, if there is such a column, is counted anew."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, most))
-    out = docs.mapInArrow(_mask(shared, docs.columns.index("text")), T.StructType(docs.schema.fields))
+    out = docs.mapInArrow(tidy(_mask(shared, docs.columns.index("text"))), T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.text import groups, lower_ascii, spans_hash, windows_hash, words
 from aerolith.plans.staging import bounded_batches, stage_table
+from aerolith.plans.workers import tidy
 
 #: The most labelled rows that train; beyond, a share of the hash range of the id is taken.
 TRAIN_ROWS = 20_000
@@ -125,7 +126,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and FEATURES of every whole text, staged."""
     bounded_batches(docs.sparkSession)
-    return stage_table(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, features array<float>"), "quality-features")
+    return stage_table(docs.select("doc_id", "text").mapInArrow(tidy(_measure), "doc_id long, features array<float>"), "quality-features")
 
 
 @dataclass
@@ -214,5 +215,5 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, thresho
     """doc_id, held_out, score (of label 1) and predicted for every document."""
     features = measure(docs)
     shared = docs.sparkSession.sparkContext.broadcast(train(features, labels, most))
-    scored = features.mapInArrow(_score(shared, threshold), "doc_id long, score double, predicted int")
+    scored = features.mapInArrow(tidy(_score(shared, threshold)), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 #: Odd multiplier of the rolling hash, its inverse modulo 2**64, and the multiplier that joins words.
 _Q = 0x9E3779B97F4A7C15

@@ -58,7 +58,6 @@ def legs(routes: DataFrame, solver: type = Vincenty) -> DataFrame:
     """Consecutive pairs of a route's points (route_id, seq, lat, lon, height) with length, bearing and the distance before."""
     w = Window.partitionBy("route_id").orderBy("seq")
     pair = routes.select("route_id", "seq", "lat", "lon", "height", F.lead(F.struct("lat", "lon", "height")).over(w).alias("next"))
-    pair = pair.withColumn("n", F.count("*").over(Window.partitionBy("route_id")))
     measured = pair.where(F.col("next").isNotNull()).withColumn("g", solver.inverse("lat", "lon", "next.lat", "next.lon"))
     before = F.coalesce(F.sum("g.distance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return measured.select("route_id", "seq", "lat", "lon", "height", "next", F.col("g.distance").alias("length"), F.col("g.initial_bearing").alias("bearing"), before.alias("before"))
