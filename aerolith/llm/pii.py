@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,13 +49,14 @@ ROUNDS, DAMPING, SMOOTH, ADD = 10, 0.5, 0.5, 0.9
 #: The base patterns.
 _PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),  # a match never starts inside a run of digits
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
-_TRIM = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
+_FIRST = re.compile(r"[A-Za-z0-9+(]")
+_LAST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789)")
 _DIGITS = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]
@@ -70,7 +72,7 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in text.split(".")))
     digits = "".join(_DIGITS.findall(text))
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -110,6 +112,34 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+class Spans:
+    """Base spans of one text, to look up which kind covers a place; spans of a kind do not overlap."""
+
+    def __init__(self, base: list[Span]) -> None:
+        self._of: dict[int, tuple[list[int], list[int]]] = {}
+        for kind, i, j in base:
+            starts, ends = self._of.setdefault(kind, ([], []))
+            starts.append(i)
+            ends.append(j)
+
+    def label(self, i: int, j: int) -> int:
+        """1 + the first kind with a span that overlaps i:j, or 0."""
+        for kind, (starts, ends) in self._of.items():
+            k = bisect_right(ends, i)
+            if k < len(starts) and starts[k] < j:
+                return 1 + kind
+        return 0
+
+
+def _trim(token: str) -> tuple[int, int]:
+    """Where a token starts and ends without the marks around it; an empty range if it is nothing else."""
+    m = _FIRST.search(token)
+    i, j = (m.start() if m else len(token)), len(token)
+    while j > i and token[j - 1] not in _LAST:
+        j -= 1
+    return i, j
+
+
 def shape(token: str) -> str:
     """What a token looks like: kind of characters, number of digits and checksums, in a few values."""
     digits = "".join(_DIGITS.findall(token))
@@ -142,15 +172,15 @@ class Graph:
             return
         before: dict[str, int] = {}
         last = -2
+        spans = Spans(base)
         for k, m in enumerate(_TOKEN.finditer(text)):
             if not _HINT.search(m[0]):
                 continue
-            token = _TRIM.sub("", m[0])
-            if not token:
+            first, end = _trim(m[0])
+            if first == end:
                 continue
-            i = m.start() + m[0].index(token)
-            node, j = len(self.doc), i + len(token)
-            label = next((1 + kind for kind, s, e in base if s < j and i < e), 0)
+            token, i, j, node = m[0][first:end], m.start() + first, m.start() + end, len(self.doc)
+            label = spans.label(i, j)
             for column, v in ((self.doc, doc), (self.start, i), (self.end, j), (self.shape, shape(token)), (self.seen, label)):
                 column.append(v)
             if last == k - 1:
@@ -230,6 +260,7 @@ def added_spans(texts: list[str], bases: list[list[Span]], model: Potentials) ->
     graph = Graph()
     for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
         graph.add(d, text, base)
+    spans = [Spans(base) for base in bases]
     out: list[list[Span]] = [[] for _ in texts]
     p = beliefs(graph, model)
     label = np.where(p.max(1) >= ADD, p.argmax(1), 0) if len(p) else np.zeros(0, int)
@@ -240,7 +271,7 @@ def added_spans(texts: list[str], bases: list[list[Span]], model: Potentials) ->
         if run:
             d, kind = graph.doc[run[0]], int(label[run[0]]) - 1
             i, j = graph.start[run[0]], graph.end[run[-1]]
-            if not any(s < j and i < e for _, s, e in bases[d]) and _possible(KINDS[kind], texts[d][i:j]):
+            if not spans[d].label(i, j) and _possible(KINDS[kind], texts[d][i:j]):
                 out[d].append((kind, i, j))
         run.clear()
 
