@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from aerolith.llm.packing import byte_symbols
 from aerolith.llm.text import groups, lower_ascii
 from aerolith.plans.sharing import share_file
-from aerolith.plans.staging import bounded_batches
+from aerolith.plans.staging import bounded_batches, drop_staged, stage_table
 from aerolith.plans.workers import tidy
 
 #: Words in the lexicon, the longest in bytes, and how often one must occur in a part of the corpus to be counted there.
 LEXICON_WORDS, LONGEST, LEAST = 100_000, 32, 3
-#: Merged words that a worker remembers.
-REMEMBERED = 200_000
+#: Merged words that a worker remembers, and the longest of them in characters.
+REMEMBERED, SHORT = 200_000, 256
+#: Bytes of a word up to which a scan for its next merge is quicker than a heap.
+SCANNED = 128
 
 #: How the tokenizer cuts normalised text into words.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -105,6 +108,8 @@ class Merges:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: of all neighbouring pairs the one of least rank, leftmost first, merges until none can."""
+        if len(word) > SCANNED:
+            return self._merge_long(word)
         ids = [*(self.inner[b] for b in word[:-1]), self.last[word[-1]]]
         get, none = self.pairs.get, (1 << 60, 0)
         found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
@@ -121,6 +126,31 @@ class Merges:
                 found[i - 1] = get((ids[i - 1], ids[i]), none)
         return ids
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for a long word, with a heap of pairs: n log n steps instead of n for each merge."""
+        ids = [*(self.inner[b] for b in word[:-1]), self.last[word[-1]]]
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap: list[tuple[int, int, int, int]] = []  # rank, place, the pair's ids
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] >= 0 and (found := self.pairs.get((ids[i], ids[after[i]]))):
+                heappush(heap, (found[0], i, ids[i], ids[after[i]]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, left, right = heappop(heap)
+            j = after[i]
+            if ids[i] != left or j < 0 or ids[j] != right:
+                continue  # one of them has merged since
+            ids[i], ids[j], after[i] = self.pairs[left, right][1], -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [k for k in ids if k >= 0]
+
 
 def normalise(text: str) -> str:
     """The tokenizer's normal form; white space only separates words and stays as it is."""
@@ -261,7 +291,8 @@ class Encoder:
                     got = self._shown([self.merges.special[w]] if w in self.merges.special else self.merges.merge(w.encode()))
                     if len(self._seen) >= REMEMBERED:
                         self._seen.clear()
-                    self._seen[w] = got
+                    if len(w) <= SHORT:
+                        self._seen[w] = got
                 out[k] = got
         return out
 
@@ -321,9 +352,21 @@ def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent runs of letters of all texts, at most ``most``: this many rows reach the driver."""
+    """The most frequent runs of letters of all texts, at most ``most``: this many rows reach the driver.
+
+    Counts by powers of two tell how often a word must occur, so the rows that
+    are ordered are a small multiple of ``most``, however many words there are.
+    """
     found = docs.select("text").mapInArrow(tidy(_letter_runs), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
+    found = stage_table(found, "word-counts")
+    level = F.floor(F.log2("n")).cast("int")
+    least, total = 0, 0
+    for r in sorted(found.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # a row for each power of two
+        least, total = r["level"], total + r["count"]
+        if total >= most:
+            break
+    top = found.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
+    drop_staged(found)
     return [w.decode(errors="ignore") for w in top]
 
 
