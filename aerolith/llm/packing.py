@@ -63,6 +63,22 @@ def byte_encoder(path: str):
     return encoding, frozenset(special)
 
 
+@lru_cache(maxsize=2)
+def _slow_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """The ids of a text. A run of over a million blanks is too long for the faster library's search; the other one cuts it."""
+    encoding, special = byte_encoder(path)
+    try:
+        return encoding.encode_to_numpy(text, allowed_special=special)
+    except ValueError:
+        return np.array(_slow_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; only the first may be shorter than size."""
     first = n % size or size
@@ -71,11 +87,10 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 def _tokenise(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, special = byte_encoder(path)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encoding.encode_to_numpy(text or "", allowed_special=special).astype("<u4"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(token_ids(text or "", path), np.uint32(END_ID)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), size)):
                     for column, v in zip(out, (doc, k, start, length, zlib.crc32(ids[start : start + length])), strict=True):
                         column.append(v)

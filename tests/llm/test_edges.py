@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from aerolith.llm import chat, components, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules, text
 
@@ -155,6 +157,12 @@ def test_packing_edges(docs, none):
     assert packing.cut(1, 4) == [(0, 1)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
 
+def test_blanks_beyond_the_faster_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "a" + " " * 1_500_000 + "b"
+    assert packing.token_ids(text, path).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     b = packing.BestFit(10, 2)
     assert [b.place(6), b.place(7), b.place(3), b.place(4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
@@ -172,6 +180,15 @@ def test_pii(docs, none, spark):
     assert "[EMAIL]" in masked.text and "[PHONE]" in masked.text and masked.n_chars == len(masked.text)
 
 
+@pytest.mark.parametrize(("body", "n"), [("1" * 200_000, 0), ("0" * 6000 + "1.1.1.1", 1), ("!" * 200_000 + "a1", 0), ("a@b.co " * 20_000, 20_000)])
+def test_pii_of_very_long_texts(body, n):
+    began, spans, graph = time.time(), pii.base_spans(body), pii.Graph()
+    graph.add(0, body, spans)
+    assert len(spans) == n
+    assert sum(x > 0 for x in graph.seen) == n
+    assert time.time() - began < 20
+
+
 def test_distant_mentions_share_a_label():
     counts = {("n:16:False:False:False:False:False:True", 3): 40, ("n:16:False:False:False:False:False:True", 0): 1, (">skip", 3, 3): 30, (">skip", 0, 0): 5, (">chain", 0, 0): 9}
     number = "4465758382889437"
@@ -278,6 +295,12 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     assert with_ == without
 
 
+@pytest.mark.parametrize("word", ["ab" * 400, "a" * 777, "unhappinessé" * 60])
+def test_long_words_merge_as_the_library_does(word):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert lexicon.Merges(path).merge(word.encode()) == Tokenizer.from_file(path).encode(word, add_special_tokens=False).ids
+
+
 def test_lexicon_edges(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert lexicon.digests(none, path).count() == 0
