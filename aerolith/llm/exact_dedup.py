@@ -270,7 +270,9 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. The texts are read twice
-    (sizes, then contents) rather than stored between the passes.
+    (sizes, then contents) rather than stored between the passes, so docs has to
+    give the same rows in the same order each time, as a table does; stage the
+    result of a shuffle first.
     """
     docs = docs.select(id_col, text_col)
     members = _sizes(docs, id_col, text_col)
