@@ -2,10 +2,12 @@
 
 Documents are sets of hashed word shingles. Documents of equal sets form one
 class at once. A class has TREES signatures of DEEPEST min-hashes; each tree is
-the order of all classes by their signature in it. Neighbours in an order with a
-common prefix of SHALLOWEST values or more form a region. A region that is small
-enough is one block of candidates; in a dense one the common prefix grows until
-the block is. So the depth adapts to every part of every tree.
+the order of all classes by their signature in it. Classes with a
+common prefix of SHALLOWEST values form a region. A region that is small enough
+is one block of candidates. A dense one is first cut into blocks whose common
+prefix grows until they are small, which links most of a group of near copies at
+little cost; what is in different components then is compared block by block
+(``_dense_pairs``) until every member met every other whose size allows a link.
 
 Blocks, not pairs, are shuffled. Trees are taken in rounds; a block whose
 classes are in one component by then is done. In the others signatures tell
@@ -15,9 +17,10 @@ block a pair already connected is not compared again, so a block yields a
 spanning forest of its links.
 
 At similarity s a pair shares a region of 4 values in 16 trees with probability
-1 - (1 - s**4)**16: 0.99999 at 0.85. No document and no link is dropped for
-want of room; a dense region deeper than DEEPEST is cut into runs of neighbours
-that overlap by one class.
+1 - (1 - s**4)**16: 0.99999 at 0.85, however dense the region and however long
+the texts. No document and no link is dropped for want of room. The price is
+paid by regions of more than BLOCK_CLASSES classes that do not link: their
+comparisons grow with the square of their classes, in tasks of two chunks each.
 
 Defined cases: null text, empty text and text without words have no shingles and
 link with nothing; fewer words than the width make one shingle; rows that repeat
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.components import components
@@ -44,8 +47,10 @@ WIDTH, PERCENT = 5, 85
 TREES, SHALLOWEST, DEEPEST = 16, 4, 8
 #: Trees of each round.
 ROUNDS = ((0, 2), (2, TREES))
-#: Classes and shingles that a block may hold.
+#: Classes and shingles that a block, or a chunk of a dense region, may hold.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 4 << 20
+#: With more possible partners than this, a member's shared shingles are counted with all of a block at once.
+MANY = 16
 #: Ids up to this number are broadcast when texts are read again; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -138,7 +143,7 @@ def _common(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut sorted classes into blocks (block, tree, id); classes without neighbour are left out.
+    """Cut sorted classes of dense regions into blocks (block, tree, id); what the cuts part is left to _dense_pairs.
 
     Rows come sorted by tree and signature. At most one block's worth of rows is
     held; if the region goes on beyond it, the deepest prefix that ends inside
@@ -238,11 +243,16 @@ def _signs(column: pa.Array) -> np.ndarray:
 
 
 def _possible(block: dict) -> tuple:
-    """Members of a block that may link with a member of another component, by size and signature."""
-    sig, comp, n = _signs(block["sig"]), block["comp"], block["n"]
+    """Members of a block that may link with a member of another component, by size and signature.
+
+    In a block of two chunks, sides 1 and 2, members meet those of the other side.
+    """
+    sig, comp, n, side = _signs(block["sig"]), block["comp"], block["n"], block["side"]
     need = np.zeros(len(comp), bool)
-    for i in range(len(comp)):
-        other = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+    for i in range(len(comp) - 1):
+        m = n[i + 1 :]
+        met = (side[i + 1 :] != side[i]) | (side[i] == 0)
+        other = i + 1 + np.flatnonzero(met & (comp[i + 1 :] != comp[i]) & (100 * np.minimum(m, n[i]) >= PERCENT * np.maximum(m, n[i])))
         if len(other):
             near = other[(sig[other] == sig[i]).sum(1) >= AGREE]
             need[near] = True
@@ -261,19 +271,31 @@ def _links(block: dict) -> tuple:
             label[c] = c = label[label[c]]
         return c
 
-    order = np.argsort([len(s) for s in sets], kind="stable").tolist()
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    n = np.array([len(sets[i]) for i in order], np.int64)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    flat: np.ndarray | None = None  # numbers of the shingles, when one member has many to compare with
     a, b = [], []
-    for p, i in enumerate(order):
-        near = (sig == sig[i]).sum(1) >= AGREE
-        for j in order[p + 1 :]:
-            if 100 * len(sets[i]) < PERCENT * len(sets[j]):
-                break
-            if near[j] and (x := find(comp[i])) != (y := find(comp[j])):
-                both = _shared(sets[i], sets[j])
-                if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
-                    label[x] = y
-                    a.append(ids[i])
-                    b.append(ids[j])
+    for p, i in enumerate(order.tolist()):
+        later = order[p + 1 : np.searchsorted(PERCENT * n, 100 * n[p], "right")]
+        near = np.flatnonzero((sig[later] == sig[i]).sum(1) >= AGREE).tolist()
+        own = find(comp[i])
+        near = [q for q in near if find(comp[later[q]]) != own]
+        counts = None
+        if len(near) > MANY:
+            if flat is None:
+                values, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+                mark = np.zeros(len(values), np.uint8)
+            mark[flat[edges[p] : edges[p + 1]]] = 1
+            counts = np.add.reduceat(mark[flat[edges[p + 1] : edges[p + 1 + len(later)]]], edges[p + 1 : p + 1 + len(later)] - edges[p + 1], dtype=np.int64)
+            mark[flat[edges[p] : edges[p + 1]]] = 0
+        for q in near:
+            j = later[q]
+            both = int(counts[q]) if counts is not None else _shared(sets[i], sets[j])
+            if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both) and (x := find(comp[i])) != (y := find(comp[j])):
+                label[x] = y
+                a.append(ids[i])
+                b.append(ids[j])
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -288,6 +310,43 @@ def _sorted_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "id")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _dense_pairs(members: DataFrame) -> DataFrame:
+    """(block, side, id, comp, n, sig): every two members (region, id, comp, n, sig) of a region that may link meet in a block.
+
+    Members are dealt by hash into chunks of equal size class; a pair of chunks is
+    a block with two sides. Sizes in classes that are not neighbours cannot link.
+    A component of more members than a chunk has chunks of its own, which do not
+    meet each other.
+    """
+    counts = members.groupBy("region", "comp").agg(F.count("*").alias("m"))
+    open_ = counts.groupBy("region").agg(F.count("*").alias("comps")).where("comps > 1").select("region")
+    large = counts.where(F.col("m") > BLOCK_CLASSES).select("region", "comp", F.lit(True).alias("large"))
+    members = members.join(_small(stage_table(open_, "open-regions")), "region", "left_semi").join(_small(stage_table(large, "large-components")), ["region", "comp"], "left")
+    own = F.coalesce("large", F.lit(False))
+    ratio = float(np.log(100 / PERCENT * 1.001))  # a little wide, so that rounding puts no two sizes that may link two classes apart
+    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    members = members.select("region", "id", "comp", "n", "sig", own.alias("own"), F.when(own, F.col("comp")).otherwise(F.lit(0).cast("long")).alias("owner"), band.alias("band"))
+    cell = ["region", "own", "owner", "band"]
+    room = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / (BLOCK_SHINGLES // 2)))
+    cells = stage_table(members.groupBy(*cell).agg(room.cast("int").alias("room")), "dense-cells")
+    name = F.xxhash64(*cell, "k")
+    chunks = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("room") - 1))).withColumn("chunk", name)
+    x, y = (chunks.select("region", *(F.col(c).alias(f"{c}_{t}") for c in ("own", "owner", "band", "chunk"))) for t in "xy")
+    meet = (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & (F.col("chunk_x") <= F.col("chunk_y"))
+    apart = ~(F.col("own_x") & F.col("own_y") & (F.col("owner_x") == F.col("owner_y")))
+    pairs = x.join(y, "region").where(meet & apart).select("chunk_x", "chunk_y", F.xxhash64("chunk_x", "chunk_y").alias("block"))
+    same = F.col("chunk_x") == F.col("chunk_y")
+    pairs = stage_table(pairs.select("block", F.explode(F.when(same, F.array(F.struct(F.col("chunk_x").alias("chunk"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("chunk_x").alias("chunk"), F.lit(1).alias("side")), F.struct(F.col("chunk_y").alias("chunk"), F.lit(2).alias("side")))
+    )).alias("c")).select("block", "c.chunk", "c.side"), "chunk-pairs")
+    dealt = members.join(_small(cells), cell).withColumn("k", F.pmod(F.xxhash64("id"), F.col("room").cast("long")).cast("int")).withColumn("chunk", name)
+    return dealt.join(_small(pairs), "chunk").select("block", "side", "id", "comp", "n", "sig")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     bounded_batches(docs.sparkSession)
@@ -296,23 +355,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ("n_shingles", "h1", "h2")
     classes = stage_table(named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sig8").alias("sig8")), "classes")
+    signs = classes.select("id", F.col("n_shingles").alias("n"), F.col("sig8").alias("sig"))
     places = classes.select("id", F.col("n_shingles").alias("n"), "sig")
-    trees = ", ".join(["tree int", *(f"{k} long" for k in _KEYS), "id long", "n long"])
-    forest = stage_table(places.mapInArrow(tidy(_in_trees), trees), "forest")
+    schema = ", ".join(["tree int", *(f"{k} long" for k in _KEYS), "id long", "n long"])
+    forest = places.mapInArrow(tidy(_in_trees), schema).withColumn("region", F.xxhash64("tree", *_KEYS[: SHALLOWEST // 2]))
+    forest = stage_table(forest, "forest")
+    sizes = forest.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    dense = _small(stage_table(sizes.where((F.col("m") > 1) & ((F.col("m") > BLOCK_CLASSES) | (F.col("s") > BLOCK_SHINGLES))).select("region"), "dense-regions"))
+    crowd = stage_table(forest.join(dense, "region", "left_semi"), "crowds")
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    ordered = forest.repartitionByRange(partitions, "tree", *_KEYS).sortWithinPartitions("tree", *_KEYS, "id")
-    blocks = stage_table(ordered.mapInArrow(tidy(_blocks), "block long, tree int, id long"), "blocks")
+    ordered = crowd.repartitionByRange(partitions, "tree", *_KEYS, "id").sortWithinPartitions("tree", *_KEYS, "id")
+    cut = ordered.select("tree", *_KEYS, "id", "n").mapInArrow(tidy(_blocks), "block long, tree int, id long")
+    whole = forest.join(dense, "region", "left_anti").select(F.col("region").alias("block"), "tree", "id")
+    whole = whole.withColumn("m", F.count("*").over(Window.partitionBy("block"))).where("m > 1").drop("m")
+    blocks = stage_table(whole.unionByName(cut), "blocks")
     comp: DataFrame | None = None
     links: DataFrame | None = None
-    for first, last in ROUNDS:
-        rows = blocks.where((F.col("tree") >= first) & (F.col("tree") < last)).select("block", "id")
-        rows = rows.join(comp, "id", "left").select("block", "id", F.coalesce("component_id", "id").alias("comp")) if comp else rows.select("block", "id", F.col("id").alias("comp"))
-        open_ = rows.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("block")
-        rows = rows.join(open_, "block").join(classes.select("id", F.col("n_shingles").alias("n"), F.col("sig8").alias("sig")), "id")
+
+    def named_by(rows: DataFrame) -> DataFrame:
+        return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id") if comp else rows.withColumn("comp", F.col("id"))
+
+    for trees in (*ROUNDS, None) if crowd.take(1) else ROUNDS:
+        if trees:
+            rows = named_by(blocks.where((F.col("tree") >= trees[0]) & (F.col("tree") < trees[1])).select("block", "id"))
+            open_ = rows.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("block")
+            rows = rows.join(open_, "block").join(signs, "id").withColumn("side", F.lit(0))
+        else:  # what the cuts of dense regions parted
+            rows = _dense_pairs(named_by(stage_table(crowd.select("region", "id").join(signs, "id"), "crowd-signatures")))
         wanted = _sorted_blocks(rows).mapInArrow(tidy(_by_block(_possible, ("block", "id", "comp", "sig"))), "block long, id long, comp long, sig binary")
         wanted = stage_table(wanted, "wanted")
         ids = stage_table(wanted.select("id").distinct(), "wanted-ids")
-        again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("id"), "left_semi")
+        again = docs.join(_small(ids), F.col("doc_id") == F.col("id"), "left_semi")
         sets = again.mapInArrow(tidy(_sets), "id long, shingles binary")
         found = _sorted_blocks(wanted.join(sets, "id")).mapInArrow(tidy(_by_block(_links, ("a", "b"))), "a long, b long")
         found = stage_table(found, "found-links")

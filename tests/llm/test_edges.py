@@ -122,6 +122,30 @@ def test_near_copies_in_chains_and_hot_groups(spark, monkeypatch, block):
     assert {d: r.component_id for d, r in got.items()} == want and {d: r.n_shingles for d, r in got.items()} == {d: len(s) for d, s in sets.items()}
 
 
+def test_near_dedup_crowd(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    base, n = words(220), 4000
+    tails = [words(20) for _ in range(n)]
+    for a, b in np.random.default_rng(3).permutation(n).reshape(-1, 2)[:200].tolist():  # pairs whose tails begin with the same words
+        tails[b][:2] = tails[a][:2]
+    whole = lambda t: {tuple(w[i : i + 5]) for w in [base + t] for i in range(len(w) - 4)}
+    passage = whole([])
+    own, by = [whole(t) - passage for t in tails], {}
+    for d, s in enumerate(own):
+        for g in s:
+            by.setdefault(g, []).append(d)
+    alike = lambda shared, x, y: shared / (2 * len(passage) + len(own[x]) + len(own[y]) - shared)
+    assert {alike(len(passage), 0, d) for d in range(1, n)} == {216 / 256}  # all others, 0.84
+    shared = {(x, y) for ids in by.values() for x in ids for y in ids if x < y}
+    linked = {(x, y) for x, y in shared if alike(len(passage) + len(own[x] & own[y]), x, y) >= 0.85}
+    assert len(linked) == 200
+    want = {d: d for d in range(n)} | {y: x for x, y in linked}
+    rows = [(d, " ".join(base + t)) for d, t in enumerate(tails)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.component_id != want[r.doc_id] for r in got) == 0 and len(got) == n
+
+
 def test_near_dedup_edges(docs, none):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
