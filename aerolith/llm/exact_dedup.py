@@ -1,24 +1,34 @@
 """Exact deduplication by Grace hashing.
 
-Records are partitioned by bits of a content hash until every bucket fits a
-memory budget; each bucket then goes through an open-addressing table that
-compares complete contents, so equal hashes never merge different texts. Spark's
-shuffle files are the spill files: they outlive a task, and a lost executor's
-share is written again.
-
-Before the shuffle every map task collapses equal texts of a chunk of its own
-rows. A text that a third of all rows share therefore reaches its bucket once
-per chunk and not once per row.
+Records are partitioned by bits of a content hash; a bucket whose distinct texts
+fit a memory budget goes through an open-addressing table that compares complete
+contents, so equal hashes never merge different texts. A bucket that turns out
+larger while it is read is given back, and the records given back are partitioned
+again, from the files they were spilled to, by further bits of the hash, until
+every bucket fits. Each level is a Spark shuffle into a table in the shared
+folder, so a lost executor costs its tasks alone, and the driver only learns how
+many records are left.
+
+Before the first shuffle every map task collapses equal texts of a chunk of its
+own rows. A text that a third of all rows share therefore reaches its bucket once
+per chunk and not once per row. What a chunk collapsed is written once, with the
+number of each row's group, so outcomes find their rows by those numbers and the
+input is read a single time.
 
 Defined cases: a null text counts as empty; an empty text is a text like any
-other; of equal ids in a group one row stays; a null id is below every other id;
-an empty table gives an empty result; further columns ride along untouched.
+other; a text of any length is one record, and a bucket may be over the budget
+by one text; of equal ids in a group one row stays; repeated rows are members of
+a group like any others; a null id is below every other id; an empty table gives
+an empty result; further columns ride along untouched (their names may not begin
+with two underscores and grace).
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +46,13 @@ from aerolith.plans.workers import tidy
 BUCKET_BYTES = 48 << 20
 #: Rows and bytes of text that a map task collapses at once.
 CHUNK_ROWS, CHUNK_BYTES = 50_000, 32 << 20
-#: Hash bits that one level of the recursion reads, and the levels there are.
-LEVEL_BITS, LEVELS = 10, 6
+#: Buckets into which one level deals its records at most, and into which each bucket that is too large is dealt again.
+FAN_OUT, AGAIN = 20_000, 64
+#: From this level on buckets are taken whole: records that so many hashes do not part have equal contents, but for chance.
+LEVELS = 8
 
-_H, _GROUP, _N = "__grace_hash", "__grace_group", "__grace_rows"
+_H, _GROUP, _N, _SHA, _STAYS, _WINS, _LEFT, _BUCKET, _ALIAS = (f"__grace_{c}" for c in ("hash", "group", "rows", "sha", "stays", "wins", "left", "bucket", "alias"))
+_OUTCOME = (("keep_id", pa.int64()), ("group_size", pa.int64()), (_WINS, pa.bool_()), (_ALIAS, pa.int64()))
 
 
 class OpenAddressing:
@@ -117,34 +130,35 @@ def _collapse(chunk: pa.Table, id_col: str, text_col: str) -> tuple[np.ndarray,
 
 
 def _group_ids() -> Iterator[int]:
-    """Numbers that no other task of the stage gives; the same ones if the task runs again."""
+    """Numbers that no other task of the stage gives."""
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
     yield from range(first, first + (1 << 36))
 
 
 def _members(id_col: str, text_col: str):
+    """Every row with the number of its chunk's group; the row that stays for the chunk carries the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _group_ids()
         for chunk in _chunks(batches):
-            number, stays, _, hashes = _collapse(chunk, id_col, text_col)
+            number, stays, counts, hashes = _collapse(chunk, id_col, text_col)
             texts = chunk.column(text_col).combine_chunks()
-            first = _contents(texts.take(pa.array(stays, pa.int64())))
-            sha = pa.array([hashlib.sha256(x).hexdigest() for x in first], pa.string())
-            size = pa.array([len(x) for x in first], pa.int64())
+            sha = pa.array([hashlib.sha256(x).hexdigest() for x in _contents(texts.take(pa.array(stays, pa.int64())))], pa.string())
             ids = pa.array([next(numbers) for _ in stays], pa.int64())
             mark = np.zeros(chunk.num_rows, bool)
             mark[stays] = True
-            at = pa.array(number)
-            for b in pa.table({
-                id_col: chunk.column(id_col), _GROUP: ids.take(at), _H: pa.array(hashes, pa.int64()).take(at),
-                "text_sha256": sha.take(at), "__bytes": pc.if_else(pa.array(mark), size.take(at), 0), "__stays": pa.array(mark),
-            }).to_batches():
-                yield b
+            at, mark = pa.array(number), pa.array(mark)
+            yield from pa.table({
+                id_col: chunk.column(id_col), text_col: pc.if_else(mark, pc.fill_null(texts, ""), None), _GROUP: ids.take(at),
+                _H: pa.array(hashes, pa.int64()).take(at), _N: pa.array(counts, pa.int64()).take(at), _SHA: sha.take(at), _STAYS: mark,
+            }).to_batches()
 
     return run
 
 
 def _first_copies(id_col: str, text_col: str):
+    """The rows that stay for their chunk, with all their columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _group_ids()
         for chunk in _chunks(batches):
@@ -157,134 +171,185 @@ def _first_copies(id_col: str, text_col: str):
     return run
 
 
-def _resolve(id_col: str, text_col: str, rows: bool):
-    """Settle the buckets of a partition: the rows that stay, or each chunk group's outcome."""
+class _Bucket:
+    """The records of one bucket while they are read: settled by a table, or given back once their texts are too many.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, best, total, where = OpenAddressing(), [], [], []
-        kept: list[pa.RecordBatch] = []
-        for b in batches:
-            ids, groups, hashes, counts = (b.column(c).to_pylist() for c in (id_col, _GROUP, _H, _N))
-            new: list[int] = []
-            for i, content in enumerate(_contents(b.column(text_col))):
-                k = table.find_or_add(hashes[i] & ((1 << 64) - 1), content)
-                if k == len(best):
-                    best.append((_id_key(ids[i]), groups[i]))
-                    total.append(0)
-                    new.append(i)
-                elif _id_key(ids[i]) > best[k][0]:
-                    best[k] = (_id_key(ids[i]), groups[i])
-                    new.append(i)
-                total[k] += counts[i]
-                where.append((groups[i], k))
-            if rows:
-                kept.append(b.take(pa.array(new, pa.int64())))
-        if not best:
-            return
-        if rows:
-            stay = pa.array([g for _, g in best], pa.int64())
-            for b in kept:
-                yield b.filter(pc.is_in(b.column(_GROUP), stay)).drop_columns([_GROUP, _H, _N, "__bucket"])
-        else:
-            keep = [k[1] if k[0] else None for k, _ in best]
-            yield pa.RecordBatch.from_pydict({
-                _GROUP: pa.array([g for g, _ in where], pa.int64()), "keep_id": pa.array([keep[k] for _, k in where], pa.int64()),
-                "group_size": pa.array([total[k] for _, k in where], pa.int64()), "__wins": pa.array([best[k][1] == g for g, k in where], pa.bool_()),
-            })
+    Of equal contents only the record with the largest id is held. When a bucket is
+    given back that record stands for all so far, and each of the others leaves an
+    alias: whatever comes of the record's group comes of theirs.
+    """
 
-    return run
+    def __init__(self, id_col: str, text_col: str, most: int | None, rows: bool) -> None:
+        self._id, self._text, self._most, self._rows = id_col, text_col, most, rows
+        self._over = False
+        self._empty()
+
+    def _empty(self) -> None:
+        self._table, self._bytes = OpenAddressing(), 0
+        self._best: list[tuple] = []  # (key of the id, group) of each content
+        self._total: list[int] = []
+        self._groups, self._numbers = array("q"), array("q")  # every record's group, and the number of its content
+        self._held: list[pa.RecordBatch] = []
+        self._held_bytes = 0
+
+    def add(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Take records in; yields what is given back."""
+        if self._over:
+            yield self._outcome(b, left=True)
+            return
+        ids, groups, hashes, counts = (b.column(c).to_pylist() for c in (self._id, _GROUP, _H, _N))
+        new: list[int] = []
+        for i, content in enumerate(_contents(b.column(self._text))):
+            k = self._table.find_or_add(hashes[i] & ((1 << 64) - 1), content)
+            key = (_id_key(ids[i]), groups[i])
+            if k == len(self._best):
+                self._best.append(key)
+                self._total.append(0)
+                self._bytes += len(content)
+                new.append(i)
+            elif key[0] > self._best[k][0]:
+                self._best[k] = key
+                new.append(i)
+            self._total[k] += counts[i]
+            self._groups.append(groups[i])
+            self._numbers.append(k)
+        if new:
+            own = b.take(pa.array(new, pa.int64()))
+            self._held.append(own)
+            self._held_bytes += own.nbytes
+            if self._held_bytes > 2 * BUCKET_BYTES:
+                self._held = self._stay().to_batches()
+                self._held_bytes = sum(x.nbytes for x in self._held)
+        if self._most is not None and self._bytes > self._most and len(self._table) > 1:
+            self._over = True
+            stay = self._stay()
+            total = {g: n for (_, g), n in zip(self._best, self._total, strict=True)}
+            merged = pa.array([total[g] for g in stay.column(_GROUP).to_pylist()], pa.int64())
+            stay = stay.set_column(stay.schema.get_field_index(_N), _N, merged)
+            for x in stay.to_batches():
+                yield self._outcome(x, left=True)
+            if not self._rows:
+                pairs = [(g, self._best[k][1]) for g, k in zip(self._groups, self._numbers, strict=True) if self._best[k][1] != g]
+                yield self._rows_of(stay.schema, {_GROUP: [g for g, _ in pairs], _ALIAS: [t for _, t in pairs], _LEFT: [False] * len(pairs)})
+            self._empty()
+
+    def _stay(self) -> pa.Table:
+        held = pa.Table.from_batches(self._held)
+        return held.filter(pc.is_in(held.column(_GROUP), pa.array([g for _, g in self._best], pa.int64())))
+
+    def _outcome(self, b: pa.RecordBatch, left: bool) -> pa.RecordBatch:
+        out = b.append_column(_LEFT, pa.array(np.full(b.num_rows, left)))
+        for name, kind in () if self._rows else _OUTCOME:
+            out = out.append_column(name, pa.nulls(b.num_rows, kind))
+        return out
+
+    def _rows_of(self, schema: pa.Schema, given: dict[str, list]) -> pa.RecordBatch:
+        """Rows with the given columns, all others null."""
+        fields = [*((f.name, f.type) for f in schema), (_LEFT, pa.bool_()), *_OUTCOME]
+        n = len(given[_GROUP])
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in fields], names=[c for c, _ in fields])
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """What a bucket that fits has come to: the rows that stay, or the outcome of each chunk's group."""
+        if self._over or not self._best:
+            return
+        if self._rows:
+            for b in self._stay().to_batches():
+                yield self._outcome(b, left=False)
+            return
+        keep = [key[1] if key[0] else None for key, _ in self._best]
+        n = self._numbers
+        yield self._rows_of(self._held[0].schema, {
+            _GROUP: self._groups, _LEFT: [False] * len(n), "keep_id": [keep[k] for k in n], "group_size": [self._total[k] for k in n],
+            _WINS: [self._best[k][1] == g for g, k in zip(self._groups, n, strict=True)],
+        })
 
 
-def plan_buckets(sizes: DataFrame, most: int = BUCKET_BYTES) -> list[tuple[int, int, int]]:
-    """Split the hash range until no bucket holds over ``most`` bytes: (bits, prefix, bucket).
-
-    ``sizes`` has ``__grace_hash`` and ``__bytes``. Each level reads at most
-    2**LEVEL_BITS counts for each bucket that was too large, so what reaches the
-    driver follows the number of buckets. A bucket that one text fills stays
-    large in bytes but needs one slot of the table.
-    """
-    leaves: list[tuple[int, int, int]] = []
-    open_: list[int] | None = None
-    for level in range(1, LEVELS + 1):
-        bits = level * LEVEL_BITS
-        prefix = F.shiftrightunsigned(F.col(_H), 64 - bits)
-        part = sizes
-        if open_ is not None:
-            part = sizes.where(F.shiftrightunsigned(F.col(_H), 64 - bits + LEVEL_BITS).isin(open_))
-        found = part.groupBy(prefix.alias("p")).agg(F.sum("__bytes").alias("b"), F.min(_H).alias("lo"), F.max(_H).alias("hi")).collect()
-        open_ = []
-        for r in sorted(found, key=lambda r: r["p"]):
-            if r["b"] > most and r["lo"] != r["hi"] and level < LEVELS:
-                open_.append(r["p"])
-            else:
-                leaves.append((bits, r["p"], r["b"]))
-        if not open_:
-            break
-    leaves.sort(key=lambda x: x[1] << (64 - x[0]))
-    out, bucket, filled = [], 0, 0
-    for bits, p, b in leaves:  # neighbours share a bucket while they fit
-        if filled and filled + b > most:
-            bucket, filled = bucket + 1, 0
-        filled += b
-        out.append((bits, p, bucket))
-    return out
-
-
-def _bucket_of(plan: list[tuple[int, int, int]]):
-    """A column that finds the bucket of a hash by its prefix, at whatever depth it was split."""
-    firsts: list[int] = []
-    numbers: list[int] = []
-    for bits, p, bucket in plan:
-        if not numbers or numbers[-1] != bucket:
-            firsts.append(p << (64 - bits))
-            numbers.append(bucket)
-    edges = np.array(firsts or [0], np.uint64)
-    edges[0] = 0
+def _settle(id_col: str, text_col: str, most: int | None, rows: bool):
+    """Settle the buckets of a partition, which come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, name = None, None
         for b in batches:
-            h = np.asarray(b.column(_H)).view(np.uint64)
-            yield b.append_column("__bucket", pa.array((np.searchsorted(edges, h, "right") - 1).astype(np.int32)))
-
-    return run, max(1, len(firsts))
+            names = np.asarray(b.column(_BUCKET))
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if bucket is None or names[i] != name:
+                    if bucket is not None:
+                        yield from bucket.close()
+                    bucket, name = _Bucket(id_col, text_col, most, rows), names[i]
+                yield from bucket.add(b.slice(i, j - i))
+        if bucket is not None:
+            yield from bucket.close()
 
+    return run
 
-def _bucketed(docs: DataFrame, plan, id_col: str, text_col: str) -> DataFrame:
-    place, n = _bucket_of(plan)
-    extra = [T.StructField(_GROUP, T.LongType()), T.StructField(_H, T.LongType()), T.StructField(_N, T.LongType())]
-    copies = docs.mapInArrow(tidy(_first_copies(id_col, text_col)), T.StructType([*docs.schema.fields, *extra]))
-    placed = copies.mapInArrow(tidy(place), T.StructType([*copies.schema.fields, T.StructField("__bucket", T.IntegerType())]))
-    return placed.repartitionById(n, F.col("__bucket"))
 
+def _dealt(records: DataFrame, level: int, buckets: int) -> DataFrame:
+    """Records partitioned by the bucket of their level, the records of a bucket side by side."""
+    bucket = F.pmod(F.xxhash64(_H, F.lit(level)), F.lit(buckets))  # bits that no other level takes
+    records = records.withColumn(_BUCKET, bucket)
+    return records.repartition(min(buckets, FAN_OUT), _BUCKET).sortWithinPartitions(_BUCKET)
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    schema = T.StructType([
-        docs.schema[id_col], T.StructField(_GROUP, T.LongType()), T.StructField(_H, T.LongType()),
-        T.StructField("text_sha256", T.StringType()), T.StructField("__bytes", T.LongType()), T.StructField("__stays", T.BooleanType()),
-    ])
-    return stage_table(docs.select(id_col, text_col).mapInArrow(tidy(_members(id_col, text_col)), schema), "grace-members")
 
+def grace(records: DataFrame, id_col: str, text_col: str, size: int, rows: bool, most: int | None = None) -> list[DataFrame]:
+    """Partition records until every bucket is settled; the staged outcomes of each level, told from what was given back by _LEFT.
 
-def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts the row with the largest id stays. The texts are read twice
-    (sizes, then contents) rather than stored between the passes, so docs has to
-    give the same rows in the same order each time, as a table does; stage the
-    result of a shuffle first.
+    ``size`` are the bytes of all texts, from which the first level's buckets
+    follow; a level that follows it deals each bucket that was too large to AGAIN.
     """
+    most = most or BUCKET_BYTES
+    extra = [T.StructField(_LEFT, T.BooleanType())]
+    if not rows:
+        extra += [T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField(_WINS, T.BooleanType()), T.StructField(_ALIAS, T.LongType())]
+    levels: list[DataFrame] = []
+    buckets, level = max(1, -(-2 * size // most)), 0  # half full, so that few are too large by chance
+    while True:
+        dealt = _dealt(records, level, buckets)
+        schema = T.StructType([*dealt.schema.fields, *extra])
+        settle = _settle(id_col, text_col, most if level < LEVELS else None, rows)
+        done = stage_table(dealt.mapInArrow(tidy(settle), schema), f"grace-level{level}")
+        levels.append(done)
+        left = done.where(_LEFT)
+        large = left.select(_BUCKET).distinct().count()
+        if not large:
+            return levels
+        records, buckets, level = left.select(*records.columns), large * AGAIN, level + 1
+
+
+def _text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+
+
+def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256. Of equal texts the row with the largest id stays."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(id_col, text_col)
-    members = _sizes(docs, id_col, text_col)
-    schema = f"{_GROUP} long, keep_id long, group_size long, __wins boolean"
-    done = _bucketed(docs, plan_buckets(members), id_col, text_col).mapInArrow(tidy(_resolve(id_col, text_col, rows=False)), schema)
-    return members.join(done, _GROUP).select(
-        id_col, "keep_id", "group_size", (F.col("__wins") & F.col("__stays")).alias("kept"), "text_sha256"
+    schema = T.StructType([
+        docs.schema[id_col], docs.schema[text_col], *(T.StructField(c, T.LongType()) for c in (_GROUP, _H, _N)),
+        T.StructField(_SHA, T.StringType()), T.StructField(_STAYS, T.BooleanType()),
+    ])
+    members = stage_table(docs.mapInArrow(tidy(_members(id_col, text_col)), schema), "grace-members")
+    records = members.where(_STAYS).select(id_col, text_col, _GROUP, _H, _N)
+    levels = grace(records, id_col, text_col, _text_bytes(records, text_col), rows=False, most=most)
+    done: DataFrame | None = None
+    for x in reversed(levels):  # an alias of a level points at a group that a later one settled
+        own = x.where(~F.col(_LEFT) & F.col(_ALIAS).isNull()).select(_GROUP, "keep_id", "group_size", _WINS)
+        if done is not None:
+            aliases = x.where(F.col(_ALIAS).isNotNull()).select(F.col(_GROUP).alias("__alias"), F.col(_ALIAS).alias(_GROUP))
+            own = own.union(aliases.join(done, _GROUP).select("__alias", "keep_id", "group_size", F.lit(False))).union(done)
+        done = own
+    return members.select(id_col, _GROUP, _SHA, _STAYS).join(done, _GROUP).select(
+        id_col, "keep_id", "group_size", (F.col(_WINS) & F.col(_STAYS)).alias("kept"), F.col(_SHA).alias("text_sha256")
     )
 
 
-def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns; one row for each distinct text."""
-    members = _sizes(docs, id_col, text_col)
-    plan = plan_buckets(members)
-    return _bucketed(docs, plan, id_col, text_col).mapInArrow(tidy(_resolve(id_col, text_col, rows=True)), docs.schema)
+    bounded_batches(docs.sparkSession)
+    extra = [T.StructField(c, T.LongType()) for c in (_GROUP, _H, _N)]
+    copies = docs.mapInArrow(tidy(_first_copies(id_col, text_col)), T.StructType([*docs.schema.fields, *extra]))
+    levels = grace(copies, id_col, text_col, _text_bytes(docs, text_col), rows=True, most=most)
+    return reduce(DataFrame.union, [x.where(~F.col(_LEFT)).select(*docs.columns) for x in levels])

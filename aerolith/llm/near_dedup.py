@@ -1,7 +1,7 @@
 """Near-duplicate detection with a MinHash LSH forest.
 
 Documents are sets of hashed word shingles. Documents of equal sets form one
-class at once. A class has TREES signatures of DEEPEST min-hashes; each tree is
+class at once. A class has a signature of DEEPEST min-hashes for each tree; a tree is
 the order of all classes by their signature in it. Classes with a
 common prefix of SHALLOWEST values form a region. A region that is small enough
 is one block of candidates. A dense one is first cut into blocks whose common
@@ -16,9 +16,10 @@ bring their full sets, on which each link is confirmed with integers. Inside a
 block a pair already connected is not compared again, so a block yields a
 spanning forest of its links.
 
-At similarity s a pair shares a region of 4 values in 16 trees with probability
-1 - (1 - s**4)**16: 0.99999 at 0.85, however dense the region and however long
-the texts. No document and no link is dropped for want of room. The price is
+The number of trees follows from the similarity that is asked for (``Forest``):
+a pair at it shares a region of 4 values in some tree with probability 0.99999
+(16 trees at 0.85, 22 at 0.8), however dense the region and however long the
+texts. No document and no link is dropped for want of room. The price is
 paid by regions of more than BLOCK_CLASSES classes that do not link: their
 comparisons grow with the square of their classes, in tasks of two chunks each.
 
@@ -32,21 +33,25 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.components import components
+from aerolith.llm.components import Labels, components
 from aerolith.llm.text import groups, lower_ascii, mix, spans_hash, windows_hash, words
-from aerolith.plans.staging import bounded_batches, stage_table
+from aerolith.plans.staging import bounded_batches, drop_staged, stage_table
 from aerolith.plans.workers import tidy
 
-WIDTH, PERCENT = 5, 85
-TREES, SHALLOWEST, DEEPEST = 16, 4, 8
-#: Trees of each round.
-ROUNDS = ((0, 2), (2, TREES))
+#: Words of a shingle, and the similarity from which documents link, in hundredths.
+WIDTH, PERCENT = 5, 80
+#: Min-hashes of a region's prefix and of a tree.
+SHALLOWEST, DEEPEST = 4, 8
+#: The share of pairs at the threshold that may share no region, and the trees of the first round.
+MISSED, FIRST_TREES = 1.1e-5, 2
 #: Classes and shingles that a block, or a chunk of a dense region, may hold.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 4 << 20
 #: With more possible partners than this, a member's shared shingles are counted with all of a block at once.
@@ -54,13 +59,40 @@ MANY = 16
 #: Ids up to this number are broadcast when texts are read again; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 
-_HASHES = TREES * DEEPEST
-_SEED = np.random.Generator(np.random.PCG64(20240229))
-_MULTIPLY = _SEED.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _SEED.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
+#: Rows that one task of a sort or of the blocks gets, where the session's partitions would get more.
+TASK_ROWS = 2_000_000
 _STEP = 4096
 
 
+@dataclass(frozen=True)
+class Forest:
+    """What follows from the similarity (in hundredths) from which two sets link."""
+
+    percent: int = PERCENT
+
+    @cached_property
+    def trees(self) -> int:
+        """The fewest trees with which a pair at the threshold shares no region with probability MISSED at most."""
+        return int(np.ceil(np.log(MISSED) / np.log(1 - (self.percent / 100) ** SHALLOWEST)))
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * DEEPEST
+
+    @cached_property
+    def agree(self) -> int:
+        """Min-hashes that a linked pair has in common: the mean at the threshold less 5.6 standard deviations."""
+        s = self.percent / 100
+        return int(self.hashes * s - 5.6 * np.sqrt(self.hashes * s * (1 - s)))
+
+    @cached_property
+    def functions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Odd multipliers and summands of the hash functions; those of a smaller forest come first."""
+        seed = np.random.Generator(np.random.PCG64(20240229))
+        drawn = np.stack([seed.integers(0, 1 << 32, 2, dtype=np.uint32) for _ in range(self.hashes)])
+        return drawn[:, 0] | np.uint32(1), drawn[:, 1]
+
+
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a flat byte array."""
     low = lower_ascii(raw)
@@ -75,33 +107,37 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> Iterato
             yield windows_hash(h[i:j], n) if n else h[:0]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of TREES * DEEPEST hash functions over a set that is not empty."""
+def signature(shingles: np.ndarray, forest: Forest) -> np.ndarray:
+    """The least value of each hash function of a forest over a set that is not empty."""
+    multiply, add = forest.functions
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(_HASHES, 0xFFFFFFFF, np.uint32)
+    out = np.full(forest.hashes, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(low), _STEP):
-        np.minimum(out, (low[k : k + _STEP, None] * _MULTIPLY + _ADD).min(0), out=out)
+        np.minimum(out, (low[k : k + _STEP, None] * multiply + add).min(0), out=out)
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, one, two, sig, low = [], [], [], [], []
-        for _, _, raw, at in groups(b.column(1)):
-            for s in shingle_sets(raw, at):
-                n.append(len(s))
-                one.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
-                two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) if len(s) else 0)
-                values = signature(s) if len(s) else None
-                sig.append(None if values is None else values.tobytes())
-                low.append(None if values is None else values.astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)),
-                pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sig, pa.binary()), pa.array(low, pa.binary()),
-            ],
-            names=["doc_id", "n_shingles", "h1", "h2", "sig", "sig8"],
-        )
+def _sign(forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, one, two, sig, low = [], [], [], [], []
+            for _, _, raw, at in groups(b.column(1)):
+                for s in shingle_sets(raw, at):
+                    n.append(len(s))
+                    one.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
+                    two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) if len(s) else 0)
+                    values = signature(s, forest) if len(s) else None
+                    sig.append(None if values is None else values.tobytes())
+                    low.append(None if values is None else values.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)),
+                    pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sig, pa.binary()), pa.array(low, pa.binary()),
+                ],
+                names=["doc_id", "n_shingles", "h1", "h2", "sig", "sig8"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,21 +146,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
-def _in_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A class's place in every tree: two halves of the signature, the first of which has the shallowest prefix."""
-    for b in batches:
-        sig = np.array([np.frombuffer(x, np.uint32) for x in b.column(2).to_pylist()], np.uint32).reshape(-1, TREES, DEEPEST // 4, 4)
-        with np.errstate(over="ignore"):  # two 32-bit values to each column keep the order of min-hashes by prefix
+def _in_trees(trees: int):
+    """A class's place in every tree: the min-hashes of the tree's signature in order, two to a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.array([np.frombuffer(x, np.uint32) for x in b.column(2).to_pylist()], np.uint32).reshape(-1, trees, DEEPEST)
             wide = sig[..., 0::2].astype(np.uint64) << np.uint64(32) | sig[..., 1::2]
-        n = len(sig)
-        keys = wide.reshape(n * TREES, DEEPEST // 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(DEEPEST // 2)),
-                b.column(0).take(pa.array(np.repeat(np.arange(n), TREES))), b.column(1).take(pa.array(np.repeat(np.arange(n), TREES))),
-            ],
-            names=["tree", *_KEYS, "id", "n"],
-        )
+            n = len(sig)
+            keys = wide.reshape(n * trees, DEEPEST // 2).view(np.int64)
+            own = pa.array(np.repeat(np.arange(n), trees))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(DEEPEST // 2)),
+                    b.column(0).take(own), b.column(1).take(own),
+                ],
+                names=["tree", *_KEYS, "id", "n"],
+            )
+
+    return run
 
 
 _KEYS = tuple(f"k{i}" for i in range(DEEPEST // 2))
@@ -204,10 +244,6 @@ def _cut(x: np.ndarray, ids: np.ndarray, n: np.ndarray, last: bool) -> tuple[int
     return at, rows
 
 
-#: Of _HASHES min-hashes a pair at the threshold agrees in 108.8 +- 4.0; below this it is at 5.6 standard deviations.
-AGREE = 86
-
-
 def _by_block(settle, names: tuple[str, ...]):
     """Run settle(arrays of a block) on rows that come sorted by block; a block may reach over batches."""
 
@@ -242,61 +278,104 @@ def _signs(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(s, np.uint8) for s in column.to_pylist()])
 
 
-def _possible(block: dict) -> tuple:
+def _regions(column: pa.Array, tree: int) -> np.ndarray:
+    """The members' regions in the trees before this one: a pair with one of them in common meets there."""
+    return np.stack([np.frombuffer(r, np.int64)[:tree] for r in column.to_pylist()])
+
+
+def _possible(forest: Forest):
     """Members of a block that may link with a member of another component, by size and signature.
 
-    In a block of two chunks, sides 1 and 2, members meet those of the other side.
+    In a block of two chunks, sides 1 and 2, members meet those of the other side,
+    and a pair only in the first tree in which its members share a region.
     """
-    sig, comp, n, side = _signs(block["sig"]), block["comp"], block["n"], block["side"]
-    need = np.zeros(len(comp), bool)
-    for i in range(len(comp) - 1):
-        m = n[i + 1 :]
-        met = (side[i + 1 :] != side[i]) | (side[i] == 0)
-        other = i + 1 + np.flatnonzero(met & (comp[i + 1 :] != comp[i]) & (100 * np.minimum(m, n[i]) >= PERCENT * np.maximum(m, n[i])))
-        if len(other):
-            near = other[(sig[other] == sig[i]).sum(1) >= AGREE]
-            need[near] = True
-            need[i] |= len(near) > 0
-    return block["block"][need], block["id"][need], comp[need], block["sig"].filter(pa.array(need))
-
-
-def _links(block: dict) -> tuple:
-    """A spanning forest of a block's links between components, each confirmed on full sets."""
-    ids, comp, sig = block["id"], block["comp"].tolist(), _signs(block["sig"])
-    sets = [np.frombuffer(s, np.uint64) for s in block["shingles"].to_pylist()]
-    label = {c: c for c in comp}
-
-    def find(c: int) -> int:
-        while label[c] != c:
-            label[c] = c = label[label[c]]
-        return c
-
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    n = np.array([len(sets[i]) for i in order], np.int64)
-    edges = np.concatenate([[0], np.cumsum(n)])
-    flat: np.ndarray | None = None  # numbers of the shingles, when one member has many to compare with
-    a, b = [], []
-    for p, i in enumerate(order.tolist()):
-        later = order[p + 1 : np.searchsorted(PERCENT * n, 100 * n[p], "right")]
-        near = np.flatnonzero((sig[later] == sig[i]).sum(1) >= AGREE).tolist()
-        own = find(comp[i])
-        near = [q for q in near if find(comp[later[q]]) != own]
-        counts = None
-        if len(near) > MANY:
-            if flat is None:
-                values, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-                mark = np.zeros(len(values), np.uint8)
-            mark[flat[edges[p] : edges[p + 1]]] = 1
-            counts = np.add.reduceat(mark[flat[edges[p + 1] : edges[p + 1 + len(later)]]], edges[p + 1 : p + 1 + len(later)] - edges[p + 1], dtype=np.int64)
-            mark[flat[edges[p] : edges[p + 1]]] = 0
-        for q in near:
-            j = later[q]
-            both = int(counts[q]) if counts is not None else _shared(sets[i], sets[j])
-            if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both) and (x := find(comp[i])) != (y := find(comp[j])):
-                label[x] = y
-                a.append(ids[i])
-                b.append(ids[j])
-    return np.array(a, np.int64), np.array(b, np.int64)
+
+    def run(block: dict) -> tuple:
+        sig, comp, n, side, tree = _signs(block["sig"]), block["comp"], block["n"], block["side"], int(block["tree"][0])
+        regions = _regions(block["regions"], tree) if tree > 0 else None
+        need = np.zeros(len(comp), bool)
+        for i in range(len(comp) - 1):
+            m = n[i + 1 :]
+            met = (side[i + 1 :] != side[i]) | (side[i] == 0)
+            other = i + 1 + np.flatnonzero(met & (comp[i + 1 :] != comp[i]) & (100 * np.minimum(m, n[i]) >= forest.percent * np.maximum(m, n[i])))
+            if regions is not None and len(other):
+                other = other[~(regions[other] == regions[i]).any(1)]
+            if len(other):
+                near = other[(sig[other] == sig[i]).sum(1) >= forest.agree]
+                need[near] = True
+                need[i] |= len(near) > 0
+        keep = pa.array(need)
+        return block["block"][need], block["tree"][need], block["id"][need], comp[need], block["sig"].filter(keep), block["regions"].filter(keep)
+
+    return run
+
+
+class _Overlaps:
+    """Shared shingles of one set of a block with all later ones.
+
+    Shingles that a sixteenth of the sets hold, and eight at least, are counted by
+    bits, the others by lists of the sets that hold them.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        n = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), n)
+        _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        hot = count >= max(8, len(sets) // 16)
+        bit = np.cumsum(hot) - 1
+        words = int(hot.sum()) + 63 >> 6
+        self._bits = np.zeros((len(sets), words), np.uint64)
+        own = hot[shingle]
+        at = bit[shingle[own]]
+        np.bitwise_or.at(self._bits, (owner[own], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        rare = ~own & (count[shingle] > 1)
+        order = np.argsort(shingle[rare], kind="stable")
+        self._holders = owner[rare][order]
+        held = np.bincount(shingle[rare], minlength=len(count))
+        first = np.concatenate([[0], np.cumsum(held)])
+        self._from, self._to = first[shingle[rare]], first[shingle[rare] + 1]
+        self._edges = np.searchsorted(owner[rare], np.arange(len(sets) + 1))
+        self._n = len(sets)
+
+    def of(self, p: int) -> np.ndarray:
+        """The number of shingles that set p shares with each set."""
+        both = np.bitwise_count(self._bits & self._bits[p]).sum(1, dtype=np.int64)
+        i, j = self._edges[p], self._edges[p + 1]
+        start, size = self._from[i:j], self._to[i:j] - self._from[i:j]
+        if len(size):
+            lists = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            both += np.bincount(self._holders[lists], minlength=self._n)
+        return both
+
+
+def _links(forest: Forest):
+    """The components that a block's links join, each with the least of them; links are confirmed on full sets."""
+
+    def run(block: dict) -> tuple:
+        order = np.argsort(np.array([len(s) for s in block["shingles"].to_pylist()]), kind="stable")
+        comp, sig, tree = block["comp"][order].tolist(), _signs(block["sig"])[order], int(block["tree"][0])
+        regions = _regions(block["regions"], tree)[order] if tree > 0 else None
+        sets = [np.frombuffer(s, np.uint64) for s in block["shingles"].take(pa.array(order)).to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        labels, overlaps = Labels(), None
+        for p in range(len(sets)):
+            near = p + 1 + np.flatnonzero(forest.percent * n[p + 1 :] <= 100 * n[p])
+            near = near[(sig[near] == sig[p]).sum(1) >= forest.agree]
+            if regions is not None and len(near):
+                near = near[~(regions[near] == regions[p]).any(1)]
+            own = labels.find(comp[p])
+            near = np.array([q for q in near.tolist() if labels.find(comp[q]) != own], np.int64)
+            if len(near) > MANY:
+                overlaps = overlaps or _Overlaps(sets)
+                both = overlaps.of(p)[near]
+            else:
+                both = np.array([_shared(sets[p], sets[q]) for q in near.tolist()], np.int64)
+            for q in near[100 * both >= forest.percent * (n[p] + n[near] - both)].tolist():
+                labels.join(comp[p], comp[q])
+        a, b = labels.stars()
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return run
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -306,16 +385,35 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Partitions for a staged table: those of the session, or more if a task would get over TASK_ROWS rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2, -(-rows.count() // TASK_ROWS))
+
+
 def _sorted_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "id")
 
 
 def _small(rows: DataFrame) -> DataFrame:
+    """A staged table of ids or regions, broadcast if it is within BROADCAST_IDS rows."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def _dense_pairs(members: DataFrame) -> DataFrame:
-    """(block, side, id, comp, n, sig): every two members (region, id, comp, n, sig) of a region that may link meet in a block.
+def _with_regions(trees: int):
+    """(id, sig, regions) of classes: the last is the name of the class's region in each tree, as 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.array([np.frombuffer(x, np.uint32) for x in b.column(2).to_pylist()], np.uint32).reshape(-1, trees, DEEPEST)[..., :SHALLOWEST]
+            wide = np.ascontiguousarray(sig).view(np.uint64)
+            names = mix(mix(wide[..., 0]) + wide[..., 1] * np.uint64(0xD1342543DE82EF95))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in names], pa.binary())], names=["id", "sig", "regions"])
+
+    return run
+
+
+def _dense_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(block, tree, side, id, comp, n): every two members (region, tree, id, comp, n) of a region that may link meet in a block.
 
     Members are dealt by hash into chunks of equal size class; a pair of chunks is
     a block with two sides. Sizes in classes that are not neighbours cannot link.
@@ -327,9 +425,9 @@ def _dense_pairs(members: DataFrame) -> DataFrame:
     large = counts.where(F.col("m") > BLOCK_CLASSES).select("region", "comp", F.lit(True).alias("large"))
     members = members.join(_small(stage_table(open_, "open-regions")), "region", "left_semi").join(_small(stage_table(large, "large-components")), ["region", "comp"], "left")
     own = F.coalesce("large", F.lit(False))
-    ratio = float(np.log(100 / PERCENT * 1.001))  # a little wide, so that rounding puts no two sizes that may link two classes apart
+    ratio = float(np.log(100 / percent * 1.001))  # a little wide, so that rounding puts no two sizes that may link two classes apart
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    members = members.select("region", "id", "comp", "n", "sig", own.alias("own"), F.when(own, F.col("comp")).otherwise(F.lit(0).cast("long")).alias("owner"), band.alias("band"))
+    members = members.select("region", "tree", "id", "comp", "n", own.alias("own"), F.when(own, F.col("comp")).otherwise(F.lit(0).cast("long")).alias("owner"), band.alias("band"))
     cell = ["region", "own", "owner", "band"]
     room = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / (BLOCK_SHINGLES // 2)))
     cells = stage_table(members.groupBy(*cell).agg(room.cast("int").alias("room")), "dense-cells")
@@ -344,53 +442,65 @@ def _dense_pairs(members: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("chunk_x").alias("chunk"), F.lit(1).alias("side")), F.struct(F.col("chunk_y").alias("chunk"), F.lit(2).alias("side")))
     )).alias("c")).select("block", "c.chunk", "c.side"), "chunk-pairs")
     dealt = members.join(_small(cells), cell).withColumn("k", F.pmod(F.xxhash64("id"), F.col("room").cast("long")).cast("int")).withColumn("chunk", name)
-    return dealt.join(_small(pairs), "chunk").select("block", "side", "id", "comp", "n", "sig")
+    return dealt.join(_small(pairs), "chunk").select("block", "tree", "side", "id", "comp", "n")
+
+
+_WANTED = ("block", "tree", "id", "comp", "sig", "regions")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; sets link from a similarity of ``percent`` hundredths."""
     bounded_batches(docs.sparkSession)
+    forest = Forest(percent)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage_table(docs.mapInArrow(tidy(_sign), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sig8 binary"), "signatures")
+    signed = stage_table(docs.mapInArrow(tidy(_sign(forest)), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sig8 binary"), "signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ("n_shingles", "h1", "h2")
     classes = stage_table(named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sig8").alias("sig8")), "classes")
-    signs = classes.select("id", F.col("n_shingles").alias("n"), F.col("sig8").alias("sig"))
+    signs = classes.select("id", F.col("n_shingles").alias("n"), F.col("sig8").alias("sig"), F.lit(None).cast("binary").alias("regions"))
     places = classes.select("id", F.col("n_shingles").alias("n"), "sig")
     schema = ", ".join(["tree int", *(f"{k} long" for k in _KEYS), "id long", "n long"])
-    forest = places.mapInArrow(tidy(_in_trees), schema).withColumn("region", F.xxhash64("tree", *_KEYS[: SHALLOWEST // 2]))
-    forest = stage_table(forest, "forest")
-    sizes = forest.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    sorted_in = places.mapInArrow(tidy(_in_trees(forest.trees)), schema).withColumn("region", F.xxhash64("tree", *_KEYS[: SHALLOWEST // 2]))
+    sorted_in = stage_table(sorted_in, "forest")
+    sizes = sorted_in.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     dense = _small(stage_table(sizes.where((F.col("m") > 1) & ((F.col("m") > BLOCK_CLASSES) | (F.col("s") > BLOCK_SHINGLES))).select("region"), "dense-regions"))
-    crowd = stage_table(forest.join(dense, "region", "left_semi"), "crowds")
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    ordered = crowd.repartitionByRange(partitions, "tree", *_KEYS, "id").sortWithinPartitions("tree", *_KEYS, "id")
+    crowd = stage_table(sorted_in.join(dense, "region", "left_semi"), "crowds")
+    ordered = crowd.repartitionByRange(_tasks(crowd), "tree", *_KEYS, "id").sortWithinPartitions("tree", *_KEYS, "id")
     cut = ordered.select("tree", *_KEYS, "id", "n").mapInArrow(tidy(_blocks), "block long, tree int, id long")
-    whole = forest.join(dense, "region", "left_anti").select(F.col("region").alias("block"), "tree", "id")
+    whole = sorted_in.join(dense, "region", "left_anti").select(F.col("region").alias("block"), "tree", "id")
     whole = whole.withColumn("m", F.count("*").over(Window.partitionBy("block"))).where("m > 1").drop("m")
     blocks = stage_table(whole.unionByName(cut), "blocks")
     comp: DataFrame | None = None
-    links: DataFrame | None = None
 
     def named_by(rows: DataFrame) -> DataFrame:
         return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id") if comp else rows.withColumn("comp", F.col("id"))
 
-    for trees in (*ROUNDS, None) if crowd.take(1) else ROUNDS:
+    rounds: list[tuple[int, int] | None] = [(0, FIRST_TREES), (FIRST_TREES, forest.trees), None]
+    for trees in rounds:
         if trees:
             rows = named_by(blocks.where((F.col("tree") >= trees[0]) & (F.col("tree") < trees[1])).select("block", "id"))
             open_ = rows.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("block")
-            rows = rows.join(open_, "block").join(signs, "id").withColumn("side", F.lit(0))
+            rows = rows.join(open_, "block").join(signs, "id").withColumn("side", F.lit(0)).withColumn("tree", F.lit(0))
         else:  # what the cuts of dense regions parted
-            rows = _dense_pairs(named_by(stage_table(crowd.select("region", "id").join(signs, "id"), "crowd-signatures")))
-        wanted = _sorted_blocks(rows).mapInArrow(tidy(_by_block(_possible, ("block", "id", "comp", "sig"))), "block long, id long, comp long, sig binary")
-        wanted = stage_table(wanted, "wanted")
+            met = stage_table(named_by(crowd.select("region", "tree", "id", "n")), "crowds-named")
+            if not met.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").take(1):
+                break
+            members = classes.join(_small(stage_table(crowd.select("id").distinct(), "crowd-members")), "id", "left_semi")
+            members = members.select("id", "sig8", "sig").mapInArrow(tidy(_with_regions(forest.trees)), "id long, sig binary, regions binary")
+            rows = _dense_pairs(met, percent).join(members, "id")
+        schema = "block long, tree int, id long, comp long, sig binary, regions binary"
+        wanted = stage_table(_sorted_blocks(rows).mapInArrow(tidy(_by_block(_possible(forest), _WANTED)), schema), "wanted")
         ids = stage_table(wanted.select("id").distinct(), "wanted-ids")
         again = docs.join(_small(ids), F.col("doc_id") == F.col("id"), "left_semi")
         sets = again.mapInArrow(tidy(_sets), "id long, shingles binary")
-        found = _sorted_blocks(wanted.join(sets, "id")).mapInArrow(tidy(_by_block(_links, ("a", "b"))), "a long, b long")
-        found = stage_table(found, "found-links")
-        links = found if links is None else links.union(found)
-        comp = stage_table(components(links), "components")
+        found = _sorted_blocks(wanted.join(sets, "id")).mapInArrow(tidy(_by_block(_links(forest), ("a", "b"))), "a long, b long")
+        joined = components(found)
+        if comp is not None:  # what was joined are components by now
+            merged = joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("later"))
+            joined = comp.join(merged, "component_id", "left").select("id", F.coalesce("later", "component_id").alias("component_id")).union(joined)
+        comp = stage_table(joined, "components")
+        drop_staged(wanted, ids)
+    drop_staged(sorted_in, crowd, blocks)
     own = named.join(classes.select(*key, "id"), list(key)).select("doc_id", "id")
     own = own.groupBy("doc_id").agg(F.min("id").alias("id"))
     own = own.join(comp, "id", "left").select("doc_id", F.coalesce("component_id", "id").alias("component_id"))
@@ -400,8 +510,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose document is the least of its component, with their columns."""
-    gone = stage_table(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = stage_table(near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    return docs.join(_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -23,7 +23,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

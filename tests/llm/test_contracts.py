@@ -42,7 +42,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def components(sets):
+def components(sets, percent=85):
     """Smallest linked id of each document by comparing all pairs that share a shingle."""
     by = defaultdict(list)
     for d, s in sets.items():
@@ -57,7 +57,7 @@ def components(sets):
         return d
 
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             label[y] = x
     return {d: find(d) for d in sets}
@@ -166,7 +166,7 @@ def test_pipeline(spark):
     for d, t in passed.items():
         last[t or ""] = max(d, last.get(t or "", -1))
     sets = {d: shingles(docs[d]) for d in last.values()}
-    kept = {d for d, c in components(sets).items() if d == c}
+    kept = {d for d, c in components(sets, 80).items() if d == c}
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert set(got.doc_id) == kept and len(corpus_pipeline.STAGES) == 5
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()

@@ -68,10 +68,30 @@ def test_exact_dedup(docs, none):
 
 
 def test_grace_recursion(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BUCKET_BYTES", 200)
-    sizes = spark.createDataFrame([(k * (1 << 50), 150) for k in range(40)] + [(5, 10_000)] * 3, "__grace_hash long, __bytes long")
-    plan = exact_dedup.plan_buckets(sizes, 200)
-    assert max(b for b, _, _ in plan) > exact_dedup.LEVEL_BITS and len({x[2] for x in plan}) > 20
+    """Tiny buckets: three levels at least, aliases between them, and the same outcome as in one level."""
+    monkeypatch.setattr(exact_dedup, "FAN_OUT", 2)
+    monkeypatch.setattr(exact_dedup, "AGAIN", 2)
+    monkeypatch.setattr(exact_dedup, "CHUNK_ROWS", 7)
+    rnd = random.Random(4)
+    rows = [(k, f"text {rnd.randrange(60)} " * 20) for k in range(600)] + [(1000 + k, "hot " * 50) for k in range(300)]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    levels, stage = [], exact_dedup.stage_table
+
+    def staged(df, name):
+        levels.append(name)
+        return stage(df, name)
+
+    monkeypatch.setattr(exact_dedup, "stage_table", staged)
+    monkeypatch.setattr(exact_dedup, "_text_bytes", lambda docs, text: 1)  # one bucket to begin with
+    by = {}
+    for d, t in rows:
+        by.setdefault(t, []).append(d)
+    got = exact_dedup.dedup_groups(table, most=3000).collect()
+    assert len({x for x in levels if "level" in x}) >= 3
+    texts = dict(rows)
+    assert len(got) == len(rows) and all(r.keep_id == max(by[texts[r.doc_id]]) and r.group_size == len(by[texts[r.doc_id]]) and r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert {r.doc_id for r in exact_dedup.dedup_rows(table, most=3000).collect()} == {max(own) for own in by.values()}
 
 
 def test_open_addressing_compares_contents():
@@ -117,7 +137,7 @@ def test_near_copies_in_chains_and_hot_groups(spark, monkeypatch, block):
         add(w)
     for _ in range(60):
         add([f"z{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 30))])
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85).collect()}
     want = brute(sets)
     assert {d: r.component_id for d, r in got.items()} == want and {d: r.n_shingles for d, r in got.items()} == {d: len(s) for d, s in sets.items()}
 
@@ -142,7 +162,7 @@ def test_near_dedup_crowd(spark):
     assert len(linked) == 200
     want = {d: d for d in range(n)} | {y: x for x, y in linked}
     rows = [(d, " ".join(base + t)) for d, t in enumerate(tails)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85).collect()
     assert sum(r.component_id != want[r.doc_id] for r in got) == 0 and len(got) == n
 
 
