@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -226,19 +229,49 @@ def test_pii(docs, none, spark):
 
 @pytest.mark.parametrize(("body", "n"), [("1" * 200_000, 0), ("0" * 6000 + "1.1.1.1", 1), ("!" * 200_000 + "a1", 0), ("a@b.co " * 20_000, 20_000)])
 def test_pii_of_very_long_texts(body, n):
-    began, spans, graph = time.time(), pii.base_spans(body), pii.Graph()
-    graph.add(0, body, spans)
-    assert len(spans) == n
-    assert sum(x > 0 for x in graph.seen) == n
+    began, spans = time.time(), pii.base_spans(body)
+    model = pii.Potentials.from_counts(Counter({(">skip", 1, 1): 9, (">skip", 0, 0): 9}))
+    assert len(spans) == n and pii.added_spans([body], [spans], model) == [[]]
+    assert (pii.Field(body, spans, {}).seen > 0).sum() == n
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("hint", ["", "a@b.co "])
+def test_pii_of_a_text_of_numbers_is_bounded(hint):
+    """8 MB of four-digit numbers, with and without something to pass on: seconds and resident megabytes of a process of its own."""
+    code = (
+        "import random, resource, sys, time\n"
+        "from collections import Counter\n"
+        "from aerolith.llm import pii\n"
+        "rnd = random.Random(1)\n"
+        f"body = {hint!r} + ' '.join(str(rnd.randrange(1000, 10000)) for _ in range(1_600_000))\n"
+        "model = pii.Potentials.from_counts(Counter({('>skip', 4, 4): 50, ('>skip', 0, 0): 50, ('>chain', 0, 0): 50, ('>chain', 4, 4): 5, ('>near', 4, 4): 5}))\n"
+        "before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()\n"
+        "pii.added_spans([body], [pii.base_spans(body)], model)\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, int(time.time() - began))\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    mb, seconds = map(int, done.stdout.split())
+    assert mb < 400 and seconds < 120, (mb, seconds)
+
+
+def test_similar_tokens_are_linked():
+    text = "4465758382889437 x 4465758382889431 y 446575838288943 z ab@c.de w AB@d.ef v 4465758382889437 u 1234 1235"
+    f = pii.Field(text, [], {})
+    assert f.near.tolist() == [-1, 0, -1, -1, 3, -1, -1, -1] and f.same.tolist() == [-1, -1, -1, -1, -1, 0, -1, -1] and f.follows.tolist() == [0] * 7 + [1]
+    rnd = np.random.default_rng(2)
+    numbers = [str(x) for x in rnd.integers(1_000_000, 1_000_400, 300)]
+    f = pii.Field(" ".join(numbers), [], {})
+    apart = lambda x, y: sum(a != b for a, b in zip(x, y, strict=True))
+    for i, x in enumerate(numbers):
+        near = [j for j in range(i) if apart(x, numbers[j]) == 1] if x not in numbers[:i] else []
+        assert f.near[i] == max(near, default=-1)
+
+
 def test_distant_mentions_share_a_label():
     counts = {("n:16:False:False:False:False:False:True", 3): 40, ("n:16:False:False:False:False:False:True", 0): 1, (">skip", 3, 3): 30, (">skip", 0, 0): 5, (">chain", 0, 0): 9}
     number = "4465758382889437"
     body = f"{number} {number} and far away {number}"
-    from collections import Counter
-
     model = pii.Potentials.from_counts(Counter(counts))
     base = pii.base_spans(body)
     assert [s[0] for s in base] == [2]  # the two in a row are no card to the pattern
@@ -381,9 +414,6 @@ def test_licence_cosines_against_dense_vectors():
 
 
 def test_everything_but_llm_imports_without_it():
-    import subprocess
-    import sys
-
     code = (
         "import sys\n"
         "class Gone:\n"
