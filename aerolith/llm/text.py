@@ -69,25 +69,27 @@ def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the words of each text, and n + 1 offsets of words by text.
-
-    A word is a run of bytes other than ASCII space and 0x09-0x0D. It never
-    reaches over the end of a text.
-    """
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[raw]
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes; none reaches over the end of a text."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = at[:-1][at[:-1] < at[1:]]
     begins[first] = inside[first]
-    starts = np.flatnonzero(begins)
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
     last = at[1:][at[:-1] < at[1:]] - 1
     ends[last] = inside[last]
-    stops = np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words of each text, and n + 1 offsets of words by text.
+
+    A word is a run of bytes other than ASCII space and 0x09-0x0D.
+    """
+    starts, stops = runs(~_SPACE[raw], at)
     return starts, stops, np.searchsorted(starts, at)
 
 

@@ -156,6 +156,30 @@ def test_op1(run):
         assert got.loc[d].own_license == want, text[-200:]
 
 
+def test_op1_inheritance(spark, run):
+    """Licence files by plain counting of terms, inheritance by walking up from each path."""
+    from aerolith.llm import licenses
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    paths = {r.doc_id: (r.path, r.text) for r in licenses.corpus_paths(table).collect()}
+    got, given = run("op1_licenses").set_index("doc_id"), {}
+    for d in sorted(paths, key=lambda d: paths[d][0], reverse=True):  # the least path comes last and stays, unless another matches better
+        r, terms = got.loc[d], licenses.terms(paths[d][1] or "")
+        notices = [len(licenses.terms(n)) for n in licenses.NOTICES.get(r.own_license, ())]
+        if r.own_license and max(notices) >= 0.5 * len(terms):
+            where = paths[d][0].rpartition("/")[0]
+            if where not in given or r.own_score >= given[where][1]:
+                given[where] = (r.own_license, r.own_score)
+    for d, (path, _) in paths.items():
+        where, want = path.rpartition("/")[0], (None, None)
+        while where and not got.loc[d].own_license:
+            if where in given:
+                want = (given[where][0], where)
+                break
+            where = where.rpartition("/")[0]
+        assert (got.loc[d].license, got.loc[d].license_dir) == ((got.loc[d].own_license, None) if got.loc[d].own_license else want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -386,31 +386,87 @@ def test_lexicon_edges(docs, none):
 
 
 def test_licences(spark, none):
-    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0"), (4, "a/y.py", None), (5, "z/q.py", ""), (6, None, "x"), (7, "top", "y"), (8, "a/b/own.py", "Licensed under CC BY-NC 4.0.\n" + "body text " * 300), (8, "a/b/own.py", "n")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    mit = (licenses.Path(licenses.__file__).parent / "licence_texts" / "MIT.txt").read_text()
+    rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0"), (4, "a/y.py", None), (5, "z/q.py", ""), (6, None, "x"), (7, "top", "y"), (8, "a/b/own.py", "Licensed under CC BY-NC 4.0.\n" + "body text " * 300), (8, "a/b/own.py", "n"), (9, "z/COPYING", "ours.\n" + "words of our own " * 50 + "Released under the MIT License.")]
+    table = spark.createDataFrame([(*r, "k", "s") for r in rows], "doc_id long, path string, text string, own_license string, dir string")
+    got = licenses.scan(table).collect()
     by = {(r.doc_id, r.own_license): (r.license, r.license_dir) for r in got}
     assert len(got) == len(rows)
-    assert by[2, None] == ("Apache-2.0", "a/b") and by[4, None] == ("MIT", "a") and by[5, None] == (None, None) and by[6, None] == (None, None)
+    assert by[2, None] == ("Apache-2.0", "a/b") and by[4, None] == ("MIT", "a") and by[5, None] == ("MIT", "z") and by[6, None] == (None, None)
     assert by[8, "CC-BY-NC-4.0"] == ("CC-BY-NC-4.0", None) and by[8, None] == ("Apache-2.0", "a/b") and by[3, "Apache-2.0"] == ("Apache-2.0", None)
     assert licenses.scan(none.select("doc_id", F.lit("a/b").alias("path"), "text")).count() == 0
-
-
-def test_licence_cosines_against_dense_vectors():
-    w = licenses.Weights({"": 100, "license": 10, "the": 90, "under": 40})
-    line = "Licensed under the Apache License version 2.0 today"
-    terms = licenses.terms(line)
-    every = sorted(set(licenses._VOCABULARY) | set(terms))
-
-    def vector(ts):
-        v = np.zeros(len(every))
-        for t in set(ts):
-            idf = np.log(101 / (1 + {"license": 10, "the": 90, "under": 40}.get(t, 0))) + 1 if t in licenses._VOCABULARY else np.log(101) + 1
-            v[every.index(t)] = (1 + np.log(ts.count(t))) * idf
-        return v / np.linalg.norm(v)
-
-    cos = [vector(terms) @ vector(licenses.terms(n)) for own in licenses.TEMPLATES.values() for n in own]
-    score, k = w.best(terms)
-    assert score == pytest.approx(max(cos)) and k == int(np.argmax(cos))
+    long = spark.createDataFrame([(1, "a/b", LONG + " Released under the MIT License " + LONG)], "doc_id long, path string, text string")
+    assert licenses.scan(long).first().own_license == "MIT"
+
+
+def small_weights():
+    given = licenses.templates()
+    vocabulary = np.unique(np.concatenate([t.terms for t in given]))
+    common = licenses._slots(licenses._hashes("the of to a is in under and this for has been all as"), vocabulary)
+    slots, counts = np.append(common, -1), np.append(np.full(len(common), 9000), 10_000)
+    return given, licenses.Weights(given, vocabulary, slots, counts)
+
+
+def test_terms_of_bytes_are_those_of_the_pattern():
+    for body in ("Licensed under the Apache License, Version 2.0.", "..a-+b.+-- C++ --- +x. 3.0-or-later é1.5é -", "", "---", "a"):
+        raw = text.lower_ascii(np.frombuffer(body.encode(), np.uint8))
+        starts, stops = licenses.term_spans(raw, np.array([0, len(raw)]))
+        assert [raw[i:j].tobytes().decode() for i, j in zip(starts, stops, strict=True)] == licenses.terms(body)
+
+
+def test_licence_matches_are_those_of_all_windows():
+    """Every place of every notice by dense vectors; bounds leave nothing out."""
+    given, w = small_weights()
+    rnd = random.Random(3)
+    notices = [n for own in licenses.NOTICES.values() for n in own]
+    words = [x for n in notices for x in n.split()] + ["alpha", "beta", "gamma", "the", "of"] * 9
+    for k in range(60):
+        body = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 30)))
+        if k % 2:
+            own = rnd.choice(notices).split()
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+            body += " " + " ".join(own) + " tail"
+        h = licenses._hashes(body)
+        every = {x: i for i, x in enumerate(np.unique(np.concatenate([h, *(t.terms for t in given)])).tolist())}
+        weight = w.idf[licenses._slots(np.array(list(every), np.uint64), w.vocabulary)].astype(float)
+
+        def vector(terms, every=every, weight=weight):
+            v = np.zeros(len(every))
+            for x, c in Counter(terms.tolist()).items():
+                v[every[x]] = (1 + np.log(c)) * weight[every[x]]
+            return v / np.linalg.norm(v)
+
+        best = 0.0
+        for t in given:
+            size = len(h) if t.whole else min(len(t.terms), len(h))
+            for i in range(len(h) - size + 1):
+                some = set(t.terms.tolist()) & set(h[i : i + size].tolist())
+                if len(set(t.terms.tolist())) >= licenses.WHOLE or len(some) == len(set(t.terms.tolist())):
+                    best = max(best, vector(h[i : i + size]) @ vector(t.terms))
+        got = w.best(h)
+        assert got[1] == pytest.approx(best if best >= licenses.COSINE else 0.0, abs=1e-5)
+
+
+def test_whole_licences_and_wrapped_headers():
+    _, w = small_weights()
+    folder = licenses.Path(licenses.__file__).parent / "licence_texts"
+    for f in folder.glob("*.txt"):
+        body = f.read_text()
+        for own in (body, "Copyright (c) 2020 Someone Else\n\n" + body, "\n".join("// " + x for x in body.split("\n"))):
+            k, cosine, covered = w.best(licenses._hashes(own))
+            assert w.names[k] == f.stem and w.whole[k] and cosine > 0.9 and covered == len(licenses._hashes(own))
+    code = "int main() { return 0; }\n" * 200
+    wrapped = (
+        "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\n"
+    )
+    apache = '# Copyright 2021 The Authors. Licensed under the Apache License,\n# Version 2.0 (the "License"); you may not use this file except\n# in compliance with the License.\n'
+    mpl = "; This Source Code Form is subject to the terms of the\n; Mozilla Public License, v. 2.0. If a copy\n"
+    for body, want in ((wrapped, "GPL-3.0"), (apache, "Apache-2.0"), (mpl, "MPL-2.0"), ("// SPDX-License-Identifier: MIT\n", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0"), ("Released under the MIT License, as is. It has been all.", "MIT"), ("All of it has been licensed under the Apache License, Version 2.0.", "Apache-2.0")):
+        k, cosine, _ = w.best(licenses._hashes(body + code))
+        assert k >= 0 and w.names[k] == want and cosine >= 0.8, body
+    for body in ("Die Katze lief mit dem Hund.", "the permission to read is granted to all", "a license to kill"):
+        assert w.best(licenses._hashes(body))[0] == -1
 
 
 def test_everything_but_llm_imports_without_it():
