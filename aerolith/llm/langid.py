@@ -1,46 +1,59 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a variable-order tree of byte contexts, of order 3 at most,
+Each language has a variable-order tree of byte contexts, of order ORDER at most,
 with escape probabilities by method C: a byte that was seen in a context of T
 bytes and D different ones has probability count / (T + D); the escape to the
-next shorter context has D / (T + D); below order 0 all bytes are alike. The
-statistics are frozen after training, and a text's score in a language is its
-exact code length, the sum over its bytes of -log2 of their probabilities.
-
-With frozen statistics the code length of a byte depends on the three bytes
-before it alone. Contexts that some language has seen become states, the others
-share the state of their order-2 suffix, and bytes that no language has seen
-share one symbol (they all escape to the bottom). The trees so become one array
-[state, symbol, language]; scoring is two lookups for each byte.
+next shorter context has D / (T + D); below order 0 all bytes are alike. A byte
+is coded in the longest context that the language has seen. The statistics are
+frozen after training, nothing of them is left out, and a text's score in a
+language is its exact code length, the sum over its bytes of -log2 of their
+probabilities.
+
+The trees of all languages are sorted arrays, two for each order: contexts with
+the bits of their escapes, and contexts with a byte and its bits, each with the
+languages that have seen them. They are one file that workers map. Every
+different string of ORDER + 1 bytes of a batch is looked up once, from the
+shortest context to the longest, in all languages together.
+
+What trains is a sample of about TRAIN_BYTES of text, an equal part for each
+language, so the file and what reaches the driver are bounded for any number of
+languages: a byte of the sample adds ORDER + 1 entries at most.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0;
 rows without language do not train; with nothing to train on all is ``und``;
-ties go to the language first in order; other columns are not read.
+equal code lengths go to the language first in order; repeated rows are scored
+each and train as often as they occur; a text of any length is read whole, in
+pieces of GROUP bytes; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.mapped import map_arrays, pack_arrays
+from aerolith.llm.sampling import spot
 from aerolith.llm.text import flat
+from aerolith.plans.sharing import share_file
 from aerolith.plans.staging import bounded_batches
 from aerolith.plans.workers import tidy
 
-#: The most documents of one language that train it; all beyond are left out by hash of their id.
-TRAIN_DOCS = 2000
-#: An order-3 context seen less often than this keeps its order-2 suffix's statistics.
-MIN_CONTEXT = 3
+#: Longest context, in bytes.
+ORDER = 5
+#: Bytes of text that train, over all languages; beyond it, texts are left out by hash of their id.
+TRAIN_BYTES = 8 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_BYTES = 256
-_GROUP = 1 << 20
+GROUP, CELLS = 1 << 20, 1 << 22
+_SLOT_BITS = 21
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,129 +61,160 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text the number of it and the ORDER bytes before it (newlines before a text's first); n + 1 offsets."""
+    raw, at = flat(texts)
+    n = len(at) - 1
+    spaced = np.full(len(raw) + ORDER * n, 10, np.uint8)
+    where = np.arange(len(raw)) + ORDER * (np.repeat(np.arange(n), np.diff(at)) + 1)
+    spaced[where] = raw
+    out = np.zeros(len(raw), np.uint64)
+    for back in range(ORDER, -1, -1):
+        out = out << np.uint64(8) | spaced[where - back]
+    return out, at
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values and each element's place among them, by hash slots; those that lose their slot are sorted."""
+    slot = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
+    held = np.zeros(1 << _SLOT_BITS, np.uint64)
+    held[slot] = x
+    used = np.zeros(1 << _SLOT_BITS, bool)
+    used[slot] = True
+    number = np.cumsum(used, dtype=np.int32) - 1
+    place = number[slot]
+    lost = np.flatnonzero(held[slot] != x)
+    more, inverse = np.unique(x[lost], return_inverse=True)
+    place[lost] = int(number[-1]) + 1 + inverse
+    return np.concatenate([held[used], more]), place
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, four bytes as a number, count) for each batch; three newlines stand before each text."""
+    """Rows (lang, string as a number, count) for each batch."""
     for b in batches:
         langs = np.array(b.column(0).to_pylist(), dtype=object)
         for lang in sorted(set(langs)):
-            texts = b.column(1).filter(pa.array(langs == lang))
-            grams, n = np.unique(_grams(texts)[0], return_counts=True)
+            grams, n = np.unique(strings(b.column(1).filter(pa.array(langs == lang)))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"]
             )
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text the number of it and the three bytes before it; n + 1 offsets."""
-    raw, at = flat(texts)
-    n = len(at) - 1
-    spaced = np.full(len(raw) + 3 * n, 10, np.uint8)
-    where = np.arange(len(raw)) + 3 * (np.repeat(np.arange(n), np.diff(at)) + 1)
-    spaced[where] = raw
-    x = spaced.astype(np.uint32)
-    codes = (x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]) if len(x) > 3 else np.zeros(0, np.uint32)
-    return codes[where - 3], at
+def _table(parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """One sorted array of keys from those (keys, bits) of each language; entries (language, bits) of a key stand together."""
+    keys = np.concatenate([k for k, _ in parts])
+    lang = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(k) for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    distinct, first = np.unique(keys[order], return_index=True)
+    return {"key": distinct, "at": np.append(first, len(keys)).astype(np.int64), "lang": lang[order], "bits": np.concatenate([x for _, x in parts])[order]}
+
+
+def compile_trees(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The trees of languages, in sorted order of their names, from their strings and how often each occurred."""
+    out: dict[str, np.ndarray] = {}
+    for order in range(ORDER + 1):
+        seen, escapes = [], []
+        for lang in sorted(counts):
+            grams, n = counts[lang]
+            key, inverse = np.unique(grams & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            times = np.bincount(inverse, n, len(key))
+            context, own = np.unique(key >> np.uint64(8), return_inverse=True)
+            kinds = np.bincount(own, minlength=len(context))
+            whole = np.bincount(own, times, len(context)) + kinds
+            seen.append((key, -np.log2(times / whole[own]).astype(np.float32)))
+            escapes.append((context, -np.log2(kinds / whole).astype(np.float32)))
+        for name, parts in (("seen", seen), ("escape", escapes)):
+            out |= {f"{name}{order}_{k}": v for k, v in _table(parts).items()}
+    return out
 
 
 class ContextTrees:
-    """Frozen statistics of all languages as lookup arrays."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = MIN_CONTEXT) -> None:
-        """counts: for each language the four-byte numbers and how often each occurred."""
-        self.langs = sorted(counts)
-        seen = np.zeros(_BYTES, bool)
-        seen[10] = True
-        for grams, _ in counts.values():
-            for shift in (0, 8, 16, 24):
-                seen[grams >> shift & 255] = True
-        self.symbol = np.where(seen, np.cumsum(seen), 0).astype(np.int32)
-        a = self.size = int(seen.sum()) + 1
-        split = {k: (self._symbols(g), n.astype(np.float64)) for k, (g, n) in counts.items()}
-        often: set[int] = set()
-        for s, n in split.values():
-            ctx, inverse = np.unique((s[0] * a + s[1]) * a + s[2], return_inverse=True)
-            often.update(ctx[np.bincount(inverse, n) >= min_context].tolist())
-        contexts = np.array(sorted(often), np.int64)
-        short = np.arange(a * a)
-        self.state = (len(contexts) + np.tile(short, a)).astype(np.int32)
-        self.state[contexts] = np.arange(len(contexts))
-        self.bits = np.empty(((len(contexts) + a * a) * a, len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            s, n = split[lang]
-            p = np.full(a, 1.0 / _BYTES)
-            p = self._blend(np.bincount(s[3], n, a)[None], p[None])[0]
-            p = self._blend(np.bincount(s[2] * a + s[3], n, a * a).reshape(a, a), np.tile(p, (a, 1)))
-            p2 = self._blend(np.bincount((s[1] * a + s[2]) * a + s[3], n, a**3).reshape(a * a, a), np.tile(p, (a, 1)))
-            own = np.searchsorted(contexts, ctx := (s[0] * a + s[1]) * a + s[2])
-            hit = (own < len(contexts)) & (contexts[np.minimum(own, len(contexts) - 1)] == ctx) if len(contexts) else np.zeros(len(ctx), bool)
-            c3 = np.bincount(own[hit] * a + s[3][hit], n[hit], len(contexts) * a).reshape(-1, a)
-            p3 = self._blend(c3, p2[contexts % (a * a)])
-            self.bits[:, k] = -np.log2(np.concatenate([p3, p2])).ravel()
-
-    @staticmethod
-    def _blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        escaped = np.where(total > 0, kinds / whole, 1.0) * below
-        return np.where(counts > 0, counts / whole, escaped)
-
-    def _symbols(self, grams: np.ndarray) -> tuple[np.ndarray, ...]:
-        return tuple(self.symbol[grams >> shift & 255].astype(np.int64) for shift in (24, 16, 8, 0))
+    """Frozen statistics of all languages as sorted arrays."""
+
+    def __init__(self, langs: list[str], arrays: dict[str, np.ndarray]) -> None:
+        self.langs, self._arrays = langs, arrays
+
+    def _entries(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the keys, language, bits) of all entries that a table has for keys."""
+        table, at = self._arrays[f"{name}_key"], self._arrays[f"{name}_at"]
+        k = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        hit = np.flatnonzero(table[k] == keys)
+        first, n = at[k[hit]], at[k[hit] + 1] - at[k[hit]]
+        entry = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else first
+        return np.repeat(hit, n), self._arrays[f"{name}_lang"][entry], self._arrays[f"{name}_bits"][entry]
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string after the others, in each language."""
+        out = np.full((len(grams), len(self.langs)), 8.0, np.float32)  # below order 0 all bytes are alike
+        for order in range(ORDER + 1):
+            row, lang, bits = self._entries(f"escape{order}", grams >> np.uint64(8) & np.uint64((1 << 8 * order) - 1))
+            out[row, lang] += bits
+            row, lang, bits = self._entries(f"seen{order}", grams & np.uint64((1 << 8 * (order + 1)) - 1))
+            out[row, lang] = bits
+        return out
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Code length in bits of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        grams, at = _grams(texts)
-        a = self.size
-        for lo in range(0, len(grams), _GROUP):
-            s = [self.symbol[grams[lo : lo + _GROUP] >> shift & 255] for shift in (24, 16, 8, 0)]
-            bits = self.bits[self.state[(s[0] * a + s[1]) * a + s[2]].astype(np.int64) * a + s[3]]
-            i, j = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, lo + len(bits), "left")
-            cuts = np.clip(at[i:j] - lo, 0, len(bits))
-            own = np.diff(np.append(cuts, len(bits))) > 0
-            if own.any():
-                out[i:j][own] += np.add.reduceat(bits, cuts[own], axis=0, dtype=np.float64)
+        grams, at = strings(texts)
+        step = max(1 << 12, CELLS // max(1, len(self.langs)))
+        for start in range(0, len(grams), GROUP):
+            own, place = _distinct(grams[start : start + GROUP])
+            bits = self.bits(own)
+            for lo in range(start, min(start + GROUP, len(grams)), step):
+                part = bits[place[lo - start : min(lo - start + step, GROUP)]]
+                i, j = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, lo + len(part), "left")
+                cuts = np.clip(at[i:j] - lo, 0, len(part))
+                has = np.diff(np.append(cuts, len(part))) > 0
+                if has.any():
+                    out[i:j][has] += np.add.reduceat(part, cuts[has], axis=0, dtype=np.float64)
         return out
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_context: int = MIN_CONTEXT) -> ContextTrees:
-    """Fit on rows with a language that are not held out, at most about ``train_docs`` of each language.
+@lru_cache(maxsize=1)
+def _mapped(file: str, langs: tuple[str, ...]) -> ContextTrees:
+    return ContextTrees(list(langs), map_arrays(SparkFiles.get(file)))
+
+
+def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], bytes]:
+    """Languages and the file of their trees, from rows with a language that are not held out: about ``train_bytes`` of text.
 
     The sample is a share of the hash range of the id, so it spreads over all
-    of the table. What reaches the driver are counts of four-byte strings of
-    that bounded sample.
+    of the table. What reaches the driver are counts of strings of that sample.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = reduce(lambda e, x: e.when(F.col("lang") == x[0], F.lit(int(1e6 * min(1.0, train_docs / x[1])))), sizes.items(), F.when(F.lit(False), F.lit(0)))
-    some = rows.where(spot < share).select("lang", "text") if sizes else rows.select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()}
+    each = train_bytes / max(1, len(sizes))
+    share = reduce(lambda e, x: e.when(F.col("lang") == x[0], F.lit(min(1.0, each / max(1, x[1])))), sizes.items(), F.when(F.lit(False), F.lit(0.0)))
+    some = rows.where(F.coalesce(spot(F.col("doc_id")), F.lit(0.0)) < share).select("lang", "text") if sizes else rows.select("lang", "text")
     found = some.mapInArrow(tidy(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs = np.array(found.column("lang").to_pylist(), dtype=object)
-    grams, n = np.asarray(found.column("gram")).astype(np.uint32), np.asarray(found.column("n"))
-    return ContextTrees({k: (grams[langs == k], n[langs == k]) for k in sizes if (langs == k).any()}, min_context)
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    code, names = np.asarray(langs.indices), langs.dictionary.to_pylist()
+    grams, n = np.asarray(found.column("gram")).astype(np.uint64), np.asarray(found.column("n"))
+    counts = {names[k]: (grams[code == k], n[code == k]) for k in range(len(names))}
+    return sorted(counts), pack_arrays(compile_trees(counts)) if counts else b""
 
 
-def _predict(shared):
+def _predict(file: str, langs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: ContextTrees = shared.value
+        trees = _mapped(file, langs) if langs else None
         for b in batches:
             texts = b.column(1).to_pylist()
             known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
             lang = np.full(len(texts), UNKNOWN, dtype=object)
             score = np.zeros(len(texts))
-            if trees.langs and known.any():
+            if trees and known.any():
                 bits = trees.lengths(b.column(1).filter(pa.array(known)))
-                best = bits.argmin(1)
-                lang[known] = np.array(trees.langs, dtype=object)[best]
+                lang[known] = np.array(langs, dtype=object)[bits.argmin(1)]
                 score[known] = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0)).sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], bytes]) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of the language under equal priors) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
-    return docs.select("doc_id", "text").mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double")
+    langs, content = model
+    file = share_file(docs.sparkSession, content, "context-trees") if langs else ""
+    return docs.select("doc_id", "text").mapInArrow(tidy(_predict(file, tuple(langs))), "doc_id long, lang_pred string, score double")

@@ -10,8 +10,10 @@ speed alone.
 
 Defined cases: null and empty texts have no ids; strings of special tokens in a
 text become their ids, as the tokenizers library has it by default; a NUL
-character is a character like any other; an empty table gives an empty result;
-other columns are not read.
+character is a character like any other; a text of any length is read whole and
+a word of any length merged in n log n steps; of words that occur equally often
+the lexicon takes the first in order; repeated rows are encoded each and count
+each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +33,21 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.mapped import map_arrays, pack_arrays
 from aerolith.llm.packing import byte_symbols
 from aerolith.llm.text import groups, lower_ascii
 from aerolith.plans.sharing import share_file
 from aerolith.plans.staging import bounded_batches, drop_staged, stage_table
 from aerolith.plans.workers import tidy
 
-#: Words in the lexicon, the longest in bytes, and how often one must occur in a part of the corpus to be counted there.
-LEXICON_WORDS, LONGEST, LEAST = 100_000, 32, 3
+#: Words in the lexicon, and the longest of them in bytes.
+LEXICON_WORDS, LONGEST = 100_000, 32
+#: Different words that a task counts before it gives its counts on.
+COUNTED = 500_000
 #: Merged words that a worker remembers, and the longest of them in characters.
 REMEMBERED, SHORT = 200_000, 256
+#: Words of the lexicon that a worker holds as text.
+KNOWN = 20_000
 #: Bytes of a word up to which a scan for its next merge is quicker than a heap.
 SCANNED = 128
 
@@ -216,27 +223,6 @@ def automaton(words: Iterable[bytes]) -> dict[str, np.ndarray]:
     return {"step": step, "add": add, "symbol": symbol, "final": final, "start": np.array([dead - 1], np.int32)}
 
 
-def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays as one file: a line of JSON that says what stands where, then the arrays, each from a multiple of 64 bytes."""
-    head, body = {}, bytearray()
-    for name, x in arrays.items():
-        body += b"\0" * (-len(body) % 64)
-        head[name] = [x.dtype.str, list(x.shape), len(body)]
-        body += np.ascontiguousarray(x).tobytes()
-    line = json.dumps(head).encode()
-    line += b" " * (-(len(line) + 1) % 64) + b"\n"
-    return line + bytes(body)
-
-
-def map_arrays(path: str) -> dict[str, np.ndarray]:
-    with open(path, "rb") as f:
-        line = f.readline()
-    return {
-        name: np.memmap(path, dtype=dtype, mode="r", offset=len(line) + at, shape=tuple(shape)) if 0 not in shape else np.zeros(shape, dtype)
-        for name, (dtype, shape, at) in json.loads(line).items()
-    }
-
-
 def compile_lexicon(words: Iterable[str], merges: Merges) -> dict[str, np.ndarray]:
     """The automaton of words (normalised, each one word to the tokenizer) and their ids."""
     ordered = sorted({w.encode() for w in words if w and "\0" not in w and len(w.encode()) <= LONGEST and _WORD.fullmatch(w)})
@@ -252,8 +238,17 @@ class Encoder:
     def __init__(self, merges: Merges, lexicon: dict[str, np.ndarray]) -> None:
         self.merges, self.lexicon = merges, lexicon
         self._seen: dict[str, tuple[int, str, str]] = {}
-        flat_ids, at = lexicon["ids"].tolist(), lexicon["ids_at"].tolist()
-        self._known = [self._shown(flat_ids[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        self._known: dict[int, tuple[int, str, str]] = {}  # of the lexicon's words, those that came up lately
+
+    def _ranked(self, rank: int) -> tuple[int, str, str]:
+        """The word of a rank, read from the mapped arrays."""
+        got = self._known.get(rank)
+        if got is None:
+            i, j = self.lexicon["ids_at"][rank : rank + 2].tolist()
+            if len(self._known) >= KNOWN:
+                self._known.clear()
+            got = self._known[rank] = self._shown(self.lexicon["ids"][i:j].tolist())
+        return got
 
     def _shown(self, ids: list[int]) -> tuple[int, str, str]:
         """Number of ids, the ids as text, the decoded text of a word."""
@@ -283,7 +278,7 @@ class Encoder:
         return out
 
     def shown(self, words: list[str]) -> list[tuple[int, str, str]]:
-        out: list = [self._known[r] if r >= 0 else None for r in self.ranks(words).tolist()]
+        out: list = [self._ranked(r) if r >= 0 else None for r in self.ranks(words).tolist()]
         for k, w in enumerate(words):
             if out[k] is None:
                 got = self._seen.get(w)
@@ -326,16 +321,16 @@ def _encoder(path: str, file: str) -> Encoder:
 
 
 def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of letters (ASCII, or any other byte from 0x80 on) of a partition with their counts."""
+    """Runs of letters (ASCII, or any other byte from 0x80 on) of a partition with their counts, none left out."""
     letter = np.zeros(256, bool)
     letter[97:123] = True
     letter[128:] = True
     counts: Counter[bytes] = Counter()
 
-    def give(least: int) -> pa.RecordBatch:
-        some = {w: n for w, n in counts.items() if n >= least}
+    def give() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(list(some.values()), pa.int64())], names=["word", "n"])
+        return out
 
     for b in batches:
         for _, _, raw, _ in groups(b.column(0)):
@@ -346,9 +341,9 @@ def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = stops - starts <= LONGEST
             whole = low.tobytes()
             counts.update(whole[i:j] for i, j in zip(starts[short].tolist(), stops[short].tolist(), strict=True))
-        if len(counts) > 1_000_000:
-            yield give(LEAST)
-    yield give(LEAST)
+        if len(counts) > COUNTED:
+            yield give()
+    yield give()
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.sampling import spot
 from aerolith.llm.text import groups, lower_ascii, spans_hash, windows_hash, words
 from aerolith.plans.staging import bounded_batches, stage_table
 from aerolith.plans.workers import tidy
@@ -195,7 +196,7 @@ def train(features: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Tre
     """Fit on labelled rows that are not held out; about ``most`` of them reach the driver."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y"))
     share = min(1.0, most / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share))
+    some = known.where(spot(F.col("doc_id")) < share)
     rows = features.join(some, "doc_id").select("features", "y").toArrow()
     x = np.array(rows.column("features").to_pylist(), np.float32).reshape(-1, len(FEATURES))
     return fit(x, np.array(rows.column("y").to_pylist(), np.float64))

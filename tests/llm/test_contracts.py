@@ -136,6 +136,24 @@ def test_op2_and_op9_hold_out(run):
     assert np.mean([lang[d][1] == p for d, p in zip(held.doc_id, held.lang_pred, strict=True)]) >= 0.97
 
 
+def test_op9_scores(spark, run):
+    """The query's own predictions against code lengths from plain counts of all that trains."""
+    from tests.llm.test_edges import plain_bits
+
+    train = defaultdict(list)
+    for d, text, lang in documents():
+        if zlib.crc32(str(d).encode()) % 4 != 2 and lang is not None and text is not None:
+            train[lang].append(text)
+    got = run("op9_langid").set_index("doc_id")
+    for d, text, _ in documents()[:200:40]:
+        if got.loc[d].lang_pred != "und":
+            bits = {k: plain_bits(train[k], text[:4000]) for k in sorted(train)}
+            if len(text) <= 4000:
+                least = min(bits.values())
+                assert bits[got.loc[d].lang_pred] == pytest.approx(least, rel=1e-6)
+                assert got.loc[d].score == pytest.approx(1 / sum(2 ** max(least - b, -1000) for b in bits.values()), rel=1e-3)
+
+
 def test_op10(run):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerolith.llm import chat, components, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules, text
+from aerolith.llm import chat, components, exact_dedup, langid, lexicon, licenses, mapped, near_dedup, packing, pii, quality_model, rules, text
 
 LONG = " ".join(f"word{k % 977} x{k}" for k in range(60_000))
 ROWS = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", "a"), (4, "one two three", "fr", "b"), (5, "one two three", "fr", "b"), (5, "one two three", "fr", "b"), (None, "null id", "fr", None), (6, LONG, "en", "b"), (7, LONG + " end", "en", "b"), (8, "日本語 🤦🏼‍♂️ é \x00 nul", None, "c")]
@@ -296,43 +296,51 @@ def test_chat_round_trip(body):
 
 
 def test_langid_edges(docs, none, spark):
-    trees = langid.train(docs)
-    got = {r.doc_id: r for r in langid.predict(docs, trees).collect()}
-    assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0 and len(langid.predict(docs, trees).collect()) == len(ROWS)
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0 and len(langid.predict(docs, model).collect()) == len(ROWS)
     blank = langid.train(none)
-    assert blank.langs == [] and langid.predict(docs, blank).where("lang_pred != 'und'").count() == 0
-
-
-def test_code_lengths_are_those_of_the_trees():
-    """One text's bits, byte by byte, from plain counts."""
-    corpus, body = {"a": ["abracadabra", "abc"], "b": ["zzz yyy"]}, "abraxas z"
-    grams = {k: np.unique(langid._grams(pa.array(v))[0], return_counts=True) for k, v in corpus.items()}
-    trees = langid.ContextTrees(grams, min_context=1)
-    got = trees.lengths(pa.array([body]))[0]
-    for lang, texts in corpus.items():
-        counts = [{} for _ in range(4)]
-        for t in texts:
-            s = "\n\n\n" + t
-            for i in range(3, len(s)):
-                for order in range(4):
-                    own = counts[order].setdefault(s[i - order : i], {})
-                    own[s[i]] = own.get(s[i], 0) + 1
-        bits, s = 0.0, "\n\n\n" + body
-        for i in range(3, len(s)):
-            p = 1.0
-            for order in range(3, -1, -1):
-                own = counts[order].get(s[i - order : i])
-                if own is None:
-                    continue
-                total, kinds = sum(own.values()), len(own)
-                if s[i] in own:
-                    p *= own[s[i]] / (total + kinds)
-                    break
-                p *= kinds / (total + kinds)
-            else:
-                p /= 256
-            bits -= np.log2(p)
-        assert got[trees.langs.index(lang)] == pytest.approx(bits, rel=1e-5)
+    assert blank[0] == [] and langid.predict(docs, blank).where("lang_pred != 'und'").count() == 0 and langid.predict(none, model).count() == 0
+    tied = spark.createDataFrame([(d, "same text", lang) for d in (7, 8, 9, 10) for lang in ("xx", "aa")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in langid.predict(tied, langid.train(tied)).collect()} == {("aa", 0.5)}
+
+
+def plain_bits(texts, body):
+    """A text's code length, byte by byte, from plain counts of contexts."""
+    counts = [{} for _ in range(langid.ORDER + 1)]
+    for t in texts:
+        s = b"\n" * langid.ORDER + t.encode()
+        for i in range(langid.ORDER, len(s)):
+            for order in range(langid.ORDER + 1):
+                own = counts[order].setdefault(s[i - order : i], {})
+                own[s[i]] = own.get(s[i], 0) + 1
+    bits, s = 0.0, b"\n" * langid.ORDER + body.encode()
+    for i in range(langid.ORDER, len(s)):
+        p = 1.0
+        for order in range(langid.ORDER, -1, -1):
+            own = counts[order].get(s[i - order : i])
+            if own is None:
+                continue
+            total, kinds = sum(own.values()), len(own)
+            if s[i] in own:
+                p *= own[s[i]] / (total + kinds)
+                break
+            p *= kinds / (total + kinds)
+        else:
+            p /= 256
+        bits -= np.log2(p)
+    return bits
+
+
+def test_code_lengths_are_those_of_the_trees(tmp_path, monkeypatch):
+    corpus, bodies = {"a": ["abracadabra", "abc"], "b": ["zzz yyy"]}, ["abraxas z", "", "日本 zzz", "abracadabra" * 50]
+    counts = {k: np.unique(langid.strings(pa.array(v))[0], return_counts=True) for k, v in corpus.items()}
+    (tmp_path / "trees").write_bytes(mapped.pack_arrays(langid.compile_trees(counts)))
+    for group, cells in ((1 << 20, 1 << 22), (7, 3)):
+        monkeypatch.setattr(langid, "GROUP", group)
+        monkeypatch.setattr(langid, "CELLS", cells)
+        got = langid.ContextTrees(["a", "b"], mapped.map_arrays(str(tmp_path / "trees"))).lengths(pa.array(bodies))
+        assert got == pytest.approx(np.array([[plain_bits(corpus[k], x) for k in "ab"] for x in bodies]), rel=1e-5)
 
 
 def test_quality_edges(docs, none, spark):
@@ -364,8 +372,8 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     words = ["tap", "taps", "top", "tops", "stop", "stops", "é", "naïve"]
     arrays = lexicon.compile_lexicon(words, m)
     assert arrays["step"].shape[0] - 1 < sum(len(w.encode()) for w in words)  # suffixes are shared
-    (tmp_path / "lex").write_bytes(lexicon.pack_arrays(arrays))
-    e = lexicon.Encoder(m, lexicon.map_arrays(str(tmp_path / "lex")))
+    (tmp_path / "lex").write_bytes(mapped.pack_arrays(arrays))
+    e = lexicon.Encoder(m, mapped.map_arrays(str(tmp_path / "lex")))
     ordered = sorted(words, key=str.encode)
     assert e.ranks([*ordered, "to", "tapsx", "x" * 40, "a\0"]).tolist() == [*range(len(words)), -1, -1, -1, -1]
     with_, without = list(e.encode(["Taps stop", "to\x00 STOPS"])), list(lexicon.Encoder(m, lexicon.compile_lexicon([], m)).encode(["Taps stop", "to\x00 STOPS"]))
