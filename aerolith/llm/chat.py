@@ -10,16 +10,19 @@ the events of a message into its final text:
 
 and renders each final message as one segment. Segments of a conversation in
 order, joined, are its formatted text, so a conversation of any length needs
-the memory of one message.
+the memory of one message. A conversation is read by one task, in order and a
+batch at a time, as the digest of all its turns has to be.
 
 The template puts a turn between ``<|im_start|>role`` and ``<|im_end|>``.
 Inside texts and roles a backslash is put before the bar of every ``<``,
 backslashes, ``|``; taking one away reads the text back, whatever it holds.
 
 Defined cases: a null text counts as empty, a null role as the empty role, a
-null kind as ``message``; null sequences come first; events of the same sequence
-are taken in order of message, kind, role and text; repeated rows are events of
-their own; an empty table gives an empty result; further columns are not read.
+null kind as ``message``; a null conversation is one of its own; null sequences
+come first; a message stands where its first event does, however late others
+come; events of the same sequence are taken in order of message, kind, role and
+text; repeated rows are events of their own; a text of any length is one event;
+an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.plans.workers import tidy
@@ -79,11 +82,37 @@ def parse(formatted: str) -> Iterator[tuple[str, str, bool]]:
         raise ValueError(f"not a formatted conversation from character {at} on")
 
 
+#: Places in the sequence between two turns: for the events of up to 2**27 rows of one turn.
+_TURN_ROOM = 1 << 32
+
+
 def events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: each row is a message of its own."""
-    return conversations.select(
-        "conv_id", F.col("turn").cast("long").alias("seq"), F.lit(None).cast("long").alias("message"), F.lit("message").alias("kind"), "role", "text"
+    """A table of finished turns as the log of a chat that ends in them.
+
+    By the conversation's and the turn's number a row comes as a whole message,
+    as a start and a delta, as a draft that an edit replaces after the next turn,
+    or as a draft that is regenerated from deltas. Rows of the same turn are
+    messages of their own, in order of role and text.
+    """
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 30)))
+    own = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.row_number().over(own))
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substring(text, half + 1, F.length("text"))
+    at = turn * _TURN_ROOM + F.col("row") * 16
+
+    def log(*given: tuple) -> Column:
+        return F.array(*(F.struct((at + k + late).alias("seq"), F.lit(kind).alias("kind"), part.alias("text")) for k, (kind, part, late) in enumerate(given)))
+
+    how = F.pmod(F.coalesce("conv_id", F.lit(0)) + turn, F.lit(4))
+    told = (
+        F.when(how == 0, log(("message", text, 0)))
+        .when(how == 1, log(("message", head, 0), ("delta", tail, 0)))
+        .when(how == 2, log(("delta", tail, 0), ("edit", text, _TURN_ROOM + 8)))
+        .otherwise(log(("delta", tail, 0), ("delta", head, 0), ("regenerate", F.lit(""), 0), ("delta", head, 0), ("delta", tail, 0)))
     )
+    rows = rows.select("conv_id", "role", at.alias("message"), F.explode(told).alias("e"))
+    return rows.select("conv_id", "e.seq", "message", "e.kind", "role", "e.text")
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
@@ -147,16 +176,14 @@ def reconstruct(log: DataFrame) -> DataFrame:
     return dealt.select(*_COLUMNS).mapInArrow(tidy(_segments), SEGMENTS)
 
 
-def reconstruct_turns(conversations: DataFrame) -> DataFrame:
-    """Segments of a table of finished turns (conv_id, turn, role, text): no message has a second event."""
-    dealt = events(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
-    return dealt.mapInArrow(tidy(_segments), SEGMENTS)
+#: Segments of a row of formatted text.
+PART = 1000
 
 
 def formatted(segments: DataFrame) -> DataFrame:
-    """One row for each conversation: its formatted text as the ordered list of its segments, joined."""
-    parts = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("message_no", "segment"))).alias("p"))
-    return parts.select("conv_id", F.concat_ws("", F.transform("p", lambda x: x["segment"])).alias("formatted"))
+    """Formatted text in rows (conv_id, part, formatted) of PART segments each: a conversation's parts in order, joined, are its text."""
+    parts = segments.groupBy("conv_id", F.floor(F.col("message_no") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct("message_no", "segment"))).alias("p"))
+    return parts.select("conv_id", "part", F.concat_ws("", F.transform("p", lambda x: x["segment"])).alias("formatted"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,15 +3,17 @@
 Bounded-space online best fit: a fixed number of bins is open at a time; a
 bitset has bit f set while an open bin has f free places, so the tightest bin
 that a piece fits is one shift and one lowest-set-bit away. When too many bins
-are open the fullest closes. Pieces arrive in windows, each in order of falling
-length; bins stay open from one window to the next.
+are open the fullest closes. Every piece is placed as it arrives, and stays
+where it was placed; nothing is sorted by length.
 
 Only lengths and checksums are shuffled, never the ids: documents are tokenised
-where they are read, and light rows are dealt to packers by document.
+where they are read, and light rows are dealt to packers by hash of the document
+and arrive in the order of that hash.
 
 Defined cases: a null text counts as empty and an empty text is the end mark
-alone; ties are packed in id order; repeated rows are packed as often as they
-occur; an empty table gives an empty result; other columns are not read.
+alone; a text of any length is read whole; of equally full bins the last one
+touched is taken; repeated rows are packed as often as they occur; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,7 @@ from aerolith.plans.workers import tidy
 
 SEQUENCE = 2048
 OPEN_BINS = 4096
-WINDOW = 65_536
-PIECES_PER_PACKER = 50_000
+PIECES_PER_PACKER = 200_000
 END_ID = 0
 
 _TOKENS = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -136,33 +137,18 @@ class BestFit:
         return b, self._size - free
 
 
-def _pack(size: int, open_bins: int, window: int):
+def _pack(size: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         bins = BestFit(size, open_bins, part << 40)
-
-        def placed(t: pa.Table) -> pa.Table:
-            length = np.asarray(t.column("length"))
-            where = np.empty((len(length), 2), np.int64)
-            for i in np.argsort(-length, kind="stable").tolist():
-                where[i] = bins.place(int(length[i]))
-            return t.append_column("sequence_id", pa.array(where[:, 0].copy())).append_column("offset", pa.array(where[:, 1].copy()))
-
-        held: list[pa.RecordBatch] = []
         for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= window:
-                yield from placed(pa.Table.from_batches(held)).to_batches()
-                held = []
-        if held:
-            yield from placed(pa.Table.from_batches(held)).to_batches()
+            placed = np.array([bins.place(n) for n in b.column("length").to_pylist()], np.int64).reshape(-1, 2)
+            yield b.append_column("sequence_id", pa.array(placed[:, 0].copy())).append_column("offset", pa.array(placed[:, 1].copy()))
 
     return run
 
 
-def pack(
-    docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_bins: int = OPEN_BINS, window: int = WINDOW, per_packer: int = PIECES_PER_PACKER
-) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_bins: int = OPEN_BINS, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
     """Pieces of every document with the sequence and the offset that each gets.
 
     The number of packers follows the number of pieces, so a packer's work and
@@ -171,8 +157,9 @@ def pack(
     bounded_batches(docs.sparkSession)
     pieces = stage_table(docs.select("doc_id", "text").mapInArrow(tidy(_tokenise(tokenizer, size)), _TOKENS), "packing-pieces")
     packers = max(1, -(-pieces.count() // per_packer))
-    dealt = pieces.repartition(packers, "doc_id").sortWithinPartitions("doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(tidy(_pack(size, open_bins, window)), PACKED)
+    order = F.xxhash64("doc_id", F.lit(5))  # ids often follow sources, and so lengths
+    dealt = pieces.repartition(packers, "doc_id").sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
+    return dealt.mapInArrow(tidy(_pack(size, open_bins)), PACKED)
 
 
 def fill(packed: DataFrame, size: int = SEQUENCE) -> DataFrame:

@@ -42,7 +42,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], turns.schema)
-    return chat.digest(chat.reconstruct_turns(turns.union(more)))
+    return chat.digest(chat.reconstruct(chat.events(turns.union(more))))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ documents: each host's failure rate is shrunk by a beta prior that is fitted to
 the rates of all hosts by the method of moments, and a host whose shrunk rate
 is over the threshold takes all its documents with it.
 
-Defined cases: a null text has no words and fails; a null host is a host of its
-own; the text of a host's documents is aggregated before it is shuffled, so a
-host may hold any share of the rows; an empty table gives an empty result;
-further columns ride along, and of equal names the verdict's columns win.
+Defined cases: a null text has no words and fails; an empty one likewise; a text
+of any length is one row and is counted whole; a null host is a host of its
+own; a host's documents are counted before they are shuffled, so a host may hold
+any share of the rows; a host whose rate equals the threshold stays; repeated
+rows are judged and counted each; an empty table gives an empty result; further
+columns ride along in keep_rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,12 +107,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep_rows(docs: DataFrame, text_col: str = "text", host_col: str = "source", rate: float = HOST_RATE) -> DataFrame:
-    """The rows of docs that stay, with their columns. Texts are counted twice rather than stored between."""
+    """The rows of docs that stay, with their columns. Each text is counted once; rows that pass wait, staged, for the verdict on their host."""
     columns = docs.columns
     own = docs.select(*(F.col(c).alias(f"__own_{c}") for c in columns), F.col(text_col).alias("__text"), F.col(host_col).alias("__source"))
-    rows = with_base(own, "__text")
-    verdicts = host_verdicts(with_base(docs.select(F.col(text_col).alias("__text"), F.col(host_col).alias("__source")), "__text"), "__source", rate)
-    # an indeterminate column keeps the filter above the counts; pushed below, it would have each of them worked out over and over
-    passed = rows.withColumn("__row", F.monotonically_increasing_id()).where(~F.col("base_failed") & (F.col("__row") >= 0))
-    kept = _with_verdicts(passed, verdicts, "__source").where(~F.col("host_rejected"))
+    rows = with_base(own, "__text").select("__source", "base_failed", *(f"__own_{c}" for c in columns))
+    # of rows that fail the host alone is needed
+    rows = stage_table(rows.select("__source", "base_failed", *(F.when(~F.col("base_failed"), F.col(f"__own_{c}")).alias(f"__own_{c}") for c in columns)), "rule-rows")
+    kept = _with_verdicts(rows.where(~F.col("base_failed")), host_verdicts(rows, "__source", rate), "__source").where(~F.col("host_rejected"))
     return kept.select(*(F.col(f"__own_{c}").alias(c) for c in columns))

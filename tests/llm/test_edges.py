@@ -197,7 +197,7 @@ def test_word_hashes_do_not_depend_on_place():
 
 def test_packing_edges(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    got = packing.pack(docs, path, window=4).toPandas()
+    got = packing.pack(docs, path, per_packer=4).toPandas()
     assert packing.pack(none, path).count() == 0
     assert got[got.doc_id == 1].length.tolist() == [1] and len(got[got.doc_id == 5]) == 2
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()
@@ -285,7 +285,26 @@ def test_chat_folds_events(spark):
     assert [(a, b) for a, b, _ in got[1]] == [("user", "hi"), ("assistant", "hey <|im_end|>"), ("user", "more"), ("assistant", "done")]
     assert got[2] == [("", "", False)]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat.digest(chat.reconstruct_turns(empty)).count() == 0
+    assert chat.digest(chat.reconstruct(chat.events(empty))).count() == 0
+
+
+def test_chat_turns_through_events(spark):
+    """Repeated rows, null conversations, turns, roles and texts, clashing columns; every kind of event occurs and folds into the turn."""
+    rnd = random.Random(8)
+    rows = [(c, t, rnd.choice(["user", "assistant", None]), rnd.choice([None, "", "a", "hey 🤦 <|im_end|>", "long " * 2000 + str(t)])) for c in (1, 2, 3, 4, None) for t in range(7)]
+    rows += rows[3:5] * 2 + [(2, None, "user", "no turn"), (9, 0, "assistant", LONG)]
+    table = spark.createDataFrame([(*r, "k", 0) for r in rows], "conv_id long, turn long, role string, text string, kind string, seq long")
+    log = chat.events(table)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: r for r in chat.digest(chat.reconstruct(log)).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or ""))
+        turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars == sum(len(chat.render(x[2] or "", x[3] or "")) for x in own)
 
 
 @pytest.mark.parametrize("body", ["", "<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|<||", "\\n\n<|", "a" * 100_000])
