@@ -81,7 +81,7 @@ NOTICES = {
 _SUFFIXES = {"GPL-2.0": ("-only", "-or-later", "+"), "GPL-3.0": ("-only", "-or-later", "+"), "LGPL-2.1": ("-only", "-or-later", "+"), "LGPL-3.0": ("-only", "-or-later", "+")}
 
 COSINE, FILE_SHARE, WHOLE = 0.8, 0.5, 5
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 _TERM = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 _FILE_NAME = re.compile(r"(?:^|/)(?:licen[cs]e|copying|copyright|notice)[^/]*$", re.IGNORECASE)
 #: Directories up to this number are broadcast; beyond it they are shuffled.
