@@ -154,7 +154,6 @@ def _trim(token: str) -> tuple[int, int]:
     return i, j
 
 
-@lru_cache(maxsize=1 << 14)
 def shape(token: str) -> str:
     """What a token looks like: kind of characters, number of digits and checksums, in a few values."""
     digits = _OTHERS.sub("", token)
@@ -170,6 +169,9 @@ def shape(token: str) -> str:
     return f"n:{n if n <= 20 else 21}:{letters}:{token.startswith('+')}:{'(' in token}:{'-' in token}:{'.' in token}:{sums}"
 
 
+_short_shape = lru_cache(maxsize=1 << 12)(shape)
+
+
 def _before(keys: np.ndarray) -> np.ndarray:
     """For each key the last place before it with an equal one, or -1."""
     out = np.full(len(keys), -1, np.int32)
@@ -197,7 +199,7 @@ class Field:
                 token, i = m[0][first:stop], m.start() + first
                 start.append(i)
                 end.append(m.start() + stop)
-                kind.append(shapes.setdefault(shape(token), len(shapes)))
+                kind.append(shapes.setdefault(_short_shape(token) if len(token) <= 24 else shape(token), len(shapes)))
                 seen.append(spans.label(i, m.start() + stop))
                 follows.append(last >= 0 and text[last : m.start()].isspace())
                 last = m.end()
