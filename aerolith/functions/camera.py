@@ -188,6 +188,33 @@ def screen(lat, lon, height, camera: Camera, projection: Projection | None, widt
     return F.when(xy.isNotNull(), _struct(x=px, y=py))
 
 
+def screen_single(lat, lon, height, camera: Camera, projection: Projection | None, width: int, height_px: int, mode: str = "2D") -> Column:
+    """Screen position struct<x, y> in float32, as a renderer works it out: positions are made single before the matrix, and in 2D the aspect is the camera's own."""
+    lat, lon, height = _c(lat), _c(lon), _c(height)
+    one = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("float")
+    across, down = one(width), one(height_px)
+    half, unit = one(0.5), one(1.0)
+
+    def pixels(m: list[float], x: Column, y: Column, z: Column) -> Column:
+        row = lambda k: one(m[k]) * one(x) + one(m[4 + k]) * one(y) + one(m[8 + k]) * one(z) + one(m[12 + k])
+        at = lambda k: (row(k) / row(3)).cast("float")  # noqa: E731  a quotient of singles is made single again
+        return F.when(row(3) > 0, _struct(x=(at(0) + unit) * half * across, y=(unit - at(1)) * half * down))
+
+    if mode == "3D":
+        p, c = lla_to_ecef(lat, lon, height), _camera_ecef(camera)
+        return F.when(c[0] * p["x"] + c[1] * p["y"] + c[2] * p["z"] >= WGS84.a**2, pixels(flat(camera.matrix_globe()), p["x"], p["y"], p["z"]))
+    xy = projection.project(lat, lon)
+    if mode == "2.5D":
+        return F.when(xy.isNotNull(), pixels(flat(camera.matrix_tilted(projection)), xy["x"], xy["y"], height))
+    cx, cy = projection.project_point(camera.lat, camera.lon) or (0.0, 0.0)
+    tx, ty, c, s = xy["x"] - cx, xy["y"] - cy, cos(-camera.rotation), sin(-camera.rotation)
+    w = np.float32(camera.width)
+    h = w / np.float32(camera.aspect_ratio)
+    ndc_x = (one(tx * c - ty * s) / one(w / np.float32(2))).cast("float")
+    ndc_y = (one(tx * s + ty * c) / one(h / np.float32(2))).cast("float")
+    return F.when(xy.isNotNull(), _struct(x=(ndc_x + unit) * half * across, y=(unit - ndc_y) * half * down))
+
+
 def _camera_ecef(camera: Camera) -> tuple[float, float, float]:
     e, s = WGS84, sin(camera.lat)
     n = e.a / (1 - e.e_sq * s * s) ** 0.5

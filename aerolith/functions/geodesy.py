@@ -133,7 +133,7 @@ def haversine_inverse(lat1, lon1, lat2, lon2, ellipsoid: Ellipsoid = WGS84) -> C
     there = F.atan2(F.sin(dlon) * F.cos(lat2), F.cos(lat1) * F.sin(lat2) - F.sin(lat1) * F.cos(lat2) * F.cos(dlon))
     back = F.atan2(F.sin(-dlon) * F.cos(lat1), F.cos(lat2) * F.sin(lat1) - F.sin(lat2) * F.cos(lat1) * F.cos(dlon))
     return _struct(
-        distance=F.lit(ellipsoid.mean_radius) * 2.0 * F.asin(F.sqrt(a)),
+        distance=F.lit(ellipsoid.mean_radius) * 2.0 * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a))),  # rounding may go beyond 1 at antipodes
         initial_bearing=normalize_bearing(there),
         final_bearing=normalize_bearing(back + F.lit(pi)),
     )
@@ -170,7 +170,7 @@ def _sphere_inverse(lat1, lon1, lat2, lon2, e: Ellipsoid):
     a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(dlon / 2) ** 2
     there = np.arctan2(np.sin(dlon) * np.cos(lat2), np.cos(lat1) * np.sin(lat2) - np.sin(lat1) * np.cos(lat2) * np.cos(dlon))
     back = np.arctan2(np.sin(-dlon) * np.cos(lat1), np.cos(lat2) * np.sin(lat1) - np.sin(lat2) * np.cos(lat1) * np.cos(dlon))
-    return e.mean_radius * 2 * np.arcsin(np.sqrt(a)), there % (2 * pi), (back + pi) % (2 * pi)
+    return e.mean_radius * 2 * np.arcsin(np.sqrt(np.minimum(a, 1))), there % (2 * pi), (back + pi) % (2 * pi)
 
 
 def vincenty_inverse_arrays(lat1, lon1, lat2, lon2, e: Ellipsoid = WGS84) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def vincenty_inverse_arrays(lat1, lon1, lat2, lon2, e: Ellipsoid = WGS84) -> tup
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     lam = l.copy()
     sin_s, cos_s, sigma, cos2a, c2m = (np.zeros_like(l) for _ in range(5))
-    done, live = np.zeros(len(l), bool), np.arange(len(l))
+    done, live = np.zeros(len(l), bool), np.flatnonzero(~np.isnan(l))
     with np.errstate(all="ignore"):
         for _ in range(MAX_ITERATIONS):
             if not len(live):
@@ -227,7 +227,7 @@ def vincenty_direct_arrays(lat, lon, height, bearing, distance, e: Ellipsoid = W
     big_a, big_b = _series(cos2a, e)
     straight = distance / (e.b * big_a)
     sigma, c2m = straight.copy(), np.zeros_like(straight)
-    done, live = np.zeros(len(lat), bool), np.arange(len(lat))
+    done, live = np.zeros(len(lat), bool), np.flatnonzero(~np.isnan(straight))
     with np.errstate(all="ignore"):
         for _ in range(MAX_ITERATIONS):
             if not len(live):

@@ -66,37 +66,42 @@ class AtlasFull(ValueError):
     pass
 
 
+def _shelves(size: float, padding: float):
+    """Place symbols that come atlas by atlas in order of seq, a row at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        atlas, x, y, row = None, 0.0, 0.0, 0.0
+        for b in batches:
+            out = []
+            for key, own, w, h in b[["atlas", "id", "width", "height"]].itertuples(index=False):
+                if key != atlas:
+                    atlas, x, y, row = key, 0.0, 0.0, 0.0
+                if x + w + padding > size:
+                    x, y, row = 0.0, y + row + padding, 0.0
+                fits = y + h + padding <= size
+                out.append((key, own, x / size, y / size, (x + w) / size, (y + h) / size, w, h, fits))
+                if fits:
+                    x, row = x + w + padding, max(row, h)
+            yield pd.DataFrame(out, columns=["atlas", "id", "u0", "v0", "u1", "v1", "width", "height", "fits"])
+
+    return run
+
+
 def pack_shelves(symbols: DataFrame, size: int = 2048, padding: int = 2, by: str | None = None) -> DataFrame:
     """Shelf packing in order of seq: each symbol's u0, v0, u1, v1 and fits (false once the atlas is full).
 
     Symbols are id, seq, width and height; an id that comes again is placed once,
-    where it first came. An atlas is a texture, so a few thousand symbols at most;
-    several atlases (by) are packed side by side.
+    where it first came. Several atlases (by) are packed side by side; one atlas
+    is packed in order by one task, a batch at a time.
     """
-    keys = [by] if by else []
-    first = symbols.groupBy(*keys, "id").agg(F.min_by(F.struct("seq", "width", "height"), "seq").alias("s")).select(*keys, "id", "s.*")
-    items = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "id", "width", "height"))).alias("items"))
-    placed = "array<struct<id:string,x:double,y:double,width:double,height:double,fits:boolean>>"
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("row"), F.array().cast(placed).alias("out"))
-
-    def step(s: Column, i: Column) -> Column:
-        w, h = i["width"].cast("double"), i["height"].cast("double")
-        wrap = s["x"] + w + padding > size
-        x, y = F.when(wrap, 0.0).otherwise(s["x"]), F.when(wrap, s["y"] + s["row"] + padding).otherwise(s["y"])
-        row = F.when(wrap, 0.0).otherwise(s["row"])
-        fits = y + h + padding <= size
-        one = F.struct(i["id"].cast("string").alias("id"), x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"), fits.alias("fits"))
-        return F.struct(
-            F.when(fits, x + w + padding).otherwise(x).alias("x"), y.alias("y"), F.when(fits, F.greatest(row, h)).otherwise(row).alias("row"),
-            F.concat(s["out"], F.array(one)).alias("out"),
-        )
-
-    rows = items.select(*keys, F.explode(F.aggregate("items", start, step)["out"]).alias("p"))
-    side = float(size)
-    return rows.select(
-        *keys, "p.id", (F.col("p.x") / side).alias("u0"), (F.col("p.y") / side).alias("v0"), ((F.col("p.x") + F.col("p.width")) / side).alias("u1"),
-        ((F.col("p.y") + F.col("p.height")) / side).alias("v1"), "p.width", "p.height", "p.fits",
+    key = F.col(by).cast("string") if by else F.lit("")
+    first = symbols.groupBy(key.alias("atlas"), F.col("id").cast("string").alias("id")).agg(
+        F.min_by(F.struct("seq", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), "seq").alias("s")
     )
+    dealt = first.select("atlas", "id", "s.*").repartition("atlas").sortWithinPartitions("atlas", "seq", "id")
+    schema = "atlas string, id string, u0 double, v0 double, u1 double, v1 double, width double, height double, fits boolean"
+    placed = dealt.mapInPandas(_shelves(float(size), float(padding)), schema)
+    return placed.withColumn("atlas", F.col("atlas").cast(symbols.schema[by].dataType)).withColumnRenamed("atlas", by) if by else placed.drop("atlas")
 
 
 def symbol_size(bbox: Column) -> Column:

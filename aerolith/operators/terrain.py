@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.geodesy import Vincenty, _c
+from aerolith.operators.tracking import flat_advance
 
 #: Elevations at or below this are voids and read as 0; coordinates this near an integer are one.
 VOID, SNAP = -32767, 1e-12
 HAZARD_METRES, CHART_LEAST, CHART_ROOM, CLEARANCE_AT = 300.0, 1000.0, 1.2, 30_000.0
-#: Tiles up to this number are broadcast; beyond it points are shuffled to their tile.
-BROADCAST_TILES = 64
+#: Cells of all tiles, in bytes, up to which whole tiles are broadcast; beyond it points are joined to blocks of BLOCK x BLOCK cells.
+BROADCAST_BYTES, BLOCK = 64 << 20, 64
 
 
 def tile_floor(x) -> Column:
@@ -20,33 +21,59 @@ def tile_floor(x) -> Column:
     return F.when(F.abs(x - F.rint(x)) < SNAP, F.rint(x)).otherwise(F.floor(x).cast("double")).cast("int")
 
 
-def _cell(row: Column, col: Column) -> Column:
-    v = F.get(F.col("elevations"), col * F.col("num_rows") + row)
+def blocks(tiles: DataFrame, edge: int = BLOCK) -> DataFrame:
+    """Tiles as blocks of cells: lat_deg, lon_deg, block_row, block_col, rows (of the block) and cells, column after column.
+
+    A block has one row and one column of its neighbours, so the four cells
+    around any point are in one block of some kilobytes.
+    """
+    spans = lambda n: F.sequence(F.lit(0), F.greatest(F.floor((F.col(n) - 2) / edge), F.lit(0)).cast("int"))
+    t = tiles.select("lat_deg", "lon_deg", "num_rows", "num_cols", "elevations", F.explode(spans("num_rows")).alias("block_row"))
+    t = t.withColumn("block_col", F.explode(spans("num_cols")))
+    first, start = F.col("block_row") * edge, F.col("block_col") * edge
+    rows, cols = F.least(F.lit(edge + 1), F.col("num_rows") - first), F.least(F.lit(edge + 1), F.col("num_cols") - start)
+    column = lambda c: F.slice("elevations", (start + c) * F.col("num_rows") + first + 1, rows)
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), cols - 1), column))
+    return t.select("lat_deg", "lon_deg", "block_row", "block_col", rows.alias("rows"), cells.alias("cells"))
+
+
+def _cell(cells: str, rows: Column, row: Column, col: Column) -> Column:
+    v = F.get(F.col(cells), col * rows + row)
     return F.when(v <= VOID, 0.0).otherwise(v.cast("double"))
 
 
-def elevation(points: DataFrame, tiles: DataFrame, lat: str = "lat", lon: str = "lon", strict: bool = False) -> DataFrame:
+def elevation(points: DataFrame, tiles: DataFrame, lat: str = "lat", lon: str = "lon", strict: bool = False, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Points (radians) with column elevation, bilinear within the 1 degree tile of each; null, or an error if strict, without tile.
 
     A tile is 1 degree wide whatever its spacing. Points keep their columns.
-    Tiles are wide rows, so they are broadcast only if there are few of them;
-    else both sides are shuffled by tile, where skewed tiles are split by AQE.
+    The tiles' sizes are broadcast (there are at most 360 x 180), and their cells
+    too within ``most_bytes``. Beyond it points are shuffled to the block of
+    cells that they need, where AQE splits what many points share.
     """
-    small = tiles.select("lat_deg", "lon_deg", "num_rows", "num_cols", "elevations").withColumnsRenamed({"lat_deg": "__lat", "lon_deg": "__lon"})
-    if tiles.select("lat_deg").limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES:
-        small = F.broadcast(small)
+    key = {"lat_deg": "__lat", "lon_deg": "__lon"}
+    shapes = tiles.select("lat_deg", "lon_deg", "num_rows", "num_cols")
+    size = shapes.agg(F.coalesce(F.sum(F.col("num_rows").cast("long") * F.col("num_cols") * 2), F.lit(0))).first()[0]
+    whole = size <= most_bytes
+    known = F.broadcast((tiles.select(*shapes.columns, F.col("elevations").alias("__cells")) if whole else shapes).withColumnsRenamed(key))
     p = points.withColumns({"__y": F.degrees(_c(lat)), "__x": F.degrees(_c(lon))})
     p = p.withColumns({"__ky": tile_floor(F.col("__y")), "__kx": tile_floor(F.col("__x"))})
-    j = p.join(small, (F.col("__ky") == F.col("__lat")) & (F.col("__kx") == F.col("__lon")), "left")
+    j = p.join(known, (F.col("__ky") == F.col("__lat")) & (F.col("__kx") == F.col("__lon")), "left")
     inside = lambda v, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v - k))
     j = j.withColumns({
         "__r": inside(F.col("__y"), F.col("__ky")) * (F.col("num_rows") - 1), "__c": inside(F.col("__x"), F.col("__kx")) * (F.col("num_cols") - 1),
     })
-    r0, c0 = F.floor("__r").cast("int"), F.floor("__c").cast("int")
-    r1, c1 = F.least(r0 + 1, F.col("num_rows") - 1), F.least(c0 + 1, F.col("num_cols") - 1)
-    fr, fc = F.col("__r") - r0, F.col("__c") - c0
-    low = _cell(r0, c0) * (1.0 - fc) + _cell(r0, c1) * fc
-    high = _cell(r1, c0) * (1.0 - fc) + _cell(r1, c1) * fc
+    j = j.withColumns({"__r0": F.least(F.floor("__r").cast("int"), F.col("num_rows") - 2), "__c0": F.least(F.floor("__c").cast("int"), F.col("num_cols") - 2)})
+    j = j.withColumns({c: F.greatest(F.col(c), F.lit(0)) for c in ("__r0", "__c0")})
+    r0, c0, rows = F.col("__r0"), F.col("__c0"), F.col("num_rows")
+    if not whole:
+        j = j.withColumns({"__br": F.floor(r0 / BLOCK).cast("int"), "__bc": F.floor(c0 / BLOCK).cast("int")})
+        b = blocks(tiles).withColumnsRenamed(key).withColumnsRenamed({"block_row": "__br", "block_col": "__bc", "rows": "__rows", "cells": "__cells"})
+        j = j.join(b, ["__lat", "__lon", "__br", "__bc"], "left")
+        r0, c0, rows = r0 - F.col("__br") * BLOCK, c0 - F.col("__bc") * BLOCK, F.col("__rows")
+    r1, c1 = r0 + F.when(F.col("num_rows") > 1, 1).otherwise(0), c0 + F.when(F.col("num_cols") > 1, 1).otherwise(0)
+    fr, fc = F.col("__r") - F.col("__r0"), F.col("__c") - F.col("__c0")
+    low = _cell("__cells", rows, r0, c0) * (1.0 - fc) + _cell("__cells", rows, r0, c1) * fc
+    high = _cell("__cells", rows, r1, c0) * (1.0 - fc) + _cell("__cells", rows, r1, c1) * fc
     found = low * (1.0 - fr) + high * fr
     if strict:
         gone = F.concat(F.lit("TileNotLoaded("), F.col("__ky"), F.lit(", "), F.col("__kx"), F.lit(")"))
@@ -55,12 +82,12 @@ def elevation(points: DataFrame, tiles: DataFrame, lat: str = "lat", lon: str =
 
 
 def legs(routes: DataFrame, solver: type = Vincenty) -> DataFrame:
-    """Consecutive pairs of a route's points (route_id, seq, lat, lon, height) with length, bearing and the distance before."""
+    """Consecutive pairs of a route's points (route_id, seq, lat, lon, height) with length, bearing, the distance before, and whether it is the last."""
     w = Window.partitionBy("route_id").orderBy("seq")
-    pair = routes.select("route_id", "seq", "lat", "lon", "height", F.lead(F.struct("lat", "lon", "height")).over(w).alias("next"))
+    pair = routes.select("route_id", "seq", "lat", "lon", "height", F.lead(F.struct("lat", "lon", "height")).over(w).alias("next"), F.lead("seq", 2).over(w).isNull().alias("last"))
     measured = pair.where(F.col("next").isNotNull()).withColumn("g", solver.inverse("lat", "lon", "next.lat", "next.lon"))
     before = F.coalesce(F.sum("g.distance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return measured.select("route_id", "seq", "lat", "lon", "height", "next", F.col("g.distance").alias("length"), F.col("g.initial_bearing").alias("bearing"), before.alias("before"))
+    return measured.select("route_id", "seq", "lat", "lon", "height", "next", "last", F.col("g.distance").alias("length"), F.col("g.initial_bearing").alias("bearing"), before.alias("before"))
 
 
 def samples(routes: DataFrame, step_m: float, solver: type = Vincenty, uniform: bool = False) -> DataFrame:
@@ -69,35 +96,61 @@ def samples(routes: DataFrame, step_m: float, solver: type = Vincenty, uniform:
     Each leg has a sample every step from its start while a whole step fits, so
     a leg shorter than the step has none, and the route's last point ends it.
     uniform instead puts a sample at every multiple of the step along the whole
-    route. A route of fewer than two points has no rows.
+    route. A route of fewer than two points has no rows. Each leg is measured once.
     """
     if not step_m > 0:
         raise ValueError("step must be positive")
-    leg = legs(routes, solver)
     n = F.floor(F.col("length") / step_m)
     if uniform:
         first = F.ceil(F.col("before") / step_m)
         count = F.ceil((F.col("before") + F.col("length")) / step_m) - first
-        at = F.transform(F.sequence(F.lit(0), count - 1), lambda k: (first + k) * step_m - F.col("before"))
+        at = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: (first + k) * step_m - F.col("before"))
         at = F.when(count > 0, at)
     else:
         at = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: k * step_m))
-    on = leg.select("*", F.explode(at).alias("d"))
+    none = F.array().cast("array<double>")
+    stops = F.concat(F.coalesce(at.cast("array<double>"), none), F.when(F.col("last"), F.array(F.lit(None).cast("double"))).otherwise(none))
+    on = legs(routes, solver).select("*", F.explode(stops).alias("d"))  # no distance: the end itself
+    end = F.col("d").isNull()
     share = F.when(F.col("length") > 0, F.col("d") / F.col("length")).otherwise(0.0)
     on = on.withColumn("h", F.col("height") + (F.col("next.height") - F.col("height")) * share)
     on = on.withColumn("p", solver.direct("lat", "lon", "h", "bearing", "d"))
-    inner = on.select("route_id", (F.col("before") + F.col("d")).alias("distance_meters"), "p.lat", "p.lon", F.col("h").alias("height"))
-    end = leg.groupBy("route_id").agg(F.max_by(F.struct((F.col("before") + F.col("length")).alias("distance_meters"), "next"), "seq").alias("e"))
-    return inner.unionByName(end.select("route_id", "e.distance_meters", "e.next.lat", "e.next.lon", "e.next.height"))
+    own = lambda c, x: F.when(end, F.col(f"next.{c}")).otherwise(x).alias(c)
+    along = (F.col("before") + F.coalesce("d", "length")).alias("distance_meters")
+    return on.select("route_id", along, own("lat", F.col("p.lat")), own("lon", F.col("p.lon")), own("height", F.col("h")))
 
 
 def profile(routes: DataFrame, tiles: DataFrame, step_m: float, solver: type = Vincenty, strict: bool = False, uniform: bool = False) -> DataFrame:
-    """Samples with ground_elevation; complete is false on all rows of a route that leaves the tiles."""
+    """Samples with ground_elevation; complete is false on all rows of a route that leaves the tiles.
+
+    A route's samples are where its legs are, so the last step needs no shuffle
+    where tiles are broadcast.
+    """
     on = elevation(samples(routes, step_m, solver, uniform), tiles, strict=strict).withColumnRenamed("elevation", "ground_elevation")
     whole = F.min(F.col("ground_elevation").isNotNull()).over(Window.partitionBy("route_id"))
     return on.withColumn("complete", whole)
 
 
+#: How far before and behind a target its test route reaches, and its step.
+ROUTE_SPAN, ROUTE_STEP = (-30_000, 50_000), 2_000
+
+
+def route_ahead(targets: DataFrame) -> DataFrame:
+    """A straight route through each target (id, lat, lon, height, heading_rad) on a flat Earth: route_id, seq, lat, lon, height."""
+    steps = (ROUTE_SPAN[1] - ROUTE_SPAN[0]) // ROUTE_STEP
+    on = targets.select("id", "lat", "lon", "height", "heading_rad", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("seq"))
+    at = flat_advance("lat", "lon", "heading_rad", F.lit(1.0), (F.col("seq") * ROUTE_STEP + ROUTE_SPAN[0]).cast("double"))
+    return on.withColumn("p", at).select(F.col("id").alias("route_id"), "seq", "p.lat", "p.lon", "height")
+
+
+def in_degrees(profiles: DataFrame) -> DataFrame:
+    """A profile as five numbers a sample: route_id, distance, elevation, lat and lon in degrees, height."""
+    return profiles.select(
+        "route_id", F.col("distance_meters").alias("distance"), F.col("ground_elevation").alias("elevation"),
+        F.degrees("lat").alias("lat_deg"), F.degrees("lon").alias("lon_deg"), "height",
+    )
+
+
 def clearance(targets: DataFrame, tiles: DataFrame) -> DataFrame:
     """Height over the ground below each target, no tile counting as sea level, and whether that is a hazard."""
     on = elevation(targets, tiles)

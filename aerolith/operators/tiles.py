@@ -108,6 +108,100 @@ def cover_around(lat: float, lon: float, z: int, spark: SparkSession, radius: in
     return point.withColumn("y", span("y")).withColumn("x", span("x")).select(F.lit(z).alias("z"), "x", "y")
 
 
+#: Margins of a view's tiles, places of the probes in parts of the view, how far they may reach, and metres of a degree.
+MARGIN, GLOBE_MARGIN, PROBE_RADIUS, DEGREE_M, LEAST_COS = 1, 2, 8, 111_000.0, 0.01
+CORNERS = ((-0.5, -0.5), (0.5, -0.5), (-0.5, 0.5), (0.5, 0.5))
+PROBES = ((0.0, 0.0), *CORNERS, (-0.5, 0.0), (0.5, 0.0), (0.0, -0.5), (0.0, 0.5))
+VIEW = ("view", "lat", "lon", "zoom", "rotation", "viewport_base_meters", "aspect_ratio", "mode")
+
+
+def _probed(views: DataFrame, projection: Projection, at: tuple[tuple[float, float], ...]) -> DataFrame:
+    """Positions (struct p: lat, lon; null without image) of places in each view, given in parts of its width and height."""
+    w = F.col("viewport_base_meters") / F.col("zoom")
+    h = w / F.col("aspect_ratio")
+    places = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in at))
+    on = views.withColumn("c", projection.project("lat", "lon")).withColumn("o", F.explode(places))
+    x, y, turn = F.col("o.x") * w, F.col("o.y") * h, F.col("rotation")
+    px, py = F.col("c.x") + x * F.cos(turn) - y * F.sin(turn), F.col("c.y") + x * F.sin(turn) + y * F.cos(turn)
+    return on.withColumn("p", projection.unproject(px, py))
+
+
+def _reach(x: Column, y: Column) -> list[Column]:
+    return [f(c).alias(n) for n, f, c in (("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))]
+
+
+def visible_bounds(views: DataFrame, projection: Projection, zoom: Column | None = None) -> DataFrame:
+    """For each view (VIEW columns) its tile zoom z and the bounds min_x, max_x, min_y, max_y of the tiles to show.
+
+    The box of the tiles of the four corners with a margin of one; two tiles
+    about the centre on the globe; one about it where no corner has a position.
+    """
+    views = views.select(*VIEW).withColumn("z", camera_zoom("zoom") if zoom is None else zoom)
+    z = F.col("z").cast("double")
+    on = _probed(views.where("mode <> '3D'"), projection, CORNERS).where("p is not null")
+    box = on.groupBy("view").agg(*_reach(tile_x("p.lon", z), tile_y("p.lat", z)))
+    cx, cy, globe, none = tile_x("lon", z), tile_y("lat", z), F.col("mode") == "3D", F.col("x0").isNull()
+    about = F.when(globe, GLOBE_MARGIN).otherwise(MARGIN)
+    most = _n(z) - 1.0
+    side = lambda own, centre, sign: F.when(globe | none, centre + sign * about).otherwise(F.col(own) + sign * MARGIN)
+    least, top = (lambda c: F.greatest(F.lit(0.0), c.cast("double")).cast("int")), (lambda c: F.least(most, c.cast("double")).cast("int"))
+    return views.join(box, "view", "left").select(
+        "view", "z", least(side("x0", cx, -1)).alias("min_x"), top(side("x1", cx, 1)).alias("max_x"), least(side("y0", cy, -1)).alias("min_y"), top(side("y1", cy, 1)).alias("max_y")
+    )
+
+
+def visible_keys(views: DataFrame, projection: Projection, zoom: Column | None = None) -> DataFrame:
+    """Tiles (view, z, x, y) that nine probes of each view span, at most PROBE_RADIUS from the centre's; never none.
+
+    On the globe a span of degrees takes the place of the probes.
+    """
+    views = views.select(*VIEW).withColumn("z", ideal_zoom(F.col("viewport_base_meters") / F.col("zoom")) if zoom is None else zoom)
+    z = F.col("z").cast("double")
+    flat = _probed(views.where("mode <> '3D'"), projection, PROBES).where("p is not null").withColumn("t", tile_of("p.lat", "p.lon", z))
+    flat = flat.groupBy("view").agg(*_reach(F.col("t.x"), F.col("t.y")))
+    w = F.col("viewport_base_meters") / F.col("zoom")
+    up = F.least(F.lit(90.0), w / F.col("aspect_ratio") / DEGREE_M)
+    side = F.least(F.lit(180.0), w / (DEGREE_M * F.greatest(F.abs(F.cos("lat")), F.lit(LEAST_COS))))
+    lat, lon = F.degrees("lat"), F.degrees("lon")
+    ends = F.array(*(tile_of(F.radians(lat + k * up), F.radians(lon + k * side), z) for k in (-1.0, 1.0)))
+    globe = views.where("mode = '3D'").select("view", F.explode(ends).alias("t")).groupBy("view").agg(*_reach(F.col("t.x"), F.col("t.y")))
+    own = views.withColumn("t", tile_of("lat", "lon", z)).join(flat.union(globe), "view", "left")
+    for c in "xy":
+        own = own.withColumn(f"{c}0", F.greatest(F.col(f"{c}0"), F.greatest(F.col(f"t.{c}") - PROBE_RADIUS, F.lit(0))))
+        own = own.withColumn(f"{c}1", F.when(F.col(f"{c}1").isNotNull(), F.least(F.col(f"{c}1"), F.col(f"t.{c}") + PROBE_RADIUS)))
+    some = F.coalesce((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")), F.lit(False))
+    span = lambda c: F.explode(F.when(some, F.sequence(f"{c}0", f"{c}1")).otherwise(F.array(f"t.{c}")))
+    return own.withColumn("x", span("x")).withColumn("y", span("y")).select("view", "z", "x", "y")
+
+
+def tiles_within(bounds: DataFrame) -> DataFrame:
+    """view, z, x and y of all tiles of bounds."""
+    span = lambda c: F.explode(F.sequence(f"min_{c}", f"max_{c}"))
+    return bounds.withColumn("y", span("y")).withColumn("x", span("x")).select("view", "z", "x", "y")
+
+
+def panned(drags: DataFrame, projection: Projection) -> DataFrame:
+    """Views (VIEW columns) after a drag of dx_px, dy_px on a canvas of canvas_width pixels; where that leads off the map the centre stays."""
+    per_px = F.col("viewport_base_meters") / F.col("zoom") / F.col("canvas_width")
+    dx, dy, turn = F.col("dx_px"), F.col("dy_px"), -F.col("rotation")
+    on = drags.withColumn("c", projection.project("lat", "lon"))
+    x = F.col("c.x") - (dx * F.cos(turn) - dy * F.sin(turn)) * per_px
+    y = F.col("c.y") + (dx * F.sin(turn) + dy * F.cos(turn)) * per_px  # rows grow downwards
+    on = on.withColumn("p", projection.unproject(x, y))
+    return on.select(*(F.coalesce(f"p.{c}", c).alias(c) if c in ("lat", "lon") else F.col(c) for c in VIEW))
+
+
+def tile_corners(tiles: DataFrame, projection: Projection) -> DataFrame:
+    """The four vertices (row, col, u, v, px, py) of each tile; one without image is at 0, 0."""
+    at = mesh(tiles, projection, 1)
+    return at.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("px", "py")})
+
+
+def features_on(tile_features: DataFrame, keys: DataFrame) -> DataFrame:
+    """Features of the tiles in keys, once for each tile that has them: a feature on several tiles comes back as often."""
+    return tile_features.join(keys.select("z", "x", "y").distinct(), ["z", "x", "y"])
+
+
 def mesh(tiles: DataFrame, projection: Projection, cells: int = 4) -> DataFrame:
     """Vertices of each tile: row and column of a grid, u and v, projected x and y (null where there is no image)."""
     steps = lambda: F.explode(F.sequence(F.lit(0), F.lit(cells)))
@@ -150,6 +244,33 @@ def graticule(spark: SparkSession, projection: Projection | None = None) -> Data
 
 # -- requests and caches
 
+#: A request for one tile of a layer; the matrix set is that of Web Mercator.
+_WMTS = "service=WMTS&request=GetTile&version=1.0.0&layer={layer}&style=&tilematrixset={set}&TileMatrix={set}:{z}&TileRow={y}&TileCol={x}&format=image/png"
+_MATRIX_SET = "EPSG:900913"
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """A template with the first mark of each name in braces replaced by a column."""
+    parts: list = [template]
+    for name, value in values.items():
+        for k, part in enumerate(parts):
+            if isinstance(part, str) and f"{{{name}}}" in part:
+                before, _, after = part.partition(f"{{{name}}}")
+                parts[k : k + 1] = [before, value.cast("string"), after]
+                break
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def wmts_url(base: str, layer: str, z, x, y) -> Column:
+    """The address of a tile at a tile server; a base with a query is carried on."""
+    text = _WMTS.replace("{layer}", layer).replace("{set}", _MATRIX_SET)
+    return _filled(base + ("&" if "?" in base else "?") + text, z=_c(z), x=_c(x), y=_c(y))
+
+
+def xyz_url(template: str, z, x, y) -> Column:
+    """An address from a template with {z}, {x} and {y}, each once."""
+    return _filled(template, x=_c(x), y=_c(y), z=_c(z))
+
 
 def wanted(requests: DataFrame, cached: DataFrame, pending: DataFrame) -> DataFrame:
     """Tiles to fetch: each once, neither cached nor asked for already."""

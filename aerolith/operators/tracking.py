@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.ellipsoid import FEET_PER_METRE, KNOTS_PER_MPS, WGS84
@@ -60,16 +60,14 @@ def dead_reckon(states: DataFrame, time, stale_seconds: float = STALE_SECONDS, s
     """
     live = states.withColumn("dt", _c(time) - F.col("last_ping_time")).where(_fresh(F.col("dt"), stale_seconds))
     climbed = F.col("height") + F.col("vertical_rate_mps") * F.col("dt")
-    live = live.withColumn("distance", F.col("speed_mps") * F.col("dt")).withColumn("climbed", climbed)
-    moving = live.withColumn("p", solver.direct("lat", "lon", "height", "track_heading_rad", "distance")) if not solver.is_ellipsoidal else None
-    out = ("id", "lat", "lon", F.col("climbed").alias("height"), F.col("track_heading_rad").alias("heading_rad"), "dt")
-    if moving is not None:
-        at = F.when(F.col("distance") > 0, F.col("p")).otherwise(F.struct("lat", "lon", "height"))
-        return moving.withColumn("q", at).select("id", F.col("q.lat").alias("lat"), F.col("q.lon").alias("lon"), *out[3:])
-    # a Python function runs on every row it is given, so still targets go round it
-    still = live.where(~(F.col("distance") > 0)).select(*out)
-    gone = live.where(F.col("distance") > 0).withColumn("p", solver.direct("lat", "lon", "height", "track_heading_rad", "distance"))
-    return gone.select("id", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), *out[3:]).unionByName(still)
+    run = F.col("speed_mps") * F.col("dt")
+    # the solver gets no distance for a still target, and stops at once
+    live = live.withColumn("climbed", climbed).withColumn("p", solver.direct("lat", "lon", "height", "track_heading_rad", F.when(run > 0, run)))
+    gone = run > 0
+    return live.select(
+        "id", F.when(gone, F.col("p.lat")).otherwise(F.col("lat")).alias("lat"), F.when(gone, F.col("p.lon")).otherwise(F.col("lon")).alias("lon"),
+        F.col("climbed").alias("height"), F.col("track_heading_rad").alias("heading_rad"), "dt",
+    )
 
 
 def flat_advance(lat, lon, heading, speed, seconds) -> Column:
@@ -104,14 +102,45 @@ def data_block(height, speed, rounded: bool = True) -> Column:
     return F.concat(F.lit("FL"), shown, F.lit(" "), knots.cast("string"), F.lit("KT"))
 
 
-def moving_average(frames: DataFrame, order: str, value: str, rows: int = 60, by: str | None = None) -> DataFrame:
-    """Mean of the last rows values in order, in each group of by."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(by or F.lit(0)).orderBy(order).rowsBetween(1 - rows, 0)
+def moving_average(frames: DataFrame, order: str, value: str, by: str, rows: int = 60) -> DataFrame:
+    """Mean of the last rows values in order, in each group of by: a view, session or target."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(1 - rows, 0)
     return frames.withColumn("moving_avg", F.avg(value).over(w))
 
 
+#: Frames a second while someone acts and else, and how long after an action.
+ACTIVE_FPS, IDLE_FPS, ACTIVE_SECONDS = 60, 15, 1.0
+
+
+def frame_rate(log: DataFrame, by: str, time: str, acts: str) -> DataFrame:
+    """Target frames a second at each row of a log: ACTIVE_FPS up to ACTIVE_SECONDS after the last row on which acts holds, else IDLE_FPS."""
+    w = Window.partitionBy(by).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col(acts), F.col(time))).over(w)
+    active = F.coalesce(F.col(time) - last <= ACTIVE_SECONDS, F.lit(False))
+    return log.withColumn("target_fps", F.when(active, ACTIVE_FPS).otherwise(IDLE_FPS))
+
+
+def without_nul(targets: DataFrame, key: str = "id") -> DataFrame:
+    """Targets whose id a C string can hold: none with a NUL character."""
+    return targets.where(~F.contains(F.col(key), F.lit("\0")))
+
+
+#: What made-up targets are called and where, how high and how fast they fly.
+MADE_CALLS, MADE_RADIUS_M, MADE_HEIGHT_M, MADE_SPEED = ("TAM", "GLO", "AZU", "COP", "HEL", "ARG", "TAP", "AAL", "KLM", "DLH"), (15e3, 80e3), (1000.0, 6000.0), (180.0, 70.0)
+
+
+def made_targets(spark: SparkSession, n: int, lat: float, lon: float, seed: int = 0) -> DataFrame:
+    """n made-up targets about a place, by hash of their number: the same ones each time, on any number of tasks."""
+    part = lambda k: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(k)), 11) / F.lit(float(1 << 53))
+    call = F.get(F.array(*(F.lit(c) for c in MADE_CALLS)), F.floor(part(0) * len(MADE_CALLS)).cast("int"))
+    out, angle = (MADE_RADIUS_M[0] + part(2) * MADE_RADIUS_M[1]) / WGS84.a, part(3) * (2 * pi)
+    return spark.range(n).select(
+        F.concat(call, F.floor(100 + part(1) * 900).cast("string")).alias("id"), (lat + out * F.cos(angle)).alias("lat"), (lon + out * F.sin(angle)).alias("lon"),
+        (MADE_HEIGHT_M[0] + part(4) * MADE_HEIGHT_M[1]).alias("height"), (MADE_SPEED[0] + part(5) * MADE_SPEED[1]).alias("speed_mps"),
+        (part(6) * (2 * pi)).alias("track_heading_rad"), F.lit(0.0).alias("vertical_rate_mps"),
+    )
+
+
 def bucket_rate(frames: DataFrame, time: str, seconds: float = 0.5) -> DataFrame:
     """Frames of each bucket of time and how many a second that is: bucket (seconds), frames, fps."""
     bucket = F.floor(F.col(time) / seconds) * seconds

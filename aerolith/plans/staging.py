@@ -6,13 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
+#: Used only in local mode where the session names no folder, as in tests.
 LOCAL_DIR = "file:/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = LOCAL_DIR
+    return named.rstrip("/")
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +47,11 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: ten thousand very long rows are otherwise one batch."""
+    """Bound Arrow batches by bytes: ten thousand very long rows are otherwise one batch.
+
+    The bound stays set in the session, as plans run after they are made; a
+    smaller one that is set already is left alone.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b") or 0) > 256 << 20:
         spark.conf.set(key, str(BATCH_BYTES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.operators import screen
+from aerolith.operators import screen, tiles
 from aerolith.queries.common import A, rnd, rsql, table
 from aerolith.sources import features
 
@@ -61,6 +61,33 @@ def atlas_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.pack_shelves(s, 512, by="atlas").select("atlas", "id", "u0", "v0", "u1", "v1", "fits")
 
 
+def point_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").where(k % 3 == 0).select(k.alias("key"), (k * 7919 % 2_000_000 - 1_000_000).cast("double").alias("x"), (k * 104729 % 3_000_000 - 1_500_000).cast("double").alias("y"))
+    return features.point_markers(p).select("key", F.posexplode("box").alias("corner", "b")).select("key", "corner", "b.x", "b.y")
+
+
+def symbol_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    box = F.array(-(k % 40) / 3.0, F.lit(-1.5), (k % 7) / 2.0, (k % 24) / 5.0)
+    return table(spark, sf_dir, "part").select(k.alias("id"), screen.symbol_size(box).alias("s")).select("id", "s.width", "s.height")
+
+
+def shown_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), k.alias("z_index"), (k % 3 != 0).alias("visible"), (k % 2 == 1).alias("is_static"), (k / 25.0).alias("opacity"))
+    return screen.shown_layers(n, static=True).select("id")
+
+
+def features_on_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of some tiles; every fifth one is on a second tile as well and comes back once more."""
+    k, z = F.col("s_suppkey"), F.lit(3).alias("z")
+    s = table(spark, sf_dir, "supplier")
+    on = s.select(k.alias("key"), z, (k % 4).alias("x"), (k % 3).alias("y")).union(s.where(k % 5 == 0).select(k, z, F.lit(0), F.lit(1)))
+    keys = spark.range(4).select(z, (F.col("id") % 2).alias("x"), (F.floor(F.col("id") / 2) + 1).alias("y"))
+    return tiles.features_on(on, keys.union(keys)).select("key", "x", "y")
+
+
 def distinct_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey")
     px = table(spark, sf_dir, "lineitem").select(
@@ -76,7 +103,7 @@ def layer_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geojson_features, feature_class, sector_features, pick_nearest, declutter_labels, atlas_pack, distinct_colors, layer_reorder)
+    for f in (geojson_features, feature_class, sector_features, pick_nearest, declutter_labels, atlas_pack, distinct_colors, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
 }
 
 _PX = "px AS (SELECT user_id AS frame, event_id AS id, (event_id*37 % 800)::DOUBLE AS x, (event_id*91 % 600)::DOUBLE AS y FROM events)"
@@ -90,6 +117,31 @@ ORACLE_SQL = {
         SELECT frame, id, {rsql('distance', 6)} AS distance FROM d WHERE distance < 100 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY distance, id) = 1""",
     "distinct_colors": """SELECT l_orderkey % 50 AS image, count(*) FILTER (l_partkey % 4 = 0)::BIGINT AS transparent, count(*) FILTER (l_partkey % 4 <> 0)::BIGINT AS opaque,
         count(DISTINCT (l_partkey % 7, l_partkey % 5, l_partkey % 3))::BIGINT AS colors FROM lineitem GROUP BY 1""",
+    "declutter_labels": f"""WITH RECURSIVE {_PX}, o AS (SELECT frame, id::VARCHAR AS id, x, y, row_number() OVER (PARTITION BY frame ORDER BY id::VARCHAR) AS n FROM px),
+        st AS (
+            SELECT frame, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::INT AS slot, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, []::STRUCT(l DOUBLE, t DOUBLE)[] AS taken FROM (SELECT DISTINCT frame FROM px)
+            UNION ALL
+            SELECT frame, n, id, slot, places[slot+1].l, places[slot+1].t, CASE WHEN slot IS NULL THEN taken ELSE list_append(taken, places[slot+1]) END
+            FROM (SELECT *, list_filter([0, 1, 2, 3], lambda k: len(list_filter(taken, lambda b: abs(b.l-places[k+1].l) < 62 AND abs(b.t-places[k+1].t) < 28)) = 0)[1] AS slot
+            FROM (SELECT o.frame, o.n, o.id, st.taken, [{{'l': x+15, 't': y-30}}, {{'l': x+15, 't': y+10}}, {{'l': x-75, 't': y+10}}, {{'l': x-75, 't': y-30}}]::STRUCT(l DOUBLE, t DOUBLE)[] AS places
+                  FROM st JOIN o ON o.frame = st.frame AND o.n = st.n+1))
+        )
+        SELECT frame::BIGINT AS frame, id, slot::INT AS slot, lx AS label_x, ly AS label_y FROM st WHERE slot IS NOT NULL""",
+    "atlas_pack": """WITH RECURSIVE i AS (SELECT p_partkey//200 AS atlas, p_partkey::VARCHAR AS id, (p_partkey % 40 + 8)::DOUBLE AS w, (p_partkey % 24 + 8)::DOUBLE AS h,
+            row_number() OVER (PARTITION BY p_partkey//200 ORDER BY p_partkey) AS n FROM part),
+        st AS (
+            SELECT atlas, 0::BIGINT AS n, NULL::VARCHAR AS id, 0e0 AS px, 0e0 AS py, 0e0 AS x, 0e0 AS y, 0e0 AS r, 0e0 AS w, 0e0 AS h, true AS fits FROM (SELECT DISTINCT atlas FROM i)
+            UNION ALL
+            SELECT atlas, n, id, nx, ny, CASE WHEN ny+h+2 <= 512 THEN nx+w+2 ELSE nx END, ny, CASE WHEN ny+h+2 <= 512 THEN greatest(nr, h) ELSE nr END, w, h, ny+h+2 <= 512
+            FROM (SELECT i.atlas, i.n, i.id, i.w, i.h, CASE WHEN st.x+i.w+2 > 512 THEN 0 ELSE st.x END AS nx, CASE WHEN st.x+i.w+2 > 512 THEN st.y+st.r+2 ELSE st.y END AS ny,
+                  CASE WHEN st.x+i.w+2 > 512 THEN 0 ELSE st.r END AS nr FROM st JOIN i ON i.atlas = st.atlas AND i.n = st.n+1)
+        )
+        SELECT atlas::BIGINT AS atlas, id, px/512 AS u0, py/512 AS v0, (px+w)/512 AS u1, (py+h)/512 AS v1, fits FROM st WHERE n > 0""",
+    "point_markers": f"""WITH s AS (SELECT s_suppkey AS key, (s_suppkey*7919 % 2000000 - 1000000)::DOUBLE AS x, (s_suppkey*104729 % 3000000 - 1500000)::DOUBLE AS y FROM supplier WHERE s_suppkey % 3 = 0)
+        SELECT key, k::INT AS corner, x+1500*[-1,1,1,-1,-1][k+1] AS x, y+1500*[-1,-1,1,1,-1][k+1] AS y FROM s, (SELECT unnest(range(5)) AS k)""",
+    "symbol_size": "SELECT p_partkey AS id, (ceil((p_partkey % 40)/3e0 + (p_partkey % 7)/2e0)+4)::BIGINT AS width, (ceil((p_partkey % 24)/5e0 + 1.5e0)+4)::BIGINT AS height FROM part",
+    "shown_layers": "SELECT n_name AS id FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 2 = 1 AND n_nationkey/25e0 > 0.01",
+    "features_on_tiles": "SELECT s_suppkey AS key, s_suppkey % 4 AS x, s_suppkey % 3 AS y FROM supplier WHERE s_suppkey % 4 < 2 AND s_suppkey % 3 > 0 UNION ALL SELECT s_suppkey, 0, 1 FROM supplier WHERE s_suppkey % 5 = 0",
     "layer_reorder": """WITH r AS (SELECT n_name AS id, row_number() OVER (ORDER BY n_nationkey, n_name) - 1 AS i FROM nation), o AS (SELECT i AS o FROM r WHERE id = 'FRANCE')
         SELECT id, (CASE WHEN i = o THEN 2 WHEN o < i AND i <= 2 THEN i-1 WHEN 2 <= i AND i < o THEN i+1 ELSE i END)::INT AS z_index FROM r LEFT JOIN o ON true""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy as g
-from aerolith.functions.camera import Camera, flat, screen
+from aerolith.functions.camera import Camera, flat, screen, screen_single
 from aerolith.functions.projections import LambertConic, Stereographic, WebMercator
 from aerolith.queries.common import A, B, E2, EP2, F_, PAIRS, POINTS, R1, bearing_sql, direct_sql, ecef_sql, hav_sql, pairs, points, rnd, rsql, table, wrap_sql
 
@@ -104,6 +104,11 @@ def _screen(mode: str):
     return run
 
 
+def _screen_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = points(spark, sf_dir).withColumn("s", screen_single("lat", "lon", "height", CAMERA, STEREO, int(WIDTH), int(HEIGHT))).where("s is not null")
+    return r.select("id", F.col("s.x").cast("double").alias("x"), F.col("s.y").cast("double").alias("y"))
+
+
 def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three view matrices in float32, column after column."""
     rows = [(k, i, v) for k, m in (("2D", CAMERA.matrix_2d(STEREO)), ("2.5D", CAMERA.matrix_tilted(STEREO)), ("3D", CAMERA.matrix_globe())) for i, v in enumerate(flat(m))]
@@ -116,7 +121,7 @@ QUERIES = {
 } | {
     "lcc_project": _projected(LCC), "stereo_project": _projected(STEREO), "mercator_project": _projected(WebMercator()), "mercator_unproject": _returned(WebMercator()),
     "lcc_unproject": _returned(LCC), "stereo_unproject": _returned(STEREO), "screen_2d": _screen("2D"), "screen_25d": _screen("2.5D"), "screen_3d_cull": _screen("3D"),
-    "view_matrices": _matrices,
+    "view_matrices": _matrices, "screen_single": _screen_single,
 }
 
 # -- SQL
@@ -127,7 +132,9 @@ _E = ecef_sql("lat", "lon", "height")
 
 _SERIES = "u2*(a2-b2)/b2"
 
-VINCENTY_INVERSE = f"""WITH RECURSIVE {PAIRS},
+def vincenty_inverse_sql(source: str) -> str:
+    """CTEs after a table pairs(id, lat1, lon1, lat2, lon2): geo(id, done, d, b1, b2)."""
+    return f"""{source},
 start AS (SELECT id, lat1, lon1, lat2, lon2, atan((1-{F_})*tan(lat1)) AS u1, atan((1-{F_})*tan(lat2)) AS u2, lon2-lon1 AS l FROM pairs),
 step AS (
     SELECT id, u1, u2, l, l AS lam, 0 AS i, false AS done, 0e0 AS ss, 0e0 AS cs, 0e0 AS sg, 0e0 AS q, 0e0 AS cm FROM start
@@ -142,7 +149,10 @@ last AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY id ORDER BY
 coef AS (SELECT *, q*({A}*{A}-{B}*{B})/({B}*{B}) AS us FROM last),
 ab AS (SELECT *, 1+us/16384*(4096+us*(-768+us*(320-175*us))) AS ca, us/1024*(256+us*(-128+us*(74-47*us))) AS cb FROM coef),
 geo AS (SELECT id, done, {B}*ca*(sg-cb*ss*(cm+cb/4*(cs*(-1+2*cm*cm)-cb/6*cm*(-3+4*ss*ss)*(-3+4*cm*cm)))) AS d,
-    atan2(cos(u2)*sin(lam), cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(lam)) AS b1, atan2(cos(u1)*sin(lam), -sin(u1)*cos(u2)+cos(u1)*sin(u2)*cos(lam)) AS b2 FROM ab)
+    atan2(cos(u2)*sin(lam), cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(lam)) AS b1, atan2(cos(u1)*sin(lam), -sin(u1)*cos(u2)+cos(u1)*sin(u2)*cos(lam)) AS b2 FROM ab)"""
+
+
+VINCENTY_INVERSE = f"""WITH RECURSIVE {vincenty_inverse_sql(PAIRS)}
 SELECT p.id, {rsql(f"CASE WHEN done THEN d ELSE {hav_sql('lat1', 'lon1', 'lat2', 'lon2')} END", 2)} AS distance,
     {rsql(wrap_sql(f"CASE WHEN done THEN b1 ELSE {bearing_sql('lat1', 'lon1', 'lat2', 'lon2')} END"), 7)} AS initial_bearing,
     {rsql(wrap_sql(f"CASE WHEN done THEN b2 ELSE {bearing_sql('lat2', 'lon2', 'lat1', 'lon1')} + pi() END"), 7)} AS final_bearing
@@ -176,32 +186,59 @@ def _projected_sql(x: str, y: str) -> str:
 
 _E1 = repr(E2 and float(E2[:-2]) ** 0.5)
 _LCC_T = f"(tan(pi()/4-lat/2)*pow((1+{_E1}*sin(lat))/(1-{_E1}*sin(lat)), {_E1}/2))"
-_LCC_RHO = f"({LCC.scale!r}*pow({_LCC_T}, {LCC.n!r}))"
-_LCC_THETA = f"({LCC.n!r}*(lon-({LCC.origin_lon!r})))"
+_lcc_m = lambda p: f"(cos({p})/sqrt(1-{E2}*pow(sin({p}),2)))"
+_lcc_t = lambda p: _LCC_T.replace("lat", p)
+_P1, _P2 = "radians(33e0)", "radians(45e0)"
+_LCC_N = f"((ln({_lcc_m(_P1)})-ln({_lcc_m(_P2)}))/(ln({_lcc_t(_P1)})-ln({_lcc_t(_P2)})))"
+_lcc_rho = lambda t: f"({A}*{_lcc_m(_P1)}/({_LCC_N}*pow({_lcc_t(_P1)}, {_LCC_N}))*pow({t}, {_LCC_N}))"
+_LCC_RHO, _LCC_RHO_0 = _lcc_rho(_LCC_T), _lcc_rho(_lcc_t("0e0"))
+_LCC_THETA = f"({_LCC_N}*(lon-radians(-96e0)))"
 _CHI = f"(2*atan(tan(pi()/4+lat/2)*pow((1-{_E1}*sin(lat))/(1+{_E1}*sin(lat)), {_E1}/2))-pi()/2)"
-_CC, _DL = repr(STEREO._conformal(STEREO.center_lat)), f"(lon-({STEREO.center_lon!r}))"
-_K = f"(2*{STEREO._radius!r}/(1+sin({_CC})*sin({_CHI})+cos({_CC})*cos({_CHI})*cos({_DL})))"
+_LAT_C = "radians(-23.5505e0)"
+_CC, _DL = _CHI.replace("lat", _LAT_C), "(lon-radians(-46.6333e0))"
+_K = f"(2*{A}*sqrt(1-{E2})/(1-{E2}*pow(sin({_LAT_C}),2))/(1+sin({_CC})*sin({_CHI})+cos({_CC})*cos({_CHI})*cos({_DL})))"
 STEREO_X = f"({_K}*cos({_CHI})*sin({_DL}))"
 STEREO_Y = f"({_K}*(cos({_CC})*sin({_CHI})-sin({_CC})*cos({_CHI})*cos({_DL})))"
 _BACK = f"WITH {POINTS} SELECT id, {rsql('lat', 6)} AS lat, {rsql(wrap_sql('lon', '(-pi())'), 6)} AS lon FROM points"
 
 
-def _pixels_sql(matrix: list[float], x: str, y: str, z: str, more: str = "true") -> str:
-    row = lambda k: f"({matrix[k]!r}*px+({matrix[4 + k]!r})*py+({matrix[8 + k]!r})*pz+({matrix[12 + k]!r}))"
+def _pixels_sql(matrix: list[str], x: str, y: str, z: str, more: str = "true") -> str:
+    row = lambda k: f"({matrix[k]}*px+{matrix[4 + k]}*py+{matrix[8 + k]}*pz+{matrix[12 + k]})"
     return f"""WITH {POINTS}, img AS (SELECT id, {x} AS px, {y} AS py, {z} AS pz FROM points)
 SELECT id, {rsql(f"({row(0)}/{row(3)}+1)*0.5*{WIDTH!r}", 3)} AS x, {rsql(f"(1-{row(1)}/{row(3)})*0.5*{HEIGHT!r}", 3)} AS y FROM img WHERE {row(3)} > 0 AND {more}"""
 
 
-_CX, _CY = STEREO.project_point(CAMERA.lat, CAMERA.lon)
-_ROT = f"(px-({_CX!r}))*cos({-CAMERA.rotation!r})-(py-({_CY!r}))*sin({-CAMERA.rotation!r})", f"(px-({_CX!r}))*sin({-CAMERA.rotation!r})+(py-({_CY!r}))*cos({-CAMERA.rotation!r})"
+#: The three matrices of CAMERA, worked out apart from this package with loops over float32 numbers; column after column.
+_MATRIX_2D = (3.821346e-07, -1.5761078e-07, 0.0, 0.0, 1.18208085e-07, 5.095128e-07, 0.0, 0.0, 0.0, 0.0, -0.001, 0.0, 0.0, 0.0, 0.0, 1.0)
+_MATRIX_TILTED = (
+    1.7003454, -0.65712994, 0.21030076, 0.20988058, 0.59966236, 2.1243224, -0.3413462, -0.3406642, 0.16649501, -0.940139, -0.91829425, -0.9164595, 0.0, 0.0, 3927928.0, 4000000.0,
+)
+_MATRIX_GLOBE = (
+    1.5054351, -0.48667365, -0.51906884, -0.5177728, 0.88242936, -0.44174492, 0.85595644, 0.8538192, 0.48319113, 2.323023, 0.054023214, 0.05388832, 0.0, 0.0, 758171300.0, 756378100.0,
+)
+
+
+def _single(matrix: tuple[float, ...]) -> list[str]:
+    return [f"({v!r}::FLOAT)::DOUBLE" for v in matrix]
+
+
+#: The camera has the projection's centre, whose image is 0, 0.
+_ROT = "px*cos(-0.3e0)-py*sin(-0.3e0)", "px*sin(-0.3e0)+py*cos(-0.3e0)"
+_W = "(100000e0/0.02e0)"
 
 
 def _globe_sql() -> str:
-    from aerolith.functions.camera import _camera_ecef
+    c = ecef_sql(_LAT_C, "radians(-46.6333e0)", "15e6/0.02e0")
+    return _pixels_sql(_single(_MATRIX_GLOBE), *_E, f"{c[0]}*px+{c[1]}*py+{c[2]}*pz >= {A}*{A}")
+
 
-    c = _camera_ecef(CAMERA)
-    facing = f"({c[0]!r})*px+({c[1]!r})*py+({c[2]!r})*pz >= {A}*{A}"
-    return _pixels_sql(flat(CAMERA.matrix_globe()), *_E, facing)
+def _native_sql() -> str:
+    """2D in float32 with the camera's aspect."""
+    one = lambda x: f"({x})::FLOAT"
+    w = one(_W)
+    half_w, half_h = f"({w}/2::FLOAT)", f"({w}/{one('4e0/3')}/2::FLOAT)"
+    return f"""WITH {POINTS}, img AS (SELECT id, {STEREO_X} AS px, {STEREO_Y} AS py FROM points)
+        SELECT id, (({one(_ROT[0])}/{half_w}+1::FLOAT)*0.5::FLOAT*800::FLOAT)::DOUBLE AS x, ((1::FLOAT-{one(_ROT[1])}/{half_h})*0.5::FLOAT*600::FLOAT)::DOUBLE AS y FROM img"""
 
 
 ORACLE_SQL = {
@@ -224,15 +261,18 @@ ORACLE_SQL = {
         SELECT l_orderkey, l_linenumber, l_partkey, {rsql(wrap_sql('x'), 8)} AS bearing, {rsql(wrap_sql('x', '(-pi())'), 8)} AS longitude FROM x""",
     "validate_coords": """SELECT c_custkey, CASE WHEN c_custkey*7 % 200 - 100 NOT BETWEEN -90 AND 90 THEN 'LatitudeOutOfRange'
         WHEN c_custkey*11 % 400 - 200 NOT BETWEEN -180 AND 180 THEN 'LongitudeOutOfRange' ELSE 'ok' END AS status FROM customer""",
-    "lcc_project": _projected_sql(f"{_LCC_RHO}*sin({_LCC_THETA})", f"{LCC._rho_0!r}-{_LCC_RHO}*cos({_LCC_THETA})"),
+    "lcc_project": _projected_sql(f"{_LCC_RHO}*sin({_LCC_THETA})", f"{_LCC_RHO_0}-{_LCC_RHO}*cos({_LCC_THETA})"),
     "stereo_project": _projected_sql(STEREO_X, STEREO_Y),
     "mercator_project": _projected_sql(f"{A}*lon", f"{A}*ln(tan(pi()/4+lat/2))"),
     "mercator_unproject": _BACK, "lcc_unproject": _BACK, "stereo_unproject": _BACK,
     "screen_2d": f"""WITH {POINTS}, img AS (SELECT id, {STEREO_X} AS px, {STEREO_Y} AS py FROM points)
-        SELECT id, {rsql(f"(({_ROT[0]})/{CAMERA.width / 2!r}+1)*0.5*{WIDTH!r}", 3)} AS x,
-        {rsql(f"(1-({_ROT[1]})/{CAMERA.width / (WIDTH / HEIGHT) / 2!r})*0.5*{HEIGHT!r}", 3)} AS y FROM img""",
-    "screen_25d": _pixels_sql(flat(CAMERA.matrix_tilted(STEREO)), STEREO_X, STEREO_Y, "height"),
-    "screen_3d_cull": _globe_sql(),
+        SELECT id, {rsql(f"(({_ROT[0]})/({_W}/2)+1)*0.5*{WIDTH!r}", 3)} AS x,
+        {rsql(f"(1-({_ROT[1]})/({_W}/(800e0/600e0)/2))*0.5*{HEIGHT!r}", 3)} AS y FROM img""",
+    "screen_25d": _pixels_sql(_single(_MATRIX_TILTED), STEREO_X, STEREO_Y, "height"),
+    "screen_3d_cull": _globe_sql(), "screen_single": _native_sql(),
+    "view_matrices": "SELECT mode, position::INT AS position, value FROM (VALUES " + ", ".join(
+        f"('{mode}', {k}, {v})" for mode, m in (("2D", _MATRIX_2D), ("2.5D", _MATRIX_TILTED), ("3D", _MATRIX_GLOBE)) for k, v in enumerate(_single(m))
+    ) + ") AS t(mode, position, value)",
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "R1", "EP2"]

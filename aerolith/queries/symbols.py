@@ -9,12 +9,24 @@ from aerolith.functions import colors, symbols
 from aerolith.queries.common import rnd, table
 from aerolith.sources import styles
 
-_SIDES = ("friend", "hostile", "enemy", "neutral", "unknown", "pending", "SFAPUCI------A--", "SHNP-----------", "X6S------------", "none")
-_KINDS = ("fighter", "armor", "ship", "subsurface", "submarine", "satellite", "x")
-_AIDS = ("vor", "VORDME", "vor_tac", "tacan", "dme", "ndb", "heli", "ad:x", "wpt", "int:", "threshold", "none")
-_HEX = ("#F0A", "#F0A8", "FF00AA", "#FF00AA80", "#12", "zzz", "")
-_CSS = ("#fff", "rgb(1, 2,3)", "rgba(255,0,0,0.5)", "none", "Red", "nocolor", "transparent", "grey")
-_DASH = ("5,2,1,2", "3 4", "x", "", "1.5")
+#: Sample codes, and what is expected of each: side and kind (None: the kind follows from the word after the code).
+_SIDE_ROWS = {
+    "friendly": ("Friend", None), "Hostile": ("Hostile", None), "the enemy": ("Hostile", None), "neutral": ("Neutral", None), "unknown": ("Unknown", None), "pending": ("Pending", None),
+    "SSGAQWERTYUIOPA": ("Hostile", "Ground"), "QASAQWERTYUIOPA": ("AssumedFriend", "Land"), "Q36BQWERTYUIOPA": ("Neutral", "Subsurface"), "s1zQQWERTYUIOPA": ("Unknown", "Space"),
+    "SX4QQWERTYUIOPA": ("Other", "Ground"), "other": ("Other", "Other"),
+}
+_KIND_ROWS = {"bomber": "Air", "infantry": "Ground", "naval": "Surface", "the subsurface": "Surface", "submarine": "Subsurface", "space": "Space", "-": None}
+_AID_ROWS = {
+    "vor ": ("Vor", 2), "VOR_DME": ("VorDme", 3), "VorTac": ("VorTac", 3), "TACAN": ("Tacan", 2), "dme": ("Dme", 1), "a ndb": ("Ndb", 2), "heliport": ("Heliport", 2), "aerodrome": ("Airport", 2),
+    "waypoint": ("Waypoint", 1), "intersection": ("Intersection", 1), "runway": ("RunwayThreshold", 1), "other": ("none", 0),
+}
+_HEX_ROWS = {"#2C7": (34, 204, 119, 255), "#2C7D": (34, 204, 119, 221), "2E8B57": (46, 139, 87, 255), "#2E8B5740": (46, 139, 87, 64), "#34": (-1,) * 4, "quux": (-1,) * 4, "": (-1,) * 4}
+_CSS_ROWS = {
+    "#9ce": (153, 204, 238, 128), "rgb(7,  8,9)": (7, 8, 9, 128), "rgba(0,128,64,0.25)": (0, 128, 64, 32), "none": (-1,) * 4, "Blue": (0, 0, 255, 128), "mud": (-1,) * 4,
+    "transparent": (-1,) * 4, "grey": (128, 128, 128, 128),
+}
+_DASH_ROWS = {"8,3,2": (3, 13), "6 1": (2, 7), "y": (-1, -1), "": (-1, -1), "2.25": (1, 2.25)}
+_SIDES, _KINDS, _AIDS, _HEX, _CSS, _DASH = (tuple(rows) for rows in (_SIDE_ROWS, _KIND_ROWS, _AID_ROWS, _HEX_ROWS, _CSS_ROWS, _DASH_ROWS))
 
 SLD = """<?xml version="1.0"?><StyledLayerDescriptor xmlns="http://www.opengis.net/sld" xmlns:se="http://www.opengis.net/se"><NamedLayer><Name>airways</Name><UserStyle>
 <se:FeatureTypeStyle><se:Rule><se:Name>Close</se:Name><MaxScaleDenominator>5000</MaxScaleDenominator><LineSymbolizer><Stroke><CssParameter name="stroke">#FF0000</CssParameter>
@@ -113,50 +125,30 @@ def _list(values: tuple[str, ...], by: str) -> str:
 
 _PARTS = f"""parts AS (SELECT p_partkey AS id, 'nato:' || {_list(_SIDES, 'p_partkey')} || ':' || {_list(_KINDS, 'p_partkey//3')} AS nato,
     'nato:' || {_list(_SIDES, 'p_partkey')} AS short, 'icao:' || {_list(_AIDS, 'p_partkey')} AS icao,
-    {_list(_HEX, 'p_partkey')} AS hex, {_list(_CSS, 'p_partkey')} AS css, {_list(_DASH, 'p_partkey')} AS dash FROM part)"""
-
-
-def _case(code: str, words, letters: dict[str, str] | None, at: int, other: str) -> str:
-    out = "".join(f" WHEN {' OR '.join(f"contains(lower({code}), '{w}')" for w in ws)} THEN '{n}'" for n, ws in words)
-    rest = f"regexp_replace({code}, '^(nato:|mil:)', '')"
-    if letters:
-        out += "".join(f" WHEN strlen({rest}) >= 15 AND contains('{those}', upper(substr({rest}, {at}, 1))) THEN '{n}'" for n, those in letters.items())
-    return f"CASE{out} ELSE '{other}' END"
-
-
-def _side(c: str) -> str:
-    return _case(c, symbols.AFFILIATION_WORDS, symbols.AFFILIATION_LETTERS, 2, "Other")
-
-
-def _kind(c: str) -> str:
-    return _case(c, symbols.DIMENSION_WORDS, symbols.DIMENSION_LETTERS, 3, "Other")
-
-
-_NAVAID = _case("icao", symbols.NAVAID_WORDS, None, 0, "none")
-_COUNT = {"Vor": 2, "VorDme": 3, "VorTac": 3, "Dme": 1, "Ndb": 2, "Tacan": 2, "Airport": 2, "Heliport": 2, "Waypoint": 1, "Intersection": 1, "RunwayThreshold": 1}
+    {_list(_SIDES, 'p_partkey')} AS a, {_list(_KINDS, 'p_partkey//3')} AS b, {_list(_AIDS, 'p_partkey')} AS c, {_list(_HEX, 'p_partkey')} AS hex, {_list(_CSS, 'p_partkey')} AS css, {_list(_DASH, 'p_partkey')} AS dash FROM part)"""
 
 
 def _values(table_: dict[str, tuple], names: str) -> str:
-    return "(VALUES " + ",".join("('" + k + "'," + ",".join(map(str, v)) + ")" for k, v in table_.items()) + f") AS t({names})"
+    one = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ",".join("(" + ",".join(map(one, (k, *v))) + ")" for k, v in table_.items()) + f") AS t({names})"
 
 
-_HEX_ROWS = {"#F0A": (255, 0, 170, 255), "#F0A8": (255, 0, 170, 136), "FF00AA": (255, 0, 170, 255), "#FF00AA80": (255, 0, 170, 128), "#12": (-1,) * 4, "zzz": (-1,) * 4, "": (-1,) * 4}
-_CSS_ROWS = {
-    "#fff": (255, 255, 255, 128), "rgb(1, 2,3)": (1, 2, 3, 128), "rgba(255,0,0,0.5)": (255, 0, 0, 64), "none": (-1,) * 4, "Red": (255, 0, 0, 128), "nocolor": (-1,) * 4,
-    "transparent": (-1,) * 4, "grey": (128, 128, 128, 128),
-}
+#: Kinds of a code: the word after it counts, else its third letter; without word and letter there is none.
+_EXPECTED = f"""sides AS (SELECT * FROM {_values(_SIDE_ROWS, 'a, side, letter')}), kinds AS (SELECT * FROM {_values({k: (v,) for k, v in _KIND_ROWS.items()}, 'b, word')}),
+aids AS (SELECT * FROM {_values(_AID_ROWS, 'c, aid, n')}),
+told AS (SELECT p.*, s.side, coalesce(k.word, s.letter, 'Other') AS kind, coalesce(s.letter, 'Other') AS bare, a.aid, a.n FROM parts p JOIN sides s ON p.a = s.a JOIN kinds k ON p.b = k.b JOIN aids a ON p.c = a.c)"""
+
 
 ORACLE_SQL = {
-    "nato_classify": f"WITH {_PARTS} SELECT id, {_side('nato')} AS nato_side, {_kind('nato')} AS nato_kind, {_side('short')} AS short_side, {_kind('short')} AS short_kind FROM parts",
-    "icao_classify": f"WITH {_PARTS} SELECT id, icao, {_NAVAID} AS navaid FROM parts",
-    "hex_color": f"WITH {_PARTS} SELECT id, r, g, b, a FROM parts JOIN {_values(_HEX_ROWS, 'k, r, g, b, a')} ON hex = k",
-    "css_color": f"WITH {_PARTS} SELECT id, r, g, b, a FROM parts JOIN {_values(_CSS_ROWS, 'k, r, g, b, a')} ON css = k",
-    "dash_array": f"WITH {_PARTS} SELECT id, n::INT AS n, total::DOUBLE AS total FROM parts JOIN {_values({'5,2,1,2': (4, 10), '3 4': (2, 7), 'x': (-1, -1), '': (-1, -1), '1.5': (1, 1.5)}, 'k, n, total')} ON dash = k",
-    "resolve_chain": f"""WITH {_PARTS}, c AS (SELECT id, icao, CASE id % 4 WHEN 0 THEN nato WHEN 1 THEN icao WHEN 2 THEN 'civil:plane' ELSE 'other:thing' END AS code, {_NAVAID} AS aid, {_side('nato')} AS side FROM parts)
-        SELECT id, code, CASE WHEN code LIKE 'nato:%' THEN 'NATO' WHEN code LIKE 'civil:%' THEN 'Declarative' WHEN code LIKE 'icao:%' AND aid <> 'none' THEN 'ICAO' ELSE '' END AS provider,
-        CASE WHEN code LIKE 'nato:%' OR code LIKE 'civil:%' OR (code LIKE 'icao:%' AND aid <> 'none') THEN 'ok' ELSE 'ProviderNotFound' END AS status,
-        (CASE WHEN code LIKE 'nato:%' THEN 2 + (side = 'Hostile')::INT WHEN code LIKE 'civil:%' THEN 2
-        WHEN code LIKE 'icao:%' THEN CASE aid {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _COUNT.items())} ELSE 0 END ELSE 0 END)::INT AS primitives FROM c""",
+    "nato_classify": f"WITH {_PARTS}, {_EXPECTED} SELECT id, side AS nato_side, kind AS nato_kind, side AS short_side, bare AS short_kind FROM told",
+    "icao_classify": f"WITH {_PARTS}, {_EXPECTED} SELECT id, icao, aid AS navaid FROM told",
+    "hex_color": f"WITH {_PARTS} SELECT id, r, g, b_ AS b, a_ AS a FROM parts JOIN {_values(_HEX_ROWS, 'k, r, g, b_, a_')} ON hex = k",
+    "css_color": f"WITH {_PARTS} SELECT id, r, g, b_ AS b, a_ AS a FROM parts JOIN {_values(_CSS_ROWS, 'k, r, g, b_, a_')} ON css = k",
+    "dash_array": f"WITH {_PARTS} SELECT id, n::INT AS n, total::DOUBLE AS total FROM parts JOIN {_values(_DASH_ROWS, 'k, n, total')} ON dash = k",
+    "resolve_chain": f"""WITH {_PARTS}, {_EXPECTED}, t AS (SELECT *, CASE id % 4 WHEN 0 THEN nato WHEN 1 THEN icao WHEN 2 THEN 'civil:plane' ELSE 'other:thing' END AS code FROM told)
+        SELECT id, code, CASE WHEN id % 4 = 0 THEN 'NATO' WHEN id % 4 = 2 THEN 'Declarative' WHEN id % 4 = 1 AND aid <> 'none' THEN 'ICAO' ELSE '' END AS provider,
+        CASE WHEN id % 4 = 3 OR (id % 4 = 1 AND aid = 'none') THEN 'ProviderNotFound' ELSE 'ok' END AS status,
+        (CASE id % 4 WHEN 0 THEN 2 + (side = 'Hostile')::INT WHEN 1 THEN n WHEN 2 THEN 2 ELSE 0 END)::INT AS primitives FROM t""",
     "sld_rules": """SELECT * FROM (VALUES ('a', 'airways', 0, 'Close', ''), ('a', 'airways', 1, 'Far', ''), ('bad', '', -1, '', 'XmlError')) AS t(doc_id, layer, rule_idx, name, error)""",
     "sld_rules_at_scale": """WITH p AS (SELECT p_partkey AS id, (p_partkey*37 % 60000)::DOUBLE AS scale FROM part)
         SELECT id, scale, name FROM p JOIN (VALUES ('Close', -1e9, 5000e0), ('Far', 5000e0, 50000e0)) AS r(name, lo, hi) ON scale BETWEEN lo AND hi""",

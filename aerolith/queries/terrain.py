@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.geodesy import Haversine, Vincenty
 from aerolith.operators import terrain
-from aerolith.queries.common import POINTS, ROUTES, bearing_sql, direct_sql, hav_sql, points, rnd, routes, rsql
+from aerolith.queries.common import A, POINTS, ROUTES, bearing_sql, direct_sql, hav_sql, points, rnd, routes, rsql
+from aerolith.queries.geodesy import vincenty_direct_sql, vincenty_inverse_sql
 from aerolith.sources import dted
 
 CELLS, STEP = 13, 2000.0
@@ -62,15 +63,39 @@ def clearance_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", rnd("clearance", 3).alias("clearance"), "hazard")
 
 
+def _haversine_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = routes(spark, sf_dir)
+    return terrain.profile(r, _tiles(r), STEP, Haversine)
+
+
 def clearance_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = terrain.samples(routes(spark, sf_dir), STEP, Haversine).withColumn("ground_elevation", F.lit(100.0))
-    best = terrain.clearance_ahead(r, 7000.0)
+    best = terrain.clearance_ahead(_haversine_profile(spark, sf_dir), 7000.0)
     return best.select("route_id", rnd("distance_meters", 2).alias("distance_meters"), rnd("clearance", 2).alias("clearance"))
 
 
 def chart_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = terrain.samples(routes(spark, sf_dir), STEP, Haversine).withColumn("ground_elevation", F.lit(100.0))
-    return terrain.chart_top(r).select("route_id", rnd("top", 2).alias("top"))
+    high = _haversine_profile(spark, sf_dir).withColumn("ground_elevation", F.col("ground_elevation") * 3.0)  # above some routes
+    return terrain.chart_top(high).select("route_id", rnd("top", 2).alias("top"))
+
+
+def profile_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a profile in degrees, of routes laid through every tenth customer's point."""
+    t = points(spark, sf_dir).where("id % 10 = 0").withColumn("heading_rad", F.radians((F.col("id") % 360).cast("double")))
+    r = terrain.route_ahead(t)
+    d = terrain.in_degrees(terrain.profile(r, _tiles(r), STEP, Haversine))
+    return d.where("abs(lat_deg) < 80").select("route_id", rnd("elevation", 2).alias("elevation"), rnd("lat_deg", 6).alias("lat_deg"), rnd("lon_deg", 6).alias("lon_deg"), "height")
+
+
+def route_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = points(spark, sf_dir).where("id % 10 = 0").withColumn("heading_rad", F.radians((F.col("id") % 360).cast("double")))
+    return terrain.route_ahead(t).select("route_id", "seq", rnd("lat", 9).alias("lat"), rnd("lon", 9).alias("lon"), "height")
+
+
+def elevation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup with points shuffled to blocks of cells, as it is for tiles too large to broadcast."""
+    p = points(spark, sf_dir)
+    t = dted.analytic_tiles(_tiles(p).select("lat_deg", "lon_deg"), 70, 67)
+    return terrain.elevation(p, t, most_bytes=0).select("id", rnd("elevation", 3).alias("elevation"))
 
 
 def dted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +111,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         elevation_lookup, elevation_missing, null_sentinel, tile_keys, profile_samples, profile_distance, profile_vincenty, clearance_alert,
-        clearance_nearest, chart_top, dted_decode,
+        clearance_nearest, chart_top, dted_decode, profile_degrees, route_ahead, elevation_blocks,
     )
 }
 
@@ -94,14 +119,33 @@ _FLOOR = "CASE WHEN abs(x-round(x)) < 1e-12 THEN round(x) ELSE floor(x) END"
 _KEYS = f"""{POINTS}, deg AS (SELECT *, degrees(lat) AS y, degrees(lon) AS x FROM points),
 keyed AS (SELECT *, ({_FLOOR.replace('x', 'y')})::INT AS ky, ({_FLOOR})::INT AS kx FROM deg),
 ground AS (SELECT id, height, CASE WHEN (ky+kx) % 2 = 0 THEN ({CELLS}-1)*(10*greatest(0, least(1, x-kx)) + greatest(0, least(1, y-ky))) END AS e FROM keyed)"""
-_LEGS = f"""{ROUTES}, nxt AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(height) OVER w AS h2 FROM routes WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+
+
+def _legs_sql(source: str) -> str:
+    return f"""nxt AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(height) OVER w AS h2 FROM {source} WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
 len AS (SELECT *, {hav_sql('lat', 'lon', 'lat2', 'lon2')} AS length, {bearing_sql('lat', 'lon', 'lat2', 'lon2')} AS brg FROM nxt WHERE lat2 IS NOT NULL),
 legs AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM len)"""
+
+
+_LEGS = f"{ROUTES}, {_legs_sql('routes')}"
 _D = direct_sql("lat", "lon", "brg", "d")
-_SAMPLES = f"""{_LEGS}, cuts AS (SELECT *, unnest(range(floor(length/{STEP})::BIGINT))*{STEP} AS d FROM legs),
+_SAMPLED = f"""cuts AS (SELECT *, unnest(range(floor(length/{STEP})::BIGINT))*{STEP} AS d FROM legs),
 samples AS (SELECT route_id, before+d AS distance_meters, CASE WHEN abs(d) < 1e-12 THEN lat ELSE {_D[0]} END AS lat, CASE WHEN abs(d) < 1e-12 THEN lon ELSE {_D[1]} END AS lon,
     height+(h2-height)*d/length AS height FROM cuts
     UNION ALL SELECT route_id, before+length, lat2, lon2, h2 FROM legs QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY seq DESC) = 1)"""
+_SAMPLES = f"{_LEGS}, {_SAMPLED}"
+
+
+def _ground(source: str, under: str) -> str:
+    """CTEs that add the ramp's elevation e to a table with lat and lon: ground. There are tiles below the points of another table."""
+    keys = lambda t: f"SELECT *, ({_FLOOR.replace('x', 'y')})::INT AS ky, ({_FLOOR})::INT AS kx FROM (SELECT *, degrees(lat) AS y, degrees(lon) AS x FROM {t})"
+    return f"""tiles AS (SELECT DISTINCT ky, kx FROM ({keys(under)}) WHERE (ky+kx) % 2 = 0),
+ground AS (SELECT g.*, CASE WHEN t.ky IS NOT NULL THEN ({CELLS}-1)*(10*greatest(0, least(1, x-g.kx)) + greatest(0, least(1, y-g.ky))) END AS e
+    FROM ({keys(source)}) g LEFT JOIN tiles t ON g.ky = t.ky AND g.kx = t.kx)"""
+
+
+_AHEAD = f"""ahead AS (SELECT id AS route_id, k AS seq, lat+m*cos(h)/{A} AS lat, lon+m*sin(h)/({A}*cos(lat)) AS lon, height
+    FROM (SELECT *, radians((id % 360)::DOUBLE) AS h, k*2000-30000 AS m FROM points, (SELECT unnest(range(41)) AS k) WHERE id % 10 = 0))"""
 
 ORACLE_SQL = {
     "elevation_lookup": f"WITH {_KEYS} SELECT id, {rsql('e', 3)} AS elevation FROM ground",
@@ -112,8 +156,22 @@ ORACLE_SQL = {
     "profile_distance": f"""WITH {_LEGS} SELECT route_id, seq::INT AS seq, {rsql('length', 2)} AS length, {rsql('before', 2)} AS before,
         {rsql('brg - 2*pi()*floor(brg/(2*pi()))', 7)} AS bearing FROM legs""",
     "clearance_alert": f"WITH {_KEYS} SELECT id, {rsql('height/20-coalesce(e,0)', 3)} AS clearance, height/20-coalesce(e,0) < 300 AS hazard FROM ground",
-    "clearance_nearest": f"""WITH {_SAMPLES} SELECT route_id, {rsql('distance_meters', 2)} AS distance_meters, {rsql('height-100', 2)} AS clearance FROM samples
+    "clearance_nearest": f"""WITH {_SAMPLES}, {_ground('samples', 'routes')} SELECT route_id, {rsql('distance_meters', 2)} AS distance_meters, {rsql('height-e', 2)} AS clearance FROM ground
         QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY abs(distance_meters-7000), distance_meters) = 1""",
-    "chart_top": f"WITH {_SAMPLES} SELECT route_id, {rsql('greatest(1000, 100, max(height))*1.2e0', 2)} AS top FROM samples GROUP BY route_id",
+    "chart_top": f"WITH {_SAMPLES}, {_ground('samples', 'routes')} SELECT route_id, {rsql('greatest(1000, coalesce(max(e)*3, 0), max(height))*1.2e0', 2)} AS top FROM ground GROUP BY route_id",
+    "profile_vincenty": f"""WITH RECURSIVE {ROUTES}, nxt AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM routes WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+        {vincenty_inverse_sql('pairs AS (SELECT route_id*10+seq AS id, lat AS lat1, lon AS lon1, lat2, lon2 FROM nxt WHERE lat2 IS NOT NULL)')},
+        legs AS (SELECT n.*, g.d AS length, g.b1 AS brg, coalesce(sum(g.d) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+            lead(seq) OVER (PARTITION BY route_id ORDER BY seq) IS NULL AS final FROM nxt n JOIN geo g ON g.id = route_id*10+seq),
+        cuts AS (SELECT *, unnest(range(floor(length/{STEP})::BIGINT)) AS k FROM legs),
+        {vincenty_direct_sql(f'd0 AS (SELECT (route_id*10+seq)*1000+k AS id, lat, lon, brg AS bearing, k*{STEP} AS distance FROM cuts)')},
+        samples AS (SELECT route_id, before+k*{STEP} AS distance_meters, m.lat, m.lon FROM cuts c JOIN moved m ON m.id = (route_id*10+seq)*1000+k
+            UNION ALL SELECT route_id, before+length, lat2, lon2 FROM legs WHERE final), {_ground('samples', 'routes')}
+        SELECT route_id, {rsql('distance_meters', 2)} AS distance_meters, {rsql('e', 2)} AS ground_elevation, bool_and(e IS NOT NULL) OVER (PARTITION BY route_id) AS complete FROM ground""",
+    "profile_degrees": f"""WITH {POINTS}, {_AHEAD}, {_legs_sql('ahead')}, {_SAMPLED}, {_ground('samples', 'ahead')}
+        SELECT route_id, {rsql('e', 2)} AS elevation, {rsql('degrees(lat)', 6)} AS lat_deg, {rsql('degrees(lon)', 6)} AS lon_deg, height FROM ground WHERE abs(degrees(lat)) < 80""",
+    "route_ahead": f"WITH {POINTS}, {_AHEAD} SELECT route_id, seq::INT AS seq, {rsql('lat', 9)} AS lat, {rsql('lon', 9)} AS lon, height FROM ahead",
+    "elevation_blocks": f"""WITH {_KEYS}, fine AS (SELECT id, CASE WHEN (ky+kx) % 2 = 0 THEN 69*10*greatest(0, least(1, x-kx)) + 66*greatest(0, least(1, y-ky)) END AS e FROM keyed)
+        SELECT id, {rsql('e', 3)} AS elevation FROM fine""",
     "dted_decode": "SELECT -23 AS lat_deg, -48 AS lon_deg, c, r, (c*10+r)::INT AS elevation FROM (SELECT unnest(range(11)) AS c), (SELECT unnest(range(7)) AS r)",
 }

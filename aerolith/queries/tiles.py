@@ -7,9 +7,9 @@ from math import pi, radians
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.functions.projections import HALF_WORLD, WebMercator
+from aerolith.functions.projections import HALF_WORLD, Stereographic, WebMercator
 from aerolith.operators import tiles
-from aerolith.queries.common import A, POINTS, points, rnd, rsql, table
+from aerolith.queries.common import A, POINTS, points, rnd, rsql, table, wrap_sql
 
 Z = 7
 N = float(2**Z)
@@ -94,11 +94,60 @@ def fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.evict(e, "user_id", "event_id", 9, "fifo", by="event_type")
 
 
+def _views(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    """A view for each customer: centres, zooms, turns, and every fifth one on the globe."""
+    k = F.col("id")
+    return points(spark, sf_dir).where(k % every == 0).select(
+        k.alias("view"), "lat", "lon", ((k % 13 + 1) * 0.01).alias("zoom"), F.radians((k % 90).cast("double")).alias("rotation"), F.lit(100_000.0).alias("viewport_base_meters"),
+        F.lit(1.5).alias("aspect_ratio"), F.when(k % 5 == 0, "3D").otherwise("2D").alias("mode"),
+    )
+
+
+def view_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.visible_bounds(_views(spark, sf_dir), WebMercator())
+
+
+def view_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.tiles_within(tiles.visible_bounds(_views(spark, sf_dir, 7), WebMercator(), F.lit(3)))
+
+
+def view_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = tiles.visible_keys(_views(spark, sf_dir), WebMercator())
+    return keys.groupBy("view", "z").agg(F.count("*").alias("tiles"), *(f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))))
+
+
+def pan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("view")
+    v = _views(spark, sf_dir).withColumns({"dx_px": (k % 31 - 15).cast("double"), "dy_px": (k % 17 - 8).cast("double"), "canvas_width": F.lit(800.0)})
+    return tiles.panned(v, WebMercator()).select("view", rnd("lat", 8).alias("lat"), rnd("lon", 8).alias("lon"))
+
+
+def tile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _keyed(spark, sf_dir)
+    return k.select("id", tiles.wmts_url("http://host/wmts", "base", "z", "x", "y").alias("wmts"), tiles.wmts_url("http://host/wmts?map=a", "base", "z", "x", "y").alias("more"), tiles.xyz_url("http://host/{z}/{x}/{y}.png", "z", "x", "y").alias("xyz"))
+
+
+def key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _keyed(spark, sf_dir).select("id", tiles.tile_key(F.col("z"), F.col("x"), F.col("y")).alias("key"))
+    return k.select("id", tiles.parse_key("key").alias("p")).select("id", "p.z", "p.x", "p.y")
+
+
+def tile_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners under a projection whose antipode is a corner of the grid: that one has no image."""
+    t = spark.range(16).select(F.lit(2).alias("z"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") / 4).alias("y"))
+    c = tiles.tile_corners(t, Stereographic(0.0, 0.0))
+    return c.select("x", "y", "row", "col", ((F.col("px") == 0) & (F.col("py") == 0)).alias("at_zero"))
+
+
+def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.prune(_keyed(spark, sf_dir), Z, (10, 60, 40, 90), most=100).select("id", "x", "y")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tile_xy, tile_xy_clamped, tile_bounds, tile_zoom, wms_bbox, tms_flip, tile_cover, tile_mesh, mesh_indices, graticule_3d, graticule_2d, semi_visible,
-        anti_pending, lru_cache, fifo_cache,
+        anti_pending, lru_cache, fifo_cache, view_bounds, view_tiles, view_keys, pan_view, tile_urls, key_parts, tile_corners, cache_prune,
     )
 }
 
@@ -114,7 +163,54 @@ _LAT = lambda y, n="%s" % N: f"atan(sinh(pi()*(1-2*({y})/{n})))"
 _CACHE = """WITH u AS (SELECT event_type, user_id, {f}(event_id) AS used FROM events GROUP BY 1, 2)
     SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY used DESC, user_id) <= 9"""
 
+_VIEWS = f"""{POINTS}, views AS (SELECT id AS view, lat, lon, (id % 13 + 1)*0.01e0 AS zoom, radians((id % 90)::DOUBLE) AS turn, id % 5 = 0 AS globe FROM points),
+sized AS (SELECT *, 100000e0/zoom AS w, 100000e0/zoom/1.5e0 AS h, {A}*lon AS cx, {A}*ln(tan(pi()/4+greatest(-radians(85.05112878e0), least(radians(85.05112878e0), lat))/2)) AS cy FROM views)"""
+_back = lambda x, y: (f"greatest(-radians(85.05112878e0), least(radians(85.05112878e0), 2*atan(exp(({y})/{A}))-pi()/2))", wrap_sql(f"({x})/{A}", "(-pi())"))
+_wide = lambda lon: f"floor((degrees({lon})+180)/360*pow(2,z))"
+_tall = lambda lat: f"floor((1-ln(abs(tan({lat})+1/cos({lat})))/pi())/2*pow(2,z))"
+_safe = lambda lat: f"greatest(-radians(85.0511e0), least(radians(85.0511e0), {lat}))"
+_in = lambda v: f"greatest(0, least(pow(2,z)-1, {v}))"
+
+
+def _bounds_sql(z: str) -> str:
+    lat, lon = _back("cx+ox*w*cos(turn)-oy*h*sin(turn)", "cy+ox*w*sin(turn)+oy*h*cos(turn)")
+    return f"""{_VIEWS}, zoomed AS (SELECT *, {z} AS z FROM sized),
+seen AS (SELECT *, {lat} AS plat, {lon} AS plon FROM zoomed, (VALUES (-0.5e0, -0.5e0), (0.5e0, -0.5e0), (-0.5e0, 0.5e0), (0.5e0, 0.5e0)) AS o(ox, oy)),
+box AS (SELECT view, z::INT AS z, any_value(globe) AS globe, {_wide('any_value(lon)')} AS tx, {_tall(_safe('any_value(lat)'))} AS ty,
+    min({_wide('plon')}) AS x0, max({_wide('plon')}) AS x1, min({_tall(_safe('plat'))}) AS y0, max({_tall(_safe('plat'))}) AS y1 FROM seen GROUP BY view, z),
+bounds AS (SELECT view, z, greatest(0, CASE WHEN globe THEN tx-2 ELSE x0-1 END)::INT AS min_x, least(pow(2,z)-1, CASE WHEN globe THEN tx+2 ELSE x1+1 END)::INT AS max_x,
+    greatest(0, CASE WHEN globe THEN ty-2 ELSE y0-1 END)::INT AS min_y, least(pow(2,z)-1, CASE WHEN globe THEN ty+2 ELSE y1+1 END)::INT AS max_y FROM box)"""
+
+
+def _keys_sql() -> str:
+    lat, lon = _back("cx+ox*w*cos(turn)-oy*h*sin(turn)", "cy+ox*w*sin(turn)+oy*h*cos(turn)")
+    probes = ", ".join(f"({x}e0, {y}e0)" for x in (-0.5, 0.0, 0.5) for y in (-0.5, 0.0, 0.5))
+    up, side = "least(90e0, h/111000e0)", "least(180e0, w/(111000e0*greatest(abs(cos(lat)), 0.01e0)))"
+    return f"""WITH {_VIEWS}, zoomed AS (SELECT *, least(18, greatest(0, round(log2(6*40075016e0/w)))) AS z FROM sized),
+seen AS (SELECT view, z, {lat} AS plat, {lon} AS plon FROM zoomed, (VALUES {probes}) AS o(ox, oy) WHERE NOT globe
+    UNION ALL SELECT view, z, radians(degrees(lat)+k*{up}), radians(degrees(lon)+k*{side}) FROM zoomed, (VALUES (-1e0), (1e0)) AS o(k) WHERE globe),
+box AS (SELECT view, min({_in(_wide('plon'))}) AS x0, max({_in(_wide('plon'))}) AS x1, min({_in(_tall('plat'))}) AS y0, max({_in(_tall('plat'))}) AS y1 FROM seen GROUP BY view),
+own AS (SELECT view, z, {_in(_wide('lon'))} AS tx, {_in(_tall('lat'))} AS ty, x0, x1, y0, y1 FROM zoomed JOIN box USING (view)),
+cut AS (SELECT view, z, tx, ty, greatest(x0, tx-8) AS x0, least(x1, tx+8) AS x1, greatest(y0, ty-8) AS y0, least(y1, ty+8) AS y1 FROM own),
+picked AS (SELECT view, z, CASE WHEN x0 <= x1 AND y0 <= y1 THEN x0 ELSE tx END AS a, CASE WHEN x0 <= x1 AND y0 <= y1 THEN x1 ELSE tx END AS b,
+    CASE WHEN x0 <= x1 AND y0 <= y1 THEN y0 ELSE ty END AS c, CASE WHEN x0 <= x1 AND y0 <= y1 THEN y1 ELSE ty END AS d FROM cut)
+SELECT view, z::INT AS z, ((b-a+1)*(d-c+1))::BIGINT AS tiles, a::INT AS min_x, b::INT AS max_x, c::INT AS min_y, d::INT AS max_y FROM picked"""
+
+
+_PAN = _back("cx-(dx*cos(-turn)-dy*sin(-turn))*w/800", "cy+(dx*sin(-turn)+dy*cos(-turn))*w/800")
+_WMTS = "service=WMTS&request=GetTile&version=1.0.0&layer=base&style=&tilematrixset=EPSG:900913&TileMatrix=EPSG:900913:7&TileRow=' || y || '&TileCol=' || x || '&format=image/png'"
+
 ORACLE_SQL = {
+    "view_bounds": f"WITH {_bounds_sql('least(18, greatest(1, floor(log2(zoom)+11.5)))')} SELECT * FROM bounds",
+    "view_tiles": f"""WITH {_bounds_sql('3')} SELECT view, z, x, y FROM (SELECT *, unnest(range(min_x, max_x+1))::INT AS x FROM bounds WHERE view % 7 = 0), LATERAL (SELECT unnest(range(min_y, max_y+1))::INT AS y)""",
+    "view_keys": _keys_sql(),
+    "pan_view": f"""WITH {_VIEWS}, drags AS (SELECT *, (view % 31 - 15)::DOUBLE AS dx, (view % 17 - 8)::DOUBLE AS dy FROM sized)
+        SELECT view, {rsql(_PAN[0], 8)} AS lat, {rsql(_PAN[1], 8)} AS lon FROM drags""",
+    "tile_urls": f"WITH {_KEYED} SELECT id, 'http://host/wmts?{_WMTS} AS wmts, 'http://host/wmts?map=a&{_WMTS} AS more, 'http://host/7/' || x || '/' || y || '.png' AS xyz FROM keyed",
+    "key_parts": f"WITH {_KEYED} SELECT id, {Z} AS z, x, y FROM keyed",
+    "tile_corners": """SELECT x, y, r::INT AS row, c::INT AS col, (y+r = 2 AND x+c IN (0, 2, 4)) AS at_zero
+        FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS c)""",
+    "cache_prune": f"WITH {_KEYED} SELECT id, x, y FROM keyed WHERE (x BETWEEN 10 AND 60 AND y BETWEEN 40 AND 90) OR (SELECT count(*) FROM keyed) <= 100",
     "tile_xy": f"WITH {POINTS} SELECT id, floor((degrees(lon)+180)/360*{N})::INT AS x, floor({_row(_CLAMPED)})::INT AS y FROM points",
     "tile_xy_clamped": f"WITH {_KEYED} SELECT id, x, y, '{Z}/' || x || '/' || y AS key FROM keyed",
     "tile_bounds": f"""WITH {_KEYED} SELECT id, {rsql(_LAT('y+1'), 8)} AS south, {rsql(f'radians(x/{N}*360-180)', 8)} AS west, {rsql(_LAT('y'), 8)} AS north,

@@ -106,11 +106,23 @@ def callsigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "callsign", callsign_symbol("callsign").alias("symbol"))
 
 
+def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame rates of each user's log, whose clicks are actions and whose seconds are hours."""
+    e = table(spark, sf_dir, "events")
+    e = e.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)).alias("t"), (F.col("event_type") == "click").alias("acts"))
+    return tracking.frame_rate(e, "user_id", "t", "acts").select("event_id", "target_fps")
+
+
+def without_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("T"), F.when(F.col("event_id") % 7 == 0, F.lit("\0")).otherwise("")).alias("id"))
+    return tracking.without_nul(e).select("event_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         track_density, latest_state, reject_invalid, dead_reckon, dead_reckon_vincenty, state_as_of, remove_targets, velocity_vector, sim_advance,
-        speed_default, datablock_rounded, datablock_truncated, moving_avg_60, fps_bucket, callsigns,
+        speed_default, datablock_rounded, datablock_truncated, moving_avg_60, fps_bucket, callsigns, frame_rate, without_nul,
     )
 }
 
@@ -151,6 +163,10 @@ ORACLE_SQL = {
     "datablock_truncated": f"WITH {PINGS} SELECT seq, {_block(False)} AS label FROM pings WHERE speed >= 0",
     "moving_avg_60": f"SELECT event_id, {rsql('avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 59 PRECEDING)', 9)} AS moving_avg FROM events",
     "fps_bucket": f"""WITH {PINGS} SELECT floor(t/3600e0)*3600e0 AS bucket, count(*)::BIGINT AS frames, {rsql('count(*)/3600e0', 9)} AS fps FROM pings GROUP BY 1""",
+    "frame_rate": """WITH e AS (SELECT event_id, user_id, epoch_us(ts)/3.6e9 AS t, event_type = 'click' AS acts FROM events),
+        l AS (SELECT event_id, t, max(CASE WHEN acts THEN t END) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS last FROM e)
+        SELECT event_id, (CASE WHEN coalesce(t-last <= 1, false) THEN 60 ELSE 15 END)::INT AS target_fps FROM l""",
+    "without_nul": "SELECT event_id FROM events WHERE event_id % 7 <> 0",
     "callsigns": """WITH c AS (SELECT event_id, ['TAM','GLO','AZU','COP','HEL','PPX'][(event_id % 6)::INT + 1] || user_id::VARCHAR AS callsign FROM events)
         SELECT event_id, callsign, CASE WHEN callsign LIKE 'AZU%' THEN 'mil:fighter' WHEN callsign LIKE 'COP%' OR callsign LIKE 'HEL%' THEN 'custom:helicopter'
         ELSE 'civil:plane' END AS symbol FROM c""",

@@ -44,5 +44,6 @@ class Sources:
         return self.sizes().agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
     def clear(self) -> None:
+        """Give back what Spark has cached of the sources; the sources stay registered."""
         for i in list(self._ids):
             self._spark.catalog.uncacheTable(self._prefix + i)

@@ -5,24 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from aerolith.operators.tracking import STATE, is_valid
+from aerolith.operators.tracking import STATE, flat_advance, is_valid
 
 _TYPES = {"seq": "long"}
 STATE_SCHEMA = ", ".join(f"{c} {_TYPES.get(c, 'double')}" for c in STATE)
 
 
 class LatestPing(StatefulProcessor):
-    """Keeps one ping for each id: of a micro-batch the one with the largest seq, and later batches replace earlier ones.
+    """Keeps one ping for each id, the one with the largest seq, which is the order of arrival; a ping's time plays no part.
 
-    A ping with remove = true forgets the target. Order is that of arrival; a
-    ping's time plays no part.
+    A ping with remove = true, whatever else it holds, forgets the target: a row
+    with removed = true tells sinks so, and pings that arrived before it count no more.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("latest", STATE_SCHEMA)
+        self._state = handle.getValueState("latest", f"{STATE_SCHEMA}, removed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = tuple(self._state.get()) if self._state.exists() else None
@@ -31,23 +32,37 @@ class LatestPing(StatefulProcessor):
             r = b.sort_values("seq").iloc[-1]
             if fresh is None or r["seq"] > fresh["seq"]:
                 fresh = r
-        if fresh is None:
+        if fresh is None or (best is not None and fresh["seq"] <= best[0]):
             return
-        if bool(fresh.get("remove", False)):
-            self._state.clear()
-            return
-        if best is None or fresh["seq"] > best[0]:
-            best = tuple(int(fresh[c]) if c == "seq" else float(fresh[c]) for c in STATE)
-            self._state.update(best)
-            yield pd.DataFrame([(key[0], *best)], columns=["id", *STATE])
+        gone = bool(fresh["remove"])
+        held = [None if gone or pd.isna(fresh[c]) else float(fresh[c]) for c in STATE[1:]]
+        best = (int(fresh["seq"]), *held, gone)
+        self._state.update(best)
+        yield pd.DataFrame([(key[0], *best)], columns=["id", *STATE, "removed"])
 
     def close(self) -> None:
         pass
 
 
 def latest_stream(pings: DataFrame) -> DataFrame:
-    """A stream of updates (id and STATE) from a stream of pings; invalid pings never reach state."""
-    valid = pings.where(is_valid())
-    return valid.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=LatestPing(), outputStructType=f"id string, {STATE_SCHEMA}", outputMode="Update", timeMode="None"
+    """A stream of updates (id, STATE, removed) from a stream of pings; invalid pings never reach state, removals always do."""
+    remove = F.coalesce(F.col("remove"), F.lit(False)) if "remove" in pings.columns else F.lit(False)
+    own = pings.withColumn("remove", remove).where(F.col("remove") | is_valid())
+    return own.groupBy("id").transformWithStateInPandas(
+        statefulProcessor=LatestPing(), outputStructType=f"id string, {STATE_SCHEMA}, removed boolean", outputMode="Update", timeMode="None"
+    )
+
+
+def feed(spark: SparkSession, targets: DataFrame, per_second: int = 1) -> DataFrame:
+    """A stream of pings: at each tick of a clock every target (id, lat, lon, height, speed_mps, track_heading_rad, vertical_rate_mps), flown on since the first.
+
+    Ticks are a few rows, and the targets are broadcast to them.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    on = ticks.join(F.broadcast(targets), F.lit(True))
+    gone = F.col("value") / F.lit(float(per_second))
+    p = flat_advance("lat", "lon", "track_heading_rad", "speed_mps", gone)
+    return on.withColumn("p", p).select(
+        "id", F.col("value").alias("seq"), "p.lat", "p.lon", (F.col("height") + F.col("vertical_rate_mps") * gone).alias("height"), "speed_mps",
+        "track_heading_rad", "vertical_rate_mps", (F.unix_micros("timestamp") / F.lit(1e6)).alias("last_ping_time"),
     )

@@ -40,11 +40,20 @@ def test_void_is_zero(spark):
     assert heights(spark, t, [(-22.5, -47.5)]) == [0.0]
 
 
-def test_shuffled_tiles_agree_with_broadcast_ones(spark, tiles, monkeypatch):
-    points = [(-22.7, -47.4), (-22.2, -47.9), (-10.0, 10.0)]
-    want = heights(spark, tiles, points)
-    monkeypatch.setattr(terrain, "BROADCAST_TILES", 0)
-    assert heights(spark, tiles, points) == want
+@pytest.mark.parametrize("cols,rows", [(121, 121), (1, 1), (65, 66), (130, 2)])
+def test_blocks_agree_with_whole_tiles(spark, cols, rows):
+    t = dted.decode_tiles(spark.createDataFrame([("a", dted.encode("230000S", "0480000W", dted.ramp(cols, rows)))], "path string, content binary"))
+    points = [(-23 + k / 97, -48 + (k * 37 % 97) / 97) for k in range(97)] + [(-22.0000000001, -47.0000000001), (-10.0, 10.0)]
+    want = heights(spark, t, points)
+    assert heights(spark, t, points, most_bytes=0) == want and want[-1] is None and None not in want[:-1]
+
+
+def test_route_and_degrees(spark, tiles):
+    t = spark.createDataFrame([("a", radians(-22.5), radians(-47.5), 700.0, radians(90.0))], "id string, lat double, lon double, height double, heading_rad double")
+    r = terrain.route_ahead(t).orderBy("seq").collect()
+    assert len(r) == 41 and r[15].lat == radians(-22.5) and r[15].lon == radians(-47.5)
+    flat = terrain.in_degrees(terrain.profile(terrain.route_ahead(t), tiles, 1500.0)).collect()
+    assert flat[0].lat_deg == pytest.approx(-22.5) and all(len(x) == 6 for x in flat)
 
 
 @pytest.mark.parametrize(
