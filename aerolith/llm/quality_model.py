@@ -8,9 +8,12 @@ splits come from histograms of gradients. Fitted trees are flattened into arrays
 at once, one step of depth at a time.
 
 Defined cases: null and empty texts have all-zero statistics and get a score
-like any other; documents without label, or with a null one, do not train;
-a document with several labels trains with each; without both labels the score
-is the share of 1s (0.5 with no label at all); other columns are not read.
+like any other; a text of any length is measured whole; documents without label,
+or with a null one, do not train; a document with several labels, or a repeated
+one, trains with each; repeated rows are scored each; equal gains of splits go to
+the feature and bin first in order; without both labels the score is the share of
+1s (0.5 with no label at all); an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -212,3 +212,24 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert set(got.doc_id) == kept and len(corpus_pipeline.STAGES) == 5
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated texts, ties, further and clashing columns through every stage; then an empty table."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(400)]
+    long = [" ".join(words[k : k + 120]) for k in (0, 130, 260)]
+    rows = [(1, None), (2, ""), (3, long[0]), (4, long[0]), (4, long[0]), (5, long[1]), (6, long[1] + " end"), (None, long[2] + " mail a@b.org"), (7, "too short"), (8, " ".join(f"v{k}" for k in range(12_000)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, id long, component_id long, base_failed string, n_words string, sequence_id string, keep_id string, __text string"
+    docs = spark.createDataFrame([(d, t, None, None if d == 8 else "s", len(t or ""), "k", 0, 1, "b", "w", "s", "i", "t") for d, t in rows], schema)
+    want = [{3, 4, 5, 6, None, 8}, {4, 5, 6, None, 8}, {4, 5, None, 8}, {4, 5, None, 8}]
+    for table, own in ((docs, want), (docs.limit(0), [set()] * 4)):
+        for (_, stage), ids in zip(corpus_pipeline.STAGES[:4], own, strict=True):
+            table = stage(spark, table, SF).cache()
+            assert table.columns == docs.columns and {r.doc_id for r in table.collect()} == ids
+            assert all((r.kept, r.id, r.component_id, r["__text"]) == ("k", 0, 1, "t") for r in table.collect())
+        pieces = corpus_pipeline.STAGES[4][1](spark, table, SF).collect()
+        assert {r.doc_id for r in pieces} == ids
+        texts = {r.doc_id: r.text for r in table.collect()}
+        assert not ids or (texts[None].endswith("[EMAIL]") and texts[8] == rows[-1][1])

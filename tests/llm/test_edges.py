@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import subprocess
 import sys
 import time
@@ -180,9 +181,11 @@ def test_near_dedup_edges(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
-    chain = [(k, k + 1) for k in range(50)] + [(100, 101), (200, 200)]
-    got = {r.id: r.component_id for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(components, "HELD_NODES", 5)
+    chain = [(k + 1, k) if k % 3 else (k, k + 1) for k in range(50)] * 2 + [(100, 101), (200, 200), (None, 7)]
+    got = {r.id: r.component_id for r in components.components(spark.createDataFrame(chain, "a long, b long").repartition(7)).collect()}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert got == {k: 0 for k in range(1, 51)} | {101: 100}
 
 
@@ -370,6 +373,33 @@ def test_quality_edges(docs, none, spark):
     assert quality_model.classify(docs, labels.limit(0)).first().score == pytest.approx(0.5)
 
 
+def plain_statistics(body):
+    """The features of one text in plain Python."""
+    raw = (body or "").encode()
+    n, w = len(raw), [x for x in re.split(rb"[ \t-\r]+", raw) if x]
+    low, lines = [x.lower() for x in w], [x for x in raw.split(b"\n") if x]
+    share = lambda chars: sum(c in chars for c in raw) / max(n, 1)
+    again = lambda items: len(items) - len(set(items))
+    symbols, per = b"#*$%&<>{}[]\\^~=@", max(len(w), 1)
+    out = {
+        "log_bytes": np.log1p(n), "log_words": np.log1p(len(w)), "word_bytes": sum(map(len, w)) / per, "long_words": sum(len(x) > 12 for x in w) / per,
+        "distinct_words": 1 - again(low) / per, "repeated_words": again([tuple(low[i : i + 3]) for i in range(len(low) - 2)]) / per,
+        "upper": share(bytes(range(65, 91))), "lower": share(bytes(range(97, 123))), "digit": share(b"0123456789"), "newline": share(b"\n"), "stop": share(b"."),
+        "comma": share(b","), "bang": share(b"!?"), "symbol": share(symbols), "pipe": share(b"|"), "not_ascii": share(bytes(range(128, 256))),
+        "line_words": len(w) / max(len(lines), 1), "repeated_lines": again(lines) / max(len(lines), 1), "symbol_words": sum(any(c in symbols for c in x) for x in w) / per,
+        "upper_words": sum(sum(65 <= c <= 90 for c in x) >= 2 for x in w) / per,
+    }
+    return [out[f] for f in quality_model.FEATURES]
+
+
+def test_statistics_against_plain_python():
+    rnd = random.Random(12)
+    bodies = ["", None, "\n\n", "one", "a b\x0bc\td  A b C", "Same line\nSame line\n\nsame LINE", "é ü 日本 | # $x", "x" * 5000]
+    bodies += ["".join(rnd.choice("aB3 .\n,!?#|é") for _ in range(rnd.randrange(400))) for _ in range(40)]
+    raw, at = text.flat(pa.array(bodies))
+    assert quality_model.statistics(raw, at) == pytest.approx(np.array([plain_statistics(b) for b in bodies]), rel=1e-5, abs=1e-6)
+
+
 def test_trees_learn_a_threshold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4)).astype(np.float32)
