@@ -1,4 +1,17 @@
-"""A corpus pipeline: rules, exact copies, near copies, personal data, packing."""
+"""A corpus pipeline: rules, exact copies, near copies, personal data, packing.
+
+Every stage works on all rows that the one before it kept, whole texts, and
+returns the columns of its input, whatever further ones there are; the last
+returns pieces in sequences. Stages take similarity, thresholds and bounds from
+their operators' defaults (near copies: five words, 0.8).
+
+Defined cases: null and empty texts fail the rules and go, as they have fewer
+words than the rules ask for; of equal texts the row with the largest doc_id
+stays, of near copies the one with the least; repeated rows are equal texts; a
+null host is a host of its own; texts of any length are read whole; an empty
+table gives an empty table of pieces; columns named like those that an operator
+makes are kept as they are.
+"""
 
 from __future__ import annotations
 
