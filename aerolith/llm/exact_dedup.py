@@ -43,9 +43,9 @@ from aerolith.plans.staging import bounded_batches, stage_table
 from aerolith.plans.workers import tidy
 
 #: Bytes of distinct text that one bucket may hold.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 24 << 20
 #: Rows and bytes of text that a map task collapses at once.
-CHUNK_ROWS, CHUNK_BYTES = 50_000, 32 << 20
+CHUNK_ROWS, CHUNK_BYTES = 50_000, 16 << 20
 #: Buckets into which one level deals its records at most, and into which each bucket that is too large is dealt again.
 FAN_OUT, AGAIN = 20_000, 64
 #: From this level on buckets are taken whole: records that so many hashes do not part have equal contents, but for chance.
