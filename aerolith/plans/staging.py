@@ -43,7 +43,7 @@ def drop_staged(*tables: DataFrame) -> None:
 
 
 #: Bytes of one Arrow batch on its way to Python, where the session sets no other bound.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
