@@ -62,20 +62,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text the number of it and the ORDER bytes before it (newlines before a text's first); n + 1 offsets."""
+    """For each byte of each text a number made of it and the ORDER bytes before it; n + 1 offsets.
+
+    The byte itself comes first and the one before it next, so in sorted order
+    strings with a longer context in common stand together. Newlines stand before
+    a text's first byte.
+    """
     raw, at = flat(texts)
     n = len(at) - 1
     spaced = np.full(len(raw) + ORDER * n, 10, np.uint8)
     where = np.arange(len(raw)) + ORDER * (np.repeat(np.arange(n), np.diff(at)) + 1)
     spaced[where] = raw
     out = np.zeros(len(raw), np.uint64)
-    for back in range(ORDER, -1, -1):
+    for back in range(ORDER + 1):
         out = out << np.uint64(8) | spaced[where - back]
     return out, at
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different values and each element's place among them, by hash slots; those that lose their slot are sorted."""
+    """Different values, sorted, and each element's place among them; hash slots find most of them."""
     slot = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
     held = np.zeros(1 << _SLOT_BITS, np.uint64)
     held[slot] = x
@@ -86,7 +91,11 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lost = np.flatnonzero(held[slot] != x)
     more, inverse = np.unique(x[lost], return_inverse=True)
     place[lost] = int(number[-1]) + 1 + inverse
-    return np.concatenate([held[used], more]), place
+    found = np.concatenate([held[used], more])
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], rank[place]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +125,9 @@ def compile_trees(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str,
         seen, escapes = [], []
         for lang in sorted(counts):
             grams, n = counts[lang]
-            key, inverse = np.unique(grams & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            key, inverse = np.unique(grams >> np.uint64(8 * (ORDER - order)), return_inverse=True)
             times = np.bincount(inverse, n, len(key))
-            context, own = np.unique(key >> np.uint64(8), return_inverse=True)
+            context, own = np.unique(key & np.uint64((1 << 8 * order) - 1), return_inverse=True)
             kinds = np.bincount(own, minlength=len(context))
             whole = np.bincount(own, times, len(context)) + kinds
             seen.append((key, -np.log2(times / whole[own]).astype(np.float32)))
@@ -132,7 +141,7 @@ class ContextTrees:
     """Frozen statistics of all languages as sorted arrays."""
 
     def __init__(self, langs: list[str], arrays: dict[str, np.ndarray]) -> None:
-        self.langs, self._arrays = langs, arrays
+        self.langs, self._arrays = langs, {k: np.asarray(v) for k, v in arrays.items()}
 
     def _entries(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which of the keys, language, bits) of all entries that a table has for keys."""
@@ -144,13 +153,22 @@ class ContextTrees:
         return np.repeat(hit, n), self._arrays[f"{name}_lang"][entry], self._arrays[f"{name}_bits"][entry]
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
-        """Bits of the last byte of each string after the others, in each language."""
-        out = np.full((len(grams), len(self.langs)), 8.0, np.float32)  # below order 0 all bytes are alike
+        """Bits of the byte of each string in its context, in each language; strings are sorted and different.
+
+        Every order works on its own different strings alone, and starts from the bits of the order below.
+        """
+        out = np.full((1, len(self.langs)), 8.0, np.float32)  # below order 0 all bytes are alike
+        below = np.zeros(len(grams), np.int64)
         for order in range(ORDER + 1):
-            row, lang, bits = self._entries(f"escape{order}", grams >> np.uint64(8) & np.uint64((1 << 8 * order) - 1))
+            key = grams >> np.uint64(8 * (ORDER - order))
+            new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+            own = key[new]
+            out = out[below[new]]
+            row, lang, bits = self._entries(f"escape{order}", own & np.uint64((1 << 8 * order) - 1))
             out[row, lang] += bits
-            row, lang, bits = self._entries(f"seen{order}", grams & np.uint64((1 << 8 * (order + 1)) - 1))
+            row, lang, bits = self._entries(f"seen{order}", own)
             out[row, lang] = bits
+            below = np.cumsum(new) - 1
         return out
 
     def lengths(self, texts: pa.Array) -> np.ndarray:

@@ -46,8 +46,6 @@ LEXICON_WORDS, LONGEST = 100_000, 32
 COUNTED = 500_000
 #: Merged words that a worker remembers, and the longest of them in characters.
 REMEMBERED, SHORT = 200_000, 256
-#: Words of the lexicon that a worker holds as text.
-KNOWN = 20_000
 #: Bytes of a word up to which a scan for its next merge is quicker than a heap.
 SCANNED = 128
 
@@ -113,6 +111,10 @@ class Merges:
             self.pairs[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
+    def shown(self, ids: list[int]) -> tuple[int, str, str]:
+        """Number of ids, the ids as text, the decoded text of a word."""
+        return len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids)
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: of all neighbouring pairs the one of least rank, leftmost first, merges until none can."""
         if len(word) > SCANNED:
@@ -226,33 +228,24 @@ def automaton(words: Iterable[bytes]) -> dict[str, np.ndarray]:
 def compile_lexicon(words: Iterable[str], merges: Merges) -> dict[str, np.ndarray]:
     """The automaton of words (normalised, each one word to the tokenizer) and their ids."""
     ordered = sorted({w.encode() for w in words if w and "\0" not in w and len(w.encode()) <= LONGEST and _WORD.fullmatch(w)})
-    ids = [merges.merge(w) for w in ordered]
-    return automaton(ordered) | {
-        "ids": np.array([i for x in ids for i in x], np.int32), "ids_at": np.cumsum([0, *map(len, ids)], dtype=np.int64),
-    }
+    shown = [merges.shown(merges.merge(w)) for w in ordered]
+    out = automaton(ordered) | {"n": np.array([n for n, _, _ in shown], np.int32)}
+    for name, texts in (("ids", [t.encode() for _, t, _ in shown]), ("decoded", [t.encode() for _, _, t in shown])):
+        out |= {name: np.frombuffer(b"".join(texts), np.uint8), f"{name}_at": np.cumsum([0, *map(len, texts)], dtype=np.int64)}
+    return out
 
 
 class Encoder:
     """Encodes with a mapped lexicon and exact merging, and remembers some merged words."""
 
     def __init__(self, merges: Merges, lexicon: dict[str, np.ndarray]) -> None:
-        self.merges, self.lexicon = merges, lexicon
+        self.merges, self.lexicon = merges, {k: np.asarray(v) for k, v in lexicon.items()}
         self._seen: dict[str, tuple[int, str, str]] = {}
-        self._known: dict[int, tuple[int, str, str]] = {}  # of the lexicon's words, those that came up lately
-
-    def _ranked(self, rank: int) -> tuple[int, str, str]:
-        """The word of a rank, read from the mapped arrays."""
-        got = self._known.get(rank)
-        if got is None:
-            i, j = self.lexicon["ids_at"][rank : rank + 2].tolist()
-            if len(self._known) >= KNOWN:
-                self._known.clear()
-            got = self._known[rank] = self._shown(self.lexicon["ids"][i:j].tolist())
-        return got
-
-    def _shown(self, ids: list[int]) -> tuple[int, str, str]:
-        """Number of ids, the ids as text, the decoded text of a word."""
-        return len(ids), " ".join(map(str, ids)), " ".join(self.merges.tokens[i] for i in ids)
+
+    def _texts(self, name: str, ranks: np.ndarray) -> Iterator[str]:
+        """Texts of words of the lexicon, read from the mapped file."""
+        whole, at = memoryview(self.lexicon[name]), self.lexicon[f"{name}_at"]
+        return (whole[i:j].tobytes().decode() for i, j in zip(at[ranks].tolist(), at[ranks + 1].tolist(), strict=True))
 
     def ranks(self, words: list[str]) -> np.ndarray:
         """Rank of each word in the lexicon, or -1: all words step through the automaton together."""
@@ -260,7 +253,7 @@ class Encoder:
         raw = [w.encode() for w in words]
         out = np.full(len(raw), -1, np.int64)
         fit = np.array([k for k, w in enumerate(raw) if len(w) <= LONGEST and b"\0" not in w], np.int64)
-        if not len(fit) or not len(lex["ids_at"]) > 1:
+        if not len(fit) or not len(lex["n"]):
             return out
         chars = np.array([raw[k] for k in fit], dtype=f"S{LONGEST}").view(np.uint8).reshape(len(fit), LONGEST)
         symbols = lex["symbol"][chars]
@@ -278,12 +271,17 @@ class Encoder:
         return out
 
     def shown(self, words: list[str]) -> list[tuple[int, str, str]]:
-        out: list = [self._ranked(r) if r >= 0 else None for r in self.ranks(words).tolist()]
+        out: list = [None] * len(words)
+        ranks = self.ranks(words)
+        known = np.flatnonzero(ranks >= 0)
+        ranks = ranks[known]
+        for k, own in zip(known.tolist(), zip(self.lexicon["n"][ranks].tolist(), self._texts("ids", ranks), self._texts("decoded", ranks), strict=True), strict=True):
+            out[k] = own
         for k, w in enumerate(words):
             if out[k] is None:
                 got = self._seen.get(w)
                 if got is None:
-                    got = self._shown([self.merges.special[w]] if w in self.merges.special else self.merges.merge(w.encode()))
+                    got = self.merges.shown([self.merges.special[w]] if w in self.merges.special else self.merges.merge(w.encode()))
                     if len(self._seen) >= REMEMBERED:
                         self._seen.clear()
                     if len(w) <= SHORT:
