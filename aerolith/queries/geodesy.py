@@ -115,9 +115,17 @@ def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, position int, value double")
 
 
+def camera_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wheel, pitch and roll of a camera, whose limits are reached."""
+    c = Camera(0.0, 0.0, zoom=2.0)
+    rows = [(k, c.zoomed(k).zoom, c.pitched(k / 10).pitch, c.rolled(k / 10).roll) for k in range(-80, 81, 4)]
+    r = spark.createDataFrame(rows, "steps int, zoom double, pitch double, roll double")
+    return r.select("steps", rnd("zoom", 8).alias("zoom"), rnd("pitch", 8).alias("pitch"), rnd("roll", 8).alias("roll"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (haversine_inverse, haversine_direct, vincenty_inverse, vincenty_direct, lla_ecef, ecef_lla, lla_enu, enu_lla, chord_distance, normalize_angles, validate_coords)
+    for f in (haversine_inverse, haversine_direct, vincenty_inverse, vincenty_direct, lla_ecef, ecef_lla, lla_enu, enu_lla, chord_distance, normalize_angles, validate_coords, camera_controls)
 } | {
     "lcc_project": _projected(LCC), "stereo_project": _projected(STEREO), "mercator_project": _projected(WebMercator()), "mercator_unproject": _returned(WebMercator()),
     "lcc_unproject": _returned(LCC), "stereo_unproject": _returned(STEREO), "screen_2d": _screen("2D"), "screen_25d": _screen("2.5D"), "screen_3d_cull": _screen("3D"),
@@ -265,6 +273,8 @@ ORACLE_SQL = {
     "stereo_project": _projected_sql(STEREO_X, STEREO_Y),
     "mercator_project": _projected_sql(f"{A}*lon", f"{A}*ln(tan(pi()/4+lat/2))"),
     "mercator_unproject": _BACK, "lcc_unproject": _BACK, "stereo_unproject": _BACK,
+    "camera_controls": f"""SELECT k::INT AS steps, {rsql('greatest(0.02e0, least(1000e0, 2*pow(CASE WHEN k > 0 THEN 1.1e0 ELSE 0.9e0 END, abs(k))))', 8)} AS zoom,
+        {rsql('greatest(-pi(), least(pi(), k/10e0))', 8)} AS pitch, {rsql(wrap_sql('k/10e0', '(-pi())'), 8)} AS roll FROM (SELECT unnest(range(-80, 81, 4)) AS k)""",
     "screen_2d": f"""WITH {POINTS}, img AS (SELECT id, {STEREO_X} AS px, {STEREO_Y} AS py FROM points)
         SELECT id, {rsql(f"(({_ROT[0]})/({_W}/2)+1)*0.5*{WIDTH!r}", 3)} AS x,
         {rsql(f"(1-({_ROT[1]})/({_W}/(800e0/600e0)/2))*0.5*{HEIGHT!r}", 3)} AS y FROM img""",

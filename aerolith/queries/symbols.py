@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import colors, symbols
 from aerolith.queries.common import rnd, table
 from aerolith.sources import styles
+from aerolith.sources.registry import Sources
 
 #: Sample codes, and what is expected of each: side and kind (None: the kind follows from the word after the code).
 _SIDE_ROWS = {
@@ -111,9 +112,30 @@ def svg_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", "i", "p.type", F.coalesce(F.col("p.fill.b").cast("int"), F.lit(-1)).alias("fill_b"), F.col("p.stroke.color.a").cast("int").alias("ink_a"), F.col("p.stroke.width").cast("double").alias("width"))
 
 
+def path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("M "), (k % 31).cast("string"), F.lit(",-"), (k % 17).cast("string"), F.lit(" L "), (k % 13).cast("string"), F.lit(".5,"), (k % 7).cast("string"), F.lit(" Z"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.posexplode(styles.path_points(text)).alias("i", "p")).select("id", "i", rnd("p.x", 3).alias("x"), rnd("p.y", 3).alias("y"))
+
+
+def number_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, "px").otherwise(F.concat((k % 97).cast("string"), F.lit(".5px")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), colors.number_prefix(text, 2.0).alias("number"))
+
+
+def source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources, one replaced and one dropped."""
+    s = Sources(spark)
+    for name, rows in (("a", "nation"), ("b", "region"), ("a", "supplier"), ("c", "part")):
+        s.register(name, table(spark, sf_dir, rows))
+    s.drop("c")
+    return s.sizes()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (nato_classify, icao_classify, hex_color, css_color, dash_array, resolve_chain, sld_rules, sld_rules_at_scale, style_override, svg_compile)
+    for f in (nato_classify, icao_classify, hex_color, css_color, dash_array, resolve_chain, sld_rules, sld_rules_at_scale, style_override, svg_compile, path_points, number_prefix, source_sizes)
 }
 
 # -- SQL
@@ -149,6 +171,10 @@ ORACLE_SQL = {
         SELECT id, code, CASE WHEN id % 4 = 0 THEN 'NATO' WHEN id % 4 = 2 THEN 'Declarative' WHEN id % 4 = 1 AND aid <> 'none' THEN 'ICAO' ELSE '' END AS provider,
         CASE WHEN id % 4 = 3 OR (id % 4 = 1 AND aid = 'none') THEN 'ProviderNotFound' ELSE 'ok' END AS status,
         (CASE id % 4 WHEN 0 THEN 2 + (side = 'Hostile')::INT WHEN 1 THEN n WHEN 2 THEN 2 ELSE 0 END)::INT AS primitives FROM t""",
+    "path_points": """SELECT p_partkey AS id, i::INT AS i, [p_partkey % 31, p_partkey % 13 + 0.5e0][i+1]::DOUBLE AS x, [-(p_partkey % 17), p_partkey % 7][i+1]::DOUBLE + 0e0 AS y
+        FROM part, (SELECT unnest(range(2)) AS i)""",
+    "number_prefix": "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 2e0 ELSE p_partkey % 97 + 0.5e0 END AS number FROM part",
+    "source_sizes": "SELECT 'a' AS source_id, count(*)::BIGINT AS rows FROM supplier UNION ALL SELECT 'b', count(*)::BIGINT FROM region",
     "sld_rules": """SELECT * FROM (VALUES ('a', 'airways', 0, 'Close', ''), ('a', 'airways', 1, 'Far', ''), ('bad', '', -1, '', 'XmlError')) AS t(doc_id, layer, rule_idx, name, error)""",
     "sld_rules_at_scale": """WITH p AS (SELECT p_partkey AS id, (p_partkey*37 % 60000)::DOUBLE AS scale FROM part)
         SELECT id, scale, name FROM p JOIN (VALUES ('Close', -1e9, 5000e0), ('Far', 5000e0, 50000e0)) AS r(name, lo, hi) ON scale BETWEEN lo AND hi""",

@@ -107,11 +107,26 @@ def dted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("lat_deg", "lon_deg", F.floor(F.col("pos") / 7).alias("c"), (F.col("pos") % 7).cast("long").alias("r"), F.col("col").cast("int").alias("elevation"))
 
 
+def dted_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four files, one of them no tile and two for the same place, of which the later counts; one tile is unloaded again."""
+    made = [("a", "470000N", "0080000E", 1), ("b", "470000N", "0080000E", 2), ("c", "120000S", "0770000W", 3), ("d", "050000N", "0310000E", 4)]
+    files = [(name, dted.encode(lat, lon, dted.ramp(3, 3) * k), k) for name, lat, lon, k in made] + [("bad", b"no tile", 9)]
+    order = spark.createDataFrame([(name, k) for name, _, k in files], "path string, seq int")
+    loaded = dted.decode_tiles(spark.createDataFrame([(n, c) for n, c, _ in files], "path string, content binary")).join(order, "path")
+    left = dted.unload(dted.register(loaded, "seq"), spark.createDataFrame([(5, 31)], "lat_deg int, lon_deg int"))
+    return left.select("lat_deg", "lon_deg", "path", F.element_at("elevations", -1).cast("int").alias("last_cell"))
+
+
+def terrain_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).select("id", terrain.tile_floor(F.degrees("lat")).alias("lat_deg"), terrain.tile_floor(F.degrees("lon")).alias("lon_deg"))
+    return p.select("id", dted.tile_url("http://host/{latStr}{lonStr}.dt0?at={lat},{lon}", "lat_deg", "lon_deg").alias("url"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         elevation_lookup, elevation_missing, null_sentinel, tile_keys, profile_samples, profile_distance, profile_vincenty, clearance_alert,
-        clearance_nearest, chart_top, dted_decode, profile_degrees, route_ahead, elevation_blocks,
+        clearance_nearest, chart_top, dted_decode, profile_degrees, route_ahead, elevation_blocks, dted_register, terrain_urls,
     )
 }
 
@@ -173,5 +188,8 @@ ORACLE_SQL = {
     "route_ahead": f"WITH {POINTS}, {_AHEAD} SELECT route_id, seq::INT AS seq, {rsql('lat', 9)} AS lat, {rsql('lon', 9)} AS lon, height FROM ahead",
     "elevation_blocks": f"""WITH {_KEYS}, fine AS (SELECT id, CASE WHEN (ky+kx) % 2 = 0 THEN 69*10*greatest(0, least(1, x-kx)) + 66*greatest(0, least(1, y-ky)) END AS e FROM keyed)
         SELECT id, {rsql('e', 3)} AS elevation FROM fine""",
+    "dted_register": "SELECT * FROM (VALUES (47, 8, 'b', 44), (-12, -77, 'c', 66)) AS t(lat_deg, lon_deg, path, last_cell)",
+    "terrain_urls": f"""WITH {_KEYS} SELECT id, 'http://host/' || lpad(abs(ky)::VARCHAR, 2, '0') || '0000' || CASE WHEN ky >= 0 THEN 'N' ELSE 'S' END || lpad(abs(kx)::VARCHAR, 3, '0') || '0000'
+        || CASE WHEN kx >= 0 THEN 'E' ELSE 'W' END || '.dt0?at=' || ky || ',' || kx AS url FROM keyed""",
     "dted_decode": "SELECT -23 AS lat_deg, -48 AS lon_deg, c, r, (c*10+r)::INT AS elevation FROM (SELECT unnest(range(11)) AS c), (SELECT unnest(range(7)) AS r)",
 }
