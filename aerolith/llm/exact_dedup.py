@@ -48,6 +48,8 @@ BUCKET_BYTES = 24 << 20
 CHUNK_ROWS, CHUNK_BYTES = 50_000, 16 << 20
 #: Buckets into which one level deals its records at most, and into which each bucket that is too large is dealt again.
 FAN_OUT, AGAIN = 20_000, 64
+#: Rows of a batch that tells what has come of chunks' groups.
+OUTCOMES = 100_000
 #: From this level on buckets are taken whole: records that so many hashes do not part have equal contents, but for chance.
 LEVELS = 8
 
@@ -229,8 +231,10 @@ class _Bucket:
             for x in stay.to_batches():
                 yield self._outcome(x, left=True)
             if not self._rows:
-                pairs = [(g, self._best[k][1]) for g, k in zip(self._groups, self._numbers, strict=True) if self._best[k][1] != g]
-                yield self._rows_of(stay.schema, {_GROUP: [g for g, _ in pairs], _ALIAS: [t for _, t in pairs], _LEFT: [False] * len(pairs)})
+                for lo in range(0, len(self._numbers), OUTCOMES):
+                    own = zip(self._groups[lo : lo + OUTCOMES], self._numbers[lo : lo + OUTCOMES], strict=True)
+                    pairs = [(g, self._best[k][1]) for g, k in own if self._best[k][1] != g]
+                    yield self._rows_of(stay.schema, {_GROUP: [g for g, _ in pairs], _ALIAS: [t for _, t in pairs], _LEFT: [False] * len(pairs)})
             self._empty()
 
     def _stay(self) -> pa.Table:
@@ -258,11 +262,12 @@ class _Bucket:
                 yield self._outcome(b, left=False)
             return
         keep = [key[1] if key[0] else None for key, _ in self._best]
-        n = self._numbers
-        yield self._rows_of(self._held[0].schema, {
-            _GROUP: self._groups, _LEFT: [False] * len(n), "keep_id": [keep[k] for k in n], "group_size": [self._total[k] for k in n],
-            _WINS: [self._best[k][1] == g for g, k in zip(self._groups, n, strict=True)],
-        })
+        for lo in range(0, len(self._numbers), OUTCOMES):
+            groups, n = self._groups[lo : lo + OUTCOMES], self._numbers[lo : lo + OUTCOMES]
+            yield self._rows_of(self._held[0].schema, {
+                _GROUP: groups, _LEFT: [False] * len(n), "keep_id": [keep[k] for k in n], "group_size": [self._total[k] for k in n],
+                _WINS: [self._best[k][1] == g for g, k in zip(groups, n, strict=True)],
+            })
 
 
 def _settle(id_col: str, text_col: str, most: int | None, rows: bool):
