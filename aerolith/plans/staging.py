@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,25 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    for made in _RECORDS:
+        made.append(out)
     return out
 
 
+_RECORDS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that are staged meanwhile, for whoever knows when nothing reads them any more."""
+    made: list[DataFrame] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for t in tables:
