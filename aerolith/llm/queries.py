@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import chat, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules
+from aerolith.llm import chat, divergence, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_licenses, op2_quality, op3_near_dedup, op4_rules, op5_packing, op6_pii, op7_chat, op8_exact_dedup, op9_langid, op10_bpe)
+    for f in (op1_licenses, op2_quality, op3_near_dedup, op4_rules, op5_packing, op6_pii, op7_chat, op8_exact_dedup, op9_langid, op10_bpe, op11_divergence)
 }
 
 _OP4_BASE = r"""
@@ -121,9 +125,44 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHARE = "1 + 1000000000::HUGEINT*({n} + 2) // ({total} + 2*{terms})"
+_FAR = "(({p}) - ({q}))*(({p}) - ({q})) // (({p}) + ({q}))"
+
+_OP11 = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+words AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10),
+here AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+langs AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY 1),
+every AS (SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(h.n, 0) AS n
+          FROM groups g JOIN kept k USING (lang) LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM every GROUP BY 1, 2),
+shares AS (SELECT e.lang, e.source, e.term, e.n, {_SHARE.format(n="e.n", total="t.total", terms="l.terms")} AS p,
+                  {_SHARE.format(n="e.lang_n", total="l.total", terms="l.terms")} AS q
+           FROM every e JOIN totals t USING (lang, source) JOIN langs l USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum({_FAR.format(p="a.p", q="b.p")}) AS value
+         FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+rows AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, {_FAR.format(p="p", q="q")} FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_rules": f"WITH {_OP4_BASE} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,"
     " NOT base_failed AND NOT rejected AS kept FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source",
     "op7_chat": _OP7,
     "op8_exact_dedup": _OP8,
+    "op11_divergence": _OP11,
 }
