@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import chat, divergence, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules
+from aerolith.llm import chat, clustering, divergence, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_licenses, op2_quality, op3_near_dedup, op4_rules, op5_packing, op6_pii, op7_chat, op8_exact_dedup, op9_langid, op10_bpe, op11_divergence)
+    for f in (op1_licenses, op2_quality, op3_near_dedup, op4_rules, op5_packing, op6_pii, op7_chat, op8_exact_dedup, op9_langid, op10_bpe, op11_divergence, op12_clustering)
 }
 
 _OP4_BASE = r"""
@@ -159,10 +163,35 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+
+
+def _op12(rounds: int = 10) -> str:
+    """Vectors as a row for each component; each round is three tables."""
+    near = """d{r} AS MATERIALIZED (SELECT x.k, c.cl, sum((x.x - c.x)*(x.x - c.x)) AS far FROM x JOIN c{r} c ON x.i = c.i GROUP BY 1, 2),
+    a{r} AS MATERIALIZED (SELECT k, cl, far FROM d{r} QUALIFY row_number() OVER (PARTITION BY k ORDER BY far, cl) = 1)"""
+    mean = """c{n} AS MATERIALIZED (SELECT c.cl, c.i, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+        SELECT a.cl, x.i, (sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a{r} a JOIN x USING (k) GROUP BY 1, 2) m ON m.cl = c.cl AND m.i = c.i)"""
+    steps = [s.format(r=r, n=r + 1) for r in range(rounds) for s in (near, mean)] + [near.format(r=rounds)]
+    return f"""
+WITH e AS MATERIALIZED (
+    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+),
+x AS MATERIALIZED (SELECT k, unnest(range(1, 65)) AS i, unnest(v)::HUGEINT AS x FROM e),
+c0 AS MATERIALIZED (SELECT s.cl, x.i, x.x FROM x JOIN (SELECT k, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cl FROM e QUALIFY cl < 8) s USING (k)),
+{", ".join(steps)},
+shown AS (SELECT cl, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS s FROM c{rounds} GROUP BY 1)
+SELECT e.vec_id, a.cl::INT AS cluster, a.far::BIGINT AS distance, (sum(a.far) OVER (PARTITION BY a.cl))::BIGINT AS cluster_inertia,
+       (sum(a.far) OVER ())::BIGINT AS inertia, s.s AS centroid_sha256
+FROM a{rounds} a JOIN e USING (k) JOIN shown s ON s.cl = a.cl
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_rules": f"WITH {_OP4_BASE} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,"
     " NOT base_failed AND NOT rejected AS kept FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source",
     "op7_chat": _OP7,
     "op8_exact_dedup": _OP8,
     "op11_divergence": _OP11,
+    "op12_clustering": _op12(),
 }

@@ -32,7 +32,7 @@ def run(spark):
     return query
 
 
-@pytest.mark.parametrize("name", ["op4_rules", "op7_chat", "op8_exact_dedup", "op11_divergence"])
+@pytest.mark.parametrize("name", ["op4_rules", "op7_chat", "op8_exact_dedup", "op11_divergence", "op12_clustering"])
 def test_sql(spark, name):
     assert_same(__spark_entry__.queries()[name](spark, SF), __spark_entry__.oracle_sql()[name], SF)
 
