@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import chat, clustering, divergence, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules
+from aerolith.llm import chat, clustering, divergence, exact_dedup, langid, lexicon, licenses, near_dedup, packing, pii, quality_model, rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,13 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(secret_scan.with_owners(_table(spark, sf_dir, "documents")), "repo", "owner")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_licenses, op2_quality, op3_near_dedup, op4_rules, op5_packing, op6_pii, op7_chat, op8_exact_dedup, op9_langid, op10_bpe, op11_divergence, op12_clustering)
+    for f in (op1_licenses, op2_quality, op3_near_dedup, op4_rules, op5_packing, op6_pii, op7_chat, op8_exact_dedup, op9_langid, op10_bpe, op11_divergence, op12_clustering, op13_secrets)
 }
 
 _OP4_BASE = r"""
