@@ -65,23 +65,25 @@ def lla_to_ecef(lat, lon, height, ellipsoid: Ellipsoid = WGS84) -> Column:
 
 
 def ecef_to_lla(x, y, z, ellipsoid: Ellipsoid = WGS84) -> Column:
-    """Bowring's closed form; on the polar axis longitude is 0."""
+    """Bowring's closed form; on the polar axis longitude is 0, and latitude a pole's.
+
+    Sines and cosines are ratios of sides, and the axis is weighed in rather than
+    branched to: what stands in a branch is worked out anew wherever it is used.
+    """
     x, y, z = _c(x), _c(y), _c(z)
     a, b = ellipsoid.a, ellipsoid.b
-    p = F.hypot(x, y)
-    theta = F.atan2(z * a, p * b)
-    lat = F.atan2(
-        z + ellipsoid.e_prime_sq * b * F.pow(F.sin(theta), F.lit(3.0)), p - ellipsoid.e_sq * a * F.pow(F.cos(theta), F.lit(3.0))
-    )
-    n = prime_vertical_radius(lat, ellipsoid)
-    steep = F.try_divide(F.abs(z), F.abs(F.sin(lat))) - n * (1.0 - ellipsoid.e_sq)
-    height = F.when(F.abs(F.cos(lat)) > 1e-6, F.try_divide(p, F.cos(lat)) - n).otherwise(steep)
-    axis = p < 1e-8
-    return _struct(
-        lat=F.when(axis, F.when(z >= 0, pi / 2).otherwise(-pi / 2)).otherwise(lat),
-        lon=F.when(axis, 0.0).otherwise(F.atan2(y, x)),
-        height=F.when(axis, F.abs(z) - b).otherwise(height),
-    )
+    p = F.sqrt(x * x + y * y)
+    up, out = z * a, p * b
+    slant = F.sqrt(up * up + out * out) + 1e-300  # nothing but the centre has none
+    sin, cos = up / slant, out / slant
+    north, east = z + ellipsoid.e_prime_sq * b * sin * sin * sin, p - ellipsoid.e_sq * a * cos * cos * cos
+    side = F.sqrt(north * north + east * east) + 1e-300
+    sin_lat, cos_lat = north / side, east / side
+    height = p * cos_lat + z * sin_lat - a * F.sqrt(1.0 - ellipsoid.e_sq * sin_lat * sin_lat)
+    axis = (p < 1e-8).cast("double")
+    off = 1.0 - axis
+    pole = (z >= 0).cast("double") * pi - pi / 2
+    return _struct(lat=F.atan2(north, east) * off + pole * axis, lon=F.atan2(y, x) * off, height=height * off + (F.abs(z) - b) * axis)
 
 
 def ecef_to_enu(x, y, z, lat0, lon0, height0, ellipsoid: Ellipsoid = WGS84) -> Column:
