@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions.geodesy import Haversine, Vincenty
 from aerolith.operators import terrain
-from aerolith.queries.common import A, POINTS, ROUTES, bearing_sql, direct_sql, hav_sql, points, rnd, routes, rsql
+from aerolith.plans.staging import shared_dir
+from aerolith.queries.common import A, POINTS, ROUTES, bearing_sql, direct_sql, hav_sql, points, rnd, routes, rsql, table
 from aerolith.queries.geodesy import vincenty_direct_sql, vincenty_inverse_sql
-from aerolith.sources import dted
+from aerolith.sources import dted, tile_files
 
 CELLS, STEP = 13, 2000.0
 
@@ -79,15 +82,15 @@ def chart_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a profile in degrees, of routes laid through every tenth customer's point."""
-    t = points(spark, sf_dir).where("id % 10 = 0").withColumn("heading_rad", F.radians((F.col("id") % 360).cast("double")))
+    """Numbers of a profile in degrees, of routes laid through the customers' points."""
+    t = points(spark, sf_dir).withColumn("heading_rad", F.radians((F.col("id") % 360).cast("double")))
     r = terrain.route_ahead(t)
     d = terrain.in_degrees(terrain.profile(r, _tiles(r), STEP, Haversine))
-    return d.where("abs(lat_deg) < 80").select("route_id", rnd("elevation", 2).alias("elevation"), rnd("lat_deg", 6).alias("lat_deg"), rnd("lon_deg", 6).alias("lon_deg"), "height")
+    return d.select("route_id", rnd("elevation", 2).alias("elevation"), rnd("lat_deg", 6).alias("lat_deg"), rnd("lon_deg", 6).alias("lon_deg"), "height")
 
 
 def route_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = points(spark, sf_dir).where("id % 10 = 0").withColumn("heading_rad", F.radians((F.col("id") % 360).cast("double")))
+    t = points(spark, sf_dir).withColumn("heading_rad", F.radians((F.col("id") % 360).cast("double")))
     return terrain.route_ahead(t).select("route_id", "seq", rnd("lat", 9).alias("lat"), rnd("lon", 9).alias("lon"), "height")
 
 
@@ -98,23 +101,50 @@ def elevation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.elevation(p, t, most_bytes=0).select("id", rnd("elevation", 3).alias("elevation"))
 
 
+def _supplier_tiles(spark: SparkSession, sf_dir: str, lat: Column, lon: Column) -> DataFrame:
+    """A small ramp tile for each supplier k, raised by k % 100."""
+    k = F.col("k")
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    t = t.select("k", F.concat(F.lit("t"), k).alias("path"), lat.cast("int").alias("lat_deg"), lon.cast("int").alias("lon_deg"), (k % 4 + 2).cast("int").alias("num_rows"), (k % 5 + 3).cast("int").alias("num_cols"))
+    cell = F.sequence(F.lit(0), F.col("num_rows") * F.col("num_cols") - 1)
+    return t.withColumn("elevations", F.transform(cell, lambda i: (F.floor(i / F.col("num_rows")) * 10 + i % F.col("num_rows") + k % 100).cast("smallint")))
+
+
+def _cells(tiles: DataFrame) -> list[Column]:
+    """Facts of a tile's cells: their sum and the last one."""
+    return [F.aggregate("elevations", F.lit(0).cast("long"), lambda s, v: s + v).alias("cells"), F.element_at("elevations", -1).cast("int").alias("last_cell")]
+
+
 def dted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file that is encoded, decoded again and read cell by cell."""
-    content = dted.encode("230000S", "0480000W", dted.ramp(11, 7))
-    files = spark.createDataFrame([("ramp.dt0", content), ("short.dt0", content[:100])], "path string, content binary")
-    t = dted.decode_tiles(files).where("error is null")
-    cells = t.select("lat_deg", "lon_deg", F.posexplode("elevations"))
-    return cells.select("lat_deg", "lon_deg", F.floor(F.col("pos") / 7).alias("c"), (F.col("pos") % 7).cast("long").alias("r"), F.col("col").cast("int").alias("elevation"))
+    """A file for each supplier, encoded and decoded again; every thirteenth is cut off in its header, every seventeenth behind it."""
+    k = F.col("k")
+    t = _supplier_tiles(spark, sf_dir, k * 37 % 170 - 85, k * 91 % 360 - 180)
+    files = dted.encode_tiles(t).withColumn("k", F.substring("path", 2, 20).cast("long"))
+    cut = F.when(k % 13 == 0, F.substring("content", 1, 100)).when(k % 17 == 0, F.substring("content", 1, dted.HEADER + 5)).otherwise(F.col("content"))
+    d = dted.decode_tiles(files.select("path", cut.alias("content")))
+    return d.select("path", "lat_deg", "lon_deg", "num_rows", "num_cols", "error", *_cells(d))
 
 
 def dted_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four files, one of them no tile and two for the same place, of which the later counts; one tile is unloaded again."""
-    made = [("a", "470000N", "0080000E", 1), ("b", "470000N", "0080000E", 2), ("c", "120000S", "0770000W", 3), ("d", "050000N", "0310000E", 4)]
-    files = [(name, dted.encode(lat, lon, dted.ramp(3, 3) * k), k) for name, lat, lon, k in made] + [("bad", b"no tile", 9)]
-    order = spark.createDataFrame([(name, k) for name, _, k in files], "path string, seq int")
-    loaded = dted.decode_tiles(spark.createDataFrame([(n, c) for n, c, _ in files], "path string, content binary")).join(order, "path")
-    left = dted.unload(dted.register(loaded, "seq"), spark.createDataFrame([(5, 31)], "lat_deg int, lon_deg int"))
-    return left.select("lat_deg", "lon_deg", "path", F.element_at("elevations", -1).cast("int").alias("last_cell"))
+    """Files of which many are for one place, so that the last counts, and some are no tiles; those at the nations' places are unloaded again."""
+    k = F.col("k")
+    files = dted.encode_tiles(_supplier_tiles(spark, sf_dir, k % 20 - 10, k % 30 - 15)).withColumn("k", F.substring("path", 2, 20).cast("long"))
+    loaded = dted.decode_tiles(files.select("path", F.when(k % 13 != 0, F.col("content")).otherwise(F.substring("content", 1, 100)).alias("content")))
+    n = F.col("n_nationkey")
+    gone = table(spark, sf_dir, "nation").select((n % 20 - 10).alias("lat_deg"), (n % 30 - 15).alias("lon_deg"))
+    left = dted.unload(dted.register(loaded.withColumn("k", F.substring("path", 2, 20).cast("long")), "k"), gone)
+    return left.select("lat_deg", "lon_deg", "path", *_cells(left))
+
+
+def dted_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that are written to a folder and read back from it with filters that the scan takes over."""
+    k = F.col("k")
+    tile_files.register(spark)
+    folder = f"{shared_dir(spark)}/aerolith/dted-{uuid.uuid4().hex}"
+    t = _supplier_tiles(spark, sf_dir, k * 37 % 170 - 85, k * 91 % 360 - 180).withColumn("error", F.lit(None).cast("string"))
+    dted.register(t, "k").write.format("dted").mode("append").save(folder)
+    d = spark.read.format("dted").load(folder).where("lat_deg >= -30 and lat_deg < 55 and lon_deg > 0")
+    return d.select("lat_deg", "lon_deg", "num_rows", "num_cols", *_cells(d))
 
 
 def terrain_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         elevation_lookup, elevation_missing, null_sentinel, tile_keys, profile_samples, profile_distance, profile_vincenty, clearance_alert,
-        clearance_nearest, chart_top, dted_decode, profile_degrees, route_ahead, elevation_blocks, dted_register, terrain_urls,
+        clearance_nearest, chart_top, dted_decode, profile_degrees, route_ahead, elevation_blocks, dted_register, dted_source, terrain_urls,
     )
 }
 
@@ -159,8 +189,13 @@ ground AS (SELECT g.*, CASE WHEN t.ky IS NOT NULL THEN ({CELLS}-1)*(10*greatest(
     FROM ({keys(source)}) g LEFT JOIN tiles t ON g.ky = t.ky AND g.kx = t.kx)"""
 
 
+#: Tiles of suppliers; {lat} and {lon} are their places.
+_TILES = """rows AS (SELECT s_suppkey AS k, 't' || s_suppkey AS path, (s_suppkey % 4 + 2)::INT AS r, (s_suppkey % 5 + 3)::INT AS c, s_suppkey % 100 AS up FROM supplier),
+tiles AS (SELECT k, path, ({lat})::INT AS lat_deg, ({lon})::INT AS lon_deg, r AS num_rows, c AS num_cols,
+    (10*r*(c*(c-1)//2) + c*(r*(r-1)//2) + c*r*up)::BIGINT AS cells, (10*(c-1) + r-1 + up)::INT AS last_cell FROM rows)"""
+
 _AHEAD = f"""ahead AS (SELECT id AS route_id, k AS seq, lat+m*cos(h)/{A} AS lat, lon+m*sin(h)/({A}*cos(lat)) AS lon, height
-    FROM (SELECT *, radians((id % 360)::DOUBLE) AS h, k*2000-30000 AS m FROM points, (SELECT unnest(range(41)) AS k) WHERE id % 10 = 0))"""
+    FROM (SELECT *, radians((id % 360)::DOUBLE) AS h, k*2000-30000 AS m FROM points, (SELECT unnest(range(41)) AS k)))"""
 
 ORACLE_SQL = {
     "elevation_lookup": f"WITH {_KEYS} SELECT id, {rsql('e', 3)} AS elevation FROM ground",
@@ -184,12 +219,18 @@ ORACLE_SQL = {
             UNION ALL SELECT route_id, before+length, lat2, lon2 FROM legs WHERE final), {_ground('samples', 'routes')}
         SELECT route_id, {rsql('distance_meters', 2)} AS distance_meters, {rsql('e', 2)} AS ground_elevation, bool_and(e IS NOT NULL) OVER (PARTITION BY route_id) AS complete FROM ground""",
     "profile_degrees": f"""WITH {POINTS}, {_AHEAD}, {_legs_sql('ahead')}, {_SAMPLED}, {_ground('samples', 'ahead')}
-        SELECT route_id, {rsql('e', 2)} AS elevation, {rsql('degrees(lat)', 6)} AS lat_deg, {rsql('degrees(lon)', 6)} AS lon_deg, height FROM ground WHERE abs(degrees(lat)) < 80""",
+        SELECT route_id, {rsql('e', 2)} AS elevation, {rsql('degrees(lat)', 6)} AS lat_deg, {rsql('degrees(lon)', 6)} AS lon_deg, height FROM ground""",
     "route_ahead": f"WITH {POINTS}, {_AHEAD} SELECT route_id, seq::INT AS seq, {rsql('lat', 9)} AS lat, {rsql('lon', 9)} AS lon, height FROM ahead",
     "elevation_blocks": f"""WITH {_KEYS}, fine AS (SELECT id, CASE WHEN (ky+kx) % 2 = 0 THEN 69*10*greatest(0, least(1, x-kx)) + 66*greatest(0, least(1, y-ky)) END AS e FROM keyed)
         SELECT id, {rsql('e', 3)} AS elevation FROM fine""",
-    "dted_register": "SELECT * FROM (VALUES (47, 8, 'b', 44), (-12, -77, 'c', 66)) AS t(lat_deg, lon_deg, path, last_cell)",
+    "dted_register": f"""WITH {_TILES.format(lat='k % 20 - 10', lon='k % 30 - 15')},
+        last AS (SELECT * FROM tiles WHERE k % 13 <> 0 QUALIFY row_number() OVER (PARTITION BY lat_deg, lon_deg ORDER BY k DESC) = 1)
+        SELECT lat_deg, lon_deg, path, cells, last_cell FROM last WHERE (lat_deg, lon_deg) NOT IN (SELECT (n_nationkey % 20 - 10, n_nationkey % 30 - 15) FROM nation)""",
+    "dted_source": f"""WITH {_TILES.format(lat='k*37 % 170 - 85', lon='k*91 % 360 - 180')}
+        SELECT lat_deg, lon_deg, num_rows, num_cols, cells, last_cell FROM tiles WHERE lat_deg >= -30 AND lat_deg < 55 AND lon_deg > 0
+        QUALIFY row_number() OVER (PARTITION BY lat_deg, lon_deg ORDER BY k DESC) = 1""",
     "terrain_urls": f"""WITH {_KEYS} SELECT id, 'http://host/' || lpad(abs(ky)::VARCHAR, 2, '0') || '0000' || CASE WHEN ky >= 0 THEN 'N' ELSE 'S' END || lpad(abs(kx)::VARCHAR, 3, '0') || '0000'
         || CASE WHEN kx >= 0 THEN 'E' ELSE 'W' END || '.dt0?at=' || ky || ',' || kx AS url FROM keyed""",
-    "dted_decode": "SELECT -23 AS lat_deg, -48 AS lon_deg, c, r, (c*10+r)::INT AS elevation FROM (SELECT unnest(range(11)) AS c), (SELECT unnest(range(7)) AS r)",
+    "dted_decode": f"""WITH {_TILES.format(lat='k*37 % 170 - 85', lon='k*91 % 360 - 180')}, state AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'InvalidHeader' WHEN k % 17 = 0 THEN 'MalformedData' END AS error FROM tiles)
+        SELECT path, error, {', '.join(f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in ('lat_deg', 'lon_deg', 'num_rows', 'num_cols', 'cells', 'last_cell'))} FROM state""",
 }

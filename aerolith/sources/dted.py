@@ -46,24 +46,24 @@ def _angle(field: bytes, degree_digits: int) -> float:
     raise DtedError("InvalidHeader")
 
 
-def decode(content: bytes) -> dict:
-    """Header and elevations (column after column) of one file."""
+def decode(content: bytes, cells: bool = True) -> dict:
+    """Header and elevations (column after column) of one file; without cells the header alone is looked at."""
     if len(content) < HEADER or content[:4] != MAGIC:
         raise DtedError("InvalidHeader")
     part = lambda at: content[at[0] : at[1]]
     lon, lat = _angle(part(LON), 3), _angle(part(LAT), 2)
     cols, rows = _number(part(COLS)), _number(part(ROWS))
     size = COLUMN_EXTRA + 2 * rows
+    header = {"lat_deg": floor(lat), "lon_deg": floor(lon), "num_rows": rows, "num_cols": cols, "lat_spacing": _number(part(LAT_SPACING)), "lon_spacing": _number(part(LON_SPACING)), "error": None}
+    if not cells:
+        return header | {"elevations": None}
     if len(content) < HEADER + cols * size:
         raise DtedError("MalformedData")
     block = np.frombuffer(content, np.uint8, cols * size, HEADER).reshape(cols, size)
     if cols and (block[:, 0] != SENTINEL).any():
         raise DtedError("MalformedData")
     values = np.ascontiguousarray(block[:, COLUMN_HEAD : COLUMN_HEAD + 2 * rows]).view(">i2").astype(np.int16)
-    return {
-        "lat_deg": floor(lat), "lon_deg": floor(lon), "num_rows": rows, "num_cols": cols, "lat_spacing": _number(part(LAT_SPACING)),
-        "lon_spacing": _number(part(LON_SPACING)), "elevations": values.ravel(), "error": None,
-    }
+    return header | {"elevations": values.ravel()}
 
 
 def _decode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,6 +123,24 @@ def encode(lat: str, lon: str, values: np.ndarray) -> bytes:
     return bytes(head) + body
 
 
+def encode_tile(lat_deg: int, lon_deg: int, cols: int, rows: int, elevations) -> bytes:
+    """A file with a tile whose elevations come column after column."""
+    lat, lon = f"{abs(lat_deg):02}0000{'S' if lat_deg < 0 else 'N'}", f"{abs(lon_deg):03}0000{'W' if lon_deg < 0 else 'E'}"
+    return encode(lat, lon, np.asarray(elevations, np.int16).reshape(cols, rows))
+
+
+def _encode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        files = [encode_tile(*r) for r in b[["lat_deg", "lon_deg", "num_cols", "num_rows", "elevations"]].itertuples(index=False)]
+        yield pd.DataFrame({"path": b["path"], "content": files})
+
+
+def encode_tiles(tiles: DataFrame) -> DataFrame:
+    """Files (path, content) of tiles (path, lat_deg, lon_deg, num_rows, num_cols, elevations)."""
+    own = tiles.select("path", "lat_deg", "lon_deg", "num_cols", "num_rows", "elevations")
+    return own.mapInPandas(_encode_all, "path string, content binary")
+
+
 def ramp(cols: int = 121, rows: int = 121) -> np.ndarray:
     """Elevation c * 10 + r."""
     return np.add.outer(np.arange(cols) * 10, np.arange(rows)).astype(np.int16)
