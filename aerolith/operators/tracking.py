@@ -52,8 +52,8 @@ def _fresh(dt: Column, stale: float) -> Column:
     return (dt >= 0) & (dt <= stale)
 
 
-def dead_reckon(states: DataFrame, time, stale_seconds: float = STALE_SECONDS, solver: type = Vincenty) -> DataFrame:
-    """Where each target is at a time (a number or a column): id, lat, lon, height, heading_rad, dt.
+def dead_reckon(states: DataFrame, time, stale_seconds: float = STALE_SECONDS, solver: type = Vincenty, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Where each target is at a time (a number or a column): id, lat, lon, height, heading_rad, dt and the columns of keep.
 
     States from the future and states older than stale_seconds have no row; a
     state of exactly that age has. Only moving targets go through the solver.
@@ -66,7 +66,7 @@ def dead_reckon(states: DataFrame, time, stale_seconds: float = STALE_SECONDS, s
     gone = run > 0
     return live.select(
         "id", F.when(gone, F.col("p.lat")).otherwise(F.col("lat")).alias("lat"), F.when(gone, F.col("p.lon")).otherwise(F.col("lon")).alias("lon"),
-        F.col("climbed").alias("height"), F.col("track_heading_rad").alias("heading_rad"), "dt",
+        F.col("climbed").alias("height"), F.col("track_heading_rad").alias("heading_rad"), "dt", *keep,
     )
 
 

@@ -52,8 +52,12 @@ PAIRS = f"""{POINTS}, pairs AS (SELECT id, lat AS lat1, lon AS lon1, radians(((i
 
 
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pings_of(table(spark, sf_dir, "events"))
+
+
+def pings_of(events: DataFrame) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         u.cast("string").alias("id"), e.alias("seq"), F.radians(((u * 37 + e) % 120 - 60).cast("double")).alias("lat"),
         F.radians(((u * 91 + e * 7) % 360 - 180).cast("double")).alias("lon"), (1000 + e * 13 % 11000).cast("double").alias("height"),
         (e % 260 - 10).cast("double").alias("speed_mps"), F.radians((e * 7 % 365).cast("double")).alias("track_heading_rad"),

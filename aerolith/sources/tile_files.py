@@ -36,7 +36,7 @@ from aerolith.sources.rasters import HEAD_BYTES, image_size
 PARTITION_BYTES, FOLDERS_A_TASK, BATCH_BYTES = 32 << 20, 16, 4 << 20
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path and the path within it."""
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
@@ -133,7 +133,7 @@ class TileReader(ds.DataSourceReader):
         return files, folders
 
     def partitions(self) -> list[ds.InputPartition]:
-        system, root = _opened(self.path)
+        system, root = open_path(self.path)
         files, folders = self._listed(system, root, {})
         while 0 < len(folders) < FOLDERS_A_TASK and not files:  # few folders at the top, as of zooms: their folders are dealt out
             deeper = [self._listed(system, p, key) for p, key in folders]
@@ -167,7 +167,7 @@ class TileReader(ds.DataSourceReader):
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        system, _ = _opened(self.path)
+        system, _ = open_path(self.path)
         schema, rows, size = to_arrow_schema(self.schema), [], 0
         for path, key in self._files(system, partition):
             content = self.content(system, path)
@@ -203,7 +203,7 @@ class TileWriter(ds.DataSourceWriter):
         raise NotImplementedError
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        system, root = _opened(self.path)
+        system, root = open_path(self.path)
         paths, made = [], set()
         for row in iterator:
             path = f"{root.rstrip('/')}/{self.place(row)}"

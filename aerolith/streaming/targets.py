@@ -1,68 +1,237 @@
-"""Tracked targets as a stream: the latest valid ping of each id is state, read out by dead reckoning."""
+"""Tracked targets as a stream: the latest valid ping of each id is state, and frames read it out by dead reckoning.
+
+    latest_stream   updates, each time a target's latest ping changes, by arrival or by event time
+    frames          where all fresh targets are at the ticks of a clock, of event time or of the wall
+
+Pings have id, the columns of STATE, and may have remove = true, which forgets the
+target. By event time they need a watermark, on a column event_time (with_event_time):
+pings that are older than it are dropped by Spark, which counts them in its progress.
+State is a row for each target, and by event time its pings since the last frame.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from aerolith.operators.tracking import STATE, flat_advance, is_valid
+from aerolith.functions.geodesy import Vincenty
+from aerolith.operators.tracking import STALE_SECONDS, STATE, dead_reckon, is_valid
 
 _TYPES = {"seq": "long"}
 STATE_SCHEMA = ", ".join(f"{c} {_TYPES.get(c, 'double')}" for c in STATE)
+_TIME = STATE.index("last_ping_time")
+
+
+def with_event_time(pings: DataFrame, delay: str) -> DataFrame:
+    """Pings with event_time, of last_ping_time, and a watermark that is late by a delay such as '10 minutes'."""
+    return pings.withColumn("event_time", F.timestamp_micros((F.col("last_ping_time") * 1_000_000).cast("long"))).withWatermark("event_time", delay)
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
+    """STATE and removed of each ping; a removal keeps its time and number alone."""
+    for r in batch[[*STATE, "remove"]].itertuples(index=False):
+        gone = bool(r[-1])
+        own = [None if (gone and k != _TIME) or pd.isna(v) else float(v) for k, v in enumerate(r[1:-1], 1)]
+        yield int(r[0]), *own, gone
+
+
+def _by_arrival(row: tuple) -> tuple:
+    return (row[0],)
+
+
+def _by_event(row: tuple) -> tuple:
+    return float("-inf") if row[_TIME] is None else row[_TIME], row[0]
+
+
+ORDERS = {"seq": _by_arrival, "last_ping_time": _by_event}
 
 
 class LatestPing(StatefulProcessor):
-    """Keeps one ping for each id, the one with the largest seq, which is the order of arrival; a ping's time plays no part.
+    """Keeps one ping for each id: the last to arrive (largest seq), or the last by event time, then arrival.
 
     A ping with remove = true, whatever else it holds, forgets the target: a row
-    with removed = true tells sinks so, and pings that arrived before it count no more.
+    with removed = true tells sinks so, and pings before it in the order count no more.
+    With a time to live, a target that sends nothing for so long is forgotten in silence.
     """
 
+    def __init__(self, by: str = "seq", ttl_ms: int | None = None) -> None:
+        self._by, self._ttl = by, ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("latest", f"{STATE_SCHEMA}, removed boolean")
+        self._state = handle.getValueState("latest", f"{STATE_SCHEMA}, removed boolean", self._ttl)
+        self._place = ORDERS[self._by]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = tuple(self._state.get()) if self._state.exists() else None
-        fresh = None
-        for b in rows:
-            r = b.sort_values("seq").iloc[-1]
-            if fresh is None or r["seq"] > fresh["seq"]:
-                fresh = r
-        if fresh is None or (best is not None and fresh["seq"] <= best[0]):
+        fresh = max((r for b in rows for r in _rows(b)), key=self._place, default=None)
+        if fresh is None or (best is not None and self._place(fresh) <= self._place(best)):
             return
-        gone = bool(fresh["remove"])
-        held = [None if gone or pd.isna(fresh[c]) else float(fresh[c]) for c in STATE[1:]]
-        best = (int(fresh["seq"]), *held, gone)
-        self._state.update(best)
-        yield pd.DataFrame([(key[0], *best)], columns=["id", *STATE, "removed"])
+        self._state.update(fresh)
+        yield pd.DataFrame([(key[0], *fresh)], columns=["id", *STATE, "removed"])
 
     def close(self) -> None:
         pass
 
 
-def latest_stream(pings: DataFrame) -> DataFrame:
-    """A stream of updates (id, STATE, removed) from a stream of pings; invalid pings never reach state, removals always do."""
+def _usable(pings: DataFrame) -> DataFrame:
+    """Invalid pings never reach state, removals always do."""
     remove = F.coalesce(F.col("remove"), F.lit(False)) if "remove" in pings.columns else F.lit(False)
-    own = pings.withColumn("remove", remove).where(F.col("remove") | is_valid())
-    return own.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=LatestPing(), outputStructType=f"id string, {STATE_SCHEMA}, removed boolean", outputMode="Update", timeMode="None"
+    return pings.withColumn("remove", remove).where(F.col("remove") | is_valid())
+
+
+def latest_stream(pings: DataFrame, by: str = "seq", ttl_seconds: float | None = None) -> DataFrame:
+    """A stream of updates (id, STATE, removed) from a stream of pings.
+
+    by='seq' takes what arrived last, whatever its time says; by='last_ping_time' takes
+    event time and wants a watermark. ttl_seconds (by arrival alone) forgets targets.
+    """
+    if by != "seq" and ttl_seconds:
+        raise ValueError("a time to live goes by the wall clock, as arrival does")
+    mode = "EventTime" if by != "seq" else "ProcessingTime" if ttl_seconds else "None"
+    ttl = round(ttl_seconds * 1000) if ttl_seconds else None
+    return _usable(pings).groupBy("id").transformWithStateInPandas(
+        statefulProcessor=LatestPing(by, ttl), outputStructType=f"id string, {STATE_SCHEMA}, removed boolean", outputMode="Update", timeMode=mode
     )
 
 
-def feed(spark: SparkSession, targets: DataFrame, per_second: int = 1) -> DataFrame:
-    """A stream of pings: at each tick of a clock every target (id, lat, lon, height, speed_mps, track_heading_rad, vertical_rate_mps), flown on since the first.
+class EventFrames(StatefulProcessor):
+    """The state of a target as of each multiple of a period of event time, once the watermark has passed it.
+
+    Pings wait until a frame has passed them, so those that come late, but within the
+    watermark, are in their place. Frames are made while the state is not stale; then
+    no timer is set, and the state stays until a ping brings the target back, or for
+    ``forget_ms`` if that is given.
+    """
+
+    def __init__(self, every_ms: int, stale_ms: int, forget_ms: int | None) -> None:
+        self._every, self._stale, self._forget = every_ms, stale_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        row = f"{STATE_SCHEMA}, removed boolean"
+        self._handle, self._last, self._waiting, self._timer = handle, handle.getValueState("last", row), handle.getListState("waiting", row), handle.getValueState("timer", "at long")
+
+    def _frame_from(self, row: tuple) -> int:
+        """The first frame at or after a ping, in milliseconds."""
+        return -(-round(row[_TIME] * 1000) // self._every) * self._every
+
+    def _set(self, at: int | None) -> None:
+        held = self._timer.get()[0] if self._timer.exists() else None
+        if held == at:
+            return
+        if held is not None:
+            self._handle.deleteTimer(held)
+            self._timer.clear()
+        if at is not None:
+            self._handle.registerTimer(at)
+            self._timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for b in rows for r in _rows(b) if r[_TIME] is not None]
+        if new:
+            self._waiting.appendList(new)
+            first = min(map(self._frame_from, new))
+            held = self._timer.get()[0] if self._timer.exists() else None
+            self._set(max(first, timerValues.getCurrentWatermarkInMs() + 1) if held is None else min(held, first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, at = timerValues.getCurrentWatermarkInMs(), -(-expiredTimerInfo.getExpiryTimeInMs() // self._every) * self._every
+        last = tuple(self._last.get()) if self._last.exists() else None
+        waiting, out = sorted(map(tuple, self._waiting.get()), key=_by_event), []
+        self._timer.clear()
+        k = 0
+        while at <= now:
+            while k < len(waiting) and waiting[k][_TIME] * 1000 <= at:
+                last = waiting[k] if last is None or _by_event(waiting[k]) > _by_event(last) else last
+                k += 1
+            age = at - last[_TIME] * 1000 if last else None
+            fresh = last is not None and not last[-1] and age <= self._stale
+            if fresh:
+                out.append((key[0], at / 1000, *last[:-1]))
+            if fresh or k == len(waiting):
+                at += self._every
+                if not fresh:
+                    break
+            else:
+                at = max(at + self._every, self._frame_from(waiting[k]))  # nothing to show before the next ping
+        if last is not None and self._forget is not None and k == len(waiting) and now - last[_TIME] * 1000 > self._forget:
+            last = None
+        if last is None:
+            self._last.clear()
+        else:
+            self._last.update(last)
+        if k:
+            self._waiting.put(waiting[k:]) if k < len(waiting) else self._waiting.clear()
+        live = last is not None and not last[-1] and at - last[_TIME] * 1000 <= self._stale
+        if live:
+            self._set(at)
+        elif k < len(waiting):
+            self._set(max(now + 1, self._frame_from(waiting[k])))
+        elif last is not None and self._forget is not None:
+            self._set(max(now + 1, round(last[_TIME] * 1000) + self._forget + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "frame", *STATE])
+
+    def close(self) -> None:
+        pass
+
+
+class WallFrames(StatefulProcessor):
+    """The latest ping of a target at ticks of the wall clock: each tick that finds it fresh gives a row.
+
+    A tick that the stream was too busy for is left out, as a display would. A stale
+    target has no timer; its state stays and its next ping sets one.
+    """
+
+    def __init__(self, every_ms: int, stale_ms: int) -> None:
+        self._every, self._stale = every_ms, stale_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle, self._last, self._timer = handle, handle.getValueState("last", f"{STATE_SCHEMA}, removed boolean"), handle.getValueState("timer", "at long")
+
+    def _next(self, now: int) -> None:
+        at = now // self._every * self._every + self._every
+        self._handle.registerTimer(at)
+        self._timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = max((r for b in rows for r in _rows(b)), key=_by_arrival, default=None)
+        if fresh is not None and not (self._last.exists() and _by_arrival(fresh) <= _by_arrival(tuple(self._last.get()))):
+            self._last.update(fresh)
+            if not self._timer.exists():
+                self._next(timerValues.getCurrentProcessingTimeInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, last = expiredTimerInfo.getExpiryTimeInMs(), tuple(self._last.get())
+        self._timer.clear()
+        age = None if last[-1] or last[_TIME] is None else at - last[_TIME] * 1000
+        if age is not None and age <= self._stale:
+            self._next(timerValues.getCurrentProcessingTimeInMs())
+            if age >= 0:  # a ping from the future waits
+                yield pd.DataFrame([(key[0], at / 1000, *last[:-1])], columns=["id", "frame", *STATE])
+
+    def close(self) -> None:
+        pass
+
+
+def frames(pings: DataFrame, every_seconds: float, clock: str = "event", stale_seconds: float = STALE_SECONDS, forget_seconds: float | None = None, solver: type = Vincenty) -> DataFrame:
+    """A stream of positions (id, frame, lat, lon, height, heading_rad, dt): of every fresh target at every frame.
 
-    Ticks are a few rows, and the targets are broadcast to them.
+    Frames are multiples of every_seconds. clock='event' (pings with a watermark) shows
+    the state by event time as of the frame, however pings came; clock='wall' the ping
+    that arrived last, at ticks of processing time.
     """
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
-    on = ticks.join(F.broadcast(targets), F.lit(True))
-    gone = F.col("value") / F.lit(float(per_second))
-    p = flat_advance("lat", "lon", "track_heading_rad", "speed_mps", gone)
-    return on.withColumn("p", p).select(
-        "id", F.col("value").alias("seq"), "p.lat", "p.lon", (F.col("height") + F.col("vertical_rate_mps") * gone).alias("height"), "speed_mps",
-        "track_heading_rad", "vertical_rate_mps", (F.unix_micros("timestamp") / F.lit(1e6)).alias("last_ping_time"),
+    every, stale = round(every_seconds * 1000), round(stale_seconds * 1000)
+    if clock == "event":
+        processor, mode = EventFrames(every, stale, None if forget_seconds is None else round(forget_seconds * 1000)), "EventTime"
+    else:
+        processor, mode = WallFrames(every, stale), "ProcessingTime"
+    states = _usable(pings).groupBy("id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"id string, frame double, {STATE_SCHEMA}", outputMode="Update", timeMode=mode
     )
+    return dead_reckon(states, "frame", stale_seconds, solver, keep=("frame",))

@@ -1,6 +1,4 @@
 from math import hypot, pi, radians, sin
-from time import sleep, time
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,22 +81,6 @@ def test_stream_forgets_targets(spark, tmp_path):
     assert len(rows) == 6
 
 
-def test_feed(spark, tmp_path):
-    from aerolith.streaming.targets import feed
-
-    q = feed(spark, tracking.made_targets(spark, 3, LAT, LON), 50).writeStream.format("memory").queryName("fed").option("checkpointLocation", str(tmp_path / "cp")).start()
-    deadline = time() + 60
-    while spark.table("fed").count() < 30 and time() < deadline:
-        sleep(0.5)
-    q.stop()
-    rows = spark.table("fed").collect()
-    assert len({r.id for r in rows}) == 3 and len(rows) == 3 * len({r.seq for r in rows}) and all(tracking_ok(r) for r in rows)
-
-
-def tracking_ok(r):
-    return r.speed_mps >= 0 and abs(r.lat - LAT) < 0.1 and r.last_ping_time > 0
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"t{k % 5}", k, float(k), float(k % 7 - 1), 0.5, 0.0, float(1000 - k)) for k in range(40)]
     p = pings(spark, *rows)
