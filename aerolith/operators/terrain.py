@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.geodesy import Vincenty, _c
+from aerolith.operators import sequences
 from aerolith.operators.tracking import flat_advance
+from aerolith.plans.staging import stage_table
 
 #: Elevations at or below this are voids and read as 0; coordinates this near an integer are one.
 VOID, SNAP = -32767, 1e-12
@@ -90,13 +92,28 @@ def legs(routes: DataFrame, solver: type = Vincenty) -> DataFrame:
     return measured.select("route_id", "seq", "lat", "lon", "height", "next", "last", F.col("g.distance").alias("length"), F.col("g.initial_bearing").alias("bearing"), before.alias("before"))
 
 
-def samples(routes: DataFrame, step_m: float, solver: type = Vincenty, uniform: bool = False) -> DataFrame:
+def long_legs(routes: DataFrame, solver: type = Vincenty, parts: int | None = None) -> DataFrame:
+    """What legs gives, of routes that may be longer than a task can hold: points are dealt out in ranges, and distances summed on two levels.
+
+    Points of a route have different seq.
+    """
+    at = sequences.dealt(routes.select("route_id", "seq", "lat", "lon", "height"), ["route_id"], ["seq"], parts)
+    at = sequences.largest(at, ["route_id"], F.col("seq"), "__end")
+    pair = sequences.following(at, ["route_id"], ["seq"], F.struct("seq", "lat", "lon", "height"), "__next").where(F.col("__next").isNotNull())
+    pair = pair.withColumn("last", F.col("__next.seq") == F.col("__end")).withColumn("next", F.col("__next").dropFields("seq"))
+    measured = stage_table(pair.withColumn("g", solver.inverse("lat", "lon", "next.lat", "next.lon")).drop("__next", "__end"), "legs")
+    out = sequences.running_sum(measured, ["route_id"], ["seq"], F.col("g.distance"), "before")
+    return out.select("route_id", "seq", "lat", "lon", "height", "next", "last", F.col("g.distance").alias("length"), F.col("g.initial_bearing").alias("bearing"), "before")
+
+
+def samples(routes: DataFrame, step_m: float, solver: type = Vincenty, uniform: bool = False, long: bool = False) -> DataFrame:
     """Points along routes: route_id, distance_meters, lat, lon, height.
 
     Each leg has a sample every step from its start while a whole step fits, so
     a leg shorter than the step has none, and the route's last point ends it.
     uniform instead puts a sample at every multiple of the step along the whole
     route. A route of fewer than two points has no rows. Each leg is measured once.
+    long deals out the points of routes that are too long for a task.
     """
     if not step_m > 0:
         raise ValueError("step must be positive")
@@ -110,7 +127,7 @@ def samples(routes: DataFrame, step_m: float, solver: type = Vincenty, uniform:
         at = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: k * step_m))
     none = F.array().cast("array<double>")
     stops = F.concat(F.coalesce(at.cast("array<double>"), none), F.when(F.col("last"), F.array(F.lit(None).cast("double"))).otherwise(none))
-    on = legs(routes, solver).select("*", F.explode(stops).alias("d"))  # no distance: the end itself
+    on = (long_legs if long else legs)(routes, solver).select("*", F.explode(stops).alias("d"))  # no distance: the end itself
     end = F.col("d").isNull()
     share = F.when(F.col("length") > 0, F.col("d") / F.col("length")).otherwise(0.0)
     on = on.withColumn("h", F.col("height") + (F.col("next.height") - F.col("height")) * share)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.ellipsoid import FEET_PER_METRE, KNOTS_PER_MPS, WGS84
 from aerolith.functions.geodesy import Haversine, Vincenty, _c, _struct
+from aerolith.operators import sequences
 
 STALE_SECONDS = 30.0
 STATE = ("seq", "lat", "lon", "height", "speed_mps", "track_heading_rad", "vertical_rate_mps", "last_ping_time")
@@ -43,6 +44,22 @@ def state_at(pings: DataFrame, time: float, by: str = "seq") -> DataFrame:
     return latest_state(pings.where(F.col("last_ping_time") <= time), by)
 
 
+def states_as_of(pings: DataFrame, times: DataFrame, by: str = "last_ping_time", parts: int | None = None) -> DataFrame:
+    """The state of a target at each row of a table (id, time and whatever else): its columns with those of STATE.
+
+    Pings known by a time are those with last_ping_time up to it; of them the last by
+    event time counts, or with by='seq' the one that arrived last. Rows before a
+    target's first ping are left out. Pings and times are one sorted sequence in
+    ranges, so a target may have any share of either.
+    """
+    state = F.struct(*dict.fromkeys([by, "seq", *STATE]))
+    known = split_invalid(pings)[0].where(F.col("last_ping_time").isNotNull()).select("id", F.col("last_ping_time").alias("__at"), F.lit(0).alias("__asks"), state.alias("__state"))
+    asked = times.select("id", F.col("time").cast("double").alias("__at"), F.lit(1).alias("__asks"), F.struct(*times.columns).alias("__row"))
+    rows = sequences.dealt(known.unionByName(asked, allowMissingColumns=True), ["id"], ["__at", "__asks"], parts)
+    found = sequences.running_max(rows, ["id"], ["__at", "__asks"], F.col("__state"), "__last").where((F.col("__asks") == 1) & F.col("__last").isNotNull())
+    return found.select("__row.*", *(F.col("__last")[c].alias(c) for c in STATE))
+
+
 def remove(states: DataFrame, ids: DataFrame) -> DataFrame:
     """States without the targets in ids."""
     return states.join(ids.select("id").distinct(), "id", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.operators import screen, tiles
+from aerolith.operators.nearest import nearest
 from aerolith.queries.common import A, rnd, rsql, table
 from aerolith.sources import features
 
@@ -51,6 +52,27 @@ def pick_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("frame", "id", rnd("distance", 6).alias("distance"))
 
 
+def _spots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clicks of all customers and targets of all parts; a third of either is on one spot."""
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    on = lambda k, x, own: F.when(k % 3 == 0, F.lit(x)).otherwise(own.cast("double"))
+    clicks = table(spark, sf_dir, "customer").select(k.alias("click"), (k % 4).alias("frame"), on(k, 321.5, k * 37 % 8000 / 10.0).alias("x"), on(k, 77.25, k * 91 % 6100 / 10.0).alias("y"))
+    targets = table(spark, sf_dir, "part").select(p.alias("id"), (p % 4).alias("frame"), on(p, 322.0, p * 53 % 811).alias("x"), on(p, 90.0, p * 17 % 607).alias("y"))
+    return clicks, targets
+
+
+def nearest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target nearest to each click, however far."""
+    clicks, targets = _spots(spark, sf_dir)
+    return nearest(clicks.drop("frame"), targets).select("click", "id", rnd("distance", 6).alias("distance"))
+
+
+def pick_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target that each click picks in its own frame, if one is near enough."""
+    clicks, targets = _spots(spark, sf_dir)
+    return nearest(clicks, targets, screen.PICK_PX, by=("frame",)).select("click", "frame", "id", rnd("distance", 6).alias("distance"))
+
+
 def declutter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.declutter(_screen_points(spark, sf_dir))
 
@@ -103,11 +125,16 @@ def layer_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geojson_features, feature_class, sector_features, pick_nearest, declutter_labels, atlas_pack, distinct_colors, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
+    for f in (geojson_features, feature_class, sector_features, pick_nearest, nearest_target, pick_clicks, declutter_labels, atlas_pack, distinct_colors, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
 }
 
 _PX = "px AS (SELECT user_id AS frame, event_id AS id, (event_id*37 % 800)::DOUBLE AS x, (event_id*91 % 600)::DOUBLE AS y FROM events)"
 
+_SPOTS = """c AS (SELECT c_custkey AS click, c_custkey % 4 AS frame, CASE WHEN c_custkey % 3 = 0 THEN 321.5e0 ELSE (c_custkey*37 % 8000)/10e0 END AS x,
+        CASE WHEN c_custkey % 3 = 0 THEN 77.25e0 ELSE (c_custkey*91 % 6100)/10e0 END AS y FROM customer),
+    p AS (SELECT p_partkey AS id, p_partkey % 4 AS frame, CASE WHEN p_partkey % 3 = 0 THEN 322e0 ELSE (p_partkey*53 % 811)::DOUBLE END AS x,
+        CASE WHEN p_partkey % 3 = 0 THEN 90e0 ELSE (p_partkey*17 % 607)::DOUBLE END AS y FROM part)"""
+
 ORACLE_SQL = {
     "geojson_features": f"""WITH s AS (SELECT s_suppkey AS key, (s_suppkey*7919 % 2000000 - 1000000)::DOUBLE AS x, (s_suppkey*104729 % 3000000 - 1500000)::DOUBLE AS y FROM supplier)
         SELECT key, ['Point','LineString','Polygon'][(key % 3)::INT+1] AS type, [1,2,3][(key % 3)::INT+1] AS vertices, {rsql(f'2*atan(exp(y/{A}))-pi()/2', 8)} AS lat, {rsql(f'x/{A}', 8)} AS lon FROM s""",
@@ -115,6 +142,10 @@ ORACLE_SQL = {
     "sector_features": "SELECT * FROM (VALUES ('UM415','LineString',2,'airway'),('UZ22','LineString',2,'airway'),('TMA SP CTA1','Polygon',9,'boundary')) AS t(name, type, vertices, class)",
     "pick_nearest": f"""WITH {_PX}, d AS (SELECT frame, id, sqrt(pow(x-400,2)+pow(y-300,2)) AS distance FROM px)
         SELECT frame, id, {rsql('distance', 6)} AS distance FROM d WHERE distance < 100 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY distance, id) = 1""",
+    "nearest_target": f"""WITH {_SPOTS}, d AS (SELECT c.click, p.id, sqrt(pow(p.x-c.x,2)+pow(p.y-c.y,2)) AS distance FROM c, p)
+        SELECT click, id, {rsql('distance', 6)} AS distance FROM d QUALIFY row_number() OVER (PARTITION BY click ORDER BY distance, id) = 1""",
+    "pick_clicks": f"""WITH {_SPOTS}, d AS (SELECT c.click, c.frame, p.id, sqrt(pow(p.x-c.x,2)+pow(p.y-c.y,2)) AS distance FROM c JOIN p USING (frame))
+        SELECT click, frame, id, {rsql('distance', 6)} AS distance FROM d WHERE distance < 15 QUALIFY row_number() OVER (PARTITION BY click ORDER BY distance, id) = 1""",
     "distinct_colors": """SELECT l_orderkey % 50 AS image, count(*) FILTER (l_partkey % 4 = 0)::BIGINT AS transparent, count(*) FILTER (l_partkey % 4 <> 0)::BIGINT AS opaque,
         count(DISTINCT (l_partkey % 7, l_partkey % 5, l_partkey % 3))::BIGINT AS colors FROM lineitem GROUP BY 1""",
     "declutter_labels": f"""WITH RECURSIVE {_PX}, o AS (SELECT frame, id::VARCHAR AS id, x, y, row_number() OVER (PARTITION BY frame ORDER BY id::VARCHAR) AS n FROM px),

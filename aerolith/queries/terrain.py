@@ -54,6 +54,12 @@ def profile_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("route_id", "seq", rnd("length", 2).alias("length"), rnd("before", 2).alias("before"), rnd("bearing", 7).alias("bearing"))
 
 
+def long_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs of one route through all customers' points, in ranges."""
+    r = points(spark, sf_dir).select(F.lit(1).alias("route_id"), F.col("id").alias("seq"), "lat", "lon", "height")
+    return terrain.long_legs(r, Haversine).select("seq", rnd("length", 2).alias("length"), rnd("before", 1).alias("before"), "last")
+
+
 def profile_vincenty(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = routes(spark, sf_dir)
     p = terrain.profile(r, _tiles(r), STEP, Vincenty)
@@ -155,7 +161,7 @@ def terrain_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        elevation_lookup, elevation_missing, null_sentinel, tile_keys, profile_samples, profile_distance, profile_vincenty, clearance_alert,
+        elevation_lookup, elevation_missing, null_sentinel, tile_keys, profile_samples, profile_distance, long_route, profile_vincenty, clearance_alert,
         clearance_nearest, chart_top, dted_decode, profile_degrees, route_ahead, elevation_blocks, dted_register, dted_source, terrain_urls,
     )
 }
@@ -205,6 +211,8 @@ ORACLE_SQL = {
     "profile_samples": f"""WITH {_SAMPLES} SELECT route_id, {rsql('distance_meters', 2)} AS distance_meters, {rsql('lat', 7)} AS lat, {rsql('lon', 7)} AS lon, {rsql('height', 2)} AS height FROM samples""",
     "profile_distance": f"""WITH {_LEGS} SELECT route_id, seq::INT AS seq, {rsql('length', 2)} AS length, {rsql('before', 2)} AS before,
         {rsql('brg - 2*pi()*floor(brg/(2*pi()))', 7)} AS bearing FROM legs""",
+    "long_route": f"""WITH {POINTS}, one AS (SELECT 1 AS route_id, id AS seq, lat, lon, height FROM points), {_legs_sql('one')}
+        SELECT seq, {rsql('length', 2)} AS length, {rsql('before', 1)} AS before, lead(seq) OVER (ORDER BY seq) IS NULL AS last FROM legs""",
     "clearance_alert": f"WITH {_KEYS} SELECT id, {rsql('height/20-coalesce(e,0)', 3)} AS clearance, height/20-coalesce(e,0) < 300 AS hazard FROM ground",
     "clearance_nearest": f"""WITH {_SAMPLES}, {_ground('samples', 'routes')} SELECT route_id, {rsql('distance_meters', 2)} AS distance_meters, {rsql('height-e', 2)} AS clearance FROM ground
         QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY abs(distance_meters-7000), distance_meters) = 1""",

@@ -16,6 +16,8 @@ from aerolith.queries.geodesy import vincenty_direct_sql
 
 #: The stale threshold of the queries: pings of the test tables are hours apart.
 STALE, ZOOM = 21_600.0, 6
+#: Seconds since 1970 from which on orders ask for states.
+ASKED_FROM = 1_704_067_000
 
 
 def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,21 @@ def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.latest_state(known).select("id", "seq", "height")
 
 
+def states_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a target at the time of each order; a third of the orders ask for one target."""
+    k = F.col("o_orderkey")
+    asks = table(spark, sf_dir, "orders").select(k.alias("ask"), F.when(k % 3 == 0, "3").otherwise((F.col("o_custkey") % 200).cast("string")).alias("id"), (ASKED_FROM + k * 7919 % 2_600_000).alias("time"))
+    return tracking.states_as_of(pings(spark, sf_dir), asks).select("ask", "id", "seq", "height")
+
+
+def states_as_of_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each customer, of the pings known by then the one that arrived last, when arrival runs against time."""
+    k = F.col("c_custkey")
+    asks = table(spark, sf_dir, "customer").select(k.alias("ask"), (k % 50).cast("string").alias("id"), (ASKED_FROM + k * 104_729 % 2_600_000).alias("time"))
+    back = pings(spark, sf_dir).withColumn("seq", F.col("seq") * 7919 % 1_000_003)
+    return tracking.states_as_of(back, asks, by="seq").select("ask", "seq", "height")
+
+
 def remove_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "events").where(F.col("event_type") == "error").select((F.col("user_id") * 2).cast("string").alias("id"))
     return tracking.remove(tracking.latest_state(pings(spark, sf_dir)), gone).select("id", "seq")
@@ -121,7 +138,7 @@ def without_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        track_density, latest_state, reject_invalid, dead_reckon, dead_reckon_vincenty, state_as_of, remove_targets, velocity_vector, sim_advance,
+        track_density, latest_state, reject_invalid, dead_reckon, dead_reckon_vincenty, state_as_of, states_as_of, states_as_of_arrival, remove_targets, velocity_vector, sim_advance,
         speed_default, datablock_rounded, datablock_truncated, moving_avg_60, fps_bucket, callsigns, frame_rate, without_nul,
     )
 }
@@ -153,6 +170,10 @@ ORACLE_SQL = {
         SELECT m.id, {rsql('m.lat', 7)} AS lat, {rsql('m.lon', 7)} AS lon, {rsql('l.height', 2)} AS height FROM moved m JOIN live l USING (id)""",
     "state_as_of": f"""WITH {PINGS}, mid AS (SELECT (min(t)+max(t))/2 AS mid FROM valid)
         SELECT id, seq, height FROM valid, mid WHERE t <= mid QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1""",
+    "states_as_of": f"""WITH {PINGS}, asks AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 3 = 0 THEN '3' ELSE (o_custkey % 200)::VARCHAR END AS id, {ASKED_FROM} + o_orderkey*7919 % 2600000 AS time FROM orders)
+        SELECT a.ask, a.id, v.seq, v.height FROM asks a ASOF JOIN valid v ON a.id = v.id AND a.time::DOUBLE >= v.t""",
+    "states_as_of_arrival": f"""WITH {PINGS}, asks AS (SELECT c_custkey AS ask, (c_custkey % 50)::VARCHAR AS id, {ASKED_FROM} + c_custkey*104729 % 2600000 AS time FROM customer)
+        SELECT a.ask, v.seq*7919 % 1000003 AS seq, v.height FROM asks a JOIN valid v ON a.id = v.id AND a.time::DOUBLE >= v.t QUALIFY row_number() OVER (PARTITION BY a.ask ORDER BY v.seq*7919 % 1000003 DESC) = 1""",
     "remove_targets": f"WITH {PINGS} SELECT id, seq FROM latest WHERE id NOT IN (SELECT (user_id*2)::VARCHAR FROM events WHERE event_type = 'error')",
     "velocity_vector": f"""WITH {PINGS} SELECT id, {rsql(_SHIFT[0].format(v='speed*60', h='heading'), 8)} AS tip_lat, {rsql(_SHIFT[1].format(v='speed*60', h='heading'), 8)} AS tip_lon
         FROM latest WHERE speed > 0.5""",
