@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.plans.staging import drop_staged, stage_table
+
 #: Where a label may go (right or left of its point, and how far down), its height and room, and how far a pick reaches.
 LABEL_GAP, LABEL_OFFSETS, LABEL_HEIGHT, LABEL_ROOM, PICK_PX = 15.0, (("right", -30.0), ("right", 10.0), ("left", 10.0), ("left", -30.0)), 26.0, 2.0, 15.0
 #: Edge of the squares that placed labels are looked up by.
@@ -52,6 +54,101 @@ def declutter(targets: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_place, "frame long, id string, slot int, label_x double, label_y double")
 
 
+def _extent(x: float, y: float, w: float) -> tuple[float, float, float, float]:
+    """All that a label's four places and the room about them can touch."""
+    downs = [d for _, d in LABEL_OFFSETS]
+    return x - w - LABEL_GAP - LABEL_ROOM, y + min(downs) - LABEL_ROOM, x + w + LABEL_GAP + LABEL_ROOM, y + max(downs) + LABEL_HEIGHT + LABEL_ROOM
+
+
+class _Boxes:
+    """Boxes by the grid cells that they touch."""
+
+    def __init__(self) -> None:
+        self._grid: dict[tuple[int, int], list[tuple[float, float, float, float]]] = {}
+
+    @staticmethod
+    def _cells(box: tuple[float, float, float, float]) -> list[tuple[int, int]]:
+        x0, y0, x1, y1 = (int(v // _CELL) for v in box)
+        return [(i, j) for i in range(x0, x1 + 1) for j in range(y0, y1 + 1)]
+
+    def add(self, box: tuple[float, float, float, float]) -> None:
+        for c in self._cells(box):
+            own = self._grid.setdefault(c, [])
+            if box not in own:
+                own.append(box)
+
+    def meet(self, box: tuple[float, float, float, float]) -> bool:
+        x0, y0, x1, y1 = box
+        return any(x0 < q and p < x1 and y0 < s and r < y1 for c in self._cells(box) for p, r, q, s in self._grid.get(c, ()))
+
+
+#: A label whose place is not known yet, and one without a place.
+_OPEN, _NONE = -2, -1
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """A square's labels, in order of id, with what can be said of them now; of labels from around it what is known counts.
+
+    A label waits while an earlier one that it could touch is not settled.
+    """
+    placed, waiting, slots = _Boxes(), _Boxes(), []
+    rows = rows.sort_values(["id", "x", "y", "label_w"], kind="stable")
+    for x, y, w, slot, own in rows[["x", "y", "label_w", "slot", "own"]].itertuples(index=False):
+        extent = _extent(x, y, w)
+        if slot == _OPEN and own and not waiting.meet(extent):
+            slot = _NONE
+            for k, (side, down) in enumerate(LABEL_OFFSETS):
+                left, top = x + (LABEL_GAP if side == "right" else -w - LABEL_GAP), y + down
+                if not placed.meet((left - LABEL_ROOM, top - LABEL_ROOM, left + w + LABEL_ROOM, top + LABEL_HEIGHT + LABEL_ROOM)):
+                    slot = k
+                    break
+        if slot == _OPEN:
+            waiting.add(extent)
+        elif slot >= 0:
+            side, down = LABEL_OFFSETS[slot]
+            left, top = x + (LABEL_GAP if side == "right" else -w - LABEL_GAP), y + down
+            placed.add((left, top, left + w, top + LABEL_HEIGHT))
+        slots.append(slot)
+    rows = rows.assign(slot=pd.array(slots, "int32"))
+    return rows.loc[rows["own"], ["frame", "id", "x", "y", "label_w", "slot"]]
+
+
+def declutter_spread(targets: DataFrame, edge: float = 1024.0) -> DataFrame:
+    """What declutter gives, with each frame in squares that are worked on by many tasks: frame, id, slot, label_x, label_y.
+
+    A square sees its own labels and those about it that can touch them. Labels are
+    settled in rounds: in each, a square settles, in order of id, all labels that wait for
+    no unsettled one beyond its edge. Every other round the squares are moved by half an
+    edge, so what waited at an edge is in the middle. Labels that all can touch each other
+    depend on each other one by one, and are one square's. Rows without finite
+    coordinates have no label; squares grow with the widest label.
+    """
+    labels = targets.select(F.col("frame").cast("long").alias("frame"), F.col("id").cast("string").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "label_w")), F.lit(_OPEN).alias("slot"))
+    for c in ("x", "y", "label_w"):
+        labels = labels.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    labels = stage_table(labels, "labels")
+    wide = labels.agg(F.max("label_w")).first()[0] or 0.0
+    reach = (2 * (wide + LABEL_GAP + LABEL_ROOM), 2 * (max(d for _, d in LABEL_OFFSETS) - min(d for _, d in LABEL_OFFSETS) + LABEL_HEIGHT + 2 * LABEL_ROOM))
+    size = [max(edge, 4 * r) for r in reach]
+    schema = "frame long, id string, x double, y double, label_w double, slot int"
+    turn = 0
+    while True:
+        at = lambda c, k, by=0.0: F.floor((F.col(c) + by) / size[k] + (turn % 2) / 2)  # noqa: B023, E731
+        near = lambda c, k: F.sequence(at(c, k, -reach[k]), at(c, k, reach[k]))  # noqa: E731, B023
+        spread = labels.withColumns({"ox": at("x", 0), "oy": at("y", 1)}).withColumn("tx", F.explode(near("x", 0))).withColumn("ty", F.explode(near("y", 1)))
+        spread = spread.withColumn("own", (F.col("tx") == F.col("ox")) & (F.col("ty") == F.col("oy"))).drop("ox", "oy")
+        done = spread.groupBy("frame", "tx", "ty").applyInPandas(_settle, schema)
+        settled = stage_table(done, "labels")
+        drop_staged(labels)
+        labels = settled
+        if labels.where(F.col("slot") == _OPEN).isEmpty():
+            break
+        turn += 1
+    left = F.when(F.col("slot") < 2, F.col("x") + LABEL_GAP).otherwise(F.col("x") - F.col("label_w") - LABEL_GAP)
+    down = F.get(F.array(*(F.lit(d) for _, d in LABEL_OFFSETS)), F.col("slot"))
+    return labels.where(F.col("slot") >= 0).select("frame", "id", "slot", left.alias("label_x"), (F.col("y") + down).alias("label_y"))
+
+
 def pick(points: DataFrame, x: float, y: float, within: float | None = PICK_PX, by: tuple[str, ...] = ()) -> DataFrame:
     """The nearest point (id, distance) to a place on the screen, in each group of by; the least id of equally near ones."""
     d = F.hypot(F.col("x") - x, F.col("y") - y)

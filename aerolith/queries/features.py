@@ -77,6 +77,13 @@ def declutter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.declutter(_screen_points(spark, sf_dir))
 
 
+def declutter_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all parts in one frame, in squares."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.lit(1).alias("frame"), k.alias("id"), (k * 37 % 4001).cast("double").alias("x"), (k * 91 % 1999).cast("double").alias("y"), F.lit(60.0).alias("label_w"))
+    return screen.declutter_spread(p, 300.0)
+
+
 def atlas_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     s = table(spark, sf_dir, "part").select(F.floor(k / 200).alias("atlas"), k.cast("string").alias("id"), k.alias("seq"), (k % 40 + 8).alias("width"), (k % 24 + 8).alias("height"))
@@ -125,11 +132,25 @@ def layer_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geojson_features, feature_class, sector_features, pick_nearest, nearest_target, pick_clicks, declutter_labels, atlas_pack, distinct_colors, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
+    for f in (geojson_features, feature_class, sector_features, pick_nearest, nearest_target, pick_clicks, declutter_labels, declutter_frame, atlas_pack, distinct_colors, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
 }
 
 _PX = "px AS (SELECT user_id AS frame, event_id AS id, (event_id*37 % 800)::DOUBLE AS x, (event_id*91 % 600)::DOUBLE AS y FROM events)"
 
+
+def _declutter_sql(px: str) -> str:
+    return f"""WITH RECURSIVE {px}, o AS (SELECT frame, id::VARCHAR AS id, x, y, row_number() OVER (PARTITION BY frame ORDER BY id::VARCHAR) AS n FROM px),
+        st AS (
+            SELECT frame, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::INT AS slot, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, []::STRUCT(l DOUBLE, t DOUBLE)[] AS taken FROM (SELECT DISTINCT frame FROM px)
+            UNION ALL
+            SELECT frame, n, id, slot, places[slot+1].l, places[slot+1].t, CASE WHEN slot IS NULL THEN taken ELSE list_append(taken, places[slot+1]) END
+            FROM (SELECT *, list_filter([0, 1, 2, 3], lambda k: len(list_filter(taken, lambda b: abs(b.l-places[k+1].l) < 62 AND abs(b.t-places[k+1].t) < 28)) = 0)[1] AS slot
+            FROM (SELECT o.frame, o.n, o.id, st.taken, [{{'l': x+15, 't': y-30}}, {{'l': x+15, 't': y+10}}, {{'l': x-75, 't': y+10}}, {{'l': x-75, 't': y-30}}]::STRUCT(l DOUBLE, t DOUBLE)[] AS places
+                  FROM st JOIN o ON o.frame = st.frame AND o.n = st.n+1))
+        )
+        SELECT frame::BIGINT AS frame, id, slot::INT AS slot, lx AS label_x, ly AS label_y FROM st WHERE slot IS NOT NULL"""
+
+
 _SPOTS = """c AS (SELECT c_custkey AS click, c_custkey % 4 AS frame, CASE WHEN c_custkey % 3 = 0 THEN 321.5e0 ELSE (c_custkey*37 % 8000)/10e0 END AS x,
         CASE WHEN c_custkey % 3 = 0 THEN 77.25e0 ELSE (c_custkey*91 % 6100)/10e0 END AS y FROM customer),
     p AS (SELECT p_partkey AS id, p_partkey % 4 AS frame, CASE WHEN p_partkey % 3 = 0 THEN 322e0 ELSE (p_partkey*53 % 811)::DOUBLE END AS x,
@@ -148,16 +169,8 @@ ORACLE_SQL = {
         SELECT click, frame, id, {rsql('distance', 6)} AS distance FROM d WHERE distance < 15 QUALIFY row_number() OVER (PARTITION BY click ORDER BY distance, id) = 1""",
     "distinct_colors": """SELECT l_orderkey % 50 AS image, count(*) FILTER (l_partkey % 4 = 0)::BIGINT AS transparent, count(*) FILTER (l_partkey % 4 <> 0)::BIGINT AS opaque,
         count(DISTINCT (l_partkey % 7, l_partkey % 5, l_partkey % 3))::BIGINT AS colors FROM lineitem GROUP BY 1""",
-    "declutter_labels": f"""WITH RECURSIVE {_PX}, o AS (SELECT frame, id::VARCHAR AS id, x, y, row_number() OVER (PARTITION BY frame ORDER BY id::VARCHAR) AS n FROM px),
-        st AS (
-            SELECT frame, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::INT AS slot, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, []::STRUCT(l DOUBLE, t DOUBLE)[] AS taken FROM (SELECT DISTINCT frame FROM px)
-            UNION ALL
-            SELECT frame, n, id, slot, places[slot+1].l, places[slot+1].t, CASE WHEN slot IS NULL THEN taken ELSE list_append(taken, places[slot+1]) END
-            FROM (SELECT *, list_filter([0, 1, 2, 3], lambda k: len(list_filter(taken, lambda b: abs(b.l-places[k+1].l) < 62 AND abs(b.t-places[k+1].t) < 28)) = 0)[1] AS slot
-            FROM (SELECT o.frame, o.n, o.id, st.taken, [{{'l': x+15, 't': y-30}}, {{'l': x+15, 't': y+10}}, {{'l': x-75, 't': y+10}}, {{'l': x-75, 't': y-30}}]::STRUCT(l DOUBLE, t DOUBLE)[] AS places
-                  FROM st JOIN o ON o.frame = st.frame AND o.n = st.n+1))
-        )
-        SELECT frame::BIGINT AS frame, id, slot::INT AS slot, lx AS label_x, ly AS label_y FROM st WHERE slot IS NOT NULL""",
+    "declutter_labels": _declutter_sql(_PX),
+    "declutter_frame": _declutter_sql("px AS (SELECT 1 AS frame, p_partkey AS id, (p_partkey*37 % 4001)::DOUBLE AS x, (p_partkey*91 % 1999)::DOUBLE AS y FROM part)"),
     "atlas_pack": """WITH RECURSIVE i AS (SELECT p_partkey//200 AS atlas, p_partkey::VARCHAR AS id, (p_partkey % 40 + 8)::DOUBLE AS w, (p_partkey % 24 + 8)::DOUBLE AS h,
             row_number() OVER (PARTITION BY p_partkey//200 ORDER BY p_partkey) AS n FROM part),
         st AS (

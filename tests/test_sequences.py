@@ -61,3 +61,21 @@ def test_long_routes(spark):
     assert shown(terrain.long_legs(routes, Haversine, 2)) == want == shown(terrain.long_legs(routes, Haversine, 40)) and len(want) == 20_002
     step = lambda long: sorted(map(repr, terrain.samples(few, 100_000.0, Haversine, long=long).select("route_id", F.round("distance_meters", 3), F.round("lat", 9)).collect()))
     assert step(True) == step(False)
+
+
+@pytest.mark.parametrize(("n", "side", "edge"), [(1500, 2000, 100.0), (20_000, 9000, 600.0)])
+def test_labels_of_one_frame_in_squares(spark, n, side, edge):
+    """The same places as the sequential fold, with a crowd on one spot, labels of several widths, repeated ids and odd rows."""
+    from aerolith.operators import screen
+
+    rng = random.Random(n)
+    rows = [(k % 2 if n < 2000 else 1, f"T{rng.randrange(10**6)}" if k % 50 else "T1", rng.uniform(-side, side), rng.uniform(-side, side) / 2, rng.choice([20.0, 60.0, 75.5])) for k in range(n)]
+    rows += [(1, f"C{k}", 5.0, 5.0 + k % 3, 60.0) for k in range(300)]
+    t = spark.createDataFrame(rows, "frame int, id string, x double, y double, label_w double").dropDuplicates(["frame", "id"])
+    t = spark.createDataFrame(t.collect(), t.schema)
+    want = sorted(map(tuple, screen.declutter(t).collect()))
+    got = sorted(map(tuple, screen.declutter_spread(t, edge).collect()))
+    assert got == want and len(got) > 900
+    odd = t.limit(3).unionByName(spark.createDataFrame([(1, "odd", None, 1.0, 60.0), (1, "nan", float("nan"), 1.0, 60.0), (None, "null", 1.0, 1.0, 60.0)], t.schema))
+    assert {r.id for r in screen.declutter_spread(odd).collect()} <= {r.id for r in t.limit(3).collect()} | {"null"}
+    assert screen.declutter_spread(t.limit(0)).count() == 0
