@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import colors, symbols
 from aerolith.operators import screen, tiles
-from aerolith.queries.symbols import SLD
 from aerolith.sources import features, styles
 
 
@@ -11,10 +10,15 @@ def one(spark, **cols):
     return spark.range(1).select(*(v.alias(k) for k, v in cols.items())).first()
 
 
+COAST = """<Styles xmlns:k="urn:k"><NamedLayer><Name> coast </Name><k:Rule><k:Name>shore</k:Name><LineSymbolizer><Stroke><SvgParameter name="stroke">#1A7</SvgParameter>
+<SvgParameter name="stroke-dasharray">3 1.5,2</SvgParameter></Stroke></LineSymbolizer><MaxScaleDenominator>820</MaxScaleDenominator></k:Rule>
+<k:Rule><MinScaleDenominator>640</MinScaleDenominator><PolygonSymbolizer><Fill><CssParameter name="fill-opacity">0.3</CssParameter></Fill></PolygonSymbolizer></k:Rule></NamedLayer></Styles>"""
+
+
 def test_styles_parse():
-    rules = styles.parse_styles(SLD)
-    assert [(layer, i, r["name"]) for layer, i, r in rules] == [("airways", 0, "Close"), ("airways", 1, "Far")]
-    assert rules[0][2]["stroke"] == {"color": "#FF0000", "width": 4.5, "dash_array": [10.0, 5.0]} and rules[0][2]["fill"] is None
+    rules = styles.parse_styles(COAST)
+    assert [(layer, i, r["name"], r["min_scale"], r["max_scale"]) for layer, i, r in rules] == [("coast", 0, "shore", None, 820.0), ("coast", 1, "", 640.0, None)]
+    assert rules[0][2]["stroke"] == {"color": "#1A7", "width": 1.0, "dash_array": [3.0, 1.5, 2.0]} and rules[0][2]["fill"] is None and rules[1][2]["fill"] == {"color": "#000000", "opacity": 0.3}
     assert styles.parse_styles("") == [] and styles.parse_styles('<?xml version="1.0"?>') == []
 
 
@@ -39,9 +43,9 @@ def test_style_defaults_and_lost_rules():
 
 
 def test_scale_bounds_are_inclusive(spark):
-    rules = styles.style_rules(spark.createDataFrame([("d", SLD)], "doc_id string, xml string"))
-    names = lambda s: [r.rule.name for r in styles.at_scale(rules, F.lit(float(s))).orderBy("rule_idx").collect()]
-    assert names(5000) == ["Close", "Far"] and names(5001) == ["Far"] and names(50001) == [] and names(10) == ["Close"]
+    rules = styles.style_rules(spark.createDataFrame([("d", COAST)], "doc_id string, xml string"))
+    found = lambda s: [r.rule_idx for r in styles.at_scale(rules, F.lit(float(s))).orderBy("rule_idx").collect()]
+    assert [found(x) for x in (0, 639.9, 640, 820, 820.1, 1e12)] == [[0], [0], [0, 1], [0, 1], [1], [1]]
 
 
 @pytest.mark.parametrize("code,n", [("mil:neutral:ship", 2), ("nato:enemy:satellite", 3), ("mil:S0AAQWERTYUIOPA", 2), ("nato:QSXBQWERTYUIOPA", 3), ("icao:a VOR", 2), ("icao:VOR_DME", 3), ("icao:vor_tac", 3), ("icao:NDB-7", 2), ("icao:tacan 9", 2), ("icao:ad:XX", 2), ("icao:heli pad", 2), ("icao:wpt", 1), ("icao:threshold", 1), ("icao:x dme", 1)])
