@@ -159,6 +159,28 @@ class Camera:
         return x * cos(self.rotation) - y * sin(self.rotation), x * sin(self.rotation) + y * cos(self.rotation)
 
 
+def zoomed(zoom, steps) -> Column:
+    """A camera's zoom after wheel steps, in for positive ones."""
+    zoom, steps = _c(zoom), _c(steps)
+    z = zoom * F.pow(F.when(steps > 0, ZOOM_IN).otherwise(ZOOM_OUT), F.abs(steps))
+    return F.greatest(F.lit(ZOOM_LIMITS[0]), F.least(F.lit(ZOOM_LIMITS[1]), z))
+
+
+def pitched(pitch) -> Column:
+    return F.greatest(F.lit(-pi), F.least(F.lit(pi), _c(pitch)))
+
+
+def rolled(roll) -> Column:
+    """Into [-pi, pi)."""
+    return F.pmod(_c(roll) + pi, F.lit(2 * pi)) - pi
+
+
+def transformed(matrix: np.ndarray, x, y, z, row: int) -> Column:
+    """A component of a point under a matrix, in double."""
+    m = flat(matrix)
+    return m[row] * _c(x) + m[4 + row] * _c(y) + m[8 + row] * _c(z) + m[12 + row]
+
+
 def _perspective_pixels(m: list[float], x: Column, y: Column, z: Column, width: float, height: float) -> Column:
     """Pixels of a point under a matrix; null behind the near plane. The entries are float32, the arithmetic is double."""
     row = lambda k: m[k] * x + m[4 + k] * y + m[8 + k] * z + m[12 + k]

@@ -220,6 +220,14 @@ def mesh_indices(spark: SparkSession, cells: int = 4) -> DataFrame:
     return cell.select("id", F.posexplode(corners)).select((F.col("id") * 6 + F.col("pos")).alias("position"), F.col("col").alias("vertex")).orderBy("position")
 
 
+def index_buffer(tiles: DataFrame, order: str, cells: int = 4) -> DataFrame:
+    """Indices of the meshes of many tiles in one buffer: a tile's number in order (from 0) tells where its vertices and indices begin."""
+    own = F.broadcast(mesh_indices(tiles.sparkSession, cells))  # six for each cell
+    n = F.col(order).cast("long")
+    both = tiles.select(n.alias("__n")).join(own, F.lit(True))
+    return both.select((F.col("__n") * (6 * cells * cells) + F.col("position")).alias("position"), (F.col("__n") * (cells + 1) ** 2 + F.col("vertex")).alias("vertex"))
+
+
 def graticule(spark: SparkSession, projection: Projection | None = None) -> DataFrame:
     """Line ends of the graticule: on the globe (projection None) with ECEF x, y, z, else projected ones that have an image."""
     from aerolith.functions.geodesy import lla_to_ecef

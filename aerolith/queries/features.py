@@ -36,8 +36,13 @@ def feature_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features.sector_features(spark)
-    return f.select(F.col("properties")["name"].alias("name"), "type", F.size("coordinates").alias("vertices"), features.feature_class().alias("class"))
+    """Features of texts of which every seventh is none, and shows the sector's instead."""
+    k = F.col("key")
+    t = _texts(spark, sf_dir).withColumn("json", F.when(k % 7 == 0, F.substring("json", 1, 9)).otherwise(F.col("json")))
+    f = features.features(t)
+    first = F.get("coordinates", F.lit(0))
+    name = F.coalesce(F.try_element_at("properties", F.lit("name")), F.lit(""))
+    return f.select("key", name.alias("name"), "type", F.size("coordinates").alias("vertices"), features.feature_class().alias("class"), rnd(F.degrees(first["lat"]), 6).alias("lat"))
 
 
 def _screen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +165,11 @@ ORACLE_SQL = {
     "geojson_features": f"""WITH s AS (SELECT s_suppkey AS key, (s_suppkey*7919 % 2000000 - 1000000)::DOUBLE AS x, (s_suppkey*104729 % 3000000 - 1500000)::DOUBLE AS y FROM supplier)
         SELECT key, ['Point','LineString','Polygon'][(key % 3)::INT+1] AS type, [1,2,3][(key % 3)::INT+1] AS vertices, {rsql(f'2*atan(exp(y/{A}))-pi()/2', 8)} AS lat, {rsql(f'x/{A}', 8)} AS lon FROM s""",
     "feature_class": "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'airway' ELSE 'boundary' END AS class, count(*)::BIGINT AS features FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1",
-    "sector_features": "SELECT * FROM (VALUES ('UM415','LineString',2,'airway'),('UZ22','LineString',2,'airway'),('TMA SP CTA1','Polygon',9,'boundary')) AS t(name, type, vertices, class)",
+    "sector_features": f"""WITH s AS (SELECT s_suppkey AS key, (s_suppkey*104729 % 3000000 - 1500000)::DOUBLE AS y FROM supplier)
+        SELECT key, '' AS name, ['Point','LineString','Polygon'][(key % 3)::INT+1] AS type, [1,2,3][(key % 3)::INT+1] AS vertices, CASE WHEN key % 2 = 0 THEN 'airway' ELSE 'boundary' END AS class,
+        {rsql(f'degrees(2*atan(exp(y/{A}))-pi()/2)', 6)} AS lat FROM s WHERE key % 7 <> 0
+        UNION ALL SELECT key, name, type, n, class, {rsql('-23.62e0 + degrees(up)', 6)} FROM s, (VALUES ('UM415','LineString',2,'airway',0.5e0),('UZ22','LineString',2,'airway',-0.6e0),('TMA SP CTA1','Polygon',9,'boundary',80000/{A})) AS t(name, type, n, class, up)
+        WHERE key % 7 = 0""",
     "pick_nearest": f"""WITH {_PX}, d AS (SELECT frame, id, sqrt(pow(x-400,2)+pow(y-300,2)) AS distance FROM px)
         SELECT frame, id, {rsql('distance', 6)} AS distance FROM d WHERE distance < 100 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY distance, id) = 1""",
     "nearest_target": f"""WITH {_SPOTS}, d AS (SELECT c.click, p.id, sqrt(pow(p.x-c.x,2)+pow(p.y-c.y,2)) AS distance FROM c, p)

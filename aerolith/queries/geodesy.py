@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy as g
-from aerolith.functions.camera import Camera, flat, screen, screen_single
+from aerolith.functions.camera import Camera, pitched, rolled, screen, screen_single, transformed, zoomed
 from aerolith.functions.projections import LambertConic, Stereographic, WebMercator
 from aerolith.queries.common import A, B, E2, EP2, F_, PAIRS, POINTS, R1, bearing_sql, direct_sql, ecef_sql, hav_sql, pairs, points, rnd, rsql, table, wrap_sql
 
@@ -110,17 +110,20 @@ def _screen_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three view matrices in float32, column after column."""
-    rows = [(k, i, v) for k, m in (("2D", CAMERA.matrix_2d(STEREO)), ("2.5D", CAMERA.matrix_tilted(STEREO)), ("3D", CAMERA.matrix_globe())) for i, v in enumerate(flat(m))]
-    return spark.createDataFrame(rows, "mode string, position int, value double")
+    """Points of the suppliers under each of the three view matrices, whose entries are float32; lengths are in thousands of kilometres."""
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("id"), *((k * n % 2000 / 1000.0 - 1.0).alias(c) for c, n in (("x", 37), ("y", 91), ("z", 53))))
+    of = {"2D": CAMERA.matrix_2d(STEREO), "2.5D": CAMERA.matrix_tilted(STEREO), "3D": CAMERA.matrix_globe()}
+    at = F.explode(F.array(*(F.struct(F.lit(mode).alias("mode"), *(transformed(m, F.col("x") * 1e6, F.col("y") * 1e6, F.col("z") * 1e6, r).alias(f"m{r}") for r in range(4))) for mode, m in of.items())))
+    return p.select("id", at.alias("at")).select("id", "at.mode", *(rnd(f"at.m{r}", 3).alias(f"m{r}") for r in range(4)))
 
 
 def camera_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wheel, pitch and roll of a camera, whose limits are reached."""
-    c = Camera(0.0, 0.0, zoom=2.0)
-    rows = [(k, c.zoomed(k).zoom, c.pitched(k / 10).pitch, c.rolled(k / 10).roll) for k in range(-80, 81, 4)]
-    r = spark.createDataFrame(rows, "steps int, zoom double, pitch double, roll double")
-    return r.select("steps", rnd("zoom", 8).alias("zoom"), rnd("pitch", 8).alias("pitch"), rnd("roll", 8).alias("roll"))
+    """The wheel, pitch and roll of cameras, whose limits are reached."""
+    k = F.col("c_custkey") % 161 - 80
+    zoom = (F.col("c_custkey") % 9 + 1) / 3.0
+    r = table(spark, sf_dir, "customer").select("c_custkey", zoomed(zoom, k).alias("zoom"), pitched(k / 10.0).alias("pitch"), rolled(k / 10.0).alias("roll"))
+    return r.select("c_custkey", rnd("zoom", 7).alias("zoom"), rnd("pitch", 8).alias("pitch"), rnd("roll", 8).alias("roll"))
 
 
 QUERIES = {
@@ -201,12 +204,12 @@ _LCC_N = f"((ln({_lcc_m(_P1)})-ln({_lcc_m(_P2)}))/(ln({_lcc_t(_P1)})-ln({_lcc_t(
 _lcc_rho = lambda t: f"({A}*{_lcc_m(_P1)}/({_LCC_N}*pow({_lcc_t(_P1)}, {_LCC_N}))*pow({t}, {_LCC_N}))"
 _LCC_RHO, _LCC_RHO_0 = _lcc_rho(_LCC_T), _lcc_rho(_lcc_t("0e0"))
 _LCC_THETA = f"({_LCC_N}*(lon-radians(-96e0)))"
-_CHI = f"(2*atan(tan(pi()/4+lat/2)*pow((1-{_E1}*sin(lat))/(1+{_E1}*sin(lat)), {_E1}/2))-pi()/2)"
+CHI = f"(2*atan(tan(pi()/4+lat/2)*pow((1-{_E1}*sin(lat))/(1+{_E1}*sin(lat)), {_E1}/2))-pi()/2)"
 _LAT_C = "radians(-23.5505e0)"
-_CC, _DL = _CHI.replace("lat", _LAT_C), "(lon-radians(-46.6333e0))"
-_K = f"(2*{A}*sqrt(1-{E2})/(1-{E2}*pow(sin({_LAT_C}),2))/(1+sin({_CC})*sin({_CHI})+cos({_CC})*cos({_CHI})*cos({_DL})))"
-STEREO_X = f"({_K}*cos({_CHI})*sin({_DL}))"
-STEREO_Y = f"({_K}*(cos({_CC})*sin({_CHI})-sin({_CC})*cos({_CHI})*cos({_DL})))"
+_CC, _DL = CHI.replace("lat", _LAT_C), "(lon-radians(-46.6333e0))"
+_K = f"(2*{A}*sqrt(1-{E2})/(1-{E2}*pow(sin({_LAT_C}),2))/(1+sin({_CC})*sin({CHI})+cos({_CC})*cos({CHI})*cos({_DL})))"
+STEREO_X = f"({_K}*cos({CHI})*sin({_DL}))"
+STEREO_Y = f"({_K}*(cos({_CC})*sin({CHI})-sin({_CC})*cos({CHI})*cos({_DL})))"
 _BACK = f"WITH {POINTS} SELECT id, {rsql('lat', 6)} AS lat, {rsql(wrap_sql('lon', '(-pi())'), 6)} AS lon FROM points"
 
 
@@ -273,16 +276,18 @@ ORACLE_SQL = {
     "stereo_project": _projected_sql(STEREO_X, STEREO_Y),
     "mercator_project": _projected_sql(f"{A}*lon", f"{A}*ln(tan(pi()/4+lat/2))"),
     "mercator_unproject": _BACK, "lcc_unproject": _BACK, "stereo_unproject": _BACK,
-    "camera_controls": f"""SELECT k::INT AS steps, {rsql('greatest(0.02e0, least(1000e0, 2*pow(CASE WHEN k > 0 THEN 1.1e0 ELSE 0.9e0 END, abs(k))))', 8)} AS zoom,
-        {rsql('greatest(-pi(), least(pi(), k/10e0))', 8)} AS pitch, {rsql(wrap_sql('k/10e0', '(-pi())'), 8)} AS roll FROM (SELECT unnest(range(-80, 81, 4)) AS k)""",
+    "camera_controls": f"""WITH c AS (SELECT c_custkey, c_custkey % 161 - 80 AS k, (c_custkey % 9 + 1)/3e0 AS zoom FROM customer)
+        SELECT c_custkey, {rsql('greatest(0.02e0, least(1000e0, zoom*pow(CASE WHEN k > 0 THEN 1.1e0 ELSE 0.9e0 END, abs(k))))', 7)} AS zoom,
+        {rsql('greatest(-pi(), least(pi(), k/10e0))', 8)} AS pitch, {rsql(wrap_sql('k/10e0', '(-pi())'), 8)} AS roll FROM c""",
     "screen_2d": f"""WITH {POINTS}, img AS (SELECT id, {STEREO_X} AS px, {STEREO_Y} AS py FROM points)
         SELECT id, {rsql(f"(({_ROT[0]})/({_W}/2)+1)*0.5*{WIDTH!r}", 3)} AS x,
         {rsql(f"(1-({_ROT[1]})/({_W}/(800e0/600e0)/2))*0.5*{HEIGHT!r}", 3)} AS y FROM img""",
     "screen_25d": _pixels_sql(_single(_MATRIX_TILTED), STEREO_X, STEREO_Y, "height"),
     "screen_3d_cull": _globe_sql(), "screen_single": _native_sql(),
-    "view_matrices": "SELECT mode, position::INT AS position, value FROM (VALUES " + ", ".join(
-        f"('{mode}', {k}, {v})" for mode, m in (("2D", _MATRIX_2D), ("2.5D", _MATRIX_TILTED), ("3D", _MATRIX_GLOBE)) for k, v in enumerate(_single(m))
-    ) + ") AS t(mode, position, value)",
+    "view_matrices": "WITH p AS (SELECT s_suppkey AS id, (s_suppkey*37 % 2000/1e3 - 1)*1e6 AS x, (s_suppkey*91 % 2000/1e3 - 1)*1e6 AS y, (s_suppkey*53 % 2000/1e3 - 1)*1e6 AS z FROM supplier) " + " UNION ALL ".join(
+        f"SELECT id, '{mode}' AS mode, " + ", ".join(f"{rsql(f'{m[r]}*x + {m[4 + r]}*y + {m[8 + r]}*z + {m[12 + r]}', 3)} AS m{r}" for r in range(4)) + " FROM p"
+        for mode, m in (("2D", _single(_MATRIX_2D)), ("2.5D", _single(_MATRIX_TILTED)), ("3D", _single(_MATRIX_GLOBE)))
+    ),
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "R1", "EP2"]

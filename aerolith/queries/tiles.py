@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from math import pi, radians
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.functions.projections import HALF_WORLD, Stereographic, WebMercator
+from aerolith.functions.projections import Stereographic, WebMercator
 from aerolith.operators import tiles
-from aerolith.queries.common import A, POINTS, points, rnd, rsql, table, wrap_sql
+from aerolith.queries.common import A, E2, POINTS, ecef_sql, points, rnd, rsql, table, wrap_sql
+from aerolith.queries.geodesy import CHI
 
 Z = 7
 N = float(2**Z)
@@ -54,24 +53,38 @@ def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.cover(corners, 4)
 
 
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).select("z", "x", "y").distinct()
+
+
 def tile_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.range(16).select(F.lit(2).alias("z"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") / 4).alias("y"))
-    m = tiles.mesh(t, WebMercator())
+    """Meshes of the tiles that have customers."""
+    m = tiles.mesh(_tiles(spark, sf_dir), WebMercator())
     return m.select("x", "y", "row", "col", "u", "v", rnd("px", 1).alias("px"), rnd("py", 1).alias("py"))
 
 
 def mesh_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.mesh_indices(spark)
+    """One buffer for the meshes of all suppliers' tiles, each behind the vertices of those before it."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"))
+    return tiles.index_buffer(own, "n")
+
+
+def _lines(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+    """Graticule lines next to customers: kind and deg."""
+    p = points(spark, sf_dir)
+    near = lambda c: F.rint(F.degrees(c) / step).cast("int") * step
+    return p.select(F.lit("parallel").alias("kind"), near("lat").alias("deg")).union(p.select(F.lit("meridian"), near("lon"))).distinct()
 
 
 def graticule_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tiles.graticule(spark)
-    return g.groupBy("kind").agg(F.count("*").alias("vertices"), (F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z"))) > 6e6).alias("wide"))
+    """Vertices on the globe of the lines next to customers."""
+    g = tiles.graticule(spark).join(_lines(spark, sf_dir, 10), ["kind", "deg"], "left_semi")
+    return g.select("kind", "deg", "segment", "end", *(rnd(c, 2).alias(c) for c in "xyz"))
 
 
 def graticule_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tiles.graticule(spark, WebMercator())
-    return g.groupBy("kind").agg(F.count("*").alias("vertices"), rnd(F.max("x"), 1).alias("max_x"), rnd(F.max("y"), 1).alias("max_y"))
+    g = tiles.graticule(spark, WebMercator()).join(_lines(spark, sf_dir, 5), ["kind", "deg"], "left_semi")
+    return g.select("kind", "deg", "segment", "end", rnd("x", 1).alias("x"), rnd("y", 1).alias("y"))
 
 
 def semi_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +107,10 @@ def fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.evict(e, "user_id", "event_id", 9, "fifo", by="event_type")
 
 
-def _views(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view for each customer: centres, zooms, turns, and every fifth one on the globe."""
     k = F.col("id")
-    return points(spark, sf_dir).where(k % every == 0).select(
+    return points(spark, sf_dir).select(
         k.alias("view"), "lat", "lon", ((k % 13 + 1) * 0.01).alias("zoom"), F.radians((k % 90).cast("double")).alias("rotation"), F.lit(100_000.0).alias("viewport_base_meters"),
         F.lit(1.5).alias("aspect_ratio"), F.when(k % 5 == 0, "3D").otherwise("2D").alias("mode"),
     )
@@ -108,7 +121,7 @@ def view_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.tiles_within(tiles.visible_bounds(_views(spark, sf_dir, 7), WebMercator(), F.lit(3)))
+    return tiles.tiles_within(tiles.visible_bounds(_views(spark, sf_dir), WebMercator(), F.lit(3)))
 
 
 def view_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +146,10 @@ def key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners under a projection whose antipode is a corner of the grid: that one has no image."""
-    t = spark.range(16).select(F.lit(2).alias("z"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") / 4).alias("y"))
-    c = tiles.tile_corners(t, Stereographic(0.0, 0.0))
-    return c.select("x", "y", "row", "col", ((F.col("px") == 0) & (F.col("py") == 0)).alias("at_zero"))
+    """Corners of the customers' tiles and of four about the centre, under a projection whose antipode is a corner of the grid: that one has no image and is at 0, 0."""
+    about = _keyed(spark, sf_dir).where("id < 4").select("z", (F.col("id") % 2 * 2 ** (Z - 1)).alias("x"), (F.lit(2 ** (Z - 1)) - F.floor(F.col("id") / 2)).alias("y"))
+    c = tiles.tile_corners(_tiles(spark, sf_dir).union(about).distinct(), Stereographic(0.0, 0.0))
+    return c.select("x", "y", "row", "col", rnd("px", 0).alias("px"), rnd("py", 0).alias("py"))
 
 
 def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +171,8 @@ def _row(lat: str, n: float = N) -> str:
 
 _CLAMPED = "greatest(-radians(85.0511e0), least(radians(85.0511e0), lat))"
 _KEYED = f"""{POINTS}, keyed AS (SELECT id, greatest(0, least({N - 1}, floor((degrees(lon)+180)/360*{N})))::INT AS x, greatest(0, least({N - 1}, floor({_row('lat')})))::INT AS y FROM points)"""
-_EDGE = f"({2 * HALF_WORLD!r}/{N})"
+_HALF = f"({A}*pi())"
+_EDGE = f"(2*{_HALF}/{N})"
 _LAT = lambda y, n="%s" % N: f"atan(sinh(pi()*(1-2*({y})/{n})))"
 _CACHE = """WITH u AS (SELECT event_type, user_id, {f}(event_id) AS used FROM events GROUP BY 1, 2)
     SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY used DESC, user_id) <= 9"""
@@ -197,19 +211,31 @@ picked AS (SELECT view, z, CASE WHEN x0 <= x1 AND y0 <= y1 THEN x0 ELSE tx END A
 SELECT view, z::INT AS z, ((b-a+1)*(d-c+1))::BIGINT AS tiles, a::INT AS min_x, b::INT AS max_x, c::INT AS min_y, d::INT AS max_y FROM picked"""
 
 
+
+def _graticule_sql(step: int, segments: int, reach: int, first: int) -> str:
+    """CTEs of the vertices of lines next to customers: v(kind, deg, segment, end, lat, lon)."""
+    return f"""{POINTS}, lines AS (SELECT DISTINCT 'parallel' AS kind, round_even(degrees(lat)/{step}, 0)::BIGINT*{step} AS deg FROM points
+        UNION SELECT 'meridian', round_even(degrees(lon)/{step}, 0)::BIGINT*{step} FROM points),
+    ends AS (SELECT kind, deg, s::INT AS segment, e::INT AS "end", (s+e)/{float(segments)!r} AS part FROM lines, (SELECT unnest(range({segments})) AS s), (SELECT unnest(range(2)) AS e)
+        WHERE kind = 'meridian' OR abs(deg) <= {first}),
+    v AS (SELECT *, radians(CASE WHEN kind = 'parallel' THEN deg ELSE part*{2.0 * reach!r}-{reach} END) AS lat, radians(CASE WHEN kind = 'parallel' THEN part*360-180 ELSE deg END) AS lon FROM ends)"""
+
+
 _PAN = _back("cx-(dx*cos(-turn)-dy*sin(-turn))*w/800", "cy+(dx*sin(-turn)+dy*cos(-turn))*w/800")
 _WMTS = "service=WMTS&request=GetTile&version=1.0.0&layer=base&style=&tilematrixset=EPSG:900913&TileMatrix=EPSG:900913:7&TileRow=' || y || '&TileCol=' || x || '&format=image/png'"
 
 ORACLE_SQL = {
     "view_bounds": f"WITH {_bounds_sql('least(18, greatest(1, floor(log2(zoom)+11.5)))')} SELECT * FROM bounds",
-    "view_tiles": f"""WITH {_bounds_sql('3')} SELECT view, z, x, y FROM (SELECT *, unnest(range(min_x, max_x+1))::INT AS x FROM bounds WHERE view % 7 = 0), LATERAL (SELECT unnest(range(min_y, max_y+1))::INT AS y)""",
+    "view_tiles": f"""WITH {_bounds_sql('3')} SELECT view, z, x, y FROM (SELECT *, unnest(range(min_x, max_x+1))::INT AS x FROM bounds), LATERAL (SELECT unnest(range(min_y, max_y+1))::INT AS y)""",
     "view_keys": _keys_sql(),
     "pan_view": f"""WITH {_VIEWS}, drags AS (SELECT *, (view % 31 - 15)::DOUBLE AS dx, (view % 17 - 8)::DOUBLE AS dy FROM sized)
         SELECT view, {rsql(_PAN[0], 8)} AS lat, {rsql(_PAN[1], 8)} AS lon FROM drags""",
     "tile_urls": f"WITH {_KEYED} SELECT id, 'http://host/wmts?{_WMTS} AS wmts, 'http://host/wmts?map=a&{_WMTS} AS more, 'http://host/7/' || x || '/' || y || '.png' AS xyz FROM keyed",
     "key_parts": f"WITH {_KEYED} SELECT id, {Z} AS z, x, y FROM keyed",
-    "tile_corners": """SELECT x, y, r::INT AS row, c::INT AS col, (y+r = 2 AND x+c IN (0, 2, 4)) AS at_zero
-        FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS c)""",
+    "tile_corners": f"""WITH {_KEYED}, t AS (SELECT x::BIGINT AS x, y::BIGINT AS y FROM keyed UNION SELECT id % 2 * {2 ** (Z - 1)}, {2 ** (Z - 1)} - id // 2 FROM points WHERE id < 4),
+        c AS (SELECT x, y, r, c, {_LAT('y+r')} AS lat, radians((x+c)/{N}*360-180) AS lon FROM t, (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS c)),
+        k AS (SELECT *, {CHI} AS chi, 1+cos({CHI})*cos(lon) AS d, 2*{A}*sqrt(1-{E2}) AS size FROM c)
+        SELECT x, y, r::INT AS row, c::INT AS col, {rsql('CASE WHEN d < 1e-10 THEN 0 ELSE size/d*cos(chi)*sin(lon) END', 0)} AS px, {rsql('CASE WHEN d < 1e-10 THEN 0 ELSE size/d*sin(chi) END', 0)} AS py FROM k""",
     "cache_prune": f"WITH {_KEYED} SELECT id, x, y FROM keyed WHERE (x BETWEEN 10 AND 60 AND y BETWEEN 40 AND 90) OR (SELECT count(*) FROM keyed) <= 100",
     "tile_xy": f"WITH {POINTS} SELECT id, floor((degrees(lon)+180)/360*{N})::INT AS x, floor({_row(_CLAMPED)})::INT AS y FROM points",
     "tile_xy_clamped": f"WITH {_KEYED} SELECT id, x, y, '{Z}/' || x || '/' || y AS key FROM keyed",
@@ -217,22 +243,22 @@ ORACLE_SQL = {
         {rsql(f'radians((x+1)/{N}*360-180)', 8)} AS east FROM keyed""",
     "tile_zoom": """SELECT c_custkey, least(18, greatest(1, floor(log2((c_custkey % 977 + 1)/50e0)+11.5)))::INT AS camera,
         least(18, greatest(0, round(log2(6*40075016e0/((c_custkey % 9973 + 1)*1000e0)))))::INT AS ideal FROM customer""",
-    "wms_bbox": f"""WITH {_KEYED} SELECT id, {rsql(f'x*{_EDGE}-{HALF_WORLD!r}', 3)} AS min_x, {rsql(f'{HALF_WORLD!r}-(y+1)*{_EDGE}', 3)} AS min_y,
-        {rsql(f'(x+1)*{_EDGE}-{HALF_WORLD!r}', 3)} AS max_x, {rsql(f'{HALF_WORLD!r}-y*{_EDGE}', 3)} AS max_y FROM keyed""",
+    "wms_bbox": f"""WITH {_KEYED} SELECT id, {rsql(f'x*{_EDGE}-{_HALF}', 3)} AS min_x, {rsql(f'{_HALF}-(y+1)*{_EDGE}', 3)} AS min_y,
+        {rsql(f'(x+1)*{_EDGE}-{_HALF}', 3)} AS max_x, {rsql(f'{_HALF}-y*{_EDGE}', 3)} AS max_y FROM keyed""",
     "tms_flip": f"WITH {_KEYED} SELECT id, y, ({N - 1}-y)::INT AS y_tms FROM keyed",
     "tile_cover": f"""WITH {POINTS}, k AS (SELECT c_nationkey AS view, floor((degrees(lon)+180)/360*16e0)::INT AS x, floor({_row(_CLAMPED, 16.0)})::INT AS y
         FROM points JOIN customer ON id = c_custkey),
         box AS (SELECT view, greatest(0, least(15, min(x)-1)) AS x0, greatest(0, least(15, max(x)+1)) AS x1, greatest(0, least(15, min(y)-1)) AS y0, greatest(0, least(15, max(y)+1)) AS y1
         FROM k GROUP BY view)
         SELECT view, 4 AS z, x, y FROM (SELECT view, unnest(range(x0, x1+1))::INT AS x, y0, y1 FROM box), LATERAL (SELECT unnest(range(y0, y1+1))::INT AS y)""",
-    "tile_mesh": f"""SELECT x, y, r::INT AS row, c::INT AS col, c/4e0 AS u, r/4e0 AS v, {rsql(f'{A}*radians((x+c/4e0)/4e0*360-180)', 1)} AS px,
-        {rsql(f"{A}*ln(tan(pi()/4+greatest(-radians(85.05112878e0), least(radians(85.05112878e0), {_LAT('y+r/4e0', '4e0')}))/2))", 1)} AS py
-        FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(5)) AS r), (SELECT unnest(range(5)) AS c)""",
-    "mesh_indices": """SELECT c*6+p AS position, [c//4*5+c%4, c//4*5+c%4+5, c//4*5+c%4+1, c//4*5+c%4+1, c//4*5+c%4+5, c//4*5+c%4+6][p+1] AS vertex
-        FROM (SELECT unnest(range(16)) AS c), (SELECT unnest(range(6)) AS p)""",
-    "graticule_3d": "SELECT * FROM (VALUES ('parallel', (17*60*2)::BIGINT, true), ('meridian', (37*60*2)::BIGINT, true)) AS t(kind, vertices, wide)",
-    "graticule_2d": f"""SELECT kind, vertices, {rsql(f'{A}*pi()', 1)} AS max_x, {rsql(repr(WebMercator().project_point(radians(80), pi)[1]), 1)} AS max_y
-        FROM (VALUES ('parallel', (33*20*2)::BIGINT), ('meridian', (73*20*2)::BIGINT)) AS t(kind, vertices)""",
+    "tile_mesh": f"""WITH {_KEYED}, t AS (SELECT DISTINCT x, y FROM keyed)
+        SELECT x, y, r::INT AS row, c::INT AS col, c/4e0 AS u, r/4e0 AS v, {rsql(f'{A}*radians((x+c/4e0)/{N}*360-180)', 1)} AS px,
+        {rsql(f"{A}*ln(tan(pi()/4+greatest(-radians(85.05112878e0), least(radians(85.05112878e0), {_LAT('y+r/4e0')}))/2))", 1)} AS py
+        FROM t, (SELECT unnest(range(5)) AS r), (SELECT unnest(range(5)) AS c)""",
+    "mesh_indices": """SELECT s_suppkey*96+c*6+p AS position, s_suppkey*25+[c//4*5+c%4, c//4*5+c%4+5, c//4*5+c%4+1, c//4*5+c%4+1, c//4*5+c%4+5, c//4*5+c%4+6][p+1] AS vertex
+        FROM supplier, (SELECT unnest(range(16)) AS c), (SELECT unnest(range(6)) AS p)""",
+    "graticule_3d": f"""WITH {_graticule_sql(10, 60, 90, 80)} SELECT kind, deg, segment, "end", {', '.join(f'{rsql(v, 2)} AS {c}' for v, c in zip(ecef_sql('lat', 'lon', '0'), 'xyz', strict=True))} FROM v""",
+    "graticule_2d": f"""WITH {_graticule_sql(5, 20, 80, 80)} SELECT kind, deg, segment, "end", {rsql(f'{A}*lon', 1)} AS x, {rsql(f'{A}*ln(tan(pi()/4+lat/2))', 1)} AS y FROM v""",
     "semi_visible": f"WITH {_KEYED} SELECT id, x, y FROM keyed WHERE (x, y) IN (SELECT (x, y) FROM keyed WHERE id % 3 = 0)",
     "anti_pending": f"WITH {_KEYED} SELECT DISTINCT {Z} AS z, x, y FROM keyed WHERE (x, y) NOT IN (SELECT (x, y) FROM keyed WHERE id % 3 <> 2)",
     "lru_cache": _CACHE.format(f="max"), "fifo_cache": _CACHE.format(f="min"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions.geodesy import Haversine, Vincenty
-from aerolith.functions.projections import MERCATOR_CLAMP_DEG, WebMercator
+from aerolith.functions.projections import WebMercator
 from aerolith.functions.symbols import callsign_symbol
 from aerolith.operators import tiles, tracking
 from aerolith.queries.common import A, PINGS, direct_sql, pings, rnd, rsql, table
@@ -147,7 +147,7 @@ _LIVE = f"""{PINGS}, now AS (SELECT max(t) AS now FROM valid),
 live AS (SELECT id, lat, lon, height + climb*(now-t) AS height, heading, speed*(now-t) AS distance FROM latest, now WHERE now-t BETWEEN 0 AND {STALE!r})"""
 _D = direct_sql("lat", "lon", "heading", "distance")
 _MOVED = f"{_LIVE}, moved AS (SELECT id, CASE WHEN distance > 0 THEN {_D[0]} ELSE lat END AS lat, CASE WHEN distance > 0 THEN {_D[1]} ELSE lon END AS lon, height, heading FROM live)"
-_CLAMP = f"greatest(-radians({MERCATOR_CLAMP_DEG}), least(radians({MERCATOR_CLAMP_DEG}), lat))"
+_CLAMP = f"greatest(-radians(85.05112878e0), least(radians(85.05112878e0), lat))"
 _N = float(2**ZOOM)
 _TX = f"greatest(0, least({_N - 1}, floor((degrees(lon)+180)/360*{_N})))::INT"
 _TY = f"greatest(0, least({_N - 1}, floor((1-ln(abs(tan(lat)+1/cos(lat)))/pi())/2*{_N})))::INT"
