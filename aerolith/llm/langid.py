@@ -30,7 +30,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.mapped import map_arrays, pack_arrays
 from aerolith.llm.sampling import spot
-from aerolith.llm.text import flat
+from aerolith.llm.text import flat, whole_id
 from aerolith.plans.sharing import share_file
-from aerolith.plans.staging import bounded_batches
+from aerolith.plans.staging import bounded_batches, stage_table
 from aerolith.plans.workers import tidy
 
 #: Longest context, in bytes.
@@ -53,6 +53,12 @@ TRAIN_BYTES = 8 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 GROUP, CELLS = 1 << 20, 1 << 22
+#: Bytes that are looked at for letters at once.
+LETTERS = 1 << 16
+#: Languages up to this number are broadcast to the rows that may train.
+BROADCAST_LANGS = 10_000
+#: Bytes whose strings are counted at once.
+COUNTED = 4 << 20
 _SLOT_BITS = 21
 
 
@@ -61,22 +67,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text a number made of it and the ORDER bytes before it; n + 1 offsets.
+def strings(raw: np.ndarray, at: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """For each byte from start to stop a number made of it and the ORDER bytes before it in its text.
 
     The byte itself comes first and the one before it next, so in sorted order
     strings with a longer context in common stand together. Newlines stand before
     a text's first byte.
     """
-    raw, at = flat(texts)
-    n = len(at) - 1
-    spaced = np.full(len(raw) + ORDER * n, 10, np.uint8)
-    where = np.arange(len(raw)) + ORDER * (np.repeat(np.arange(n), np.diff(at)) + 1)
-    spaced[where] = raw
-    out = np.zeros(len(raw), np.uint64)
+    i, j = np.searchsorted(at, start, "right") - 1, np.searchsorted(at, stop, "left")
+    begins = np.repeat(np.maximum(at[i:j], start - ORDER), np.diff(np.clip(at[i : j + 1], start, stop)))
+    room = np.minimum(np.arange(start, stop) - begins, ORDER).astype(np.int8)  # bytes before this one in its text
+    before = np.concatenate([np.full(max(0, ORDER - start), 10, np.uint8), raw[max(0, start - ORDER) : stop]])
+    out = np.zeros(stop - start, np.uint64)
     for back in range(ORDER + 1):
-        out = out << np.uint64(8) | spaced[where - back]
-    return out, at
+        out <<= np.uint64(8)
+        out |= np.where(room >= back, before[ORDER - back : ORDER - back + stop - start], 10).astype(np.uint64)
+    return out
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +105,16 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, string as a number, count) for each batch."""
+    """Rows (lang, string as a number, count) for each piece of a language's texts in a batch."""
     for b in batches:
         langs = np.array(b.column(0).to_pylist(), dtype=object)
         for lang in sorted(set(langs)):
-            grams, n = np.unique(strings(b.column(1).filter(pa.array(langs == lang)))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"]
-            )
+            raw, at = flat(b.column(1).filter(pa.array(langs == lang)))
+            for start in range(0, len(raw), COUNTED):
+                grams, n = np.unique(strings(raw, at, start, min(start + COUNTED, len(raw))), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"]
+                )
 
 
 def _table(parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -174,12 +182,12 @@ class ContextTrees:
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Code length in bits of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        grams, at = strings(texts)
+        raw, at = flat(texts)
         step = max(1 << 12, CELLS // max(1, len(self.langs)))
-        for start in range(0, len(grams), GROUP):
-            own, place = _distinct(grams[start : start + GROUP])
+        for start in range(0, len(raw), GROUP):
+            own, place = _distinct(strings(raw, at, start, min(start + GROUP, len(raw))))
             bits = self.bits(own)
-            for lo in range(start, min(start + GROUP, len(grams)), step):
+            for lo in range(start, min(start + GROUP, len(raw)), step):
                 part = bits[place[lo - start : min(lo - start + step, GROUP)]]
                 i, j = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, lo + len(part), "left")
                 cuts = np.clip(at[i:j] - lo, 0, len(part))
@@ -202,10 +210,11 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], b
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()}
-    each = train_bytes / max(1, len(sizes))
-    share = reduce(lambda e, x: e.when(F.col("lang") == x[0], F.lit(min(1.0, each / max(1, x[1])))), sizes.items(), F.when(F.lit(False), F.lit(0.0)))
-    some = rows.where(F.coalesce(spot(F.col("doc_id")), F.lit(0.0)) < share).select("lang", "text") if sizes else rows.select("lang", "text")
+    sizes = stage_table(rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("__n")), "language-sizes")
+    langs = sizes.count()
+    share = F.lit(train_bytes / max(1, langs)) / F.greatest(F.col("__n"), F.lit(1))
+    sizes = F.broadcast(sizes) if langs <= BROADCAST_LANGS else sizes
+    some = rows.select("doc_id", "lang", "text").join(sizes, "lang").where(F.coalesce(spot(F.col("doc_id")), F.lit(0.0)) < share).select("lang", "text")
     found = some.mapInArrow(tidy(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = found.column("lang").combine_chunks().dictionary_encode()
     code, names = np.asarray(langs.indices), langs.dictionary.to_pylist()
@@ -214,16 +223,22 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], b
     return sorted(counts), pack_arrays(compile_trees(counts)) if counts else b""
 
 
+def _has_letter(texts: pa.Array) -> np.ndarray:
+    """Which texts have a letter, looked for a piece at a time."""
+    raw, at = flat(texts)
+    piece = lambda k, end: raw[k : min(k + LETTERS + 3, end)].tobytes().decode("utf-8", "ignore")  # noqa: E731  a character cut at an edge is whole in the next piece
+    return np.array([any(_LETTER.search(piece(k, j)) for k in range(i, j, LETTERS)) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
+
+
 def _predict(file: str, langs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _mapped(file, langs) if langs else None
         for b in batches:
-            texts = b.column(1).to_pylist()
-            known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
-            lang = np.full(len(texts), UNKNOWN, dtype=object)
-            score = np.zeros(len(texts))
+            known = _has_letter(b.column(1))
+            lang = np.full(len(known), UNKNOWN, dtype=object)
+            score = np.zeros(len(known))
             if trees and known.any():
-                bits = trees.lengths(b.column(1).filter(pa.array(known)))
+                bits = trees.lengths(b.column(1) if known.all() else b.column(1).filter(pa.array(known)))
                 lang[known] = np.array(langs, dtype=object)[bits.argmin(1)]
                 score[known] = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0)).sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
@@ -235,4 +250,4 @@ def predict(docs: DataFrame, model: tuple[list[str], bytes]) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of the language under equal priors) of every whole text."""
     langs, content = model
     file = share_file(docs.sparkSession, content, "context-trees") if langs else ""
-    return docs.select("doc_id", "text").mapInArrow(tidy(_predict(file, tuple(langs))), "doc_id long, lang_pred string, score double")
+    return docs.select(whole_id(docs), "text").mapInArrow(tidy(_predict(file, tuple(langs))), "doc_id long, lang_pred string, score double")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.mapped import map_arrays, pack_arrays
 from aerolith.llm.packing import byte_symbols
-from aerolith.llm.text import groups, lower_ascii
+from aerolith.llm.text import groups, lower_ascii, whole_id
 from aerolith.plans.sharing import share_file
 from aerolith.plans.staging import bounded_batches, drop_staged, stage_table
 from aerolith.plans.workers import tidy
@@ -405,11 +405,11 @@ def share_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) ->
 def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, ids and decoded text of every whole text."""
     file = share_lexicon(docs, tokenizer, most)
-    return docs.select("doc_id", "text").mapInArrow(tidy(_encode_rows(tokenizer, file)), "doc_id long, ids array<int>, decoded string")
+    return docs.select(whole_id(docs), "text").mapInArrow(tidy(_encode_rows(tokenizer, file)), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the decoded text; the ids themselves stay in the task."""
     file = share_lexicon(docs, tokenizer, most)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, file)), schema)
+    return docs.select(whole_id(docs), "text").mapInArrow(tidy(_encode(tokenizer, file)), schema)

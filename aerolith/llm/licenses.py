@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.text import groups, lower_ascii, runs, spans_hash
+from aerolith.llm.text import groups, lower_ascii, runs, spans_hash, whole_id
 from aerolith.plans.staging import bounded_batches, stage_table
 from aerolith.plans.workers import tidy
 
@@ -242,7 +242,7 @@ def scan(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(corpus_weights(docs))
     schema = "doc_id long, path string, own_license string, own_score double, is_file boolean"
-    own = stage_table(docs.select("doc_id", "path", "text").mapInArrow(tidy(_scan(shared)), schema), "own-licences")
+    own = stage_table(docs.select(whole_id(docs), "path", "text").mapInArrow(tidy(_scan(shared)), schema), "own-licences")
     own = own.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/", 1)))
     files = own.where(F.col("is_file") & F.col("dir").isNotNull())
     rank = F.struct(-F.col("own_score"), F.col("path"), F.col("own_license"))

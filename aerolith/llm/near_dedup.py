@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.components import Labels, components
-from aerolith.llm.text import groups, lower_ascii, mix, spans_hash, windows_hash, words
+from aerolith.llm.text import groups, lower_ascii, mix, spans_hash, whole_id, windows_hash, words
 from aerolith.plans.staging import bounded_batches, drop_staged, stage_table
 from aerolith.plans.workers import tidy
 
@@ -452,7 +452,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id and kept of every document; sets link from a similarity of ``percent`` hundredths."""
     bounded_batches(docs.sparkSession)
     forest = Forest(percent)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage_table(docs.mapInArrow(tidy(_sign(forest)), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sig8 binary"), "signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ("n_shingles", "h1", "h2")

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.text import whole_id
 from aerolith.plans.staging import bounded_batches, stage_table
 from aerolith.plans.workers import tidy
 
@@ -155,10 +156,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_bins: int =
     the few bins it leaves unfilled do not depend on the size of the corpus.
     """
     bounded_batches(docs.sparkSession)
-    pieces = stage_table(docs.select("doc_id", "text").mapInArrow(tidy(_tokenise(tokenizer, size)), _TOKENS), "packing-pieces")
+    pieces = stage_table(docs.select(whole_id(docs), "text").mapInArrow(tidy(_tokenise(tokenizer, size)), _TOKENS), "packing-pieces")
     packers = max(1, -(-pieces.count() // per_packer))
     order = F.xxhash64("doc_id", F.lit(5))  # ids often follow sources, and so lengths
-    dealt = pieces.repartition(packers, "doc_id").sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(packers, "doc_id", "piece", "ids_crc32").sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(tidy(_pack(size, open_bins)), PACKED)
 
 

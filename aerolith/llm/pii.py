@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerolith.llm.text import whole_id
 from aerolith.plans.staging import bounded_batches
 from aerolith.plans.workers import tidy
 
@@ -429,7 +430,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans (kind:start:end in code points) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))  # a few hundred shapes
     schema = f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(tidy(_find(shared)), schema)
+    return docs.select(whole_id(docs), "text").mapInArrow(tidy(_find(shared)), schema)
 
 
 def mask(text: str, spans: list[Span]) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.sampling import spot
-from aerolith.llm.text import groups, lower_ascii, spans_hash, windows_hash, words
+from aerolith.llm.text import groups, lower_ascii, spans_hash, whole_id, windows_hash, words
 from aerolith.plans.staging import bounded_batches, stage_table
 from aerolith.plans.workers import tidy
 
@@ -130,7 +130,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and FEATURES of every whole text, staged."""
     bounded_batches(docs.sparkSession)
-    return stage_table(docs.select("doc_id", "text").mapInArrow(tidy(_measure), "doc_id long, features array<float>"), "quality-features")
+    return stage_table(docs.select(whole_id(docs), "text").mapInArrow(tidy(_measure), "doc_id long, features array<float>"), "quality-features")
 
 
 @dataclass

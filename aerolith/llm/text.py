@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_BYTES = 1 << 20
 
@@ -45,6 +48,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def whole_id(rows: DataFrame, column: str = "doc_id") -> Column:
+    """A column of ids of any integer type as longs; ids of other types raise a TypeError."""
+    kind = rows.schema[column].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{column} is of type {kind.simpleString()}; ids have to be integers")
+    return F.col(column).cast("long")
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and n + 1 offsets into them; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -356,7 +356,12 @@ def plain_bits(texts, body):
 
 def test_code_lengths_are_those_of_the_trees(tmp_path, monkeypatch):
     corpus, bodies = {"a": ["abracadabra", "abc"], "b": ["zzz yyy"]}, ["abraxas z", "", "日本 zzz", "abracadabra" * 50]
-    counts = {k: np.unique(langid.strings(pa.array(v))[0], return_counts=True) for k, v in corpus.items()}
+    counts = {}
+    for k, v in corpus.items():
+        raw, at = text.flat(pa.array(v))
+        counts[k] = np.unique(langid.strings(raw, at, 0, len(raw)), return_counts=True)
+        parts = [langid.strings(raw, at, i, min(i + 3, len(raw))) for i in range(0, len(raw), 3)]  # pieces know what stands before them
+        assert (np.concatenate(parts) == langid.strings(raw, at, 0, len(raw))).all()
     (tmp_path / "trees").write_bytes(mapped.pack_arrays(langid.compile_trees(counts)))
     for group, cells in ((1 << 20, 1 << 22), (7, 3)):
         monkeypatch.setattr(langid, "GROUP", group)
@@ -538,3 +543,43 @@ def test_everything_but_llm_imports_without_it():
         "assert e.queries() and not any(k.startswith('op') for k in e.queries())\n"
     )
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).returncode == 0
+
+
+def test_memory_of_a_long_text_is_bounded(tmp_path):
+    """A text of 24 MB takes less than 150 MB beyond the start of a process, its own bytes twice included."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from aerolith.llm import langid, text
+raw, at = text.flat(pa.array(["some words to count, others too"]))
+trees = langid.ContextTrees(["a"], langid.compile_trees({"a": np.unique(langid.strings(raw, at, 0, len(raw)), return_counts=True)}))
+trees.lengths(pa.array(["warm " * 1000]))
+body = pa.array([("1 " * 3_000_000) + ("word and others " * 1_125_000)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert langid._has_letter(body).all()
+bits = trees.lengths(body)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, bits[0, 0])
+"""
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=".", check=True).stdout.split()
+    assert int(used[0]) < 150_000 and float(used[1]) > 1e6
+
+
+@pytest.mark.parametrize("kind", ["int", "short", "string"])
+def test_ids_of_any_integer_type(spark, kind):
+    """Ids of shorter types come back as longs with the same rows; other types are refused with a clear error."""
+    rows = [(k, " ".join(f"w{(k // 2) * 7 + i}" for i in range(60)) + " a@b.org", ["en", "fr"][k % 2], "s") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id int, quality int")
+    byte, word = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    paths = lambda d: d.withColumn("path", F.concat(F.lit("a/"), F.col("doc_id").cast("string")))
+    operators = {
+        "near": near_dedup.near_duplicates, "pii": pii.find, "quality": lambda d: quality_model.classify(d, labels), "bpe": lambda d: lexicon.digests(d, word), "licences": lambda d: licenses.scan(paths(d)),
+        "langid": lambda d: langid.predict(d, langid.train(d)), "packing": lambda d: packing.pack(d, byte).drop("sequence_id", "offset"),
+    }
+    for name, run in operators.items():
+        own = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        if kind == "string":
+            with pytest.raises(TypeError, match="integers"):
+                run(own)
+        else:
+            got = run(own)
+            assert dict(got.dtypes)["doc_id"] == "bigint" and sorted(map(repr, got.collect())) == sorted(map(repr, run(docs).collect())), name
