@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.plans.staging import drop_staged, stage_table
+from aerolith.sources.rasters import HEAD_BYTES, image_sizes
 
 #: Where a label may go (right or left of its point, and how far down), its height and room, and how far a pick reaches.
 LABEL_GAP, LABEL_OFFSETS, LABEL_HEIGHT, LABEL_ROOM, PICK_PX = 15.0, (("right", -30.0), ("right", 10.0), ("left", 10.0), ("left", -30.0)), 26.0, 2.0, 15.0
@@ -230,3 +231,27 @@ def pixel_counts(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image").agg(
         F.count_if(F.col("a") == 0).alias("transparent"), F.count_if(F.col("a") > 0).alias("opaque"), F.count_distinct(F.struct("r", "g", "b")).alias("colors")
     )
+
+
+#: Bits of a sketch of colours: 2**SKETCH_BITS slots, whose estimate is off by 1.04 / sqrt(slots), 1.6 %, in one case of three.
+SKETCH_BITS = 12
+
+
+def color_sketches(pixels: DataFrame, by: tuple[str, ...] = ("image",)) -> DataFrame:
+    """A sketch of the different colours of each group of pixels (r, g, b): a few kilobytes whatever their number, to be kept and merged."""
+    number = F.shiftleft(F.col("r").cast("int"), 16) + F.shiftleft(F.col("g").cast("int"), 8) + F.col("b").cast("int")
+    return pixels.groupBy(*by).agg(F.hll_sketch_agg(number, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_colors(sketches: DataFrame, by: tuple[str, ...] = ("image",)) -> DataFrame:
+    """About how many different colours groups of sketches have together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("colors"))
+
+
+def pack_images(images: DataFrame, size: int = 2048, padding: int = 2, by: str | None = None) -> DataFrame:
+    """Images (id, seq, content) packed as pack_shelves packs symbols, by the sizes in their heads; contents that are no PNG or JPEG have no place.
+
+    Contents stay where they are read: sizes alone are shuffled.
+    """
+    sized = images.withColumn("s", image_sizes(F.substring("content", 1, HEAD_BYTES))).where(F.col("s.width").isNotNull())
+    return pack_shelves(sized.select(*([by] if by else []), "id", "seq", "s.width", "s.height"), size, padding, by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.geodesy import _c, _struct
 from aerolith.functions.projections import HALF_WORLD, Projection
+from aerolith.sources.urls import UrlResolver, resolved
 
 #: Limits and offsets of the two ways to choose a zoom and a row.
 CAMERA_ZOOM_OFFSET, CAMERA_ZOOMS, WORLD_METRES, IDEAL_TILES, IDEAL_ZOOMS, ROW_CLAMP_DEG = 11.5, (1, 18), 40075016.0, 6.0, (0, 18), 85.0511
@@ -257,27 +258,15 @@ _WMTS = "service=WMTS&request=GetTile&version=1.0.0&layer={layer}&style=&tilemat
 _MATRIX_SET = "EPSG:900913"
 
 
-def _filled(template: str, **values: Column) -> Column:
-    """A template with the first mark of each name in braces replaced by a column."""
-    parts: list = [template]
-    for name, value in values.items():
-        for k, part in enumerate(parts):
-            if isinstance(part, str) and f"{{{name}}}" in part:
-                before, _, after = part.partition(f"{{{name}}}")
-                parts[k : k + 1] = [before, value.cast("string"), after]
-                break
-    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
-
-
 def wmts_url(base: str, layer: str, z, x, y) -> Column:
     """The address of a tile at a tile server; a base with a query is carried on."""
     text = _WMTS.replace("{layer}", layer).replace("{set}", _MATRIX_SET)
-    return _filled(base + ("&" if "?" in base else "?") + text, z=_c(z), x=_c(x), y=_c(y))
+    return resolved(base + ("&" if "?" in base else "?") + text, z=_c(z), x=_c(x), y=_c(y))
 
 
-def xyz_url(template: str, z, x, y) -> Column:
-    """An address from a template with {z}, {x} and {y}, each once."""
-    return _filled(template, x=_c(x), y=_c(y), z=_c(z))
+def xyz_url(urls: str | UrlResolver, z, x, y) -> Column:
+    """An address from a template with {z}, {x} and {y}, each once, or from a resolver."""
+    return resolved(urls, x=_c(x), y=_c(y), z=_c(z))
 
 
 def wanted(requests: DataFrame, cached: DataFrame, pending: DataFrame) -> DataFrame:

@@ -140,6 +140,13 @@ def tile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("id", tiles.wmts_url("http://host/wmts", "base", "z", "x", "y").alias("wmts"), tiles.wmts_url("http://host/wmts?map=a", "base", "z", "x", "y").alias("more"), tiles.xyz_url("http://host/{z}/{x}/{y}.png", "z", "x", "y").alias("xyz"))
 
 
+def resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses from a resolver: hosts take turns, and a row is counted from the bottom."""
+    host = lambda x, y: F.when((x + y) % 2 == 0, "http://a").otherwise("http://b")
+    address = lambda z, x, y: F.concat_ws("/", host(x, y), z, x, F.lit(2**Z - 1) - y)
+    return _keyed(spark, sf_dir).select("id", tiles.xyz_url(address, "z", "x", "y").alias("url"))
+
+
 def key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _keyed(spark, sf_dir).select("id", tiles.tile_key(F.col("z"), F.col("x"), F.col("y")).alias("key"))
     return k.select("id", tiles.parse_key("key").alias("p")).select("id", "p.z", "p.x", "p.y")
@@ -160,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tile_xy, tile_xy_clamped, tile_bounds, tile_zoom, wms_bbox, tms_flip, tile_cover, tile_mesh, mesh_indices, graticule_3d, graticule_2d, semi_visible,
-        anti_pending, lru_cache, fifo_cache, view_bounds, view_tiles, view_keys, pan_view, tile_urls, key_parts, tile_corners, cache_prune,
+        anti_pending, lru_cache, fifo_cache, view_bounds, view_tiles, view_keys, pan_view, tile_urls, resolved_urls, key_parts, tile_corners, cache_prune,
     )
 }
 
@@ -231,6 +238,7 @@ ORACLE_SQL = {
     "pan_view": f"""WITH {_VIEWS}, drags AS (SELECT *, (view % 31 - 15)::DOUBLE AS dx, (view % 17 - 8)::DOUBLE AS dy FROM sized)
         SELECT view, {rsql(_PAN[0], 8)} AS lat, {rsql(_PAN[1], 8)} AS lon FROM drags""",
     "tile_urls": f"WITH {_KEYED} SELECT id, 'http://host/wmts?{_WMTS} AS wmts, 'http://host/wmts?map=a&{_WMTS} AS more, 'http://host/7/' || x || '/' || y || '.png' AS xyz FROM keyed",
+    "resolved_urls": f"WITH {_KEYED} SELECT id, CASE WHEN (x+y) % 2 = 0 THEN 'http://a/' ELSE 'http://b/' END || '{Z}/' || x || '/' || ({2**Z - 1}-y) AS url FROM keyed",
     "key_parts": f"WITH {_KEYED} SELECT id, {Z} AS z, x, y FROM keyed",
     "tile_corners": f"""WITH {_KEYED}, t AS (SELECT x::BIGINT AS x, y::BIGINT AS y FROM keyed UNION SELECT id % 2 * {2 ** (Z - 1)}, {2 ** (Z - 1)} - id // 2 FROM points WHERE id < 4),
         c AS (SELECT x, y, r, c, {_LAT('y+r')} AS lat, radians((x+c)/{N}*360-180) AS lon FROM t, (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS c)),

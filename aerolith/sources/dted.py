@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.sources.urls import UrlResolver, resolved
+
 TILE = "path string, lat_deg int, lon_deg int, num_rows int, num_cols int, lat_spacing int, lon_spacing int, elevations array<smallint>, error string"
 
 #: Places of fields in the header, its length, and the layout of a column of elevations.
@@ -99,15 +101,12 @@ def unload(tiles: DataFrame, keys: DataFrame) -> DataFrame:
     return tiles.join(keys.select("lat_deg", "lon_deg").distinct(), ["lat_deg", "lon_deg"], "left_anti")
 
 
-def tile_url(template: str, lat_deg: str, lon_deg: str) -> Column:
-    """A URL from a template with {lat}, {lon}, {latStr} and {lonStr}."""
+def tile_url(urls: str | UrlResolver, lat_deg: str, lon_deg: str) -> Column:
+    """A URL from a template with {lat}, {lon}, {latStr} and {lonStr}, or from a resolver that takes them."""
     lat, lon = F.col(lat_deg), F.col(lon_deg)
     lat_text = F.concat(F.lpad(F.abs(lat).cast("string"), 2, "0"), F.lit("0000"), F.when(lat >= 0, "N").otherwise("S"))
     lon_text = F.concat(F.lpad(F.abs(lon).cast("string"), 3, "0"), F.lit("0000"), F.when(lon >= 0, "E").otherwise("W"))
-    out = F.lit(template)
-    for token, value in (("{latStr}", lat_text), ("{lonStr}", lon_text), ("{lat}", lat.cast("string")), ("{lon}", lon.cast("string"))):
-        out = F.replace(out, F.lit(token), value)
-    return out
+    return resolved(urls, every=True, latStr=lat_text, lonStr=lon_text, lat=lat, lon=lon)
 
 
 # -- synthetic tiles

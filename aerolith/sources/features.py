@@ -11,7 +11,8 @@ from aerolith.functions.ellipsoid import WGS84
 from aerolith.functions.projections import metres_to_latlon
 
 FEATURE = "type string, coordinates array<struct<lat:double,lon:double>>, properties map<string,string>"
-_COLLECTION = "struct<features:array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
+OPEN_FEATURE = FEATURE.replace("map<string,string>", "variant")
+_COLLECTION = "struct<features:array<struct<geometry:struct<type:string,coordinates:string>,properties:{properties}>>>"
 
 #: The sector's centre, airways about it (offsets in radians) and its control boundary.
 SECTOR_DEG, SECTOR_RADIUS_M, SECTOR_SIDES = (-23.62, -46.65), 80_000.0, 8
@@ -30,20 +31,29 @@ def _points(coordinates: Column, kind: Column) -> Column:
     return F.coalesce(latlon, F.array().cast("array<struct<lat:double,lon:double>>"))
 
 
-def features(texts: DataFrame, key: str = "key") -> DataFrame:
+def features(texts: DataFrame, key: str = "key", open_properties: bool = False) -> DataFrame:
     """Features (key, type, coordinates, properties) of GeoJSON texts (key, json).
 
     Lines and outer rings become radians; other geometries have no coordinates;
     a missing type is LineString. A text that is no collection yields the
-    features of the sector instead.
+    features of the sector instead. Properties are a map of texts; open_properties
+    keeps them as a variant, with nesting and types (read with value_of).
     """
-    parsed = texts.withColumn("__c", F.from_json("json", _COLLECTION))
+    kind = "variant" if open_properties else "map<string,string>"
+    parsed = texts.withColumn("__c", F.from_json("json", _COLLECTION.format(properties=kind)))
     good = parsed.where(F.col("__c.features").isNotNull()).select(key, F.explode("__c.features").alias("f"))
     kind = F.coalesce("f.geometry.type", F.lit("LineString"))
-    empty = F.create_map().cast("map<string,string>")
+    empty = F.parse_json(F.lit("{}")) if open_properties else F.create_map().cast("map<string,string>")
     own = good.select(key, kind.alias("type"), _points(F.col("f.geometry.coordinates"), kind).alias("coordinates"), F.coalesce("f.properties", empty).alias("properties"))
     bad = parsed.where(F.col("__c.features").isNull()).select(key)
-    return own.unionByName(bad.crossJoin(F.broadcast(sector_features(texts.sparkSession))))  # three rows
+    sector = sector_features(texts.sparkSession)
+    sector = sector.withColumn("properties", F.to_variant_object("properties")) if open_properties else sector
+    return own.unionByName(bad.crossJoin(F.broadcast(sector)))  # three rows
+
+
+def value_of(path: str, kind: str = "string", properties: str = "properties") -> Column:
+    """A value of open properties by its path, such as $.level.max or $.tags[0], as a type; null if it is not there or of another kind."""
+    return F.try_variant_get(F.col(properties), path, kind)
 
 
 def sector_features(spark: SparkSession) -> DataFrame:
@@ -56,9 +66,9 @@ def sector_features(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, FEATURE)
 
 
-def feature_class(properties: str = "properties") -> Column:
+def feature_class(properties: str = "properties", open_properties: bool = False) -> Column:
     """airway, boundary or other, by the property type."""
-    kind = F.try_element_at(F.col(properties), F.lit("type"))
+    kind = value_of("$.type", properties=properties) if open_properties else F.try_element_at(F.col(properties), F.lit("type"))
     return F.when(kind.isin("airway", "boundary"), kind).otherwise("other")
 
 
