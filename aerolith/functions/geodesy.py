@@ -10,7 +10,7 @@ from math import pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions.ellipsoid import WGS84, Ellipsoid
@@ -276,14 +276,24 @@ def vincenty_direct(lat, lon, height, bearing, distance) -> Column:
 
 
 class Haversine:
-    """The spherical solver: fast, good to about 0.5 %."""
+    """The spherical solver: fast, good to about 0.5 %. direct_onto adds a column out to rows, where a column alone would be worked out several times."""
 
     expected_accuracy_m, is_ellipsoidal = 1.0, False
     inverse, direct = staticmethod(haversine_inverse), staticmethod(haversine_direct)
 
+    @staticmethod
+    def direct_onto(rows: DataFrame, lat: str, lon: str, height: str, bearing: str, distance: str, out: str) -> DataFrame:
+        return rows.withColumn(out, haversine_direct(lat, lon, height, bearing, distance))
+
 
 class Vincenty:
     """The ellipsoidal solver."""
 
     expected_accuracy_m, is_ellipsoidal = 1e-3, True
     inverse, direct = staticmethod(vincenty_inverse), staticmethod(vincenty_direct)
+
+    @staticmethod
+    def direct_onto(rows: DataFrame, lat: str, lon: str, height: str, bearing: str, distance: str, out: str) -> DataFrame:
+        from aerolith.functions.geodesic_rows import direct_rows
+
+        return direct_rows(rows, lat, lon, height, bearing, distance, out)

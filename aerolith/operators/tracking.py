@@ -79,7 +79,8 @@ def dead_reckon(states: DataFrame, time, stale_seconds: float = STALE_SECONDS, s
     climbed = F.col("height") + F.col("vertical_rate_mps") * F.col("dt")
     run = F.col("speed_mps") * F.col("dt")
     # the solver gets no distance for a still target, and stops at once
-    live = live.withColumn("climbed", climbed).withColumn("p", solver.direct("lat", "lon", "height", "track_heading_rad", F.when(run > 0, run)))
+    live = live.withColumns({"climbed": climbed, "__run": F.when(run > 0, run)})
+    live = solver.direct_onto(live, "lat", "lon", "height", "track_heading_rad", "__run", "p")
     gone = run > 0
     return live.select(
         "id", F.when(gone, F.col("p.lat")).otherwise(F.col("lat")).alias("lat"), F.when(gone, F.col("p.lon")).otherwise(F.col("lon")).alias("lon"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy as g
 from aerolith.functions.camera import Camera, pitched, rolled, screen, screen_single, transformed, zoomed
+from aerolith.functions.geodesic_rows import direct_rows, inverse_rows
 from aerolith.functions.projections import LambertConic, Stereographic, WebMercator
 from aerolith.queries.common import A, B, E2, EP2, F_, PAIRS, POINTS, R1, bearing_sql, direct_sql, ecef_sql, hav_sql, pairs, points, rnd, rsql, table, wrap_sql
 
@@ -38,6 +39,17 @@ def vincenty_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", rnd("p.lat", 8).alias("lat"), rnd("p.lon", 8).alias("lon"), rnd("p.height", 2).alias("height"))
 
 
+def vincenty_inverse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverse problem in generated code; pairs that are nearly antipodal go through the batch solver."""
+    r = inverse_rows(pairs(spark, sf_dir), "lat1", "lon1", "lat2", "lon2")
+    return r.select("id", rnd("g.distance", 2).alias("distance"), rnd("g.initial_bearing", 7).alias("initial_bearing"), rnd("g.final_bearing", 7).alias("final_bearing"))
+
+
+def vincenty_direct_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = direct_rows(pairs(spark, sf_dir), "lat1", "lon1", "height", "bearing", "distance")
+    return r.select("id", rnd("p.lat", 8).alias("lat"), rnd("p.lon", 8).alias("lon"), rnd("p.height", 2).alias("height"))
+
+
 def lla_ecef(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = points(spark, sf_dir).withColumn("p", g.lla_to_ecef("lat", "lon", "height"))
     return r.select("id", *(rnd(f"p.{c}", 2).alias(c) for c in "xyz"))
@@ -128,7 +140,7 @@ def camera_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (haversine_inverse, haversine_direct, vincenty_inverse, vincenty_direct, lla_ecef, ecef_lla, lla_enu, enu_lla, chord_distance, normalize_angles, validate_coords, camera_controls)
+    for f in (haversine_inverse, haversine_direct, vincenty_inverse, vincenty_direct, vincenty_inverse_columns, vincenty_direct_columns, lla_ecef, ecef_lla, lla_enu, enu_lla, chord_distance, normalize_angles, validate_coords, camera_controls)
 } | {
     "lcc_project": _projected(LCC), "stereo_project": _projected(STEREO), "mercator_project": _projected(WebMercator()), "mercator_unproject": _returned(WebMercator()),
     "lcc_unproject": _returned(LCC), "stereo_unproject": _returned(STEREO), "screen_2d": _screen("2D"), "screen_25d": _screen("2.5D"), "screen_3d_cull": _screen("3D"),
@@ -290,4 +302,6 @@ ORACLE_SQL = {
     ),
 }
 
+ORACLE_SQL |= {f"{name}_columns": ORACLE_SQL[name] for name in ("vincenty_inverse", "vincenty_direct")}
+
 __all__ = ["ORACLE_SQL", "QUERIES", "R1", "EP2"]
