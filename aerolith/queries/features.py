@@ -38,7 +38,7 @@ def feature_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(features.feature_class().alias("class")).agg(F.count("*").alias("features"))
 
 
-def open_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested and typed properties of features, some of other kinds than asked for and some missing."""
     k = F.col("s_suppkey")
     text = lambda x: x.cast("string")
@@ -189,7 +189,7 @@ def layer_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geojson_features, feature_class, sector_features, pick_nearest, nearest_target, pick_clicks, declutter_labels, declutter_frame, atlas_pack, distinct_colors, sketched_colors, atlas_images, raster_source, open_features, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
+    for f in (geojson_features, feature_class, sector_features, pick_nearest, nearest_target, pick_clicks, declutter_labels, declutter_frame, atlas_pack, distinct_colors, sketched_colors, atlas_images, raster_source, nested_properties, layer_reorder, point_markers, symbol_size, shown_layers, features_on_tiles)
 }
 
 _PX = "px AS (SELECT user_id AS frame, event_id AS id, (event_id*37 % 800)::DOUBLE AS x, (event_id*91 % 600)::DOUBLE AS y FROM events)"
@@ -230,7 +230,7 @@ ORACLE_SQL = {
     "geojson_features": f"""WITH s AS (SELECT s_suppkey AS key, (s_suppkey*7919 % 2000000 - 1000000)::DOUBLE AS x, (s_suppkey*104729 % 3000000 - 1500000)::DOUBLE AS y FROM supplier)
         SELECT key, ['Point','LineString','Polygon'][(key % 3)::INT+1] AS type, [1,2,3][(key % 3)::INT+1] AS vertices, {rsql(f'2*atan(exp(y/{A}))-pi()/2', 8)} AS lat, {rsql(f'x/{A}', 8)} AS lon FROM s""",
     "feature_class": "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'airway' ELSE 'boundary' END AS class, count(*)::BIGINT AS features FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1",
-    "open_features": """SELECT s_suppkey AS key, CASE WHEN s_suppkey % 11 = 0 THEN 'other' ELSE 'airway' END AS class, CASE WHEN s_suppkey % 11 = 0 THEN -1 ELSE s_suppkey % 100 END::INT AS low,
+    "nested_properties": """SELECT s_suppkey AS key, CASE WHEN s_suppkey % 11 = 0 THEN 'other' ELSE 'airway' END AS class, CASE WHEN s_suppkey % 11 = 0 THEN -1 ELSE s_suppkey % 100 END::INT AS low,
         CASE WHEN s_suppkey % 11 = 0 OR s_suppkey % 5 = 0 THEN -1 ELSE s_suppkey*3/2e0 END::DOUBLE AS top, CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE 't' || s_suppkey END AS tag,
         CASE WHEN s_suppkey % 11 = 0 THEN -1 ELSE s_suppkey % 7 END::INT AS deep, s_suppkey % 11 <> 0 AND s_suppkey % 3 = 0 AS open FROM supplier""",
     "sketched_colors": "SELECT l_orderkey % 50 AS image, count(DISTINCT (l_partkey % 7, l_partkey % 5, l_partkey % 3))::BIGINT AS colors FROM lineitem GROUP BY 1",
