@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions.ellipsoid import WGS84
-from aerolith.functions.geodesy import _c, _struct, lla_to_ecef
+from aerolith.functions.geodesy import _c, _struct, lla_to_ecef, normalize_longitude
 from aerolith.functions.projections import Projection
 
 #: How far the globe camera stands off at zoom 1, its clipping planes, the field of view and limits of the controls.
@@ -172,7 +172,7 @@ def pitched(pitch) -> Column:
 
 def rolled(roll) -> Column:
     """Into [-pi, pi)."""
-    return F.pmod(_c(roll) + pi, F.lit(2 * pi)) - pi
+    return normalize_longitude(roll)
 
 
 def transformed(matrix: np.ndarray, x, y, z, row: int) -> Column:

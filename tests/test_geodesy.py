@@ -128,3 +128,10 @@ def test_new_centre_is_the_origin():
         assert q.project_point(radians(-23.5505), radians(-46.6333)) == pytest.approx((0, 0), abs=1e-6)
     with pytest.raises(ValueError):
         projection("globe")
+
+
+def test_turns_of_angles_just_below_the_range(spark):
+    below = -pi - 4.5e-16  # as x / a gives it back on the antimeridian
+    lon = spark.createDataFrame([(below,), (-pi,), (-1e-17,)], "v double").select(g.normalize_longitude("v").alias("l"), g.normalize_bearing("v").alias("b")).collect()
+    assert [r.l for r in lon] == [pi, -pi, 0.0]
+    assert lon[2].b == 2 * pi
