@@ -117,3 +117,12 @@ def test_clearance(spark, tiles):
     t = spark.createDataFrame([("a", radians(-22.5), radians(-47.5), 900.0), ("b", 0.0, 0.0, 299.0)], "id string, lat double, lon double, height double")
     got = {r.id: (r.clearance, r.hazard) for r in terrain.clearance(t, tiles).collect()}
     assert got["a"][0] == pytest.approx(240, abs=1e-3) and got["a"][1] and got["b"] == (299.0, True)
+
+
+def test_sample_at_the_start_of_a_leg_is_its_point(spark):
+    # beyond the antimeridian a point stays as it is given, at a leg's start as at the route's end
+    r = spark.createDataFrame([(1, k, radians(-80.0), radians(180.1 + k * 0.2), 0.0) for k in range(2)], "route_id int, seq int, lat double, lon double, height double")
+    got = terrain.samples(r, 10_000.0, Haversine).orderBy("distance_meters").collect()
+    assert len(got) == 1
+    got = terrain.samples(r, 3_000.0, Haversine).orderBy("distance_meters").collect()
+    assert [x.lon for x in (got[0], got[-1])] == pytest.approx([radians(180.1), radians(180.3)])
