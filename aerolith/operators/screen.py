@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,99 +56,181 @@ def declutter(targets: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_place, "frame long, id string, slot int, label_x double, label_y double")
 
 
-def _extent(x: float, y: float, w: float) -> tuple[float, float, float, float]:
-    """All that a label's four places and the room about them can touch."""
-    downs = [d for _, d in LABEL_OFFSETS]
-    return x - w - LABEL_GAP - LABEL_ROOM, y + min(downs) - LABEL_ROOM, x + w + LABEL_GAP + LABEL_ROOM, y + max(downs) + LABEL_HEIGHT + LABEL_ROOM
-
-
 class _Boxes:
     """Boxes by the grid cells that they touch."""
 
     def __init__(self) -> None:
-        self._grid: dict[tuple[int, int], list[tuple[float, float, float, float]]] = {}
+        self._grid: dict[tuple[int, int], dict[tuple[float, float, float, float], None]] = {}
 
     @staticmethod
-    def _cells(box: tuple[float, float, float, float]) -> list[tuple[int, int]]:
-        x0, y0, x1, y1 = (int(v // _CELL) for v in box)
-        return [(i, j) for i in range(x0, x1 + 1) for j in range(y0, y1 + 1)]
+    def _cells(x0: float, y0: float, x1: float, y1: float) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(int(x0 // _CELL), int(x1 // _CELL) + 1) for j in range(int(y0 // _CELL), int(y1 // _CELL) + 1)]
 
     def add(self, box: tuple[float, float, float, float]) -> None:
-        for c in self._cells(box):
-            own = self._grid.setdefault(c, [])
-            if box not in own:
-                own.append(box)
+        for c in self._cells(*box):
+            self._grid.setdefault(c, {})[box] = None
+
+    def near(self, box: tuple[float, float, float, float]) -> bool:
+        """Whether a box with room about it meets one of these."""
+        x0, y0, x1, y1 = box[0] - LABEL_ROOM, box[1] - LABEL_ROOM, box[2] + LABEL_ROOM, box[3] + LABEL_ROOM
+        return any(x0 < q and p < x1 and y0 < s and r < y1 for c in self._cells(x0, y0, x1, y1) for p, r, q, s in self._grid.get(c, ()))
 
-    def meet(self, box: tuple[float, float, float, float]) -> bool:
-        x0, y0, x1, y1 = box
-        return any(x0 < q and p < x1 and y0 < s and r < y1 for c in self._cells(box) for p, r, q, s in self._grid.get(c, ()))
+
+def _box(x, y, w, slot: int) -> tuple:
+    """A label's box at one of its places; of numbers or of arrays."""
+    side, down = LABEL_OFFSETS[slot]
+    left, top = x + (LABEL_GAP if side == "right" else -w - LABEL_GAP), y + down
+    return left, top, left + w, top + LABEL_HEIGHT
 
 
 #: A label whose place is not known yet, and one without a place.
 _OPEN, _NONE = -2, -1
+_LABEL = "frame long, id string, x double, y double, label_w double, slot int"
+_SQUARE = ["frame", "tx", "ty"]
+#: Labels that are settled before the first look at those behind them, and how many times as many each further time.
+_FIRST, _TIMES = 16_384, 8
+
+
+def _keys(b: pd.DataFrame) -> Iterator[tuple]:
+    """The square of each row; a null equals a null."""
+    return (tuple(None if v != v else v for v in r) for r in b[_SQUARE].itertuples(index=False))
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """A square's labels, in order of id, with what can be said of them now; of labels from around it what is known counts.
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labels of squares that come in order of id, with what can be said of them now; of labels from around a square what is known counts.
 
-    A label waits while an earlier one that it could touch is not settled.
+    A place is taken for good once a settled earlier label is in it, and free for good
+    once no earlier label can still go there. A label has the first free place if all
+    before it are taken, none if all four are, and else waits. Labels without a place are left out.
     """
-    placed, waiting, slots = _Boxes(), _Boxes(), []
-    rows = rows.sort_values(["id", "x", "y", "label_w"], kind="stable")
-    for x, y, w, slot, own in rows[["x", "y", "label_w", "slot", "own"]].itertuples(index=False):
-        extent = _extent(x, y, w)
-        if slot == _OPEN and own and not waiting.meet(extent):
-            slot = _NONE
-            for k, (side, down) in enumerate(LABEL_OFFSETS):
-                left, top = x + (LABEL_GAP if side == "right" else -w - LABEL_GAP), y + down
-                if not placed.meet((left - LABEL_ROOM, top - LABEL_ROOM, left + w + LABEL_ROOM, top + LABEL_HEIGHT + LABEL_ROOM)):
-                    slot = k
-                    break
-        if slot == _OPEN:
-            waiting.add(extent)
-        elif slot >= 0:
-            side, down = LABEL_OFFSETS[slot]
-            left, top = x + (LABEL_GAP if side == "right" else -w - LABEL_GAP), y + down
-            placed.add((left, top, left + w, top + LABEL_HEIGHT))
-        slots.append(slot)
-    rows = rows.assign(slot=pd.array(slots, "int32"))
-    return rows.loc[rows["own"], ["frame", "id", "x", "y", "label_w", "slot"]]
+    square, placed, waiting = None, _Boxes(), _Boxes()
+    for b in batches:
+        keep, slots = [], []
+        for key, (x, y, w, slot, own) in zip(_keys(b), b[["x", "y", "label_w", "slot", "own"]].itertuples(index=False), strict=True):
+            if key != square:
+                square, placed, waiting = key, _Boxes(), _Boxes()
+            if slot == _OPEN:
+                left = [(k, box) for k in range(len(LABEL_OFFSETS)) if not placed.near(box := _box(x, y, w, k))]
+                if not left:
+                    slot = _NONE
+                elif own and not waiting.near(left[0][1]):
+                    slot = left[0][0]
+                else:
+                    for _, box in left:
+                        waiting.add(box)
+            if slot >= 0:
+                placed.add(_box(x, y, w, slot))
+            keep.append(bool(own) and slot != _NONE)
+            slots.append(slot)
+        yield b.assign(slot=pd.array(slots, "int32")).loc[keep, ["frame", "id", "x", "y", "label_w", "slot"]]
+
+
+def _untaken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Open labels of squares that have a place left; the settled ones of a square come first."""
+    square, boxes = None, []
+    for b in batches:
+        out = []
+        for key, rows in b.groupby(_SQUARE, sort=False, dropna=False):
+            key = tuple(None if v != v else v for v in key)
+            if key != square:
+                square, boxes = key, []
+            known = rows[rows["slot"] >= 0]
+            boxes += [_box(x, y, w, k) for x, y, w, k in known[["x", "y", "label_w", "slot"]].itertuples(index=False)]
+            rows = rows[rows["slot"] == _OPEN]
+            x, y, w = (rows[c].to_numpy() for c in ("x", "y", "label_w"))
+            free = np.zeros(len(rows), bool)
+            for k in range(len(LABEL_OFFSETS)):
+                taken = np.zeros(len(rows), bool)
+                x0, y0, x1, y1 = _box(x, y, w, k)
+                x0, y0, x1, y1 = x0 - LABEL_ROOM, y0 - LABEL_ROOM, x1 + LABEL_ROOM, y1 + LABEL_ROOM
+                for p, r, q, s in boxes:
+                    taken |= (x0 < q) & (p < x1) & (y0 < s) & (r < y1)
+                free |= ~taken
+            out.append(rows.loc[free, ["frame", "id", "x", "y", "label_w", "slot"]])
+        yield pd.concat(out) if out else b.loc[[], ["frame", "id", "x", "y", "label_w", "slot"]]
+
+
+def _square_of(c: str, size: float, by: float = 0.0, shift: float = 0.0) -> Column:
+    return F.floor((F.col(c) + by) / size + shift)
+
+
+def _about(labels: DataFrame, size: list[float], reach: tuple[float, float], shift: float = 0.0) -> DataFrame:
+    """Labels in each square (tx, ty) that they can touch something in."""
+    near = lambda c, k: F.explode(F.sequence(_square_of(c, size[k], -reach[k], shift), _square_of(c, size[k], reach[k], shift)))
+    return labels.withColumn("tx", near("x", 0)).withColumn("ty", near("y", 1))
+
+
+def _settled(labels: DataFrame, size: list[float], reach: tuple[float, float]) -> DataFrame:
+    """Labels, staged, once no label is open; those without a place are gone."""
+    turn = 0
+    while True:
+        edges, shift = [v * 2 ** max(0, turn // 2 - 1) for v in size], (turn % 2) / 2
+        own = (F.col("tx") == _square_of("x", edges[0], shift=shift)) & (F.col("ty") == _square_of("y", edges[1], shift=shift))
+        spread = _about(labels, edges, reach, shift).withColumn("own", own)
+        dealt = spread.repartition(*_SQUARE).sortWithinPartitions(*_SQUARE, "id", "x", "y", "label_w")
+        done = stage_table(dealt.mapInPandas(_settle, _LABEL), "labels")
+        if turn:
+            drop_staged(labels)
+        labels, turn = done, turn + 1
+        if labels.where(F.col("slot") == _OPEN).isEmpty():
+            return labels
+
+
+def _free(labels: DataFrame, settled: DataFrame, reach: tuple[float, float]) -> DataFrame:
+    """Labels that settled ones, all before them in the order, leave a place to."""
+    size = list(reach)
+    here = labels.withColumn("tx", _square_of("x", size[0])).withColumn("ty", _square_of("y", size[1]))
+    both = here.unionByName(_about(settled, size, reach))
+    return both.repartition(*_SQUARE).sortWithinPartitions(*_SQUARE, F.col("slot").desc()).mapInPandas(_untaken, _LABEL)
+
+
+def _bounds(labels: DataFrame, rows: int) -> list[str]:
+    """Ids that cut labels, in order of id, into a first part of about _FIRST and further ones that grow; where the cuts are changes no result."""
+    parts, at = [], _FIRST
+    while at < rows:
+        parts.append(at)
+        at *= _TIMES
+    if not parts:
+        return []
+    every = max(1, rows // 65_536)
+    ids = sorted(r[0] for r in labels.where((F.xxhash64("frame", "id", "x", "y") % every == 0) & F.col("id").isNotNull()).select("id").limit(262_144).toLocalIterator())
+    return sorted({ids[min(len(ids) - 1, p * len(ids) // rows)] for p in parts}) if ids else []
 
 
 def declutter_spread(targets: DataFrame, edge: float = 1024.0) -> DataFrame:
     """What declutter gives, with each frame in squares that are worked on by many tasks: frame, id, slot, label_x, label_y.
 
-    A square sees its own labels and those about it that can touch them. Labels are
-    settled in rounds: in each, a square settles, in order of id, all labels that wait for
+    Labels are settled part by part in order of id: a first one of some thousands, and
+    further ones of growing size. Of a further part only those count that the placed labels
+    before leave a place to; of a crowded frame few do, so most labels are looked at once or twice.
+
+    Within a part, a square sees its own labels and those about it that can touch them. Labels
+    are settled in rounds: in each, a square settles, in order of id, all labels that hang on
     no unsettled one beyond its edge. Every other round the squares are moved by half an
-    edge, so what waited at an edge is in the middle. Labels that all can touch each other
-    depend on each other one by one, and are one square's. Rows without finite
+    edge, so what waited at an edge is in the middle; from the fourth round on they are
+    doubled every other time, so long chains over many squares end too. A task holds
+    the placed and waiting boxes of one square. Rows without finite
     coordinates have no label; squares grow with the widest label.
     """
     labels = targets.select(F.col("frame").cast("long").alias("frame"), F.col("id").cast("string").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "label_w")), F.lit(_OPEN).alias("slot"))
     for c in ("x", "y", "label_w"):
         labels = labels.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    labels = stage_table(labels, "labels")
-    wide = labels.agg(F.max("label_w")).first()[0] or 0.0
+    rest = stage_table(labels, "labels")
+    wide, rows = rest.agg(F.coalesce(F.max("label_w"), F.lit(0.0)), F.count("*")).first()
     reach = (2 * (wide + LABEL_GAP + LABEL_ROOM), 2 * (max(d for _, d in LABEL_OFFSETS) - min(d for _, d in LABEL_OFFSETS) + LABEL_HEIGHT + 2 * LABEL_ROOM))
     size = [max(edge, 4 * r) for r in reach]
-    schema = "frame long, id string, x double, y double, label_w double, slot int"
-    turn = 0
-    while True:
-        at = lambda c, k, by=0.0: F.floor((F.col(c) + by) / size[k] + (turn % 2) / 2)  # noqa: B023, E731
-        near = lambda c, k: F.sequence(at(c, k, -reach[k]), at(c, k, reach[k]))  # noqa: E731, B023
-        spread = labels.withColumns({"ox": at("x", 0), "oy": at("y", 1)}).withColumn("tx", F.explode(near("x", 0))).withColumn("ty", F.explode(near("y", 1)))
-        spread = spread.withColumn("own", (F.col("tx") == F.col("ox")) & (F.col("ty") == F.col("oy"))).drop("ox", "oy")
-        done = spread.groupBy("frame", "tx", "ty").applyInPandas(_settle, schema)
-        settled = stage_table(done, "labels")
-        drop_staged(labels)
-        labels = settled
-        if labels.where(F.col("slot") == _OPEN).isEmpty():
-            break
-        turn += 1
+    placed = None
+    for bound in [*_bounds(rest, rows), None]:
+        first = F.lit(True) if bound is None else F.col("id").isNull() | (F.col("id") < bound)
+        part = rest.where(first) if placed is None else placed.unionByName(rest.where(first))
+        settled = _settled(part, size, reach)
+        if bound is not None:
+            left = stage_table(_free(rest.where(~first), settled, reach), "labels")
+        drop_staged(rest, *([] if placed is None else [placed]))
+        placed, rest = settled, None if bound is None else left
     left = F.when(F.col("slot") < 2, F.col("x") + LABEL_GAP).otherwise(F.col("x") - F.col("label_w") - LABEL_GAP)
     down = F.get(F.array(*(F.lit(d) for _, d in LABEL_OFFSETS)), F.col("slot"))
-    return labels.where(F.col("slot") >= 0).select("frame", "id", "slot", left.alias("label_x"), (F.col("y") + down).alias("label_y"))
+    return placed.select("frame", "id", "slot", left.alias("label_x"), (F.col("y") + down).alias("label_y"))
 
 
 def pick(points: DataFrame, x: float, y: float, within: float | None = PICK_PX, by: tuple[str, ...] = ()) -> DataFrame:

@@ -79,3 +79,17 @@ def test_labels_of_one_frame_in_squares(spark, n, side, edge):
     odd = t.limit(3).unionByName(spark.createDataFrame([(1, "odd", None, 1.0, 60.0), (1, "nan", float("nan"), 1.0, 60.0), (None, "null", 1.0, 1.0, 60.0)], t.schema))
     assert {r.id for r in screen.declutter_spread(odd).collect()} <= {r.id for r in t.limit(3).collect()} | {"null"}
     assert screen.declutter_spread(t.limit(0)).count() == 0
+
+
+def test_crowded_frame_in_few_rounds(spark, monkeypatch):
+    """Far more labels than a frame has room for: placed as in sequence, and most are looked at once."""
+    from aerolith.operators import screen
+    from aerolith.plans.staging import recorded
+
+    k = F.col("id")
+    t = spark.range(30_000).select(F.lit(1).alias("frame"), "id", (k * 37 % 4001).cast("double").alias("x"), (k * 91 % 1999).cast("double").alias("y"), F.lit(60.0).alias("label_w"))
+    monkeypatch.setattr(screen, "_FIRST", 1024, raising=False)
+    with recorded() as made:
+        got = sorted(map(tuple, screen.declutter_spread(t, 300.0).collect()))
+    assert got == sorted(map(tuple, screen.declutter(t).collect())) and len(got) > 2000
+    assert len(made) < 25
