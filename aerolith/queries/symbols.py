@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import colors, symbols
+from aerolith.plans.spreading import spread
 from aerolith.queries.common import rnd, table
 from aerolith.sources import styles
 from aerolith.sources.registry import Sources
@@ -54,7 +55,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 3), rule), "\n")
     whole = F.concat(F.lit('<?xml version="1.0"?>\n<Styles xmlns:q="urn:q"><NamedLayer>'), text("Name", F.concat(F.lit("L"), k)), rules, F.lit("</NamedLayer></Styles>"))
     xml = F.when(k % 11 == 5, F.concat(F.lit("<Styles><NamedLayer>"), k.cast("string"))).when(k % 13 == 6, "").otherwise(whole)
-    return table(spark, sf_dir, "part").select(k.cast("string").alias("doc_id"), xml.alias("xml"))
+    return spread(table(spark, sf_dir, "part").select(k), "p_partkey").select(k.cast("string").alias("doc_id"), xml.alias("xml"))
 
 
 def _pick(values: tuple[str, ...], by: Column) -> Column:
@@ -143,7 +144,7 @@ def svg_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit('<path d="M 0 0 L '), part(k % 50), F.lit(' 1" fill="none"/>'))
     circle = F.concat(F.lit('<circle cx="'), part(k % 7), F.lit('" cy="2" r="'), part(k % 6), F.lit('" fill="rgb(0,9,'), part(k % 256), F.lit(')"/>'))
     label = F.when(k % 3 == 0, F.concat(F.lit('<g opacity="0.5"><text x="4" font-size="'), part(k % 20 + 5), F.lit('">N'), part(k), F.lit("</text></g>"))).otherwise("")
-    drawn = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(head, path, circle, label, F.lit("</g></svg>")).alias("svg"))
+    drawn = spread(table(spark, sf_dir, "part").select(k), "p_partkey").select(k.alias("id"), F.concat(head, path, circle, label, F.lit("</g></svg>")).alias("svg"))
     r = drawn.select("id", F.posexplode(styles.svg_primitives("svg")).alias("i", "p"))
     return r.select(
         "id", "i", "p.type", F.coalesce(F.col("p.fill.b").cast("int"), F.lit(-1)).alias("fill_b"), F.coalesce(F.col("p.stroke.color.a").cast("int"), F.lit(-1)).alias("ink_a"),

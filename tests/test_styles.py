@@ -196,3 +196,12 @@ def test_registry(spark):
     with pytest.raises(SourceExists):
         s.register("a", spark.range(1))
     assert s.total_size().first().rows == 3 and s.get("b") is None and s.drop("a") and not s.drop("a")
+
+
+def test_documents_of_one_small_file_are_parsed_by_many_tasks(spark):
+    from aerolith.queries import symbols as q
+
+    for made in (q.sld_rules, q.sld_rules_at_scale, q.style_override, q.svg_compile):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [p_partkey" in plan, made.__name__
+    assert q._documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
