@@ -494,12 +494,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = docs.join(_small(ids), F.col("doc_id") == F.col("id"), "left_semi")
         sets = again.mapInArrow(tidy(_sets), "id long, shingles binary")
         found = _sorted_blocks(wanted.join(sets, "id")).mapInArrow(tidy(_by_block(_links(forest), ("a", "b"))), "a long, b long")
+        found = stage_table(found, "near-links")  # components begin in Python too: two such steps in one stage take two workers for each core, and both stay
         joined = components(found)
         if comp is not None:  # what was joined are components by now
             merged = joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("later"))
             joined = comp.join(merged, "component_id", "left").select("id", F.coalesce("later", "component_id").alias("component_id")).union(joined)
         comp = stage_table(joined, "components")
-        drop_staged(wanted, ids)
+        drop_staged(wanted, ids, found)
     drop_staged(sorted_in, crowd, blocks)
     own = named.join(classes.select(*key, "id"), list(key)).select("doc_id", "id")
     own = own.groupBy("doc_id").agg(F.min("id").alias("id"))

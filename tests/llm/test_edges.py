@@ -583,3 +583,14 @@ def test_ids_of_any_integer_type(spark, kind):
         else:
             got = run(own)
             assert dict(got.dtypes)["doc_id"] == "bigint" and sorted(map(repr, got.collect())) == sorted(map(repr, run(docs).collect())), name
+
+
+def test_links_are_staged_between_two_python_steps(spark):
+    """Two Python steps in one stage take two workers for each core, and all of them stay in memory."""
+    from aerolith.llm import near_dedup
+    from aerolith.plans.staging import recorded
+
+    t = spark.createDataFrame([(k, "a b c d e f g h i j " * 3 + ("x" if k else "")) for k in range(3)], "doc_id long, text string")
+    with recorded() as made:
+        assert near_dedup.near_duplicates(t).count() == 3
+    assert any("near-links" in m.staged_path for m in made)
