@@ -213,12 +213,21 @@ class Declared(Provider):
         return F.col(self.column)
 
 
+#: Symbols of a library, copies included, up to which it is broadcast; beyond it codes and symbols are shuffled, as file sizes tell little of what is made of them.
+BROADCAST_SYMBOLS = 10_000
+
+
 def resolve(codes: DataFrame, providers: Sequence[Provider], code: str = "code") -> DataFrame:
-    """Codes with provider (the first in order that knows the code), symbol and status (ok or ProviderNotFound)."""
+    """Codes with provider (the first in order that knows the code), symbol and status (ok or ProviderNotFound).
+
+    A library of more than BROADCAST_SYMBOLS symbols is joined by sorted parts, which spill.
+    """
     out = codes
     for p in providers:
         if isinstance(p, Declared):
             own = p.library.groupBy("symbol_id").agg(F.first("symbol").alias(p.column)).withColumnRenamed("symbol_id", "__id")
+            small = len(p.library.select(F.lit(1)).take(BROADCAST_SYMBOLS + 1)) <= BROADCAST_SYMBOLS
+            own = F.broadcast(own) if small else own.hint("merge")
             out = out.join(own, F.col(code) == F.col("__id"), "left").drop("__id")
     c = F.col(code)
     pick = lambda value: F.coalesce(*(F.when(p.condition(c), value(p)) for p in providers))

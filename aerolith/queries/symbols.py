@@ -98,7 +98,7 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
     paint = F.format_string('{"r":%d,"g":%d,"b":%d,"a":255}', (k % 251).cast("int"), (k % 13).cast("int"), (k % 7).cast("int"))
     shapes = F.concat(F.lit('[{"type":"Path","commands":"M 0,0 L 3,4 Z","fill":'), paint, F.lit(',"stroke":{"width":0.75,"color":'), paint, F.lit('}},{"type":"Text","content":"T","offset_x":1,"offset_y":2,"font_size":7,"color":'), paint, F.lit("}]"))
     text = F.concat(F.lit('{"library_name":"parts","symbols":{"own:'), k.cast("string"), F.lit('":{"bbox":[-4,-4,4,4],"anchor":[1,0],"primitives":'), shapes, F.lit("}}}"))
-    return styles.library(table(spark, sf_dir, "part").select(text.alias("json")))
+    return styles.library(spread(table(spark, sf_dir, "part").select(k), "p_partkey").select(text.alias("json")))
 
 
 def resolve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

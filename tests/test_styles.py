@@ -205,3 +205,16 @@ def test_documents_of_one_small_file_are_parsed_by_many_tasks(spark):
         plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [p_partkey" in plan, made.__name__
     assert q._documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_large_libraries_are_not_broadcast(spark, monkeypatch):
+    from aerolith.queries import symbols as q
+
+    sf = "/root/testdata/sf0.001"
+    assert "RepartitionByExpression [p_partkey" in q._library(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    small = q.resolve_chain(spark, sf)
+    monkeypatch.setattr(symbols, "BROADCAST_SYMBOLS", 100)
+    large = q.resolve_chain(spark, sf)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (small, large)]
+    assert ["BroadcastExchange" in p for p in plans] == [True, False] and "SortMergeJoin" in plans[1]
+    assert sorted(small.collect()) == sorted(large.collect())
