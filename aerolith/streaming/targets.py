@@ -6,13 +6,15 @@
 Pings have id, the columns of STATE, and may have remove = true, which forgets the
 target. By event time they need a watermark, on a column event_time (with_event_time):
 pings that are older than it are dropped by Spark, which counts them in its progress.
-State is a row for each target, and by event time its pings since the last frame.
+State is a row for each target, and by event time its pings since the last frame, those
+of a batch packed into one value, as each value costs a call and its conversion.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ from aerolith.operators.tracking import STALE_SECONDS, STATE, dead_reckon, is_va
 _TYPES = {"seq": "long"}
 STATE_SCHEMA = ", ".join(f"{c} {_TYPES.get(c, 'double')}" for c in STATE)
 _TIME = STATE.index("last_ping_time")
+#: A ping among others in bytes, NaN for null; and pings in one value at most.
+_PING = np.dtype([*((c, "<i8" if _TYPES.get(c) == "long" else "<f8") for c in STATE), ("removed", "?")])
+PACK = 10_000
 
 
 def with_event_time(pings: DataFrame, delay: str) -> DataFrame:
@@ -39,6 +44,32 @@ def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
         yield int(r[0]), *own, gone
 
 
+def _array(batch: pd.DataFrame) -> np.ndarray:
+    """What _rows gives of pings that have a time, as an array."""
+    batch = batch[batch["last_ping_time"].notna().to_numpy()]
+    out = np.empty(len(batch), _PING)
+    out["removed"] = batch["remove"].to_numpy(bool)
+    for c in STATE:
+        out[c] = batch[c].to_numpy()
+        if c not in ("seq", "last_ping_time"):
+            out[c][out["removed"]] = np.nan
+    return out
+
+
+def _packs(pings: np.ndarray) -> list[tuple[bytes]]:
+    return [(pings[i : i + PACK].tobytes(),) for i in range(0, len(pings), PACK)]
+
+
+def _unpacked(values: Iterator[tuple[bytes]]) -> np.ndarray:
+    """Pings in order of event time, then arrival."""
+    pings = np.frombuffer(b"".join(bytes(v[0]) for v in values), _PING)
+    return pings[np.lexsort((pings["seq"], pings["last_ping_time"]))]
+
+
+def _tuples(pings: np.ndarray) -> list[tuple]:
+    return [tuple(None if v != v else v for v in r) for r in pings.tolist()]
+
+
 def _by_arrival(row: tuple) -> tuple:
     return (row[0],)
 
@@ -112,11 +143,11 @@ class EventFrames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         row = f"{STATE_SCHEMA}, removed boolean"
-        self._handle, self._last, self._waiting, self._timer = handle, handle.getValueState("last", row), handle.getListState("waiting", row), handle.getValueState("timer", "at long")
+        self._handle, self._last, self._waiting, self._timer = handle, handle.getValueState("last", row), handle.getListState("waiting", "pings binary"), handle.getValueState("timer", "at long")
 
-    def _frame_from(self, row: tuple) -> int:
-        """The first frame at or after a ping, in milliseconds."""
-        return -(-round(row[_TIME] * 1000) // self._every) * self._every
+    def _frame_from(self, time: float) -> int:
+        """The first frame at or after a ping's time, in milliseconds."""
+        return -(-round(time * 1000) // self._every) * self._every
 
     def _set(self, at: int | None) -> None:
         held = self._timer.get()[0] if self._timer.exists() else None
@@ -130,10 +161,10 @@ class EventFrames(StatefulProcessor):
             self._timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for b in rows for r in _rows(b) if r[_TIME] is not None]
+        new = [a for a in map(_array, rows) if len(a)]
         if new:
-            self._waiting.appendList(new)
-            first = min(map(self._frame_from, new))
+            self._waiting.appendList([pack for a in new for pack in _packs(a)])
+            first = self._frame_from(min(float(a["last_ping_time"].min()) for a in new))
             held = self._timer.get()[0] if self._timer.exists() else None
             self._set(max(first, timerValues.getCurrentWatermarkInMs() + 1) if held is None else min(held, first))
         return iter(())
@@ -141,7 +172,8 @@ class EventFrames(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, at = timerValues.getCurrentWatermarkInMs(), -(-expiredTimerInfo.getExpiryTimeInMs() // self._every) * self._every
         last = tuple(self._last.get()) if self._last.exists() else None
-        waiting, out = sorted(map(tuple, self._waiting.get()), key=_by_event), []
+        held = _unpacked(self._waiting.get())
+        waiting, out = _tuples(held), []
         self._timer.clear()
         k = 0
         while at <= now:
@@ -157,7 +189,7 @@ class EventFrames(StatefulProcessor):
                 if not fresh:
                     break
             else:
-                at = max(at + self._every, self._frame_from(waiting[k]))  # nothing to show before the next ping
+                at = max(at + self._every, self._frame_from(waiting[k][_TIME]))  # nothing to show before the next ping
         if last is not None and self._forget is not None and k == len(waiting) and now - last[_TIME] * 1000 > self._forget:
             last = None
         if last is None:
@@ -165,12 +197,12 @@ class EventFrames(StatefulProcessor):
         else:
             self._last.update(last)
         if k:
-            self._waiting.put(waiting[k:]) if k < len(waiting) else self._waiting.clear()
+            self._waiting.put(_packs(held[k:])) if k < len(waiting) else self._waiting.clear()
         live = last is not None and not last[-1] and at - last[_TIME] * 1000 <= self._stale
         if live:
             self._set(at)
         elif k < len(waiting):
-            self._set(max(now + 1, self._frame_from(waiting[k])))
+            self._set(max(now + 1, self._frame_from(waiting[k][_TIME])))
         elif last is not None and self._forget is not None:
             self._set(max(now + 1, round(last[_TIME] * 1000) + self._forget + 1))
         if out:

@@ -4,6 +4,7 @@ import random
 import time
 from math import pi, radians
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,68 @@ def test_frames_of_the_wall_clock(spark, tmp_path):
         w = tracking.dead_reckon(spark.createDataFrame([state[r.id]], SCHEMA), r.frame, 30.0, Haversine).first()
         assert (r.lat, r.lon, r.height) == pytest.approx((w.lat, w.lon, w.height), abs=1e-12)
     assert 0 <= pi
+
+
+class Held:
+    """A value or list of state, and the timers of a handle, in memory."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows) if self.many else self.rows[0]
+
+    def update(self, row):
+        self.rows = [row]
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+    def state(self, many):
+        own = Held()
+        own.many = many
+        return own
+
+    def getValueState(self, *_):
+        return self.state(False)
+
+    def getListState(self, *_):
+        return self.state(True)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_waiting_pings_are_packed():
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    pings = [ping("a", 2**60 + k, 1000 - k, height=float(k)) for k in range(500)] + [ping("a", 2**61, 1000.5, remove=True)]
+    pings[0] = (*pings[0][:7], None, *pings[0][8:])
+    frames = targets.EventFrames(10_000, 5_000, None)
+    handle = Held()
+    frames.init(handle)
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.now})()
+    clock.now = 0
+    table = pd.DataFrame(pings, columns=columns)
+    list(frames.handleInputRows(("a",), iter([table[:300], table[300:]]), clock))
+    assert len(frames._waiting.rows) == 2 and handle.timers == [510_000]
+    for now, until in ((704_000, 700), (2_000_000, 1000)):
+        clock.now, at = now, handle.timers.pop()
+        expired = type("Expired", (), {"getExpiryTimeInMs": lambda self, at=at: at})()
+        (out,) = frames.handleExpiredTimer(("a",), clock, expired)
+        first = 510 if until == 700 else 710
+        assert out["frame"].tolist() == [float(t) for t in range(first, until + 1, 10)]
+        assert out["seq"].tolist() == [2**60 + 1000 - t for t in range(first, until + 1, 10)] and out["height"].tolist() == [1000.0 - t for t in range(first, until + 1, 10)]
+    assert pd.isna(out["vertical_rate_mps"].iloc[-1]) and not out["vertical_rate_mps"].iloc[:-1].isna().any()
+    assert not frames._waiting.rows and not handle.timers and frames._last.rows[0] == (2**61, None, None, None, None, None, None, 1000.5, True)
