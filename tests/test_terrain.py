@@ -126,3 +126,15 @@ def test_sample_at_the_start_of_a_leg_is_its_point(spark):
     assert len(got) == 1
     got = terrain.samples(r, 3_000.0, Haversine).orderBy("distance_meters").collect()
     assert [x.lon for x in (got[0], got[-1])] == pytest.approx([radians(180.1), radians(180.3)])
+
+
+def test_parts_of_legs_follow_the_number_of_points(spark, monkeypatch):
+    from aerolith.plans import spreading
+    from aerolith.queries.common import routes
+
+    r = routes(spark, "/root/testdata/sf0.001")
+    few = terrain.legs(r, Haversine)
+    monkeypatch.setattr(spreading, "SORTED_ROWS", 100)
+    many = terrain.legs(r, Haversine)
+    assert few.rdd.getNumPartitions() == 8 and many.rdd.getNumPartitions() == -(-r.count() // 100) > 8
+    assert sorted(few.collect()) == sorted(many.collect())
