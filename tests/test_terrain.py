@@ -138,3 +138,14 @@ def test_parts_of_legs_follow_the_number_of_points(spark, monkeypatch):
     many = terrain.legs(r, Haversine)
     assert few.rdd.getNumPartitions() == 8 and many.rdd.getNumPartitions() == -(-r.count() // 100) > 8
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_profile_degrees_has_samples_on_every_leg(spark):
+    from aerolith.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    points = QUERIES["route_ahead"](spark, sf).groupBy("route_id").agg(F.count("*").alias("points"))
+    got = QUERIES["profile_degrees"](spark, sf).groupBy("route_id").agg(F.count("*").alias("samples"), F.count_distinct("lat_deg", "lon_deg").alias("places"))
+    rows = points.join(got, "route_id", "left").collect()
+    # legs of 1.9 to 2.1 km: samples at 0, 600 and 1200 m, each at a place of its own, and the route's end
+    assert len(rows) == 150 and {(r.points, r.samples, r.places) for r in rows} == {(41, 121, 121)}
